@@ -138,3 +138,26 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(u, w) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u
+), c AS (
+    SELECT u, min(w) AS component_id FROM reach GROUP BY u
+), n AS (
+    SELECT u, count(*) AS n_links FROM links GROUP BY u
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN n ON n.u = v.vec_id JOIN c ON c.u = v.vec_id
+"""
