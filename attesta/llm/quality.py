@@ -163,15 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([r.tobytes() for r in features(texts)], pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array([r.tobytes() for r in features(texts)], pa.binary())], ["id", "kind", "x"])
 
     rows = docs.select(key, F.col(text_col).cast("string").alias("text"))
-    chosen = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("kind", "text")  # at most twice `sample` ids
-    got = chosen.mapInArrow(run, "kind int, x binary").toArrow()
-    kind = got.column("kind").to_numpy()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    order = np.lexsort((*x.T[:4], x[:, -5]))  # rows arrive in any order; sums shouldn't depend on it
-    kind, x = kind[order], x[order]
+    chosen = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "kind", "text")  # at most twice `sample` ids
+    got = chosen.mapInArrow(run, "id long, kind int, x binary").toArrow()
+    found = sorted(zip(*(got.column(c).to_pylist() for c in ("id", "x", "kind"))))  # noqa: B905  # rows arrive in any order; the fit shouldn't depend on it
+    kind = np.array([k for _, _, k in found], int)
+    x = np.frombuffer(b"".join(b for _, b, _ in found), np.float32).reshape(-1, N_FEATURES)
     return fit(x[kind == 1], x[kind == 0])
 
 

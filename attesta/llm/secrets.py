@@ -153,11 +153,12 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", leng
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     masked = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     out = docs.withColumns({"_base": base_spans(text), "_more": candidates(text)}).crossJoin(F.broadcast(limits.withColumnRenamed("cuts", "_cuts"))).withColumn("_spans", spans)
-    changed = F.size("_spans") > 0
-    new = {text_col: F.when(changed, masked).otherwise(F.col(text_col))}
+    out = out.withColumn("_text", F.when(F.size("_spans") > 0, masked).otherwise(F.col(text_col)))
     if length_col:
-        new["_length"] = F.when(changed, F.length(masked).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return out.withColumns(new).select(*[F.col("_length").alias(c) if c == length_col else F.col(c) for c in names])
+        length = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+        out = out.withColumn("_length", length)
+    new = {text_col: "_text"} | ({length_col: "_length"} if length_col else {})
+    return out.select(*[F.col(new.get(c, c)).alias(c) for c in names])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
