@@ -171,3 +171,17 @@ def dominant(df: DataFrame, kind: str) -> DataFrame:
     """A-29. (kind, n, total): the most frequent value, the first by name among equals, and the number of rows."""
     counts = df.groupBy(kind).agg(F.count("*").alias("n"))
     return counts.agg(F.min_by(F.col(kind), F.struct(-F.col("n"), kind)).alias(kind), F.max("n").alias("n"), F.sum("n").alias("total"))
+
+
+def symmetric(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """J-15. Each pair both ways round, once."""
+    return pairs.select(a, b).unionAll(pairs.select(F.col(b), F.col(a))).distinct()
+
+
+def hash_pairs(df: DataFrame, key: str, seed: int, salt: str) -> DataFrame:
+    """J-16. (first, second): neighbours in the order of hashes, two by two; an odd one out stays alone and is left out."""
+    from .allocation import hash_rank
+
+    ranked = hash_rank(df.select(key), key, seed, salt, "rn")
+    side = lambda odd, name: ranked.where(F.col("rn") % 2 == odd).select(F.floor(F.col("rn") / 2).alias("pair"), F.col(key).alias(name))
+    return side(0, "first").join(side(1, "second"), "pair").select("first", "second")

@@ -226,3 +226,9 @@ def nickname_display(records: DataFrame, catalogue: DataFrame, key: str, seed: i
 def upper_text(df: DataFrame) -> DataFrame:
     """P-9. All text columns in upper case; nulls stay."""
     return df.select(*[F.upper(f.name).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema.fields])
+
+
+def last_name_weights(rows: DataFrame) -> DataFrame:
+    """A-2. (last_name, ethnicity, weight) summed by name in upper case; blank names and weights that are not positive left out."""
+    good = rows.where((text_or_empty(F.col("name")) != "") & (F.col("weight") > 0))
+    return good.groupBy(F.upper(F.trim("name")).alias("last_name"), "ethnicity").agg(F.sum("weight").alias("weight"))

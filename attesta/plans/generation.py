@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import SCENARIOS
 from ..functions import age_on, as_int, concat_nonempty, hash_int, title_case
-from ..operators import allocation, emission, generation, noise, reports
+from ..operators import allocation, emission, er, generation, noise, reports
 from ..sources.readers import scenario_status_counts
+from ..sources.writers import renamed
 from .adapters import Tables, int_sql, unit_sql, with_views
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -466,3 +467,41 @@ def lenient_integers(t: Tables):  # noqa: ANN201
 @query(f"SELECT {int_sql(SEED, 'spread', 64, 'o_orderkey')} AS bucket, count(*) AS n FROM {{orders}} GROUP BY 1")
 def hash_buckets(t: Tables):  # noqa: ANN201
     return t["orders"].groupBy(hash_int(SEED, "spread", 64, "o_orderkey").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT upper(trim(p_name)) AS last_name, p_type AS ethnicity, sum(p_size - 3.0::DOUBLE) AS weight FROM {part} WHERE p_size > 3 GROUP BY ALL")
+def last_name_weights(t: Tables):  # noqa: ANN201
+    return generation.last_name_weights(t["part"].select(F.col("p_name").alias("name"), F.col("p_type").alias("ethnicity"), (F.col("p_size") - 3.0).alias("weight")))
+
+
+@query(f"WITH r AS (SELECT PersonKey, {_rank('pairs')} AS n FROM {{people}}) SELECT a.PersonKey AS first, b.PersonKey AS second FROM r a JOIN r b ON a.n % 2 = 0 AND b.n = a.n + 1")
+def random_pairs(t: Tables):  # noqa: ANN201
+    return er.hash_pairs(t["people"], "PersonKey", SEED, "pairs")
+
+
+@query("SELECT DISTINCT a, b FROM (SELECT PersonKeyA AS a, PersonKeyB AS b FROM {truth_events} WHERE EventType = 'COHABIT' UNION ALL SELECT PersonKeyB, PersonKeyA FROM {truth_events} WHERE EventType = 'COHABIT') x")
+def symmetric_pairs(t: Tables):  # noqa: ANN201
+    return er.symmetric(t["truth_events"].where("EventType = 'COHABIT'").select(F.col("PersonKeyA").alias("a"), F.col("PersonKeyB").alias("b")), "a", "b")
+
+
+@query("SELECT RecordKey AS unique_id, FirstName AS first_name, MiddleName AS middle_name, LastName AS last_name, DOB AS dob, Phone AS phone, AddressKey AS address_key, SourceSnapshotDate AS source_snapshot_date, 'dataset_a' AS source_dataset, DatasetId, PersonKey FROM {observed_a}")
+def linkage_export(t: Tables):  # noqa: ANN201
+    return renamed(t["observed_a"], "dataset_a")
+
+
+@query("SELECT RecordKey, A_RecordKey FROM (SELECT RecordKey, RecordKey AS A_RecordKey FROM {observed_a}) x")
+def legacy_view(t: Tables):  # noqa: ANN201
+    return emission.legacy_view(t["observed_a"], "A").select("A_RecordKey", F.col("A_RecordKey").alias("RecordKey"))
+
+
+@query("SELECT PersonKey, DatasetId, RecordKey FROM {observed_a} UNION ALL SELECT PersonKey, DatasetId, RecordKey FROM {observed_b}")
+def entity_record_map(t: Tables):  # noqa: ANN201
+    return emission.entity_record_map([t["observed_a"], t["observed_b"]])
+
+
+_AGE_LABELS = ["18-34", "65+", "under 5", "about 20 - 24 years"]
+
+
+@query("SELECT * FROM (VALUES ('18-34', 18, 34), ('65+', 65, 95), ('under 5', 5, 95), ('about 20 - 24 years', 20, 24)) v(label, low, high)")
+def age_ranges(t: Tables):  # noqa: ANN201
+    return t.spark.createDataFrame([(x,) for x in _AGE_LABELS], "label string").withColumn("r", reports.age_range(F.col("label"))).select("label", "r.low", "r.high")

@@ -110,3 +110,20 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("windows").collect()) == [20, 30]
+
+
+def test_prepared_cache_and_run_folders(spark, tmp_path):
+    from attesta.sources.cache import CACHE, bundle, build_cache, datasets_of, load_cache, recent_run_folders, set_path
+
+    tables = {n: spark.createDataFrame([tuple("1" for _ in c)], ", ".join(f"{x} string" for x in c)) for n, c in CACHE.items()}
+    folder = str(tmp_path / "cache")
+    with pytest.raises(FileNotFoundError):
+        load_cache(spark, folder)
+    build_cache(tables, folder)
+    assert set(load_cache(spark, folder)) == set(CACHE) and bundle(folder, str(tmp_path / "b.zip")) > 0
+    with pytest.raises(FileExistsError):
+        build_cache(tables, folder)
+    with pytest.raises(ValueError):
+        build_cache({}, folder)
+    assert recent_run_folders(str(tmp_path)) == ["cache"] and datasets_of(folder) == []
+    assert set_path({"a": {"b": 1}}, "a.c.d", 2) == {"a": {"b": 1, "c": {"d": 2}}}
