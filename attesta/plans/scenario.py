@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Scenario
+from ..config import Scenario, contract
+from ..functions import concat_nonempty
 from ..operators import allocation, emission, er, intervals, population, reports, truth, validate
 from ..sources.checkpoints import cut_lineage
 from ..sources.writers import guard_targets, write_csv, write_json, write_parquet
@@ -87,16 +88,57 @@ def run_scenario(records: DataFrame, people: DataFrame, scenario: Scenario, book
     return Run(scenario, selected, made, observed, record_map, walks, book)
 
 
+def age_bin(age: Column) -> Column:
+    return F.when(age <= 17, "age_0_17").when(age <= 34, "age_18_34").when(age <= 64, "age_35_64").when(age.isNotNull(), "age_65_plus")
+
+
+def _shaped(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Exactly these columns, null where df has none."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def published(run: Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Tables to be written as Parquet and those to be written as CSV, by name, with the columns of the contract."""
+    t = run.truth
+    full = concat_nonempty(*[F.col(c) for c in ("FirstName", "MiddleName", "LastName", "Suffix")])
+    tables = {
+        "scenario_population": run.population.withColumns({"ScenarioId": F.lit(run.scenario.name), "SelectionSeed": F.lit(run.scenario.seed)}), "truth_events": t["events"],
+        "truth_people": t["people"].withColumns({"FormalFullName": full, "AgeBin": age_bin(F.col("Age"))}).withColumnRenamed("FirstName", "FormalFirstName"), "truth_households": t["households"],
+        "truth_household_memberships": t["memberships"], "truth_residence_history": t["residence_history"],
+    }
+    csvs = {f"observed_{k}": _shaped(v, contract.OBSERVED) for k, v in run.observed.items()} | {"entity_record_map": run.record_map}
+    csvs |= {("truth_crosswalk" if len(run.observed) == 2 else f"crosswalk_{a}__{b}"): w for (a, b), w in run.crosswalks.items()}
+    return {n: _shaped(df, contract.TABLES[n]) for n, df in tables.items()}, csvs
+
+
 def write_run(run: Run, folder: str, overwrite: bool = False) -> dict[str, Any]:
     """Tables and answer keys in a folder, after a check that nothing there would be replaced; returns the manifest."""
-    tables = {f"truth_{k}": v for k, v in run.truth.items() if k != "state"} | {"scenario_population": run.population}
-    csvs = {f"observed_{k}": v.drop("variants") for k, v in run.observed.items()} | {"entity_record_map": run.record_map} | {("truth_crosswalk" if len(run.observed) == 2 else f"crosswalk_{a}__{b}"): w for (a, b), w in run.crosswalks.items()}
+    tables, csvs = published(run)
     guard_targets(run.record_map, [f"{folder}/{n}.parquet" for n in tables] + [f"{folder}/{n}.csv" for n in csvs], overwrite)
     for n, df in tables.items():
         write_parquet(df, f"{folder}/{n}.parquet", overwrite)
     for n, df in csvs.items():
         write_csv(df, f"{folder}/{n}.csv", overwrite)
-    manifest = {"scenario": asdict(run.scenario), "tables": sorted([*tables, *csvs]), "checks": run.checks()}
+    checks = run.checks()
+    manifest = {
+        "run_id": validate.run_id(str(run.scenario.simulation().start), run.scenario.name, run.scenario.seed), "scenario_id": run.scenario.name, "seed": run.scenario.seed, "scenario": asdict(run.scenario), "datasets": list(run.observed),
+        "tables": sorted([*tables, *csvs]), "checks": checks, "status": "ok" if validate.quality_ok(checks["grammar"], checks["ages"], checks["overlaps"], checks["sizes"]) else "failed",
+    }
     if "://" not in folder:
         write_json(manifest, f"{folder}/manifest.json")
     return manifest
+
+
+def validate_run(spark: SparkSession, folder: str, datasets: list[str], limits: validate.Constraints | None = None) -> list[tuple[str, str]]:
+    """V-4. (file, error): files and columns that the contract asks for, then faults of events, ages and residences in what was written."""
+    found = validate.contract_errors(spark, folder, contract.files(datasets))
+    if found:
+        return found
+    events, people = spark.read.parquet(f"{folder}/truth_events.parquet"), spark.read.parquet(f"{folder}/truth_people.parquet")
+    parts = {
+        "truth_events.parquet": validate.grammar_errors(events).select(F.concat_ws(": ", "field", "error").alias("what")).unionByName(validate.age_violations(events, people, limits or validate.Constraints()).select(F.col("rule").alias("what"))),
+        "truth_residence_history.parquet": validate.residence_violations(spark.read.parquet(f"{folder}/truth_residence_history.parquet")).select(F.col("rule").alias("what")),
+    }
+    for name, df in parts.items():
+        found += [(name, f"{r.n} x {r.what}") for r in df.groupBy("what").agg(F.count("*").alias("n")).orderBy("what").collect()]  # a row for each kind of fault
+    return found

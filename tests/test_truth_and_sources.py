@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attesta.config import PRESETS, SCENARIOS, list_presets, patched, preset, scenario
 from attesta.operators import intervals, truth, validate
 from attesta.operators.noise import NoiseRates
-from attesta.plans.scenario import PEOPLE_COLUMNS, run_scenario, write_run
+from attesta.plans.scenario import PEOPLE_COLUMNS, run_scenario, validate_run, write_run
 from attesta.sources import guard_targets, load_json, load_yaml, nickname_catalogue, read_csv_lenient, read_csv_strings, table_columns
 from attesta.sources.writers import renamed, zingg_fields
 from attesta.streaming import event_windows, noised_stream, read_stream
@@ -59,6 +59,11 @@ def test_a_scenario_from_end_to_end(spark, tmp_path):
     assert load_json(str(tmp_path / "run" / "manifest.json"))["scenario"]["name"] == "single_movers"
     with pytest.raises(FileExistsError):
         write_run(run, str(tmp_path / "run"))
+    assert manifest["status"] == "ok" and validate_run(spark, str(tmp_path / "run"), manifest["datasets"]) == []
+    import shutil
+
+    shutil.rmtree(tmp_path / "run" / "truth_households.parquet")
+    assert validate_run(spark, str(tmp_path / "run"), manifest["datasets"]) == [("truth_households.parquet", "missing")]
     assert run.quality().where("metric = 'apart'").first().value == 0
     assert {"PersonKey", "A_RecordKey", "B_RecordKey"} == set(table_columns(spark, str(tmp_path / "run" / "truth_crosswalk.csv")))
     assert validate.contract_errors(spark, str(tmp_path / "run"), {"truth_events.parquet": ["EventKey"], "gone.csv": [], "entity_record_map.csv": ["PersonKey", "Other"]}) == [("gone.csv", "missing"), ("entity_record_map.csv", "column Other is missing")]
