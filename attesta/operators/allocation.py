@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_int, hash_unit
+from ..sources.checkpoints import cut_lineage
 
 #: Buckets of the order in which rows are numbered; each bucket is sorted by itself.
-BUCKETS = 256
+BUCKETS = 4096
 
 
 def normalised(values: Mapping[str, float | None], rescale: bool = True) -> dict[str, float]:
@@ -48,6 +49,18 @@ def numbered(df: DataFrame, order: Sequence[Column], bucket: Column, name: str =
     return rows.withColumn("_place", place).join(F.broadcast(offsets.select("_bucket", "_before")), "_bucket").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_bucket", "_before", "_place")
 
 
+def range_numbered(df: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """df with numbers 0.. in any order, for keys whose spread is not known.
+
+    Rows are dealt by ranges of the order, which Spark samples, and written, so that a row's range can't change between counting and numbering; ranges are then buckets of
+    about equal size, whatever the keys look like.
+    """
+    places = {f"_o{k}": c for k, c in enumerate(order)}
+    ranged = df.withColumns(places).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *places)
+    dealt = cut_lineage(ranged.withColumn("_range", F.spark_partition_id().cast("long")))
+    return numbered(dealt, [F.col(c) for c in places], F.col("_range"), name).drop("_range", *places)
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, salt: str, name: str = "number") -> DataFrame:
     """df with each row's rank in the order of its hash, from 0."""
     u = hash_unit(seed, salt, key)

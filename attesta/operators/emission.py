@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import age_on, concat_nonempty, stable_order
-from .allocation import duplication, expanded, numbered
+from .allocation import duplication, expanded, range_numbered
 from .intervals import asof_address
 from .noise import DEFAULT_A, DEFAULT_B, NoiseRates, apply_noise
 
@@ -38,12 +38,10 @@ def snapshot(people: DataFrame, residence: DataFrame, book: DataFrame, day: str)
 def emit(snap: DataFrame, members: DataFrame, n_members: int, spec: DatasetSpec, position: int, seed: int) -> DataFrame:
     """G-22. The dataset's rows: members of the snapshot, as many records each as duplication gives, keyed <dataset>-000000001.. in stable order, with noise and its flags."""
     counted = duplication(members.select("PersonKey"), "PersonKey", n_members, spec.duplicate_pct, seed)
-    rows = expanded(counted, "records").join(snap, "PersonKey")
-    order = stable_order(F.col("PersonKey"))
-    # the bucket rises with the order: keys of digits by length and leading digits, others after them by their first letter
-    bucket = F.when(F.col("PersonKey").rlike("^[0-9]+$"), F.substring(F.lpad("PersonKey", 20, "0"), 1, 18).cast("decimal(20,0)").cast("long")).otherwise(F.lit(1 << 62) + F.ascii("PersonKey"))
-    keyed = numbered(rows, [*order, F.col("copy")], bucket, "_n")
-    keyed = keyed.withColumn("RecordKey", F.concat(F.lit(f"{spec.dataset}-"), F.lpad((F.col("_n") + 1).cast("string"), 9, "0"))).drop("_n", "records", "copy").withColumn("DatasetId", F.lit(spec.dataset))
+    keys = expanded(counted, "records").select("PersonKey", "copy")
+    placed = range_numbered(keys, [*stable_order(F.col("PersonKey")), F.col("copy")], "_n")
+    record = F.concat(F.lit(f"{spec.dataset}-"), F.lpad((F.col("_n") + 1).cast("string"), 9, "0"))
+    keyed = placed.select("PersonKey", record.alias("RecordKey"), F.lit(spec.dataset).alias("DatasetId")).join(snap, "PersonKey")
     noised = apply_noise(keyed, spec.rates(position), seed)
     return noised.withColumns({"FullName": concat_nonempty(F.col("FirstName"), F.col("MiddleName"), F.col("LastName")), "SourceSystem": F.lit(spec.dataset)})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_int, clip, hash_unit, norm_text, stable_order
+from .allocation import hash_rank
 
 # Bases by age bin, with what applies elsewhere, and the weight of the random part.
 PARTNERSHIP = {"age_0_17": 0.08, "age_18_34": 0.72, "age_35_64": 0.56, "age_65_plus": 0.30}
@@ -103,11 +104,11 @@ def sample_size(n: int, mode: str, value: float) -> int:
 
 
 def exact_sample(df: DataFrame, key: str, mode: str, value: float, seed: int, salt: str = "sample") -> DataFrame:
-    """F-3, F-4. Exactly so many rows, those with the least hashes; a distributed top-k, never one sorted partition."""
-    take = sample_size(df.count(), mode, value) if mode != "count" else int(value)
+    """F-3, F-4. Exactly so many rows, those with the least hashes. Ranks are made bucket by bucket of the hash, so samples of any size stay distributed."""
     if mode == "all":
         return df
-    return df.withColumn("_u", hash_unit(seed, salt, key)).orderBy("_u", key).limit(take).drop("_u")
+    take = int(value) if mode == "count" else sample_size(df.count(), mode, value)
+    return hash_rank(df, key, seed, salt, "_rank").where(F.col("_rank") < take).drop("_rank")
 
 
 def selection_checksum(df: DataFrame, key: str = "PersonKey") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, hash_int, hash_unit, text_or_empty
 from ..sources.checkpoints import cut_lineage
-from .allocation import hash_rank
+from .allocation import hash_rank, range_numbered
 from .intervals import closed_history
 from .validate import COHABIT_MODES, CUSTODY_MODES, EVENT_COLUMNS, Constraints
 
@@ -202,16 +202,14 @@ def simulate(people: DataFrame, cfg: SimulationConfig) -> dict[str, DataFrame]:
 
 
 def numbered_events(parts: list[DataFrame], people: DataFrame) -> DataFrame:
-    """T-9. All events with keys EVT_0000001.. in the order of step, phase and subject. A step and phase is numbered by itself after those before it."""
+    """T-9. All events with keys EVT_0000001.. in the order of step, phase and subject."""
     if not parts:
         return people.sparkSession.createDataFrame([], ", ".join(f"{c} {'date' if c == 'EventDate' else 'string'}" for c in EVENT_COLUMNS))
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
     subject = F.coalesce("SubjectPersonKey", "SubjectHouseholdKey", "PersonKeyA", "Parent1PersonKey", "ChildPersonKey")
-    from .allocation import numbered
-
-    out = numbered(rows.withColumn("_subject", subject), [F.col("_subject")], F.col("_order").cast("long"), "_n")
+    out = range_numbered(rows.withColumn("_subject", subject), [F.col("_order"), F.col("_subject")], "_n")
     return out.withColumn("EventKey", F.concat(F.lit("EVT_"), F.lpad((F.col("_n") + 1).cast("string"), 7, "0"))).select(*EVENT_COLUMNS)
 
 
