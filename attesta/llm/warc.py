@@ -19,7 +19,7 @@ SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 16 << 20
 LEAST = 100
 #: Archives carry a fixed date, so that writing again gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-_LINE = b"\r\n"
+_LINE, _WINDOW = b"\r\n", 32 << 10
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -75,14 +75,17 @@ def page_records(record_id: str, page_id: int | None, url: str | None, body: byt
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and blocks of all records of a file, compressed record by record or not at all."""
-    members = []
+    members, at = [], 0
     if data[:2] == b"\x1f\x8b":
-        while data:
-            d = zlib.decompressobj(31)
-            members.append(d.decompress(data) + d.flush())
-            if not d.eof:
-                raise ValueError("a compressed record is cut short")
-            data = d.unused_data
+        while at < len(data):
+            d, parts = zlib.decompressobj(31), []
+            while not d.eof:
+                if at >= len(data):
+                    raise ValueError("a compressed record is cut short")
+                parts.append(d.decompress(data[at : at + _WINDOW]))  # in windows, as what is left over is copied each time
+                at += _WINDOW
+            at = min(at, len(data)) - len(d.unused_data)
+            members.append(b"".join(parts))
     else:
         members.append(data)
     for raw in members:
