@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, partitions, small_batches, text_batches
 
 #: A block of documents ends when it holds so many words or distinct words. Blocks bound the memory of every task.
-BLOCK_WORDS, BLOCK_DISTINCT = 1 << 22, 1 << 18
-#: Words that a worker keeps encoded, where words are encoded without a table.
-CACHE = 300_000
+BLOCK_WORDS, BLOCK_DISTINCT = 1 << 22, 1 << 19
+#: Words that are encoded together as one text.
+TOGETHER = 64
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,140 +48,164 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def encode_words(path: str, words: list[bytes]) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    """Ids of each word. Words of plain Latin letters, which normalising can't merge or move, are encoded many at a time and told apart by their offsets."""
+    t, out = tokenizer(path), [None] * len(words)
+    texts = [w.decode("utf-8", "replace") for w in words]
+    plain = [k for k, w in enumerate(texts) if w.isascii() or max(w) < "\u0250"]
+    groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+    for group, e in zip(groups, t.encode_batch([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False)):  # noqa: B905
+        ids, starts = e.ids, [o[0] for o in e.offsets]
+        at = end = 0
+        for k in group:
+            end += len(texts[k]) + 1
+            to = bisect_left(starts, end, at)
+            out[k] = ids[at:to]
+            at = to
+    rest = [k for k, ids in enumerate(out) if ids is None]
+    for k, e in zip(rest, t.encode_batch([texts[k] for k in rest], add_special_tokens=False)):  # noqa: B905
+        out[k] = e.ids
+    return out
 
 
-class CachedEncoder(dict):
-    """word -> its ids as little-endian unsigned 32-bit numbers. Holds a bounded number of words and starts again when it is full."""
+class _Places(dict):
+    """word -> its place in the order of first sight."""
 
-    def __init__(self, path: str, most: int = CACHE) -> None:
-        super().__init__()
-        self.path, self.most = path, most
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
 
-    def __missing__(self, word: bytes) -> bytes:
-        out = np.array(encode_words(self.path, [word])[0], "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = out
-        return out
 
-    def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, words_of(text)))
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as four compressed planes of bytes; small numbers leave the higher ones empty."""
+    parts = [zstandard.compress(p.tobytes(), 3) for p in numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+    return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
 
-def _pack(words: list[bytes]) -> bytes:
-    return zstandard.compress(b" ".join(words), 3)
+def _unplaned(data: bytes) -> np.ndarray:
+    out, at = [], 32
+    for n in np.frombuffer(data, "<u8", 4).tolist():
+        out.append(np.frombuffer(zstandard.decompress(data[at : at + n]), np.uint8))
+        at += n
+    return np.ascontiguousarray(np.stack(out, axis=1)).view("<u4").ravel()
 
 
-def _unpack(data: bytes) -> list[bytes]:
-    return zstandard.decompress(data).split()
+_BLOCK = "block string, shard int, ids array<long>, sizes array<long>, places binary, words binary"
 
 
 def _blocks(shards: int, words: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents become places in their block's list of distinct words; the list goes to the shards that its words hash to."""
-    schema = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("id", pa.int64()), ("data", pa.binary())])
+    """Documents become places in their block's list of distinct words, frequent ones first; the list goes to the shards that its words hash to."""
+    types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, k, total = TaskContext.get().partitionId(), 0, 0
-        local: dict[bytes, int] = {}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            by: dict[int, tuple[list[int], list[bytes]]] = {}
-            for w, place in local.items():
-                places, own = by.setdefault(xxhash.xxh64_intdigest(w) % shards, ([], []))
-                places.append(place)
-                own.append(w)
-            for shard, (places, own) in by.items():
-                data = len(own).to_bytes(8, "little") + zstandard.compress(np.array(places, "<u4").tobytes(), 3)
-                yield row(shard, 0, [None], [data])
-                yield row(shard, 1, [None], [_pack(own)])
-
-        def row(shard: int, n: int, ids: list, data: list[bytes]) -> pa.RecordBatch:
-            size = len(data)
-            return pa.RecordBatch.from_arrays([pa.array([f"{task}.{k}"] * size), pa.array([shard] * size, pa.int32()), pa.array([n] * size, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], schema=schema)
-
-        for batch, texts in text_batches(batches):
-            ids, data = [], []
-            for id_, text in zip(batch.column("id").to_pylist(), texts):  # noqa: B905
+        local, ids, texts = _Places(), [], []
+
+        def close() -> pa.RecordBatch:
+            name, seen = f"{task}.{k}", np.frombuffer(b"".join([x.tobytes() for x in texts]), np.uintc)
+            order = np.argsort(-np.bincount(seen, minlength=len(local)), kind="stable")
+            rank = np.empty(len(local), np.uintc)
+            rank[order] = np.arange(len(local), dtype=np.uintc)
+            rows = [(name, -1, ids, [len(x) for x in texts], _planes(rank[seen]), None)]
+            own = list(local)
+            by: dict[int, list[int]] = {}
+            for place, w in enumerate(own):
+                by.setdefault(xxhash.xxh64_intdigest(w) % shards, []).append(place)
+            rows += [(name, s, None, None, _planes(rank[p]), zstandard.compress(b" ".join([own[x] for x in p]), 3)) for s, p in by.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["block", "shard", "ids", "sizes", "places", "words"])  # noqa: B905
+
+        for batch, own_texts in text_batches(batches):
+            for id_, text in zip(batch.column("id").to_pylist(), own_texts):  # noqa: B905
                 own = words_of(text)
                 if total and (total + len(own) > words or len(local) >= distinct):
-                    if ids:
-                        yield row(-1, 0, ids, data)
-                    yield from close()
-                    ids, data = [], []
-                    k, total, local = k + 1, 0, {}
-                places = np.fromiter((local.setdefault(w, len(local)) for w in own), "<u4", len(own))
-                total += len(own)
+                    yield close()
+                    k, total, local, ids, texts = k + 1, 0, _Places(), [], []
+                texts.append(array("I", map(local.__getitem__, own)))
                 ids.append(id_)
-                data.append(zstandard.compress(places.tobytes(), 1))
-            if ids:
-                yield row(-1, 0, ids, data)
-        if local or total == 0:
-            yield from close()
+                total += len(own)
+        if ids:
+            yield close()
 
     return run
 
 
-def encode(docs: DataFrame, finish: Callable[[list[list[int]], np.ndarray, list], pa.RecordBatch] | None = None, schema: str = "id long, ids array<int>",
-           path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, block_distinct: int = BLOCK_DISTINCT) -> DataFrame:
+class BlockWords:
+    """The ids of a block's words: those of word p are flat[starts[p]:ends[p]]."""
+
+    def __init__(self, table: pa.Table) -> None:
+        parts = []
+        for places, reply in zip(table.column("places").to_pylist(), table.column("reply").to_pylist()):  # noqa: B905
+            numbers = np.frombuffer(zstandard.decompress(reply), "<u4")
+            own = _unplaned(places)
+            parts.append((own, numbers[: len(own)], numbers[len(own) :]))
+        places, sizes = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4") for i in (0, 1))
+        self.flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
+        self.sizes, self.starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        self.sizes[places] = sizes
+        self.starts[places] = np.cumsum(sizes, dtype=np.int64) - sizes
+
+    def each(self) -> Iterator[list[int]]:
+        """The ids of every word, in the order of places."""
+        flat = self.flat.tolist()
+        return (flat[a : a + n] for a, n in zip(self.starts.tolist(), self.sizes.tolist()))  # noqa: B905
+
+    def packed(self) -> list[bytes]:
+        """The same as little-endian unsigned 32-bit numbers."""
+        raw = self.flat.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * (a + n)] for a, n in zip(self.starts.tolist(), self.sizes.tolist())]  # noqa: B905
+
+
+Finish = Callable[[BlockWords, list[list[int]], list], pa.Table]
+
+
+def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long, ids array<int>", path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+           block_words: int = BLOCK_WORDS, block_distinct: int = BLOCK_DISTINCT) -> DataFrame:
     """(id, ids) for each row of docs: the ids of its whole text. Null and empty texts have none; rows that repeat an id stay apart; other columns are not read.
 
     1. Texts are split into words; a block of documents (bounded in words and distinct words) is written as places in the block's own list of distinct words.
     2. The blocks' lists are dealt by the words' hash, so each shard sees every block's copies of its words and encodes each distinct word once.
     3. The words' ids go back to the block, where documents look them up by position.
 
-    Only lists of distinct words cross the network twice; texts never do. finish(ids of each word, places, row ids) may make other columns, as the digests do.
+    Texts themselves never cross the network. finish(words, places of each text, row ids) may make other columns, as digests and packing do.
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
     small_batches(spark)
     ws, shards = Workspace(spark, "bpe"), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = ws.save(rows.mapInArrow(_blocks(shards, block_words, block_distinct), "block string, shard int, n long, id long, data binary"), "blocks")
+    blocks = ws.save(rows.mapInArrow(_blocks(shards, block_words, block_distinct), _BLOCK), "blocks")
 
     def once(table: pa.Table) -> pa.Table:
-        lists = [_unpack(x) for x in table.column("data").to_pylist()]
-        distinct: dict[bytes, int] = {}
-        places = [[distinct.setdefault(w, len(distinct)) for w in x] for x in lists]
+        lists = [zstandard.decompress(x).split() for x in table.column("words").to_pylist()]
+        distinct = _Places()
+        places = [np.array(list(map(distinct.__getitem__, x)), np.int64) for x in lists]
         known, at = [], list(distinct)
         for k in range(0, len(at), 1 << 14):
             known += encode_words(path, at[k : k + (1 << 14)])
-        out = []
-        for x in places:
-            sizes = np.fromiter((len(known[p]) for p in x), "<u4", len(x))
-            flat = np.fromiter((i for p in x for i in known[p]), "<u4", int(sizes.sum()))
-            out.append(len(x).to_bytes(8, "little") + zstandard.compress(sizes.astype("<u4").tobytes() + flat.tobytes(), 3))
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "reply": pa.array(out, pa.binary())})
-
-    asked = blocks.where("shard >= 0 AND n = 1").select("block", "shard", "data")
-    answers = asked.groupBy("shard").applyInArrow(once, "block string, shard int, reply binary")
-    lists = blocks.where("shard >= 0 AND n = 0").select("block", "shard", F.col("data").alias("places")).join(answers, ["block", "shard"]).select(F.col("block").alias("of"), "places", "reply")
-    texts = blocks.where("shard < 0").select("block", "id", "data")
+        sizes = np.array([len(x) for x in known], "<u4")
+        packed = [np.array(x, "<u4").tobytes() for x in known]
+        out = [zstandard.compress(sizes[x].tobytes() + b"".join([packed[p] for p in x.tolist()]), 3) for x in places]
+        return pa.table({"block": table.column("block"), "places": table.column("places"), "reply": pa.array(out, pa.binary())})
+
+    answers = blocks.where("shard >= 0").select("block", "shard", "places", "words").groupBy("shard").applyInArrow(once, "block string, places binary, reply binary")
+    texts = blocks.where("shard < 0").select("block", "ids", "sizes", "places")
     make = finish or _plain
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_of: dict[int, list[int]] = {}
-        for places, reply in zip(right.column("places").to_pylist(), right.column("reply").to_pylist()):  # noqa: B905
-            n = int.from_bytes(reply[:8], "little")
-            own = np.frombuffer(zstandard.decompress(places[8:]), "<u4").tolist()
-            numbers = np.frombuffer(zstandard.decompress(reply[8:]), "<u4")
-            ends = np.cumsum(numbers[:n].astype(np.int64)).tolist()
-            flat, at = numbers[n:].tolist(), 0
-            for p, end in zip(own, ends):  # noqa: B905
-                ids_of[p] = flat[at:end]
-                at = end
-        words = [ids_of[p] for p in range(len(ids_of))]
-        ids = left.column("id").to_pylist()
-        places = [np.frombuffer(zstandard.decompress(x), "<u4") for x in left.column("data").to_pylist()]
-        return make(words, places, ids)
+        words = BlockWords(right)
+        made = []
+        for ids, sizes, places in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "places"))):  # noqa: B905
+            flat = _unplaned(places).tolist()
+            ends = np.cumsum(sizes).tolist()
+            made.append(make(words, [flat[e - n : e] for e, n in zip(ends, sizes)], ids))  # noqa: B905
+        return pa.concat_tables(made)
 
-    return texts.groupBy("block").cogroup(lists.groupBy("of")).applyInArrow(back, schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, schema)
 
 
-def _plain(words: list[list[int]], places: list[np.ndarray], ids: list) -> pa.Table:
-    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array([[i for p in x.tolist() for i in words[p]] for x in places], pa.list_(pa.int32()))})
+def _plain(words: BlockWords, places: list[list[int]], ids: list) -> pa.Table:
+    of = list(words.each())
+    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array([[i for p in x for i in of[p]] for x in places], pa.list_(pa.int32()))})
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -202,19 +228,20 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row: the digests of encode() and decode() made while a block's words are at hand."""
     path = path or vocabulary_path()
     names = {i: p.encode() for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
-    spread = docs.sparkSession.sparkContext.broadcast(names)  # the id-to-piece table: as many rows as the vocabulary
-
-    def finish(words: list[list[int]], places: list[np.ndarray], ids: list) -> pa.Table:
-        piece = spread.value
-        numbers = [" ".join(map(str, w)).encode() for w in words]
-        texts = [b" ".join([piece[i] for i in w]) for w in words]
-        sizes = np.array([len(w) for w in words], np.int64)
-        some = [bool(w) for w in words]
-        every = all(some)
+    numbers = {i: b"%d" % i for i in names}
+    spread = docs.sparkSession.sparkContext.broadcast((names, numbers))  # the id-to-piece table: as many rows as the vocabulary
+
+    def finish(words: BlockWords, places: list[list[int]], ids: list) -> pa.Table:
+        piece, number = spread.value
+        numbers, texts, some = [], [], words.sizes > 0
+        for w in words.each():
+            numbers.append(b" ".join([number[i] for i in w]))
+            texts.append(b" ".join([piece[i] for i in w]))
+        every, sizes = bool(some.all()), words.sizes.tolist()
         n, a, b = [], [], []
         for x in places:
-            own = x.tolist() if every else [p for p in x.tolist() if some[p]]
-            n.append(int(sizes[x].sum()) if len(x) else 0)
+            own = x if every else [p for p in x if sizes[p]]
+            n.append(sum([sizes[p] for p in own]))
             a.append(hashlib.sha256(b" ".join([numbers[p] for p in own])).hexdigest())
             b.append(hashlib.sha256(b" ".join([texts[p] for p in own])).hexdigest())
         return pa.table({"id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})

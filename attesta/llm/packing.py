@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CachedEncoder, vocabulary_path
-from .common import Workspace, small_batches, text_batches
+from .bpe import BlockWords, encode
+from .common import Workspace
 
 #: Pieces that one task packs. A group of so many ends with at most a fraction of a bin unfilled.
 GROUP = 16384
@@ -20,23 +20,24 @@ GROUP = 16384
 PASSES = 8
 
 
-def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, piece, start, length, ids binary): each row's ids, the end id after them, cut into pieces of at most limit. Null text counts as empty."""
-    path = path or vocabulary_path()
-    small_batches(docs.sparkSession)
+def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids binary): each row's ids, the end id after them, cut into pieces of at most limit. Null text counts as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = CachedEncoder(path), np.array([end_id], "<u4").tobytes(), 4 * limit
-        for batch, texts in text_batches(batches):
-            out: list[tuple] = []
-            for id_, text in zip(batch.column("id").to_pylist(), texts):  # noqa: B905
-                ids = encoder.text(text) + end
-                out += [(id_, k, at // 4, min(step, len(ids) - at) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
-            cols = list(zip(*out))  # noqa: B905
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["id", "piece", "start", "length", "ids"])  # noqa: B905
+    def finish(words: BlockWords, places: list[list[int]], doc_ids: list) -> pa.Table:
+        of, end, step = words.packed(), np.array([end_id], "<u4").tobytes(), 4 * limit
+        out: list[tuple] = []
+        for id_, x in zip(doc_ids, places):  # noqa: B905
+            ids = b"".join([of[p] for p in x]) + end
+            for k, at in enumerate(range(0, len(ids), step)):
+                part = ids[at : at + step]
+                out.append((id_, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]  # noqa: B905
+        names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+        return pa.table(cols if with_ids else cols[:-1], names=names if with_ids else names[:-1])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return encode(docs, finish, schema, path, id_col, text_col)
 
 
 class Bins:
@@ -162,8 +163,7 @@ def pack_documents(docs: DataFrame, limit: int = 2048, with_ids: bool = True, pa
     Null and empty texts are one piece of the end id alone; texts of any length are cut, none shortened. Rows that repeat an id are packed each on its own.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    cut = token_pieces(docs, limit, 0, path, id_col, text_col)
-    return pack(ws.save(cut.withColumn("ids_crc32", F.crc32("ids")).drop(*[] if with_ids else ["ids"]), "pieces"), limit)
+    return pack(ws.save(token_pieces(docs, limit, 0, path, id_col, text_col, with_ids), "pieces"), limit)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
