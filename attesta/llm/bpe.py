@@ -75,25 +75,60 @@ class _Places(dict):
         return place
 
 
+def _joined(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, "<u8", n, 8).tolist()])
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]  # noqa: B905
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers as four compressed planes of bytes; small numbers leave the higher ones empty."""
-    parts = [zstandard.compress(p.tobytes(), 3) for p in numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T]
-    return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
+    return _joined([zstandard.compress(p.tobytes(), 3) for p in numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T])
 
 
 def _unplaned(data: bytes) -> np.ndarray:
-    out, at = [], 32
-    for n in np.frombuffer(data, "<u8", 4).tolist():
-        out.append(np.frombuffer(zstandard.decompress(data[at : at + n]), np.uint8))
-        at += n
-    return np.ascontiguousarray(np.stack(out, axis=1)).view("<u4").ravel()
+    planes = [np.frombuffer(zstandard.decompress(p), np.uint8) for p in _parted(data)]
+    return np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
+
+
+#: Ranks below ONE take a byte, those below TWO another one; the rest follow as planes.
+ONE, TWO = 128, 128 + 127 * 256
+
+
+def _coded(ranks: np.ndarray) -> bytes:
+    """Ranks, of which small ones are frequent: a first byte that tells how large a rank is, then what it leaves open."""
+    ranks = ranks.astype(np.int64)
+    first = np.where(ranks < ONE, ranks, ONE + np.minimum((ranks - ONE) >> 8, 127)).astype(np.uint8)
+    middle, large = ranks[(ranks >= ONE) & (ranks < TWO)], ranks[ranks >= TWO]
+    return _joined([zstandard.compress(first.tobytes(), 3), zstandard.compress(((middle - ONE) & 255).astype(np.uint8).tobytes(), 3), _planes(large - TWO)])
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    a, b, c = _parted(data)
+    first = np.frombuffer(zstandard.decompress(a), np.uint8)
+    out = first.astype(np.int64)
+    middle, large = (first >= ONE) & (first < 255), first == 255
+    out[middle] = ONE + ((out[middle] - ONE) << 8) + np.frombuffer(zstandard.decompress(b), np.uint8)
+    out[large] = TWO + _unplaned(c).astype(np.int64)
+    return out
+
+
+def _in_order(top: np.ndarray, n: int) -> np.ndarray:
+    """Places in the lists by rank: the frequent words first, as told, then all others as they are listed."""
+    rest = np.ones(n, bool)
+    rest[top] = False
+    return np.concatenate([top.astype(np.int64), np.flatnonzero(rest)])
 
 
 _BLOCK = "block string, shard int, ids array<long>, sizes array<long>, places binary, words binary"
 
 
 def _blocks(shards: int, words: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents become places in their block's list of distinct words, frequent ones first; the list goes to the shards that its words hash to."""
+    """Documents become ranks of their block's distinct words, whose sorted lists go to the shards that the words hash to."""
     types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +139,17 @@ def _blocks(shards: int, words: int, distinct: int) -> Callable[[Iterator[pa.Rec
 
         def close() -> pa.RecordBatch:
             name, seen = f"{task}.{k}", np.frombuffer(b"".join([x.tobytes() for x in texts]), np.uintc)
-            order = np.argsort(-np.bincount(seen, minlength=len(local)), kind="stable")
-            rank = np.empty(len(local), np.uintc)
-            rank[order] = np.arange(len(local), dtype=np.uintc)
-            rows = [(name, -1, ids, [len(x) for x in texts], _planes(rank[seen]), None)]
-            own = list(local)
-            by: dict[int, list[int]] = {}
-            for place, w in enumerate(own):
-                by.setdefault(xxhash.xxh64_intdigest(w) % shards, []).append(place)
-            rows += [(name, s, None, None, _planes(rank[p]), zstandard.compress(b" ".join([own[x] for x in p]), 3)) for s, p in by.items()]
+            by: dict[int, list[bytes]] = {}
+            for w in local:
+                by.setdefault(xxhash.xxh64_intdigest(w) % shards, []).append(w)
+            lists = {s: sorted(by[s]) for s in sorted(by)}  # neighbours share their beginnings, which compresses better
+            listed = np.empty(len(local), np.int64)  # a word's place in the lists one after another, by its order of first sight
+            listed[[local[w] for own in lists.values() for w in own]] = np.arange(len(local))
+            top = listed[np.argsort(-np.bincount(seen, minlength=len(local)), kind="stable")[:TWO]]
+            rank = np.empty(len(local), np.int64)
+            rank[_in_order(top, len(local))] = np.arange(len(local))
+            rows = [(name, -1, ids, [len(x) for x in texts], _coded(rank[listed[seen]]), _planes(top))]
+            rows += [(name, s, None, None, None, zstandard.compress(b" ".join(own), 9)) for s, own in lists.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["block", "shard", "ids", "sizes", "places", "words"])  # noqa: B905
 
         for batch, own_texts in text_batches(batches):
@@ -131,19 +168,15 @@ def _blocks(shards: int, words: int, distinct: int) -> Callable[[Iterator[pa.Rec
 
 
 class BlockWords:
-    """The ids of a block's words: those of word p are flat[starts[p]:ends[p]]."""
-
-    def __init__(self, table: pa.Table) -> None:
-        parts = []
-        for places, reply in zip(table.column("places").to_pylist(), table.column("reply").to_pylist()):  # noqa: B905
-            numbers = np.frombuffer(zstandard.decompress(reply), "<u4")
-            own = _unplaned(places)
-            parts.append((own, numbers[: len(own)], numbers[len(own) :]))
-        places, sizes = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4") for i in (0, 1))
-        self.flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
-        self.sizes, self.starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-        self.sizes[places] = sizes
-        self.starts[places] = np.cumsum(sizes, dtype=np.int64) - sizes
+    """The ids of a block's words: those of the word of rank p are flat[starts[p]:starts[p] + sizes[p]]."""
+
+    def __init__(self, table: pa.Table, top: np.ndarray) -> None:
+        replies = [r for _, r in sorted(zip(table.column("shard").to_pylist(), table.column("reply").to_pylist()))]  # noqa: B905
+        parts = [tuple(map(_unplaned, _parted(r))) for r in replies]
+        sizes, self.flat = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4") for i in (0, 1))
+        order = _in_order(top, len(sizes))
+        self.sizes = sizes[order].astype(np.int64)
+        self.starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
 
     def each(self) -> Iterator[list[int]]:
         """The ids of every word, in the order of places."""
@@ -163,7 +196,7 @@ def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long
            block_words: int = BLOCK_WORDS, block_distinct: int = BLOCK_DISTINCT) -> DataFrame:
     """(id, ids) for each row of docs: the ids of its whole text. Null and empty texts have none; rows that repeat an id stay apart; other columns are not read.
 
-    1. Texts are split into words; a block of documents (bounded in words and distinct words) is written as places in the block's own list of distinct words.
+    1. Texts are split into words; a block of documents (bounded in words and distinct words) is written as ranks in the block's own list of distinct words.
     2. The blocks' lists are dealt by the words' hash, so each shard sees every block's copies of its words and encodes each distinct word once.
     3. The words' ids go back to the block, where documents look them up by position.
 
@@ -184,20 +217,19 @@ def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long
             known += encode_words(path, at[k : k + (1 << 14)])
         sizes = np.array([len(x) for x in known], "<u4")
         packed = [np.array(x, "<u4").tobytes() for x in known]
-        out = [zstandard.compress(sizes[x].tobytes() + b"".join([packed[p] for p in x.tolist()]), 3) for x in places]
-        return pa.table({"block": table.column("block"), "places": table.column("places"), "reply": pa.array(out, pa.binary())})
+        out = [_joined([_planes(sizes[x]), _planes(np.frombuffer(b"".join([packed[p] for p in x.tolist()]), "<u4"))]) for x in places]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "reply": pa.array(out, pa.binary())})
 
-    answers = blocks.where("shard >= 0").select("block", "shard", "places", "words").groupBy("shard").applyInArrow(once, "block string, places binary, reply binary")
-    texts = blocks.where("shard < 0").select("block", "ids", "sizes", "places")
+    answers = blocks.where("shard >= 0").select("block", "shard", "words").groupBy("shard").applyInArrow(once, "block string, shard int, reply binary")
+    texts = blocks.where("shard < 0").select("block", "ids", "sizes", "places", F.col("words").alias("top"))
     make = finish or _plain
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = BlockWords(right)
         made = []
-        for ids, sizes, places in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "places"))):  # noqa: B905
-            flat = _unplaned(places).tolist()
+        for ids, sizes, places, top in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "places", "top"))):  # noqa: B905
+            flat = _decoded(places).tolist()
             ends = np.cumsum(sizes).tolist()
-            made.append(make(words, [flat[e - n : e] for e, n in zip(ends, sizes)], ids))  # noqa: B905
+            made.append(make(BlockWords(right, _unplaned(top)), [flat[e - n : e] for e, n in zip(ends, sizes)], ids))  # noqa: B905
         return pa.concat_tables(made)
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, schema)

@@ -102,3 +102,13 @@ def test_moves_and_swaps():
         squares = sum(f * f for f in bins.fill)
         assert bins._improve(0, 1) == (better or bins.fill != [sum(lengths[i] for i in b) for b in items])
         assert sum(f * f for f in bins.fill) >= squares and max(bins.fill) <= 100 and sorted(i for b in bins.items for i in b) == list(range(len(lengths)))
+
+
+def test_codes_of_ranks():
+    from attesta.llm.bpe import ONE, TWO, _coded, _decoded, _joined, _parted, _planes, _unplaned
+
+    rng = np.random.default_rng(4)
+    for numbers in ([], [0], [ONE - 1, ONE, ONE + 255, TWO - 1, TWO, TWO + 70_000, (1 << 31) - 1], rng.zipf(1.3, 5000) % (1 << 31), rng.integers(0, 1 << 20, 3000)):
+        a = np.array(numbers, np.uint32)
+        assert np.array_equal(_decoded(_coded(a)), a) and np.array_equal(_unplaned(_planes(a)), a)
+    assert _parted(_joined([b"", b"a", b"bc"])) == [b"", b"a", b"bc"] and _parted(_joined([])) == []
