@@ -8,6 +8,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,20 @@ GROUP = 16384
 PASSES = 8
 
 
+def packed_ids(raw: bytes) -> bytes:
+    """Little-endian 32-bit ids as compressed planes of bytes, of which the higher are mostly empty."""
+    return zstandard.compress(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked_ids(data: bytes) -> bytes:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes()
+
+
 def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, ids binary): each row's ids, the end id after them, cut into pieces of at most limit. Null text counts as empty."""
+    """(id, piece, start, length, ids_crc32, ids binary): each row's ids, the end id after them, cut into pieces of at most limit. Null text counts as empty.
+
+    ids are packed for the way; pack() gives them back as little-endian unsigned 32-bit numbers.
+    """
 
     def finish(words: BlockWords, places: list[list[int]], doc_ids: list) -> pa.Table:
         of, end, step = words.packed(), np.array([end_id], "<u4").tobytes(), 4 * limit
@@ -30,7 +43,7 @@ def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, path: str
             ids = b"".join([of[p] for p in x]) + end
             for k, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
-                out.append((id_, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                out.append((id_, k, at // 4, len(part) // 4, zlib.crc32(part), packed_ids(part) if with_ids else None))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]  # noqa: B905
         names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -126,7 +139,7 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP) -> DataFrame:
 
     Pieces of the full length are sequences of their own. The others are dealt evenly to groups of a bounded size by a hash of the whole row's key; each group is
     packed by best fit on its own, then searched for swaps. Rows of equal key and length may share a group however many they are: a hash of their
-    place spreads them. Columns sequence_id and offset of the input are replaced.
+    place spreads them. Columns sequence_id and offset of the input are replaced; a column `ids` is unpacked.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
@@ -151,6 +164,8 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP) -> DataFrame:
                 off[own] = np.cumsum(lengths[own]) - lengths[own]
                 k += 1
         seq[whole] = np.arange(k, k + len(whole))
+        if "ids" in names:
+            table = table.set_column(table.column_names.index("ids"), "ids", pa.array([None if x is None else unpacked_ids(x) for x in table.column("ids").to_pylist()], pa.binary()))
         return table.drop_columns(["_g"]).append_column("sequence_id", pa.array(g * (1 << 32) + seq)).append_column("offset", pa.array(off))
 
     schema = ", ".join(f"`{c}` {kind[c]}" for c in names) + ", sequence_id long, offset long"
