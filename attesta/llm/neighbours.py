@@ -79,6 +79,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     Every row is indexed. Rows and queries are cut into blocks of a bounded size and each pair of blocks is one task: the block's rows are hashed into
     the tables, the buckets within the calibrated radius are probed, the tables' candidates merged and scored exactly, and k of each query go on.
+    Queries for which that gives fewer than k, as those far from the dense parts, are asked again without a radius, of all blocks of rows.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -101,14 +102,13 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     share = min(1.0, SAMPLE_ROWS / n)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("vec").limit(SAMPLE_ROWS)
     radius = calibrate(matrix(sample.toArrow().column("vec")), index, k)
-    n_asked = asked.count()
-    row_blocks, query_blocks = max(1, math.ceil(n / ROWS)), max(1, math.ceil(n_asked / QUERIES))
+    row_blocks = max(1, math.ceil(n / ROWS))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         out = df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own))
         return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table, radius: float) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, x = left.column("id").to_numpy(), matrix(left.column("vec"))
@@ -117,7 +117,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
         for at in range(0, len(q), 256):
             own = asking[at : at + 256]
             score = q[at : at + 256] @ x.T
-            score[(index.distances(x, q[at : at + 256]) > radius) | (ids[None, :] == own[:, None])] = -np.inf
+            if radius < np.inf:
+                score[index.distances(x, q[at : at + 256]) > radius] = -np.inf
+            score[ids[None, :] == own[:, None]] = -np.inf
             near = _top(score, 2 * k)  # more than k, so that ties and repeated ids can be settled exactly later
             value = np.take_along_axis(score, near, axis=1)
             edge = value.min(axis=1) if near.shape[1] < len(ids) else np.full(len(own), -np.inf)
@@ -139,12 +141,22 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
         return pa.table({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("query_id", "id", "score"))})
 
     keys = ["rows_in", "queries_in"]
-    pairs = dealt(rows, "rows_in", row_blocks, "queries_in", query_blocks).groupBy(*keys).cogroup(dealt(asked, "queries_in", query_blocks, "rows_in", row_blocks).groupBy(*keys))
-    found = pairs.applyInArrow(run, schema)
-    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")  # the group limit keeps k of each query before the shuffle
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+
+    def nearest(asked: DataFrame, n_asked: int, radius: float) -> DataFrame:
+        query_blocks = max(1, math.ceil(n_asked / QUERIES))
+        pairs = dealt(rows, "rows_in", row_blocks, "queries_in", query_blocks).groupBy(*keys).cogroup(dealt(asked, "queries_in", query_blocks, "rows_in", row_blocks).groupBy(*keys))
+        found = pairs.applyInArrow(lambda left, right: run(left, right, radius), schema)
+        best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    probed = ws.save(nearest(asked, asked.count(), radius), "probed")
+    enough = probed.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = asked.join(enough, "id", "left_anti")
+    n_short = short.count()
+    if not n_short:
+        return probed
+    return probed.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(nearest(short, n_short, math.inf))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,15 @@ def test_few_candidates_and_ties(spark):
     got = [tuple(r) for r in search(df, df.where("vec_id = 20")).select("query_id", "rank", "id", "score").orderBy("rank").collect()]
     assert got == [(20, 1, 3, 2.0), (20, 2, 5, 2.0)]
     assert search(df, df.where(F.lit(False))).count() == 0
+
+
+def test_strays_beside_clusters_find_k(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(20, 16))
+    x = centre[np.arange(4000) % 20] + rng.normal(size=(4000, 16)) * 0.01
+    x[::50] = rng.normal(size=(80, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0, "a", "b") for i, r in enumerate(x)], SCHEMA)
+    got = {}
+    for r in search(df, df.where("vec_id % 25 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert set(got) == set(range(0, 4000, 25)) and all(len(ids) == len(set(ids)) == 20 for ids in got.values())
