@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from .common import Workspace
 
 #: Pieces that one task packs. A group of so many ends with at most a fraction of a bin unfilled.
 GROUP = 16384
-#: Passes of the local search over the bins that are not full.
-PASSES = 8
+#: What one step of the local search looks at: lengths of a source bin, and for each of them and of their sums so many targets that it would fill best, of those with 1, 2 to 3, 4 to 7 ... tokens of room.
+GIVES, TARGETS = 16, 4
 
 
 def packed_ids(raw: bytes) -> bytes:
@@ -57,7 +58,7 @@ class Bins:
     """Bins of one group under the local search. Items are lengths; every change raises the sum of squared fills."""
 
     def __init__(self, lengths: np.ndarray, size: int) -> None:
-        self.size, self.lengths = size, lengths
+        self.size, self.lengths, self.own = size, lengths, lengths.tolist()
         self.items: list[list[int]] = []
         self.fill: list[int] = []
         self._best_fit()
@@ -81,7 +82,7 @@ class Bins:
                 insort(room, (left, b))
 
     def _move(self, b: int, c: int, give: list[int], take: list[int]) -> None:
-        gain = int(self.lengths[give].sum()) - int(self.lengths[take].sum() if take else 0)
+        gain = sum(self.own[i] for i in give) - sum(self.own[i] for i in take)
         for i in give:
             self.items[b].remove(i)
             self.items[c].append(i)
@@ -95,11 +96,11 @@ class Bins:
         """Bring as much as fits from b to the fuller bin c: a document, one for a shorter one, two for a shorter one."""
         room = self.size - self.fill[c]
         best, how = 0, None
-        mine = sorted(self.items[b], key=lambda i: self.lengths[i])
-        theirs = sorted(self.items[c], key=lambda i: self.lengths[i])
-        own = [int(self.lengths[i]) for i in mine]
+        mine = sorted(self.items[b], key=self.own.__getitem__)
+        theirs = sorted(self.items[c], key=self.own.__getitem__)
+        own = [self.own[i] for i in mine]
         for take in [None, *theirs]:
-            given = int(self.lengths[take]) if take is not None else 0
+            given = self.own[take] if take is not None else 0
             k = bisect_left(own, room + given + 1) - 1
             if k >= 0 and own[k] - given > best:
                 best, how = own[k] - given, ([mine[k]], [take] if take is not None else [])
@@ -118,20 +119,61 @@ class Bins:
             self._move(b, c, *how)
         return bool(how)
 
-    def search(self, passes: int = PASSES) -> None:
-        """Empty the least filled bin into fuller ones, then the next, until none can be emptied in a pass."""
-        for _ in range(passes):
-            under = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.size), key=self.fill.__getitem__)
-            total = sum(self.fill[b] for b in under)
-            if len(under) <= math.ceil(total / self.size):  # no search can save a bin
-                return
+    def _spots(self, c: int) -> list[tuple[int, int, int]]:
+        """(what fits if one of its lengths, or none, makes room; c; that length) of a bin that is neither empty nor full."""
+        if not 0 < self.fill[c] < self.size:
+            return []
+        left = self.size - self.fill[c]
+        return [(left + n, c, n) for n in {0, *(self.own[i] for i in self.items[c])}]
+
+    def _level(self, c: int) -> int:
+        return (self.size - self.fill[c]).bit_length()
+
+    def _target(self, b: int, spots: list[list[tuple[int, int, int]]]) -> int | None:
+        """The fuller bin that raises the squared fill most, of the spots that b's lengths and sums of two of them fill best."""
+        mine = sorted(self.own[i] for i in self.items[b])
+        if len(mine) > GIVES:  # evenly over the lengths, with the least and the greatest
+            mine = [mine[k * (len(mine) - 1) // (GIVES - 1)] for k in range(GIVES)]
+        best, target, fill, least = 0, None, self.fill, self.fill[b]
+        for give in {*mine, *(x + y for x, y in combinations(mine, 2))}:
+            for level in spots:
+                at = bisect_left(level, (give,))
+                for _, c, take in level[at : at + TARGETS]:
+                    gain = (give - take) * (fill[c] - least + give - take)
+                    if gain > best and take < give and fill[c] >= least and c != b:
+                        best, target = gain, c
+        return target
+
+    def search(self) -> None:
+        """Empty the least filled bin into fuller ones, then the next, until a pass over all bins that are not full changes nothing or no bin can be saved.
+
+        A bin that is stuck is skipped until the next pass. Work for a step is bounded, passes and bins are not; the sum of squared fills ends them.
+        """
+        used, least = sum(f > 0 for f in self.fill), math.ceil(sum(self.fill) / self.size)
+        spots: list[list[tuple[int, int, int]]] = [[] for _ in range(self.size.bit_length() + 1)]
+        for c in range(len(self.fill)):
+            spots[self._level(c)] += self._spots(c)
+        for level in spots:
+            level.sort()
+        changed = True
+        while changed and used > least:
             changed = False
-            source = under[0]
-            for c in sorted(under[1:], key=lambda c: -self.fill[c]):
-                while self.fill[source] and self.fill[c] < self.size and self.fill[c] >= self.fill[source] and self._improve(source, c):
+            for b in sorted((b for b, f in enumerate(self.fill) if 0 < f < self.size), key=self.fill.__getitem__):
+                while 0 < self.fill[b] < self.size and used > least:
+                    c = self._target(b, spots)
+                    if c is None:
+                        break
+                    for d in (b, c):
+                        level = spots[self._level(d)]
+                        for x in self._spots(d):
+                            del level[bisect_left(level, x)]
+                    self._improve(b, c)
+                    for d in (b, c):
+                        level = spots[self._level(d)]
+                        for x in self._spots(d):
+                            insort(level, x)
+                    used -= not self.fill[b]
                     changed = True
-            if not changed:
-                return
 
 
 def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP) -> DataFrame:

@@ -94,6 +94,19 @@ def test_local_search_saves_bins():
         assert len(full) <= before and sum(f * f for f in bins.fill) >= squares
 
 
+def test_local_search_goes_on_past_stuck_bins():
+    lengths = np.random.default_rng(0).integers(500, 1101, 4096)
+    bins = Bins(lengths, 2048)
+    before = sum(map(bool, bins.items))
+    bins.search()
+    full = [b for b in bins.items if b]
+    assert sorted(i for b in full for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 2048 for b in full)
+    assert bins.fill == [int(lengths[b].sum()) for b in bins.items] and before - len(full) >= 32
+    fill = list(bins.fill)
+    bins.search()  # the last pass changed nothing
+    assert bins.fill == fill
+
+
 def test_moves_and_swaps():
     cases = (([60, 10], [[1], [0]]), ([60, 55], [[0], [1]][::-1]), ([25, 20, 50, 35], [[0, 1], [2, 3]]), ([40, 33, 60], [[0], [1, 2]]))
     for (lengths, items), better in zip(cases, (True, False, True, True), strict=True):
