@@ -18,6 +18,10 @@ LEAST_VALUE = 12
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Rate of changes between character classes that ordinary names and words stay under; the levels of the tests; the false-discovery rate.
 CHANGES, LEVEL, FALSE = 0.15, 3.3, 0.01
+#: The same rate where letters have one case, so that only changes to and from digits count.
+ONE_CASE = 0.05
+#: Rate of changes between vowels and consonants that runs of letters of one case stay over, and their least length: shorter ones count as words.
+SPOKEN, LETTERS = 0.5, 28
 #: Lengths that begin a band; each band has a cut of its own, since short strings give weaker evidence and are far more frequent.
 BANDS = (20, 28, 40, 64)
 #: p-values are counted in bins of a quarter of a natural logarithm.
@@ -59,15 +63,18 @@ def _class(c: Column) -> Column:
 def _tested(span: Column) -> Column:
     """A candidate with its evidence against ordinary text, as a bin of the p-value's logarithm; bin 0 for what a test of randomness rejects.
 
-    The encoding is inferred from the characters: hexadecimal, base 32, or base 64. Then
+    The encoding is inferred from the characters: hexadecimal, letters, base 32 or base 36 in one case, base 62, or base 64. Then
     - chi-squared: the squared counts must not exceed those of uniform characters of that alphabet by LEVEL standard deviations;
     - serial correlation: neighbouring values must not correlate, at the same level;
-    - runs: changes between lower case, upper case, digits and signs, as many as a random string has, must be more than a text's. Its p-value is the
-      bound exp(-n KL(rate, CHANGES)) for n neighbours.
+    - runs: changes between lower case, upper case, digits and signs, as many as a random string has, must be more than a text's; in letters of one case
+      changes between vowels and consonants must be fewer. Its p-value is the bound exp(-n KL(rate, the encoding's rate for texts)) for n neighbours.
     """
     value = F.rtrim(span["value"], F.lit("="))
     n = F.length(value).cast("double")
-    size = F.when(F.rlike(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), 16.0).when(F.rlike(value, F.lit("^[A-Z2-7]+$")), 32.0).otherwise(64.0)
+    size = F.lit(64.0)
+    for k, own in ((62, "[A-Za-z0-9]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (32, "[a-z2-7]+|[A-Z2-7]+"), (26, "[a-z]+|[A-Z]+"), (16, "[0-9a-f]+|[0-9A-F]+")):
+        size = F.when(F.rlike(value, F.lit(f"^({own})$")), float(k)).otherwise(size)
+    letters = size == 26
     chars = F.filter(F.split(value, "", -1), lambda c: c != "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda d: d == c)).cast("double"), F.lit(2.0)))
     chi = squares * size / n - n
@@ -77,12 +84,13 @@ def _tested(span: Column) -> Column:
     spread = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
     behind = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda x, y: (x - mean) * (y - mean))
     serial = F.when(spread > 0, F.abs(F.aggregate(behind, F.lit(0.0), lambda s, x: s + x) / spread) * F.sqrt(n)).otherwise(F.lit(1e9))
-    kinds = F.transform(chars, _class)
+    kinds = F.transform(chars, lambda c: F.when(letters, F.when(F.instr(F.lit("AEIOUaeiou"), c) > 0, 1).otherwise(2)).otherwise(_class(c)))
     changed = F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0))
     rate = F.aggregate(changed, F.lit(0.0), lambda s, x: s + x) / (n - 1)
-    safe = F.least(F.greatest(rate, F.lit(CHANGES)), F.lit(0.999))
-    evidence = (n - 1) * (safe * F.log(safe / CHANGES) + (1 - safe) * F.log((1 - safe) / (1 - CHANGES)))
-    random = (uniform <= LEVEL) & (serial <= LEVEL) & (rate > CHANGES)
+    text = F.when(letters, SPOKEN).when(size <= 36, ONE_CASE).otherwise(CHANGES)
+    safe = F.least(F.greatest(rate, F.lit(0.001)), F.lit(0.999))
+    evidence = (n - 1) * (safe * F.log(safe / text) + (1 - safe) * F.log((1 - safe) / (1 - text)))
+    random = (uniform <= LEVEL) & (serial <= LEVEL) & F.when(letters, (rate < text) & (n >= LETTERS)).otherwise(rate > text)
     bin_ = F.when(random, F.least(F.floor(evidence * BINS), F.lit(LAST_BIN))).otherwise(0).cast("int")
     band = F.lit(0)
     for k, low in enumerate(BANDS[1:], 1):

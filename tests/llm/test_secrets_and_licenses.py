@@ -48,6 +48,18 @@ def test_random_spans_on_many_words(spark):
     assert sum(r.n > r.b for r in got if r.id < len(words)) <= 1 and sum(r.n > 0 for r in got if r.id >= len(words)) >= 97
 
 
+def test_every_encoding_is_found_at_any_length(spark):
+    own, low, up = random.Random(4), string.ascii_lowercase, string.ascii_uppercase
+    alphabets = {"lower 36": low + string.digits, "upper 36": up + string.digits, "upper 32": up + "234567", "lower 32": low + "234567", "upper 16": "0123456789ABCDEF", "62": low + up + string.digits, "64": low + up + string.digits + "+/", "lower": low, "upper": up}
+    made = [(name, n, "".join(own.choice(a) for _ in range(n))) for n in (20, 32, 40, 64, 100) for name, a in alphabets.items() for _ in range(40)]
+    found = {r.id for r in scan(frame(spark, [t for *_, t in made])).where(F.exists("spans", lambda x: x["kind"] == KINDS.index("random"))).select("id").collect()}
+    for n in (20, 32, 40, 64, 100):
+        for name in alphabets:
+            share = sum(i in found for i, (k, m, _) in enumerate(made) if (k, m) == (name, n)) / 40
+            least = {20: 0.0, 32: 0.05, 40: 0.05, 64: 0.25, 100: 0.5}[n] if name in ("lower", "upper") else {20: 0.35, 32: 0.6, 40: 0.75}.get(n, 0.9)
+            assert share >= least, (name, n, share)
+
+
 def test_native(spark):
     plan = scan(frame(spark))._jdf.queryExecution().toString() + redact(frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
