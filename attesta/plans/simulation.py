@@ -10,7 +10,7 @@ from .adapters import Tables, with_views
 from .scenario import PEOPLE_COLUMNS, run_scenario
 
 QUERIES, ORACLE_SQL = {}, {}
-CONFIG = truth.SimulationConfig(periods=2, move=40, cohabit=60, birth=40, divorce=50, leave_home=40)
+CONFIG = truth.SimulationConfig(move=40, cohabit=60, birth=40, divorce=50, leave_home=40)
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -60,11 +60,9 @@ def roommate_groups(t: Tables):  # noqa: ANN201
 
 
 def _scenario(t: Tables, name: str):  # noqa: ANN202
-    from dataclasses import replace
-
     people = t["people"].select(*PEOPLE_COLUMNS, "AddressKey", "ResidenceType")
     book = t["people"].select("AddressKey", F.concat(F.lit("Street "), "AddressKey").alias("StreetName"), "ZipCode")
-    return run_scenario(t["records"], people, replace(scenario(name), periods=2), book)
+    return run_scenario(t["records"], people, scenario(name), book)
 
 
 @query()

@@ -1,5 +1,6 @@
 import datetime as dt
 from dataclasses import replace
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,13 @@ def test_prepared_cache_and_run_folders(spark, tmp_path):
         build_cache({}, folder)
     assert recent_run_folders(str(tmp_path)) == ["cache"] and datasets_of(folder) == []
     assert set_path({"a": {"b": 1}}, "a.c.d", 2) == {"a": {"b": 1, "c": {"d": 2}}}
+
+
+def test_registered_simulations_run_all_periods(spark, monkeypatch):
+    from attesta.plans import simulation
+
+    ran = []
+    monkeypatch.setattr(simulation, "run_scenario", lambda records, people, made, book: ran.append(made))
+    for name in ("single_movers", "three_source_partial_overlap"):
+        simulation._scenario(MagicMock(), name)
+    assert ran == [scenario("single_movers"), scenario("three_source_partial_overlap")] and {r.periods for r in ran} == {12} and simulation.CONFIG.periods == 12
