@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..operators.emission import DatasetSpec
 from ..operators.er import MODES
 from ..operators.noise import DEFAULT_A, DEFAULT_B, NoiseRates
+from ..operators.population import Selection
 from ..operators.truth import SimulationConfig
 from ..operators.validate import Constraints
 
@@ -28,6 +31,15 @@ class Scenario:
     seed: int = 20260303
     periods: int = 12
     limits: Constraints = Constraints()
+    selection: Selection = Selection()
+    #: Sizes and ages of baseline groups of roommates.
+    roommate_size: tuple[int, int] = (3, 5)
+    roommate_age: tuple[int, int] = (18, 30)
+    #: Ids and dates ("start" or "end" of the simulation) of the datasets; by default the first is of the start, the others of the end.
+    names: tuple[str, ...] = ()
+    snapshots: tuple[str, ...] = ()
+    start: dt.date = dt.date(2026, 1, 1)
+    step: str = "monthly"
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -38,14 +50,22 @@ class Scenario:
             raise ValueError("percentages are out of range")
         if len(self.duplicates) != len(self.appear):
             raise ValueError("as many duplicate rates as datasets are needed")
+        if any(x and len(x) != len(self.appear) for x in (self.names, self.snapshots)) or len(set(self.names)) != len(self.names) or set(self.snapshots) - {"start", "end"}:
+            raise ValueError("datasets have one name and one date each, names once")
+        if any(not re.fullmatch(r"[A-Za-z0-9_-]+", n) for n in self.names):
+            raise ValueError("names of datasets are letters, digits, underscores and dashes")
+        if not 2 <= self.roommate_size[0] <= self.roommate_size[1] or not 1 <= self.household_size[0] <= self.household_size[1]:
+            raise ValueError("sizes are out of range")
 
     def simulation(self) -> SimulationConfig:
-        return SimulationConfig(periods=self.periods, seed=self.seed, limits=self.limits, **self.rates)
+        return SimulationConfig(start=self.start, periods=self.periods, step=self.step, seed=self.seed, limits=self.limits, **self.rates)
 
     def datasets(self) -> list[DatasetSpec]:
-        names = ["registry"] if len(self.appear) == 1 else [f"dataset_{chr(97 + i)}" for i in range(len(self.appear))]
-        days = [str(self.simulation().day(0)), str(self.simulation().day(self.periods))]
-        return [DatasetSpec(n, days[min(i, 1)], self.duplicates[i], self.noise[min(i, len(self.noise) - 1)]) for i, n in enumerate(names)]
+        n = len(self.appear)
+        names = self.names or (("registry",) if n == 1 else tuple(f"dataset_{chr(97 + i)}" for i in range(n)))
+        when = self.snapshots or ("start", *["end"] * (n - 1))
+        days = {"start": str(self.simulation().day(0)), "end": str(self.simulation().day(self.periods))}
+        return [DatasetSpec(names[i], days[when[i]], self.duplicates[i], self.noise[min(i, len(self.noise) - 1)]) for i in range(n)]
 
 
 def _b(**more: float) -> tuple[NoiseRates, NoiseRates]:
@@ -54,22 +74,24 @@ def _b(**more: float) -> tuple[NoiseRates, NoiseRates]:
 
 # The scenarios' parameters.
 SCENARIOS = {s.name: s for s in (
-    Scenario("single_movers", "one_to_one", 70, (85, 90), (4, 6), {"move": 12}, _b(zip_error=2)),
-    Scenario("couple_merge", "one_to_many", 65, (80, 90), (3, 12), {"cohabit": 4}, _b(nickname=5), household_size=(1, 10)),
-    Scenario("family_birth", "many_to_one", 72, (88, 86), (10, 4), {"birth": 3.2}, _b(suffix_missing=8)),
-    Scenario("divorce_custody", "many_to_many", 60, (82, 88), (14, 14), {"cohabit": 8, "divorce": 18}, _b(phonetic=2.5, date_swap=2)),
-    Scenario("roommates_split", "one_to_many", 58, (80, 88), (12, 24), {"move": 24, "cohabit": 1.2, "leave_home": 45}, _b(ocr=3), roommate_share=42),
-    Scenario("clean_baseline_linkage", "one_to_one", 92, (96, 97), (1, 2), {"move": 8}),
+    Scenario("single_movers", "one_to_one", 70, (85, 90), (4, 6), {"move": 12}, _b(zip_error=2), seed=20260310),
+    Scenario("couple_merge", "one_to_many", 65, (80, 90), (3, 12), {"cohabit": 4}, _b(nickname=5), household_size=(1, 10), seed=20260311),
+    Scenario("family_birth", "many_to_one", 72, (88, 86), (10, 4), {"birth": 3.2}, _b(suffix_missing=8), seed=20260312),
+    Scenario("divorce_custody", "many_to_many", 60, (82, 88), (14, 14), {"cohabit": 8, "divorce": 18}, _b(phonetic=2.5, date_swap=2), seed=20260313),
+    Scenario("roommates_split", "one_to_many", 58, (80, 88), (12, 24), {"move": 24, "cohabit": 1.2, "leave_home": 45}, _b(ocr=3), roommate_share=42, seed=20260314),
+    Scenario("clean_baseline_linkage", "one_to_one", 92, (96, 97), (1, 2), {"move": 8}, seed=20260410),
     Scenario("high_noise_identity_drift", "one_to_one", 78, (90, 92), (0, 1), {"move": 10}, (
         NoiseRates(typo=1, dob_shift=0.2, ssn_mask=0.5, phone_missing=0.2, address_missing=0.2, middle_missing=10, phonetic=0.5, zip_error=0.2, nickname=1, suffix_missing=0.5),
         NoiseRates(typo=9, dob_shift=3, ssn_mask=6, phone_missing=4, address_missing=3, middle_missing=35, phonetic=8, ocr=8, date_swap=6, zip_error=7, nickname=12, suffix_missing=10),
-    )),
-    Scenario("low_overlap_sparse_coverage", "one_to_one", 22, (58, 52), (1, 2), {"move": 9}),
-    Scenario("asymmetric_source_coverage", "one_to_one", 38, (96, 44), (2, 3), {"move": 9}),
+    ), seed=20260411),
+    Scenario("low_overlap_sparse_coverage", "one_to_one", 22, (58, 52), (1, 2), {"move": 9}, seed=20260413),
+    Scenario("asymmetric_source_coverage", "one_to_one", 38, (96, 44), (2, 3), {"move": 9}, seed=20260414),
     Scenario("high_duplication_dedup", "single_dataset", 100, (100,), (68,), {"move": 6}, (
         NoiseRates(typo=3, dob_shift=1, ssn_mask=3, phone_missing=2, address_missing=1.5, middle_missing=25, phonetic=2, ocr=2, date_swap=1, zip_error=1.5, nickname=4, suffix_missing=2),
-    )),
-    Scenario("three_source_partial_overlap", "one_to_one", 42, (96, 74, 52), (1, 5, 3), {"move": 9}),
+    ), snapshots=("end",), seed=20260412),
+    Scenario("three_source_partial_overlap", "one_to_one", 42, (96, 74, 52), (1, 5, 3), {"move": 9}, (
+        replace(DEFAULT_A, middle_missing=8), replace(DEFAULT_B, middle_missing=18, typo=1.5), replace(DEFAULT_B, middle_missing=16, typo=1, phone_missing=1),
+    ), names=("registry", "claims", "benefits"), seed=20260415),
 )}
 
 
@@ -110,4 +132,6 @@ def patched(base: Scenario, patch: dict[str, Any]) -> Scenario:
     """R-11. A copy with some parameters changed, checked like any other. Unknown names are an error."""
     if unknown := set(patch) - set(base.__dataclass_fields__):
         raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
+    if len(patch.get("appear", base.appear)) != len(base.appear):  # other datasets than those that were named
+        patch = {"names": (), "snapshots": ()} | patch
     return replace(base, **patch)

@@ -121,7 +121,7 @@ def heavy_tail_counts(people: DataFrame, key: str, n_people: int, n_records: int
     """
     if not least * n_people <= n_records <= most * n_people:
         raise ValueError("the number of records can't be reached")
-    ranked = hash_rank(people, key, seed, "records", "_rank").withColumn("_w", F.pow(F.col("_rank") + 1.0, F.lit(-alpha)))
+    ranked = cut_lineage(hash_rank(people, key, seed, "records", "_rank")).withColumn("_w", F.pow(F.col("_rank") + 1.0, F.lit(-alpha)))
     count = lambda s: F.least(F.lit(most), F.lit(least) + F.floor(F.col("_w") * s)).cast("long")
     low, high = 0.0, float(most) * float(max(1, n_people)) ** alpha
     tries = 40
@@ -132,9 +132,9 @@ def heavy_tail_counts(people: DataFrame, key: str, n_people: int, n_records: int
         low, high = (steps[under[-1]] if under else low), (steps[under[-1] + 1] if under and under[-1] < 7 else high if under else steps[0])
     base = ranked.withColumn("records", count(low))
     short = n_records - (base.agg(F.sum("records")).first()[0] or 0)
-    while short > 0:  # one more for those with room, the first ranks first
+    while short > 0:  # one more for those with room, in the order of another hash
         room = hash_rank(base.where(F.col("records") < most), key, seed, "room", "_r").where(F.col("_r") < short).select(key, F.lit(1).alias("_more"))
-        base = base.join(room, key, "left").withColumn("records", F.col("records") + F.coalesce("_more", F.lit(0))).drop("_more")
+        base = cut_lineage(base.join(room, key, "left").withColumn("records", F.col("records") + F.coalesce("_more", F.lit(0))).drop("_more"))
         short = n_records - base.agg(F.sum("records")).first()[0]
     return base.drop("_rank", "_w")
 
@@ -162,22 +162,45 @@ def coverage(people: DataFrame, key: str, n: int, overlap_pct: float, a_pct: flo
     return hash_rank(people, key, seed, "coverage", "_rank").withColumns({"in_a": r < a, "in_b": (r < both) | ((r >= a) & (r < a + b - both))}).drop("_rank")
 
 
-def nway_coverage(people: DataFrame, key: str, n: int, overlap_pct: float, appear_pct: Sequence[float], seed: int) -> DataFrame:
+def nway_coverage(people: DataFrame, key: str, n: int, overlap_pct: float, appear_pct: Sequence[float], seed: int, sizes: Sequence[int] | None = None) -> DataFrame:
     """G-20, W-8. people with in_0, in_1, ...: a common overlap, then each dataset fills up with those assigned least often so far, by hash among equals.
 
-    Datasets are few; each adds one distributed numbering in the order (times assigned, hash).
+    sizes: how many people each dataset takes, by default its percentage of n. Datasets are few; each adds one distributed numbering in the order (times assigned, hash), of
+    keys alone, and is written, so that no round is computed again by the next.
     """
-    sizes = [round(p * n / 100) for p in appear_pct]
+    sizes = [round(p * n / 100) for p in appear_pct] if sizes is None else list(sizes)
     both = min([round(overlap_pct * n / 100), *sizes])
-    out = hash_rank(people, key, seed, "overlap", "_rank").withColumn("_times", F.lit(0))
-    common = F.col("_rank") < both
+    common = F.when(F.col("_rank") < both, F.lit(-1)).otherwise(F.lit(0))
+    out = cut_lineage(hash_rank(people.select(key), key, seed, "overlap", "_rank").select(key, common.alias("_times")))
     for k, size in enumerate(sizes):
-        u = hash_unit(seed, f"fill:{k}", key)
-        step = out.withColumn("_u", u).withColumn("_o", F.when(common, F.lit(-1)).otherwise(F.col("_times")))
-        bucket = (F.col("_o") + 1) * BUCKETS + F.floor(F.col("_u") * (BUCKETS - 1))
-        step = numbered(step, [F.col("_o"), F.col("_u"), F.col(key)], bucket.cast("long"), "_fill")
-        out = step.withColumn(f"in_{k}", F.col("_fill") < size).withColumn("_times", F.col("_times") + F.col(f"in_{k}").cast("int")).drop("_u", "_o", "_fill")
-    return out.drop("_rank", "_times")
+        step = out.withColumn("_u", hash_unit(seed, f"fill:{k}", key))
+        bucket = (F.col("_times") + 1) * BUCKETS + F.floor(F.col("_u") * (BUCKETS - 1))
+        step = numbered(step, [F.col("_times"), F.col("_u"), F.col(key)], bucket.cast("long"), "_fill").withColumn(f"in_{k}", F.col("_fill") < size)
+        again = F.when(F.col("_times") < 0, F.col("_times")).otherwise(F.col("_times") + F.col(f"in_{k}").cast("int"))
+        out = cut_lineage(step.withColumn("_times", again).drop("_u", "_fill"))
+    out = out.drop("_times")
+    return out if people.columns == [key] else people.join(out, key)
+
+
+def group_sizes(targets: DataFrame, keys: Sequence[str], seed: int, salt: str, low: int, high: int, first: int = 0) -> DataFrame:
+    """(keys, g, first, size): groups of `target` places in a row, for each row of targets (keys, target long). Sizes are drawn by hash from low to high; the first has `first`, if that is given.
+
+    What is left at the end is a group if it has `low` places; a single place left over joins the last group if that has room. Sizes become places by sums over blocks of groups,
+    so any number of groups of one key stays distributed.
+    """
+    width = 4096
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("target") / low / width)))
+    numbers = F.explode(F.sequence(F.col("b") * width, F.least((F.col("b") + 1) * width - 1, F.floor(F.col("target") / low).cast("long"))))
+    draw = (F.lit(low) + hash_int(seed, f"{salt}:size", high - low + 1, *keys, "g")).cast("long")
+    spread = targets.where(F.col("target") >= low).withColumn("b", block)
+    drawn = spread.repartition(*keys, "b").withColumn("g", numbers).withColumn("size", F.when(F.col("g") == 0, F.lit(first).cast("long")).otherwise(draw) if first else draw)
+    by = [*keys, "b"]
+    before = F.sum("n").over(Window.partitionBy(*keys or [F.lit(1)]).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = drawn.groupBy(*by).agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    placed = drawn.withColumn("_end", F.sum("size").over(Window.partitionBy(*by).orderBy("g"))).join(sums, by).withColumn("first", F.col("before") + F.col("_end") - F.col("size"))
+    left = F.col("target") - F.col("first") - F.col("size")
+    fitted = F.when((left == 1) & (F.col("size") < high), F.col("size") + 1).when(left < 0, F.col("target") - F.col("first")).otherwise(F.col("size"))
+    return placed.where(F.col("first") < F.col("target")).select(*keys, "g", "first", fitted.alias("size")).where(F.col("size") >= low)
 
 
 def duplication(people: DataFrame, key: str, n: int, duplicate_pct: float, seed: int, forced: Column | None = None, n_forced: int = 0) -> DataFrame:
@@ -186,7 +209,7 @@ def duplication(people: DataFrame, key: str, n: int, duplicate_pct: float, seed:
     Each extra draws the hash rank of a person; draws are counted and joined back, so extras cost rows only for themselves.
     """
     extras = max(0, round(duplicate_pct * n / 100) - n_forced)
-    base = people.withColumn("records", F.lit(1) + (F.when(forced, 1).otherwise(0) if forced is not None else F.lit(0)))
+    base = people.withColumn("records", F.lit(1) + (F.when(forced, 1).otherwise(0) if forced is not None else F.lit(0))).select(*people.columns, "records")
     if not extras or not n:
         return base.withColumn("records", F.col("records").cast("long"))
     spark = people.sparkSession

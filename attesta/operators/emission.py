@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import age_on, concat_nonempty, stable_order
+from ..functions import age_on, concat_nonempty, stable_order, title_case
 from .allocation import duplication, expanded, range_numbered
 from .intervals import asof_address
 from .noise import DEFAULT_A, DEFAULT_B, NoiseRates, apply_noise
@@ -35,14 +35,25 @@ def snapshot(people: DataFrame, residence: DataFrame, book: DataFrame, day: str)
     return rows.withColumns({"Age": F.coalesce(age_on(F.col("DOB"), d), F.col("Age")), "SourceSnapshotDate": d})
 
 
-def emit(snap: DataFrame, members: DataFrame, n_members: int, spec: DatasetSpec, position: int, seed: int) -> DataFrame:
-    """G-22. The dataset's rows: members of the snapshot, as many records each as duplication gives, keyed <dataset>-000000001.. in stable order, with noise and its flags."""
-    counted = duplication(members.select("PersonKey"), "PersonKey", n_members, spec.duplicate_pct, seed)
+def forces_two(mode: str, position: int) -> bool:
+    """Whether people in every dataset have two records at least in the one at this position: the first of many_to_one, the others of one_to_many, all of many_to_many."""
+    return mode == "many_to_many" or mode == ("many_to_one" if position == 0 else "one_to_many")
+
+
+def emit(snap: DataFrame, members: DataFrame, n_members: int, spec: DatasetSpec, position: int, seed: int, nicknames: DataFrame | None = None, n_forced: int = 0) -> DataFrame:
+    """G-22. The dataset's rows: members of the snapshot, as many records each as duplication gives, keyed <dataset>-000000001.. in stable order, with noise and its flags.
+
+    members may have a boolean `forced`, true for n_forced people who get two records at least. nicknames (FormalName, variants array) are what that noise draws from.
+    """
+    forced = F.col("forced") if "forced" in members.columns else None
+    counted = duplication(members, "PersonKey", n_members, spec.duplicate_pct, seed, forced, n_forced)
     keys = expanded(counted, "records").select("PersonKey", "copy")
     placed = range_numbered(keys, [*stable_order(F.col("PersonKey")), F.col("copy")], "_n")
     record = F.concat(F.lit(f"{spec.dataset}-"), F.lpad((F.col("_n") + 1).cast("string"), 9, "0"))
     keyed = placed.select("PersonKey", record.alias("RecordKey"), F.lit(spec.dataset).alias("DatasetId")).join(snap, "PersonKey")
-    noised = apply_noise(keyed, spec.rates(position), seed)
+    if nicknames is not None:
+        keyed = keyed.withColumn("_formal", title_case(F.trim("FirstName"))).join(nicknames.select(F.col("FormalName").alias("_formal"), "variants"), "_formal", "left").drop("_formal")
+    noised = apply_noise(keyed, spec.rates(position), seed, nicknames=nicknames is not None).drop("variants")
     return noised.withColumns({"FullName": concat_nonempty(F.col("FirstName"), F.col("MiddleName"), F.col("LastName")), "SourceSystem": F.lit(spec.dataset)})
 
 

@@ -97,6 +97,15 @@ def match_cardinality(a: DataFrame, b: DataFrame) -> DataFrame:
     return n(a, "na").join(n(b, "nb"), "PersonKey").groupBy(F.concat(side("na"), F.lit("_to_"), side("nb")).alias("cardinality")).agg(F.count("*").alias("people"))
 
 
+def pairwise_cardinality(record_map: DataFrame) -> DataFrame:
+    """A-19 for all pairs of datasets. (a, b, one_to_one, one_to_many, many_to_one, many_to_many, evaluated): people in both by how many records they have on either side."""
+    each = record_counts(record_map).groupBy("PersonKey").agg(F.array_sort(F.collect_list(F.struct("DatasetId", "n"))).alias("ds"))
+    pair = "flatten(transform(ds, (x, i) -> transform(filter(ds, (y, j) -> j > i), y -> struct(x.DatasetId as a, y.DatasetId as b, x.n as na, y.n as nb))))"
+    rows = each.where(F.size("ds") > 1).select(F.explode(F.expr(pair)).alias("p")).select("p.*")
+    kinds = {"one_to_one": "na <= 1 AND nb <= 1", "one_to_many": "na <= 1 AND nb > 1", "many_to_one": "na > 1 AND nb <= 1", "many_to_many": "na > 1 AND nb > 1"}
+    return rows.groupBy("a", "b").agg(*[F.sum(F.expr(c).cast("long")).alias(n) for n, c in kinds.items()], F.count("*").alias("evaluated"))
+
+
 def ambiguity(record_map: DataFrame) -> DataFrame:
     """A-15. For each dataset: rows, ambiguous rows (their record belongs to another person first), people, mean and most records per person.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import concat_nonempty, hash_int, hash_unit, text_or_empty, title_case, years_before
+from .allocation import group_sizes, range_numbered
 
 # Constants of the linear congruences.
 OFFSET_MUL, OFFSET_ADD = 6364136223846793005, 1442695040888963407
@@ -131,25 +133,28 @@ def forced_collisions(people: DataFrame, key: str, bucket: Sequence[str], target
 
     target people are spread over the buckets in proportion; a group's size is drawn by hash of its number. Names come by joining on the leader's key.
     """
-    ranked = people.withColumn("_u", hash_unit(seed, "collision", key))
     share = people.count()
     if not share or target < low:
         return people.withColumn("leader", F.lit(None).cast(people.schema[key].dataType))
-    width = (low + high) // 2
-    by = [F.col(c) for c in bucket]
-    groups = ranked.groupBy(*by).agg(F.count("*").alias("_n"))
-    picked = groups.withColumn("_take", F.floor(F.col("_n") * target / F.lit(share) / width) * width)
-    # members are those with the least hashes; a bucket's cut is a quantile of a uniform hash, found exactly by rank inside finer hash cells
-    cells = ranked.withColumn("_cell", F.floor(F.col("_u") * 4096).cast("long"))
+    by = list(bucket)
+    rows = people.withColumn("_u", hash_unit(seed, "collision", key))
+    # a bucket's members are ranked inside finer hash cells, so that a bucket of any size stays distributed
+    cells = rows.withColumn("_cell", F.floor(F.col("_u") * 4096).cast("long"))
     counts = cells.groupBy(*by, "_cell").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).drop("_c")
     own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_u", key)) - 1
-    placed = cells.withColumn("_own", own).join(offsets, [*bucket, "_cell"]).withColumn("_rank", F.col("_before") + F.col("_own")).join(picked.drop("_n"), list(bucket))
-    member = F.col("_rank") < F.col("_take")
-    placed = placed.withColumn("_group", F.when(member, F.floor(F.col("_rank") / F.lit(width))))
-    leaders = placed.where("_group IS NOT NULL").where((F.col("_rank") % width) == 0).select(*bucket, "_group", F.col(key).alias("leader"))
-    return placed.join(leaders, [*bucket, "_group"], "left").select(*people.columns, "leader")
+    same = [cells[c].eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)]
+    offsets = counts.withColumn("_before", before).select(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(by)], F.col("_cell").alias("_k"), "_before")
+    on = (cells["_cell"] == F.col("_k")) if not same else reduce(lambda x, y: x & y, same, cells["_cell"] == F.col("_k"))
+    ranked = cells.withColumn("_own", own).join(offsets, on).withColumn("_rank", F.col("_before") + F.col("_own"))
+    # null buckets have keys of their own, so that groups join back by equality
+    text = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by]
+    named = F.concat_ws("|", *text) if by else F.lit("")
+    targets = people.groupBy(named.alias("_bucket")).agg(F.floor(F.count("*") * target / F.lit(share)).cast("long").alias("target"))
+    groups = group_sizes(targets, ["_bucket"], seed, "collision", low, high).select("_bucket", "first", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("_rank"))
+    placed = ranked.withColumn("_bucket", named).join(groups, ["_bucket", "_rank"], "left")
+    leaders = placed.where(F.col("_rank") == F.col("first")).select("_bucket", "first", F.col(key).alias("leader"))
+    return placed.join(leaders, ["_bucket", "first"], "left").select(*people.columns, "leader")
 
 
 def collision_metrics(df: DataFrame, name: str) -> DataFrame:
@@ -194,6 +199,49 @@ def synthesised_address(key: Column, seed: int, streets: Sequence[str], places:
     return {"HouseNumber": house, "StreetName": street, "UnitType": kind, "UnitNumber": number, "StreetAddress": concat_nonempty(house, street, kind, number), "City": part(0), "State": part(1), "ZipCode": part(2)}
 
 
+# What addresses are made of where a book says nothing.
+STREETS = ("Main St", "Oak Ave", "Maple Dr", "Cedar Ln", "Pine Rd")
+PLACES = (("Little Rock", "AR", "72201"), ("North Little Rock", "AR", "72114"), ("Conway", "AR", "72032"), ("Benton", "AR", "72015"))
+UNIT_TYPES = ("Apt", "Unit", "Ste")
+
+
+def _pool(book: DataFrame, columns: Sequence[str], defaults: Sequence[Sequence[str]]) -> tuple[DataFrame | None, int]:
+    """Distinct values of the book's columns with dense numbers, or the defaults if there are any; and how many there are."""
+    names = ", ".join(f"`{c}` string" for c in columns)
+    if set(columns) <= set(book.columns):
+        known = book.where(" AND ".join(f"coalesce(trim(`{c}`), '') <> ''" for c in columns)).select(*[F.trim(c).alias(c) for c in columns]).distinct()
+        pool = range_numbered(known, [F.col(c) for c in columns], "_at")
+        if n := pool.count():
+            return pool, n
+    if not defaults:
+        return None, 0
+    rows = [(*v, k) for k, v in enumerate(defaults)]
+    return book.sparkSession.createDataFrame(rows, f"{names}, _at long"), len(rows)
+
+
+def completed_book(keys: DataFrame, book: DataFrame, seed: int) -> DataFrame:
+    """G-16. The book with an address for every key of keys (AddressKey) that it lacks; all parts are columns, and StreetAddress is made where it is missing.
+
+    Each part is drawn by its own hash from the book's own values, or from fixed ones where it has none, by joining on a dense number, so pools of any size stay distributed;
+    one address in five has a unit.
+    """
+    parts = ("HouseNumber", "StreetName", "UnitType", "UnitNumber", "City", "State", "ZipCode")
+    key = F.col("AddressKey")
+    new = keys.where(text_or_empty(key) != "").select("AddressKey").distinct().join(book.select("AddressKey"), "AddressKey", "left_anti")
+    draws = (("base", ("HouseNumber",), ()), ("street", ("StreetName",), [(v,) for v in STREETS]), ("location", ("City", "State", "ZipCode"), PLACES), ("unit-type", ("UnitType",), [(v,) for v in UNIT_TYPES]))
+    for salt, columns, defaults in draws:
+        pool, n = _pool(book, columns, defaults)
+        if pool is None:
+            new = new.withColumn(columns[0], (hash_int(seed, salt, 9800, key) + 100).cast("string"))
+        else:
+            new = new.withColumn("_at", hash_int(seed, salt, n, key)).join(pool, "_at").drop("_at")
+    has = hash_int(seed, "unit-flag", 5, key) == 0
+    new = new.withColumns({"UnitNumber": F.when(has, (hash_int(seed, "unit-num", 999, key) + 1).cast("string")), "UnitType": F.when(has, F.col("UnitType"))})
+    text = lambda df, c: (F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c)
+    both = book.select("AddressKey", *[text(book, c) for c in parts], text(book, "StreetAddress")).unionByName(new.select("AddressKey", *parts, F.lit(None).cast("string").alias("StreetAddress")))
+    return both.withColumn("StreetAddress", F.coalesce("StreetAddress", F.nullif(concat_nonempty(*[F.col(c) for c in ("HouseNumber", "StreetName", "UnitType", "UnitNumber")]), F.lit(""))))
+
+
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
     """U-1. Values, trimmed and in upper case, in the order of their first place; blanks left out."""
     v = F.upper(F.trim(value))

@@ -12,19 +12,18 @@ from ..functions.exprs import OPEN_END
 def asof_address(residence: DataFrame, day, per_person_fallback: bool = False) -> DataFrame:
     """J-4. (PersonKey, AddressKey): the address whose interval holds the day, the latest start winning, then the greater key.
 
-    Only if no person at all has one, the latest start up to the day counts; with per_person_fallback that holds for each person alone. One pass: both picks
-    are aggregates of the same group-by.
+    Only if no person at all has one, the latest start up to the day counts; with per_person_fallback that holds for each person alone. Rows without an address are none.
     """
     d = F.lit(day).cast("date")
     order = F.struct("ResidenceStartDate", "AddressKey")
     active = interval_contains(F.col("ResidenceStartDate"), F.col("ResidenceEndDate"), d)
     begun = F.col("ResidenceStartDate").isNotNull() & (F.col("ResidenceStartDate") <= d)
-    picks = residence.where(begun).groupBy("PersonKey").agg(F.max(F.when(active, order)).alias("a"), F.max(order).alias("b"))
     if per_person_fallback:
+        picks = residence.where(begun).groupBy("PersonKey").agg(F.max(F.when(active, order)).alias("a"), F.max(order).alias("b"))
         return picks.select("PersonKey", F.coalesce("a", "b")["AddressKey"].alias("AddressKey"))
-    some = picks.agg((F.count("a") > 0).alias("some"))
-    both = picks.crossJoin(F.broadcast(some))  # one row
-    return both.select("PersonKey", F.when(F.col("some"), F.col("a")).otherwise(F.col("b"))["AddressKey"].alias("AddressKey")).where("AddressKey IS NOT NULL")
+    known = F.col("AddressKey").isNotNull()
+    some = not residence.where(active & known).select("PersonKey").isEmpty()  # ends at the first row found, so that the pass itself reads active rows alone
+    return residence.where((active if some else begun) & known).groupBy("PersonKey").agg(F.max(order).alias("a")).select("PersonKey", F.col("a.AddressKey").alias("AddressKey"))
 
 
 def household_move_members(moves: DataFrame, memberships: DataFrame) -> DataFrame:

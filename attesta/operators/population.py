@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_int, clip, hash_unit, norm_text, stable_order
-from .allocation import hash_rank
+from .allocation import numbered
 
 # Bases by age bin, with what applies elsewhere, and the weight of the random part.
 PARTNERSHIP = {"age_0_17": 0.08, "age_18_34": 0.72, "age_35_64": 0.56, "age_65_plus": 0.30}
@@ -16,6 +17,8 @@ FERTILITY = {"age_0_17": 0.10, "age_18_34": 0.76, "age_35_64": 0.25, "age_65_plu
 PARTNERSHIP_ELSE, FERTILITY_ELSE, MOBILITY_ELSE = 0.45, 0.30, 0.10
 WIDTHS = {"Mobility": 0.08, "Partnership": 0.30, "Fertility": 0.30}
 BUCKETS = {"Mobility": (0.09, 0.18), "Partnership": (0.33, 0.66), "Fertility": (0.33, 0.66)}
+#: Buckets of the hash by which a sample's rows are counted.
+BUCKETS_OF_SAMPLE = 4096
 MOBILITY_DEFAULTS = {"age_0_17": 0.10, "age_18_34": 0.20, "age_35_64": 0.09, "age_65_plus": 0.06}
 
 
@@ -68,11 +71,11 @@ def bucketize(score: Column, low: float, high: float) -> Column:
     return F.when(score <= low, "low").when(score >= high, "high").otherwise("medium")
 
 
-def latent_traits(view: DataFrame, seed: int, mobility: Mapping[str, float] = MOBILITY_DEFAULTS) -> DataFrame:
-    """P-3. Mobility, partnership and fertility scores, six digits, half to even, with buckets. Age bins match in any case."""
+def latent_traits(view: DataFrame, seed: int, mobility: Mapping[str, float] = MOBILITY_DEFAULTS, cuts: Mapping[str, tuple[float, float]] = BUCKETS) -> DataFrame:
+    """P-3. Mobility, partnership and fertility scores, six digits, half to even, with buckets by the cuts. Age bins match in any case."""
     bases = {"Mobility": _by_bin(mobility, MOBILITY_ELSE), "Partnership": _by_bin(PARTNERSHIP, PARTNERSHIP_ELSE), "Fertility": _by_bin(FERTILITY, FERTILITY_ELSE)}
     scores = {f"{k}PropensityScore": F.bround(clip(b + (hash_unit(seed, k.lower(), "PersonKey") - 0.5) * WIDTHS[k]), 6) for k, b in bases.items()}
-    buckets = {f"{k}PropensityBucket": bucketize(F.col(f"{k}PropensityScore"), *BUCKETS[k]) for k in bases}
+    buckets = {f"{k}PropensityBucket": bucketize(F.col(f"{k}PropensityScore"), *cuts[k]) for k in bases}
     return view.withColumns(scores).withColumns(buckets)
 
 
@@ -81,6 +84,53 @@ def category_filter(column: str, values: Sequence[str]) -> Column:
     return norm_text(F.col(column)).isin([v.strip().lower() for v in values]) if values else F.lit(True)
 
 
+@dataclass(frozen=True)
+class Selection:
+    """V-6. What a scenario selects: a sample of those that pass all filters, and the cuts of the score buckets. Empty filters let everybody pass."""
+
+    mode: str = "pct"
+    value: float = 100.0
+    age_bins: tuple[str, ...] = ()
+    genders: tuple[str, ...] = ()
+    ethnicities: tuple[str, ...] = ()
+    residence_types: tuple[str, ...] = ()
+    redundancy_profiles: tuple[str, ...] = ()
+    mobility_buckets: tuple[str, ...] = ()
+    mobility_cuts: tuple[float, float] = BUCKETS["Mobility"]
+    trait_cuts: tuple[float, float] = BUCKETS["Partnership"]
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("all", "count", "pct"):
+            raise ValueError(f"unknown sample mode {self.mode!r}")
+        if self.value < 0 or (self.mode == "count" and int(self.value) != self.value) or (self.mode == "pct" and self.value > 100):
+            raise ValueError("a sample is a whole number of people or a percentage")
+        for low, high in (self.mobility_cuts, self.trait_cuts):
+            if not 0 <= low <= high <= 1:
+                raise ValueError("cuts rise from 0 to 1")
+        if bad := set(self.redundancy_profiles) - {"single_record", "multi_record"}:
+            raise ValueError(f"unknown redundancy profiles: {', '.join(sorted(bad))}")
+        if bad := {b.lower() for b in self.mobility_buckets} - {"low", "medium", "high"}:
+            raise ValueError(f"unknown buckets: {', '.join(sorted(bad))}")
+
+    @property
+    def cuts(self) -> dict[str, tuple[float, float]]:
+        return {"Mobility": self.mobility_cuts, "Partnership": self.trait_cuts, "Fertility": self.trait_cuts}
+
+    def stages(self) -> list[tuple[str, Column]]:
+        """The filters in their order."""
+        columns = {
+            "age_bins": ("AgeBin", self.age_bins), "genders": ("Gender", self.genders), "ethnicities": ("Ethnicity", self.ethnicities), "residence_types": ("ResidenceType", self.residence_types),
+            "redundancy_profiles": ("RedundancyProfile", self.redundancy_profiles), "mobility_propensity_buckets": ("MobilityPropensityBucket", self.mobility_buckets),
+        }
+        return [(name, category_filter(c, v)) for name, (c, v) in columns.items()]
+
+
+def select_people(records: DataFrame, selection: Selection, seed: int, mobility: Mapping[str, float] = MOBILITY_DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Selected people with their traits, and (stage, position, remaining) of the filters."""
+    passed, counts = filter_cascade(latent_traits(entity_view(records), seed, mobility, selection.cuts), selection.stages())
+    return exact_sample(passed, "PersonKey", selection.mode, selection.value, seed), counts
+
+
 def filter_cascade(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """F-2. What passes all stages, and (stage, position, remaining) with counts after each, from one scan."""
     so_far, sums = F.lit(True), [F.count("*").alias("s0")]
@@ -104,11 +154,28 @@ def sample_size(n: int, mode: str, value: float) -> int:
 
 
 def exact_sample(df: DataFrame, key: str, mode: str, value: float, seed: int, salt: str = "sample") -> DataFrame:
-    """F-3, F-4. Exactly so many rows, those with the least hashes. Ranks are made bucket by bucket of the hash, so samples of any size stay distributed."""
+    """F-3, F-4. Exactly so many rows, those with the least hashes.
+
+    Rows are counted by hash bucket; a filter keeps the buckets below the one where the count is reached, and only that one is ranked. So no row of the sample is shuffled but a
+    few thousandths of all.
+    """
     if mode == "all":
         return df
-    take = int(value) if mode == "count" else sample_size(df.count(), mode, value)
-    return hash_rank(df, key, seed, salt, "_rank").where(F.col("_rank") < take).drop("_rank")
+    u = hash_unit(seed, salt, key)
+    rows = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * (BUCKETS_OF_SAMPLE - 1)).cast("long"))
+    counts = sorted((r["_b"], r["n"]) for r in rows.groupBy("_b").agg(F.count("*").alias("n")).collect())  # as many rows as there are buckets
+    left, below = sample_size(sum(c for _, c in counts), mode, value), -1
+    for b, c in counts:
+        if c > left:
+            break
+        below, left = b, left - c
+    whole = rows.where(F.col("_b") <= below)
+    if left <= 0:
+        return whole.drop("_u", "_b")
+    edge = next(b for b, _ in counts if b > below)
+    fine = F.floor((F.col("_u") * (BUCKETS_OF_SAMPLE - 1) - edge) * BUCKETS_OF_SAMPLE).cast("long")
+    part = numbered(rows.where(F.col("_b") == edge), [F.col("_u"), F.col(key)], fine, "_rank").where(F.col("_rank") < left).drop("_rank")
+    return whole.unionByName(part).drop("_u", "_b")
 
 
 def selection_checksum(df: DataFrame, key: str = "PersonKey") -> DataFrame:

@@ -85,6 +85,7 @@ def event_median_age(events: DataFrame, people: DataFrame, end: str, least: int
     return rows.groupBy("EventType").agg(F.count("*").alias("n"), F.median("Age").alias("median_age")).where(F.col("n") >= least)
 
 
+# Ratings by score.
 RATINGS = ("VERY EASY", "EASY", "MEDIUM", "HARD", "VERY HARD")
 
 

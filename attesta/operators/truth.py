@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clip, hash_int, hash_unit, text_or_empty
-from ..sources.checkpoints import cut_lineage
-from .allocation import hash_rank, range_numbered
+from ..sources.checkpoints import Workspace
+from .allocation import group_sizes, hash_rank, range_numbered
 from .intervals import closed_history
 from .validate import COHABIT_MODES, CUSTODY_MODES, EVENT_COLUMNS, Constraints
 
@@ -55,164 +56,200 @@ def step_rate(annual_pct: float, step: str = "monthly") -> float:
     return p if p in (0.0, 1.0) else 1 - (1 - p) ** (1 / (12 if step == "monthly" else 365))
 
 
+#: What a row knows of its partner, so that whatever a couple does is decided in either row without a join.
+TRAITS = ("Gender", "Age", "Partnership", "Mobility", "Fertility")
+OWN = ("PersonKey", "HouseholdKey", "AddressKey", "HouseholdType", "Role", "Partner", "Gender", "Age", "LastName", "Ethnicity", "Mobility", "Partnership", "Fertility")
+_KINDS = {"Gender": "string", "Age": "int", "Partnership": "double", "Mobility": "double", "Fertility": "double"}
+_EVENT = "struct<" + ",".join(f"{c}:{'date' if c == 'EventDate' else 'string'}" for c in EVENT_COLUMNS if c != "EventKey") + ",phase:int>"
+
+
 def initial_state(people: DataFrame) -> DataFrame:
     """T-7. A household of its own for each person of (PersonKey, Gender, Age, LastName, Ethnicity, AddressKey, ResidenceType, *PropensityScore)."""
     kind = F.lower(text_or_empty(F.col("ResidenceType")))
     return people.select(
         "PersonKey", F.concat(F.lit("HH_BASE_"), "PersonKey").alias("HouseholdKey"), "AddressKey", F.when(kind == "", "solo").otherwise(F.concat(F.lit("solo_"), kind)).alias("HouseholdType"), F.lit("HEAD").alias("Role"),
-        F.lit(None).cast("string").alias("Partner"), "Gender", F.col("Age").cast("int").alias("Age"), "LastName", "Ethnicity", *[F.coalesce(F.col(f"{s}PropensityScore"), F.lit(d)).alias(s) for s, d in (("Mobility", 0.1), ("Partnership", 0.45), ("Fertility", 0.3))],
-        F.lit(False).alias("locked"),
+        F.lit(None).cast("string").alias("Partner"), "Gender", F.col("Age").cast("int").alias("Age"), "LastName", "Ethnicity",
+        *[F.coalesce(F.col(f"{s}PropensityScore").cast("double"), F.lit(d)).alias(s) for s, d in (("Mobility", 0.1), ("Partnership", 0.45), ("Fertility", 0.3))],
+        *[F.lit(None).cast(_KINDS[t]).alias(f"p{t}") for t in TRAITS],
     )
 
 
-CHANGES = ["PersonKey", "n_household", "n_address", "n_type", "n_role", "n_partner", "n_single"]
-
-
-def _applied(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state after changes: nulls keep what is; n_single ends a couple; everyone changed is locked for the step."""
-    rows = state.join(changes.withColumn("_hit", F.lit(True)), "PersonKey", "left")
-    new = lambda c, n: F.coalesce(F.col(n), F.col(c)).alias(c)
-    partner = F.when(F.col("n_single"), F.lit(None).cast("string")).otherwise(F.coalesce("n_partner", "Partner")).alias("Partner")
-    swapped = {"HouseholdKey": new("HouseholdKey", "n_household"), "AddressKey": new("AddressKey", "n_address"), "HouseholdType": new("HouseholdType", "n_type"), "Role": new("Role", "n_role"), "Partner": partner, "locked": (F.col("locked") | F.coalesce("_hit", F.lit(False))).alias("locked")}
-    return rows.select(*[swapped.get(c, F.col(c)) for c in state.columns])
+def begun(state: DataFrame) -> DataFrame:
+    """The state at the start of a step: nobody is locked or changed, nothing has happened."""
+    return state.withColumns({"locked": F.lit(False), "touched": F.lit(False), "event": F.lit(None).cast(_EVENT)})
 
 
-def _change(person: Column, household=None, address=None, kind=None, role=None, partner=None, single=False) -> list[Column]:  # noqa: ANN001
-    text = lambda c, n: (F.lit(None).cast("string") if c is None else c).alias(n)
-    return [person.alias("PersonKey"), text(household, "n_household"), text(address, "n_address"), text(kind, "n_type"), text(role, "n_role"), text(partner, "n_partner"), F.lit(single).alias("n_single")]
-
-
-def _event(day: dt.date, kind: str, **values: Column) -> list[Column]:
+def _event(day: dt.date, phase: int, kind: str, **values: Column) -> Column:
     given = {"EventType": F.lit(kind), "EventDate": F.lit(day)} | values
-    return [given[c].alias(c) if c in given else F.lit(None).cast("string").alias(c) for c in EVENT_COLUMNS if c != "EventKey"]
+    return F.struct(*[(given[c] if c in given else F.lit(None).cast("string")).alias(c) for c in EVENT_COLUMNS if c != "EventKey"], F.lit(phase).alias("phase")).cast(_EVENT)
 
 
-def _couples(state: DataFrame) -> DataFrame:
-    """Couples once each, with both unlocked."""
-    free = state.where("NOT locked")
-    a = free.where("Partner IS NOT NULL AND PersonKey < Partner").select(F.col("PersonKey").alias("A"), F.col("Partner").alias("B"), F.col("Partnership").alias("pa"), F.col("Mobility").alias("ma"), F.col("HouseholdKey").alias("ha"), F.col("AddressKey").alias("aa"))
-    b = free.select(F.col("PersonKey").alias("B"), F.col("Partner").alias("_back"), F.col("Partnership").alias("pb"), F.col("Mobility").alias("mb"), F.col("HouseholdKey").alias("hb"))
-    return a.join(b, "B").where("_back = A")
+def _changed(rows: DataFrame, hit: Column, values: dict[str, Column], says: Column | None = None, event: Column | None = None) -> DataFrame:
+    """rows with new values where hit, which locks; the event is told by the rows where `says` holds."""
+    out = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    if event is not None:
+        out = out.withColumn("event", F.when(F.col("_hit") & says, event).otherwise(F.col("event")))
+    new = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
+    return out.withColumns(new | {"locked": F.col("locked") | F.col("_hit"), "touched": F.col("touched") | F.col("_hit")}).drop("_hit")
 
 
 def _new_key(prefix: str, i: int, phase: str, key: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_SIM_{i:04d}{phase}_"), key)
 
 
-def _divorce(state: DataFrame, cfg: SimulationConfig, i: int, day: dt.date):  # noqa: ANN202
-    p = clip(F.lit(cfg.rate(cfg.divorce)) * (0.7 + 1 - (F.col("pa") + F.col("pb")) / 2))
-    hit = _couples(state).where(hash_unit(cfg.seed, f"divorce:{i}", "A") < p)
-    home, address = _new_key("HH", i, "D", F.col("B")), _new_key("ADDR", i, "D", F.col("B"))
-    changes = hit.select(*_change(F.col("A"), single=True)).unionAll(hit.select(*_change(F.col("B"), home, address, F.lit("post_divorce"), F.lit("HEAD"), single=True)))
-    mode = F.element_at(F.array(*map(F.lit, CUSTODY_MODES)), (hash_int(cfg.seed, f"custody:{i}", len(CUSTODY_MODES), "A") + 1).cast("int"))
-    return changes, hit.select(*_event(day, "DIVORCE", PersonKeyA=F.col("A"), PersonKeyB=F.col("B"), NewHouseholdKey=home, FromAddressKey=F.col("aa"), ToAddressKey=address, CustodyMode=mode)), None
+_none = lambda t: F.lit(None).cast(t)
+
+
+def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+    """T-1. Couples part; the second by key leaves for a new household and address."""
+    a, b, first = F.least("PersonKey", "Partner"), F.greatest("PersonKey", "Partner"), F.col("PersonKey") < F.col("Partner")
+    p = clip(F.lit(cfg.rate(cfg.divorce)) * (1.7 - (F.col("Partnership") + F.col("pPartnership")) / 2))
+    hit = ~F.col("locked") & F.col("Partner").isNotNull() & (hash_unit(cfg.seed, f"divorce:{i}", a) < p)
+    home, address = _new_key("HH", i, "D", b), _new_key("ADDR", i, "D", b)
+    mode = F.element_at(F.array(*map(F.lit, CUSTODY_MODES)), (hash_int(cfg.seed, f"custody:{i}", len(CUSTODY_MODES), a) + 1).cast("int"))
+    event = _event(day, 0, "DIVORCE", PersonKeyA=a, PersonKeyB=b, NewHouseholdKey=home, FromAddressKey=F.col("AddressKey"), ToAddressKey=address, CustodyMode=mode)
+    moved = {"HouseholdKey": home, "AddressKey": address, "HouseholdType": F.lit("post_divorce"), "Role": F.lit("HEAD")}
+    alone = {"Partner": _none("string")} | {f"p{t}": _none(_KINDS[t]) for t in TRAITS}
+    return _changed(rows, hit, {c: F.when(first, F.col(c)).otherwise(v) for c, v in moved.items()} | alone, first, event)
 
 
-def _cohabit(state: DataFrame, cfg: SimulationConfig, i: int, day: dt.date):  # noqa: ANN202
+def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+    """T-2, J-16, J-17. Free people of age are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
     least = 0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age
-    free = state.where(~F.col("locked") & F.col("Partner").isNull() & (F.coalesce("Age", F.lit(0)) >= least))
-    ranked = hash_rank(free.select("PersonKey", "Age", "Partnership", "AddressKey"), "PersonKey", cfg.seed, f"pair:{i}", "rn").withColumn("pair", F.floor(F.col("rn") / 2))
-    side = lambda odd, n: ranked.where(F.col("rn") % 2 == odd).select("pair", *[F.col(c).alias(f"{c}{n}") for c in ("PersonKey", "Age", "Partnership", "AddressKey")])
-    pairs = side(0, "A").join(side(1, "B"), "pair")
+    free = rows.where(~F.col("locked") & F.col("Partner").isNull() & (F.coalesce("Age", F.lit(0)) >= least)).select("PersonKey", "AddressKey", *TRAITS)
+    ranked = hash_rank(free, "PersonKey", cfg.seed, f"pair:{i}", "_rn")
+    one = F.struct("PersonKey", "AddressKey", *TRAITS)
+    side = lambda odd: F.max(F.when(F.col("_rn") % 2 == odd, one))
+    pairs = ranked.groupBy(F.floor(F.col("_rn") / 2).alias("pair")).agg(side(0).alias("a"), side(1).alias("b")).where("b IS NOT NULL")
     if cfg.limits.gap is not None:
-        pairs = pairs.where(F.coalesce(F.abs(F.col("AgeA") - F.col("AgeB")) <= cfg.limits.gap, F.lit(True)))
-    p = clip(F.lit(cfg.rate(cfg.cohabit)) * (0.5 + (F.col("PartnershipA") + F.col("PartnershipB")) / 2))
-    mode = F.element_at(F.array(*map(F.lit, COHABIT_MODES)), (hash_int(cfg.seed, f"cohabit:mode:{i}", 3, "PersonKeyA") + 1).cast("int"))
-    hit = pairs.where(hash_unit(cfg.seed, f"cohabit:{i}", "PersonKeyA") < p).withColumn("mode", mode)
-    home, fresh = _new_key("HH", i, "C", F.col("PersonKeyA")), _new_key("ADDR", i, "C", F.col("PersonKeyA"))
-    address = F.when(F.col("mode") == "move_to_A", F.col("AddressKeyA")).when(F.col("mode") == "move_to_B", F.col("AddressKeyB")).otherwise(fresh)
-    part = lambda own, other, role: hit.select(*_change(F.col(own), home, address, F.lit("couple"), F.lit(role), F.col(other)))
-    changes = part("PersonKeyA", "PersonKeyB", "HEAD").unionAll(part("PersonKeyB", "PersonKeyA", "SPOUSE"))
-    return changes, hit.select(*_event(day, "COHABIT", PersonKeyA=F.col("PersonKeyA"), PersonKeyB=F.col("PersonKeyB"), NewHouseholdKey=home, CohabitMode=F.col("mode"), ToAddressKey=address)), None
-
-
-def _birth(state: DataFrame, cfg: SimulationConfig, i: int, day: dt.date):  # noqa: ANN202
-    g = F.lower(text_or_empty(F.col("Gender")))
-    able = state.where(~F.col("locked") & g.isin("female", "") & F.col("Age").between(cfg.limits.fertility_age_min, cfg.limits.fertility_age_max))
-    hit = able.where(hash_unit(cfg.seed, f"birth:{i}", "PersonKey") < clip(F.lit(cfg.rate(cfg.birth)) * (0.4 + F.col("Fertility"))))
+        pairs = pairs.where(F.coalesce(F.abs(F.col("a.Age") - F.col("b.Age")) <= cfg.limits.gap, F.lit(True)))
+    key = F.col("a.PersonKey")
+    p = clip(F.lit(cfg.rate(cfg.cohabit)) * (0.5 + (F.col("a.Partnership") + F.col("b.Partnership")) / 2))
+    mode = F.element_at(F.array(*map(F.lit, COHABIT_MODES)), (hash_int(cfg.seed, f"cohabit:mode:{i}", 3, key) + 1).cast("int"))
+    fresh, filled = _new_key("ADDR", i, "C", key), lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    address = F.coalesce(F.when(F.col("mode") == "move_to_A", filled("a.AddressKey")).when(F.col("mode") == "move_to_B", filled("b.AddressKey")), fresh)
+    hit = pairs.where(hash_unit(cfg.seed, f"cohabit:{i}", key) < p).withColumn("mode", mode).withColumns({"home": _new_key("HH", i, "C", key), "to": address})
+    event = _event(day, 1, "COHABIT", PersonKeyA=key, PersonKeyB=F.col("b.PersonKey"), NewHouseholdKey=F.col("home"), CohabitMode=F.col("mode"), ToAddressKey=F.col("to"))
+    part = lambda own, other, role, told: F.struct(F.col(f"{own}.PersonKey").alias("PersonKey"), F.col(other).alias("_other"), F.lit(role).alias("_role"), "home", "to", told.alias("_event"))
+    couples = hit.select(F.explode(F.array(part("a", "b", "HEAD", event), part("b", "a", "SPOUSE", _none(_EVENT)))).alias("c")).select("c.*")
+    joined = rows.join(couples, "PersonKey", "left")
+    values = {"HouseholdKey": F.col("home"), "AddressKey": F.col("to"), "HouseholdType": F.lit("couple"), "Role": F.col("_role"), "Partner": F.col("_other.PersonKey")} | {f"p{t}": F.col(f"_other.{t}") for t in TRAITS}
+    return _changed(joined, F.col("home").isNotNull(), values, F.col("_event").isNotNull(), F.col("_event")).select(rows.columns)
+
+
+def _birth(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+    """T-3. Women of the right age, or of unknown gender, bear children; of a couple only one does in a step, the first by key. Both parents are locked."""
+
+    def bears(key: str, trait: str) -> Column:
+        gender = F.lower(text_or_empty(F.col(f"{trait}Gender")))
+        able = ~F.col("locked") & gender.isin("female", "f", "") & F.col(f"{trait}Age").between(cfg.limits.fertility_age_min, cfg.limits.fertility_age_max)
+        return F.col(key).isNotNull() & F.coalesce(able, F.lit(False)) & (hash_unit(cfg.seed, f"birth:{i}", key) < clip(F.lit(cfg.rate(cfg.birth)) * (0.4 + F.col(f"{trait}Fertility"))))
+
+    both = rows.withColumns({"_own": F.coalesce(bears("PersonKey", ""), F.lit(False)), "_other": F.coalesce(bears("Partner", "p"), F.lit(False))})
+    own = F.col("_own") & ~(F.col("_other") & (F.col("Partner") < F.col("PersonKey")))
     child = F.concat(F.lit(f"P_CHILD_{i:04d}_"), "PersonKey")
-    one = hit.select(F.col("PersonKey").alias("p")).unionAll(hit.where("Partner IS NOT NULL").select(F.col("Partner").alias("p"))).distinct()
-    born = hit.select(
-        child.alias("PersonKey"), "HouseholdKey", "AddressKey", "HouseholdType", F.lit("CHILD").alias("Role"), F.lit(None).cast("string").alias("Partner"), F.when(hash_unit(cfg.seed, f"child:{i}", "PersonKey") < 0.5, "female").otherwise("male").alias("Gender"),
-        F.lit(0).alias("Age"), "LastName", "Ethnicity", F.lit(0.25).alias("Mobility"), F.lit(0.05).alias("Partnership"), F.lit(0.05).alias("Fertility"), F.lit(True).alias("locked"),
-    )
-    return one.select(*_change(F.col("p"))), hit.select(*_event(day, "BIRTH", Parent1PersonKey=F.col("PersonKey"), Parent2PersonKey=F.col("Partner"), ChildPersonKey=child, SubjectHouseholdKey=F.col("HouseholdKey"))), born
-
+    event = _event(day, 2, "BIRTH", Parent1PersonKey=F.col("PersonKey"), Parent2PersonKey=F.col("Partner"), ChildPersonKey=child, SubjectHouseholdKey=F.col("HouseholdKey"))
+    out = _changed(both.withColumn("_own", own), F.col("_own") | F.col("_other"), {}, F.col("_own"), event)
+    given = {
+        "PersonKey": child, "Role": F.lit("CHILD"), "Partner": _none("string"), "Gender": F.when(hash_unit(cfg.seed, f"child:{i}", "PersonKey") < 0.5, "female").otherwise("male"), "Age": F.lit(0), "Mobility": F.lit(0.25),
+        "Partnership": F.lit(0.05), "Fertility": F.lit(0.05), "locked": F.lit(True), "touched": F.lit(True), "event": _none(_EVENT),
+    } | {f"p{t}": _none(_KINDS[t]) for t in TRAITS}
+    person, born = F.struct(*rows.columns), F.struct(*[given.get(c, F.col(c)).alias(c) for c in rows.columns])
+    family = F.when(F.col("_own"), F.array(person, born)).otherwise(F.array(person))
+    return out.select(F.explode(family).alias("r")).select("r.*")
+
+
+def _leave_home(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+    """T-4. Single people of 18 to 30 leave a household that has others for one of their own; the last one stays."""
+    home = Window.partitionBy("HouseholdKey")
+    wants = ~F.col("locked") & F.col("Partner").isNull() & F.col("Age").between(18, 30) & (hash_unit(cfg.seed, f"leave:{i}", "PersonKey") < cfg.rate(cfg.leave_home))
+    asked = rows.withColumn("_wants", F.coalesce(wants, F.lit(False)))
+    turn = F.row_number().over(home.orderBy(F.desc("_wants"), hash_unit(cfg.seed, f"leave:turn:{i}", "PersonKey"), "PersonKey"))
+    out = asked.withColumns({"_size": F.count("*").over(home), "_turn": turn})
+    key, address = _new_key("HH", i, "L", F.col("PersonKey")), _new_key("ADDR", i, "L", F.col("PersonKey"))
+    event = _event(day, 3, "LEAVE_HOME", ChildPersonKey=F.col("PersonKey"), SubjectPersonKey=F.col("PersonKey"), FromAddressKey=F.col("AddressKey"), ToAddressKey=address, NewHouseholdKey=key)
+    values = {"HouseholdKey": key, "AddressKey": address, "HouseholdType": F.lit("solo"), "Role": F.lit("HEAD")}
+    return _changed(out, F.col("_wants") & (F.col("_size") > F.col("_turn")), values, F.lit(True), event).drop("_wants", "_size", "_turn")
+
+
+def _move(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+    """T-5. Households of couples move as a whole; people who live alone move by themselves. Others stay."""
+    base, home = F.lit(cfg.rate(cfg.move)), Window.partitionBy("HouseholdKey")
+    first = ~F.col("locked") & (F.col("PersonKey") < F.col("Partner"))
+    couple = first & (hash_unit(cfg.seed, f"move:couple:{i}", "PersonKey") < clip(base * (0.5 + (F.col("Mobility") + F.col("pMobility")) / 2)))
+    single = ~F.col("locked") & F.col("Partner").isNull() & (hash_unit(cfg.seed, f"move:single:{i}", "PersonKey") < clip(base * (0.5 + F.col("Mobility"))))
+    out = rows.withColumns({"_couple": F.coalesce(couple, F.lit(False)), "_single": F.coalesce(single, F.lit(False))})
+    out = out.withColumns({"_all": F.max("_couple").over(home), "_size": F.count("*").over(home)})
+    to = _new_key("ADDR", i, "M", F.when(F.col("_all"), F.col("HouseholdKey")).otherwise(F.col("PersonKey")))
+    subject = {"SubjectHouseholdKey": F.when(F.col("_couple"), F.col("HouseholdKey")), "SubjectPersonKey": F.when(~F.col("_couple"), F.col("PersonKey"))}
+    event = _event(day, 4, "MOVE", FromAddressKey=F.col("AddressKey"), ToAddressKey=to, **subject)
+    alone = ~F.col("_all") & F.col("_single") & (F.col("_size") == 1)
+    return _changed(out, F.col("_all") | alone, {"AddressKey": to}, F.col("_couple") | alone, event).drop("_couple", "_single", "_all", "_size")
 
-def _leave_home(state: DataFrame, cfg: SimulationConfig, i: int, day: dt.date):  # noqa: ANN202
-    size = state.groupBy("HouseholdKey").agg(F.count("*").alias("size")).where("size > 1")
-    able = state.where("NOT locked AND Partner IS NULL AND Age BETWEEN 18 AND 30").where(hash_unit(cfg.seed, f"leave:{i}", "PersonKey") < cfg.rate(cfg.leave_home)).join(size, "HouseholdKey")
-    turn = F.row_number().over(Window.partitionBy("HouseholdKey").orderBy(hash_unit(cfg.seed, f"leave:turn:{i}", "PersonKey")))
-    hit = able.withColumn("turn", turn).where(F.col("size") - (F.col("turn") - 1) > 1)
-    home, address = _new_key("HH", i, "L", F.col("PersonKey")), _new_key("ADDR", i, "L", F.col("PersonKey"))
-    return hit.select(*_change(F.col("PersonKey"), home, address, F.lit("solo"), F.lit("HEAD"))), hit.select(*_event(day, "LEAVE_HOME", ChildPersonKey=F.col("PersonKey"), SubjectPersonKey=F.col("PersonKey"), FromAddressKey=F.col("AddressKey"), ToAddressKey=address, NewHouseholdKey=home)), None
 
+PHASES = (("divorce", _divorce), ("cohabit", _cohabit), ("birth", _birth), ("leave_home", _leave_home), ("move", _move))
 
-def _move(state: DataFrame, cfg: SimulationConfig, i: int, day: dt.date):  # noqa: ANN202
-    base = F.lit(cfg.rate(cfg.move))
-    homes = _couples(state).where("ha = hb").where(hash_unit(cfg.seed, f"move:couple:{i}", "A") < clip(base * (0.5 + (F.col("ma") + F.col("mb")) / 2))).select(F.col("ha").alias("HouseholdKey"), F.col("aa").alias("old"))
-    to = _new_key("ADDR", i, "M", F.col("HouseholdKey"))
-    members = state.join(homes, "HouseholdKey")
-    size = state.groupBy("HouseholdKey").agg(F.count("*").alias("size")).where("size = 1")
-    alone = state.where("NOT locked AND Partner IS NULL").join(size, "HouseholdKey", "left_semi").where(hash_unit(cfg.seed, f"move:single:{i}", "PersonKey") < clip(base * (0.5 + F.col("Mobility"))))
-    changes = members.select(*_change(F.col("PersonKey"), address=to)).unionAll(alone.select(*_change(F.col("PersonKey"), address=to)))
-    events = homes.select(*_event(day, "MOVE", SubjectHouseholdKey=F.col("HouseholdKey"), FromAddressKey=F.col("old"), ToAddressKey=to)).unionAll(alone.select(*_event(day, "MOVE", SubjectPersonKey=F.col("PersonKey"), FromAddressKey=F.col("AddressKey"), ToAddressKey=to)))
-    return changes, events, None
 
+def stepped(state: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+    """The state after step i, with `touched` for those who changed and `event` for what they tell of it.
 
-PHASES = (("divorce", _divorce), ("cohabit", _cohabit), ("birth", _birth), ("leave_home", _leave_home), ("move", _move))
+    Phases run in order: divorce, cohabit, birth, leave home, move; one whose rate is zero has no plan. Who has changed is locked for later phases, so a row tells of one event at
+    most. Couples decide in their own rows; only pairing strangers and counting households shuffle.
+    """
+    rows = begun(state)
+    for name, phase in PHASES:
+        if cfg.rate(getattr(cfg, name)):
+            rows = phase(rows, cfg, i, cfg.day(i))
+    return rows.drop("locked")
 
 
-def simulate(people: DataFrame, cfg: SimulationConfig) -> dict[str, DataFrame]:
-    """Events, residence_history, memberships, households and the last state.
+def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Events, residence_history, memberships, households and the last state. start: the state to begin with, by default a household for each person.
 
-    Every step runs the phases in order: divorce, cohabit, birth, leave home, move; a phase whose rate is zero has no plan at all. Who has changed in a step is
-    locked for its later phases. The state and the log are written to the shared folder after each step, so plans stay small and lost executors lose nothing.
+    Every step is one table in the shared folder, written once and read by the next one; events and intervals come from all of them. So plans stay small, however many steps
+    there are, and lost executors lose nothing.
     """
-    state = cut_lineage(initial_state(people))
-    log = state.select("PersonKey", F.lit(cfg.start).alias("since"), F.lit(0).alias("seq"), "HouseholdKey", "AddressKey", "HouseholdType", "Role")
-    logs, events = [log], []
+    spark = people.sparkSession
+    ws = Workspace(spark, "truth")
+    first = start if start is not None else initial_state(people)
+    state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)), "step=0").drop("touched", "event")
     for i in range(1, cfg.periods + 1):
-        day, made = cfg.day(i), []
-        state = state.withColumn("locked", F.lit(False))
-        for k, (name, phase) in enumerate(PHASES):
-            if not cfg.rate(getattr(cfg, name)):
-                continue
-            changes, happened, born = phase(state, cfg, i, day)
-            # a person takes part in one change of a phase; births may name a partner twice
-            changes = changes.groupBy("PersonKey").agg(*[F.max(c).alias(c) for c in CHANGES[1:]])
-            state = _applied(state, changes)
-            state = cut_lineage(state.unionByName(born) if born is not None else state)
-            touched = changes.select("PersonKey") if born is None else changes.select("PersonKey").unionByName(born.select("PersonKey"))
-            logs.append(cut_lineage(state.join(touched, "PersonKey", "left_semi").select("PersonKey", F.lit(day).alias("since"), F.lit(i * 10 + k).alias("seq"), "HouseholdKey", "AddressKey", "HouseholdType", "Role")))
-            made.append(cut_lineage(happened.withColumn("_order", F.lit(i * 10 + k))))
-        events += made
-    every = logs[0]
-    for x in logs[1:]:
-        every = every.unionByName(x)
-    residence = closed_history(every.select("PersonKey", "AddressKey", "since", "seq"), "PersonKey", "AddressKey", "since")
-    member = closed_history(every.select("PersonKey", F.struct("HouseholdKey", "Role").alias("h"), "since", "seq"), "PersonKey", "h", "since")
+        if any(cfg.rate(getattr(cfg, name)) for name, _ in PHASES):
+            state = ws.save(stepped(state, cfg, i), f"step={i}").drop("touched", "event")
+    steps = spark.read.schema(T.StructType([*begun(first).drop("locked").schema.fields, T.StructField("step", T.IntegerType())])).parquet(ws.path)
+    days = F.element_at(F.array(*[F.lit(cfg.day(i)) for i in range(cfg.periods + 1)]), F.col("step") + 1)
+    log = steps.where("touched").select("PersonKey", days.alias("since"), "HouseholdKey", "AddressKey", "HouseholdType", "Role", "step")
+    residence = closed_history(log.where("AddressKey IS NOT NULL").select("PersonKey", "AddressKey", "since"), "PersonKey", "AddressKey", "since")
+    member = closed_history(log.select("PersonKey", F.struct("HouseholdKey", "Role").alias("h"), "since"), "PersonKey", "h", "since")
     memberships = member.select("PersonKey", "h.HouseholdKey", F.col("h.Role").alias("HouseholdRole"), F.col("start").alias("MembershipStartDate"), F.col("end").alias("MembershipEndDate"))
-    kinds = every.groupBy("HouseholdKey").agg(F.min_by("HouseholdType", "seq").alias("HouseholdType"))
+    kinds = log.groupBy("HouseholdKey").agg(F.min_by("HouseholdType", F.struct("step", "HouseholdType")).alias("HouseholdType"))
     spans = memberships.groupBy("HouseholdKey").agg(F.min("MembershipStartDate").alias("HouseholdStartDate"), F.when(F.count("*") == F.count("MembershipEndDate"), F.max("MembershipEndDate")).alias("HouseholdEndDate"))
+    told = steps.where("event IS NOT NULL").select("event.*", (F.col("step") * 10 + F.col("event.phase")).alias("_order"))
     return {
-        "events": numbered_events(events, people), "state": state, "memberships": memberships, "households": spans.join(kinds, "HouseholdKey", "left"),
+        "events": numbered_events(told), "state": state, "memberships": memberships, "households": spans.join(kinds, "HouseholdKey", "left"),
         "residence_history": residence.select("PersonKey", "AddressKey", F.col("start").alias("ResidenceStartDate"), F.col("end").alias("ResidenceEndDate")),
     }
 
 
-def numbered_events(parts: list[DataFrame], people: DataFrame) -> DataFrame:
-    """T-9. All events with keys EVT_0000001.. in the order of step, phase and subject."""
-    if not parts:
-        return people.sparkSession.createDataFrame([], ", ".join(f"{c} {'date' if c == 'EventDate' else 'string'}" for c in EVENT_COLUMNS))
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
+def numbered_events(told: DataFrame) -> DataFrame:
+    """T-9. Events with keys EVT_0000001.. in the order of step, phase and subject."""
     subject = F.coalesce("SubjectPersonKey", "SubjectHouseholdKey", "PersonKeyA", "Parent1PersonKey", "ChildPersonKey")
-    out = range_numbered(rows.withColumn("_subject", subject), [F.col("_order"), F.col("_subject")], "_n")
+    out = range_numbered(told.withColumn("_subject", subject), [F.col("_order"), F.col("_subject")], "_n")
     return out.withColumn("EventKey", F.concat(F.lit("EVT_"), F.lpad((F.col("_n") + 1).cast("string"), 7, "0"))).select(*EVENT_COLUMNS)
 
 
+def children(events: DataFrame, state: DataFrame) -> DataFrame:
+    """People born in the simulation: dense numbers in the order of events name them and make their SSN; last name and ethnicity are the parent's."""
+    births = events.where("EventType = 'BIRTH'").select(F.col("ChildPersonKey").alias("PersonKey"), F.col("EventDate").alias("DOB"), "EventKey")
+    n = F.col("_n") + 1
+    pad = lambda c, width: F.lpad(c.cast("string"), width, "0")
+    text = _none("string")
+    named = range_numbered(births, [F.col("EventKey")], "_n").select("PersonKey", "DOB", F.concat(F.lit("Child"), pad(n, 6)).alias("FirstName"), F.concat(F.lit("900-00-"), pad(n % 9000 + 1000, 4)).alias("SSN"))
+    return named.join(state.select("PersonKey", "LastName", "Gender", "Ethnicity"), "PersonKey").select(
+        "PersonKey", "FirstName", text.alias("MiddleName"), "LastName", text.alias("Suffix"), "Gender", "Ethnicity", "DOB", F.lit(0).alias("Age"), "SSN", text.alias("Phone")
+    )
+
+
 def couple_colocation(state: DataFrame) -> DataFrame:
     """T-10. (couples, apart): couples who don't share household and address."""
     other = state.select(F.col("PersonKey").alias("Partner"), F.col("HouseholdKey").alias("h"), F.col("AddressKey").alias("a"))
@@ -221,17 +258,25 @@ def couple_colocation(state: DataFrame) -> DataFrame:
 
 
 def roommates(state: DataFrame, seed: int, share: float, low: int = 3, high: int = 5, age_min: int = 18, age_max: int = 30) -> DataFrame:
-    """T-8. The state with so many percent of those of the right age grouped into shared households of about (low + high) / 2.
+    """T-8. The state with so many percent of those of the right age in shared households of low to high people, in the order of their hashes.
 
-    Groups are runs of the hash order; the first member's address is shared; what is left over joins no group.
+    The first address among the members that is not blank is shared, or a new one; the first member is the head; what is left over joins no group.
     """
+    if not 2 <= low <= high:
+        raise ValueError("groups have two people at least")
     able = state.where(F.col("Age").between(age_min, age_max))
     n = able.count()
-    width = (low + high) // 2
-    take = max(low, round(share * n / 100)) // width * width if n >= low else 0
-    ranked = hash_rank(able.select("PersonKey", "AddressKey"), "PersonKey", seed, "roommates", "rn").where(F.col("rn") < take).withColumn("g", F.floor(F.col("rn") / width).cast("long"))
-    heads = ranked.where(F.col("rn") % width == 0).select("g", F.col("AddressKey").alias("shared"))
-    member = ranked.join(heads, "g")
-    home = F.concat(F.lit("HH_ROOM_BASE_"), F.lpad((F.col("g") + 1).cast("string"), 6, "0"))
-    changes = member.select(*_change(F.col("PersonKey"), home, F.col("shared"), F.lit("roommates"), F.when(F.col("rn") % width == 0, "HEAD").otherwise("ROOMMATE")))
-    return _applied(state, changes).withColumn("locked", F.lit(False))
+    target = min(max(round(share * n / 100), low), n)
+    if share <= 0 or target < low:
+        return state
+    groups = group_sizes(state.sparkSession.range(1).select(F.lit(target).cast("long").alias("target")), [], seed, "roommates", low, high, max(low, 3))
+    places = groups.select("g", "first", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("_rn"))
+    ranked = hash_rank(able.select("PersonKey", "AddressKey"), "PersonKey", seed, "roommates", "_rn").join(places, "_rn")
+    shared = ranked.groupBy("g").agg(F.min_by("AddressKey", F.when(text_or_empty(F.col("AddressKey")) != "", F.col("_rn"))).alias("_to"))
+    number = F.lpad((F.col("g") + 1).cast("string"), 6, "0")
+    member = ranked.join(shared, "g").select(
+        "PersonKey", F.concat(F.lit("HH_ROOM_BASE_"), number).alias("_home"), F.coalesce("_to", F.concat(F.lit("ADDR_ROOM_BASE_"), number)).alias("_to"), F.when(F.col("_rn") == F.col("first"), "HEAD").otherwise("ROOMMATE").alias("_role")
+    )
+    new = {"HouseholdKey": F.col("_home"), "AddressKey": F.col("_to"), "HouseholdType": F.lit("roommates"), "Role": F.col("_role")}
+    rows = state.join(member, "PersonKey", "left")
+    return rows.select(*[F.when(F.col("_home").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in state.columns])

@@ -262,9 +262,13 @@ def optional_fields(t: Tables):  # noqa: ANN201
 
 
 @query(f"""
-WITH u AS (SELECT PersonKey, Ethnicity, row_number() OVER (PARTITION BY Ethnicity ORDER BY {unit_sql(SEED, 'collision', 'PersonKey')}, PersonKey) - 1 AS r, count(*) OVER (PARTITION BY Ethnicity) AS n, count(*) OVER () AS total FROM {{people}}),
-g AS (SELECT *, CASE WHEN r < floor(n * 600 / total / 5) * 5 THEN r // 5 END AS grp FROM u), l AS (SELECT Ethnicity, grp, PersonKey AS leader FROM g WHERE grp IS NOT NULL AND r % 5 = 0)
-SELECT g.PersonKey, l.leader FROM g LEFT JOIN l ON l.Ethnicity = g.Ethnicity AND l.grp = g.grp
+WITH u AS (SELECT PersonKey, coalesce('=' || Ethnicity, '') AS bucket, row_number() OVER (PARTITION BY Ethnicity ORDER BY {unit_sql(SEED, 'collision', 'PersonKey')}, PersonKey) - 1 AS r, count(*) OVER (PARTITION BY Ethnicity) AS n, count(*) OVER () AS total FROM {{people}}),
+t AS (SELECT DISTINCT bucket, CAST(floor(n * 600 / total) AS BIGINT) AS target FROM u), d AS (SELECT bucket, target, unnest(range(0, target // 3 + 1)) AS g FROM t WHERE target >= 3),
+z AS (SELECT *, 3 + CAST(CAST('0x' || substr(sha256(concat_ws('|', '{SEED}', 'collision:size', bucket, CAST(g AS VARCHAR))), 1, 16) AS UBIGINT) % 5 AS BIGINT) AS size FROM d),
+p AS (SELECT *, sum(size) OVER (PARTITION BY bucket ORDER BY g) - size AS first FROM z),
+f AS (SELECT bucket, first, CASE WHEN target - first - size = 1 AND size < 7 THEN size + 1 WHEN target < first + size THEN target - first ELSE size END AS size FROM p WHERE first < target),
+m AS (SELECT u.PersonKey, u.bucket, u.r, f.first FROM u JOIN f ON u.bucket = f.bucket AND u.r >= f.first AND u.r < f.first + f.size WHERE f.size >= 3)
+SELECT u.PersonKey, l.PersonKey AS leader FROM u LEFT JOIN m ON m.PersonKey = u.PersonKey LEFT JOIN m l ON l.bucket = m.bucket AND l.r = m.first
 """)
 def forced_collisions(t: Tables):  # noqa: ANN201
     return generation.forced_collisions(t["people"].select("PersonKey", "Ethnicity"), "PersonKey", ["Ethnicity"], 600, SEED).select("PersonKey", "leader")

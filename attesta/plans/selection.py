@@ -30,20 +30,19 @@ FROM {{records}} GROUP BY PersonKey
 """
 
 
-def _score(kind: str, base: str, width: float) -> str:
-    return f"round_even(least(greatest({base} + ({unit_sql(SEED, kind, 'PersonKey')} - 0.5) * {width}, 0.0), 1.0), 6)"
-
-
 def _case(values: dict[str, float], otherwise: float) -> str:
     return "CASE lower(trim(AgeBin)) " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in values.items()) + f" ELSE {otherwise}::DOUBLE END"
 
 
-_SCORES = {
-    "Mobility": _score("mobility", _case(pop.MOBILITY_DEFAULTS, pop.MOBILITY_ELSE), 0.08), "Partnership": _score("partnership", _case(pop.PARTNERSHIP, pop.PARTNERSHIP_ELSE), 0.3),
-    "Fertility": _score("fertility", _case(pop.FERTILITY, pop.FERTILITY_ELSE), 0.3),
-}
-_bucket = lambda k: f"CASE WHEN {k}PropensityScore <= {pop.BUCKETS[k][0]} THEN 'low' WHEN {k}PropensityScore >= {pop.BUCKETS[k][1]} THEN 'high' ELSE 'medium' END AS {k}PropensityBucket"
-TRAITS_SQL = f"SELECT *, {', '.join(map(_bucket, _SCORES))} FROM (SELECT *, {', '.join(f'{s} AS {k}PropensityScore' for k, s in _SCORES.items())} FROM ({VIEW_SQL}) v) s"
+def traits_sql(seed: int) -> str:
+    """P-3 in SQL."""
+    bases = {"Mobility": _case(pop.MOBILITY_DEFAULTS, pop.MOBILITY_ELSE), "Partnership": _case(pop.PARTNERSHIP, pop.PARTNERSHIP_ELSE), "Fertility": _case(pop.FERTILITY, pop.FERTILITY_ELSE)}
+    score = lambda k, base: f"round_even(least(greatest({base} + ({unit_sql(seed, k.lower(), 'PersonKey')} - 0.5) * {pop.WIDTHS[k]}, 0.0), 1.0), 6) AS {k}PropensityScore"
+    bucket = lambda k: f"CASE WHEN {k}PropensityScore <= {pop.BUCKETS[k][0]} THEN 'low' WHEN {k}PropensityScore >= {pop.BUCKETS[k][1]} THEN 'high' ELSE 'medium' END AS {k}PropensityBucket"
+    return f"SELECT *, {', '.join(map(bucket, bases))} FROM (SELECT *, {', '.join(score(k, b) for k, b in bases.items())} FROM ({VIEW_SQL}) v) s"
+
+
+TRAITS_SQL = traits_sql(SEED)
 
 
 def _stages() -> list:

@@ -55,26 +55,45 @@ def check_columns(df: DataFrame, required: Sequence[str], what: str) -> DataFram
     return df
 
 
-def load_json(path: str) -> dict[str, Any]:
-    """S-7. A JSON document that is an object."""
-    value = json.loads(Path(path).read_text(encoding="utf-8"))
+def parsed(text: str, name: str) -> dict[str, Any]:
+    """A JSON or YAML document, by its name, that is a mapping. PyYAML is optional; without it the subset that JSON covers is read."""
+    try:
+        if name.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError:
+                value = json.loads(text)
+            else:
+                try:
+                    value = yaml.safe_load(text)
+                except yaml.YAMLError as e:
+                    raise ValueError(f"{name}: not YAML") from e
+        else:
+            value = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{name}: not JSON") from e
     if not isinstance(value, dict):
-        raise ValueError(f"{path}: not an object")
+        raise ValueError(f"{name}: not a mapping")
     return value
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small document from any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(path)
+    row = spark.read.text(path, wholetext=True).first()
+    return row.value if row else ""
+
+
+def load_json(path: str) -> dict[str, Any]:
+    """S-7. A JSON document that is an object, from a local folder."""
+    return parsed(Path(path).read_text(encoding="utf-8"), path)
+
+
 def load_yaml(path: str) -> dict[str, Any]:
-    """S-8. A YAML document that is a mapping. PyYAML is optional; without it the subset that JSON covers is read."""
-    text = Path(path).read_text(encoding="utf-8")
-    try:
-        import yaml
-    except ImportError:
-        value = json.loads(text)
-    else:
-        value = yaml.safe_load(text)
-    if not isinstance(value, dict):
-        raise ValueError(f"{path}: not a mapping")
-    return value
+    """S-8. A YAML document that is a mapping, from a local folder."""
+    return parsed(Path(path).read_text(encoding="utf-8"), path if path.endswith((".yaml", ".yml")) else f"{path}.yaml")
 
 
 def load_parameters(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

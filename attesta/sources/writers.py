@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What exports call each column, the first present one wins, and the order of the linkage export.
@@ -40,19 +40,37 @@ def write_parquet(df: DataFrame, path: str, overwrite: bool = False, rows_per_fi
     df.write.mode("overwrite" if overwrite else "errorifexists").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small document in any file system that Spark knows, written by the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def json_text(value: Mapping[str, Any]) -> str:
+    return json.dumps(value, indent=2, sort_keys=True, default=str) + "\n"
+
+
 def write_json(value: Mapping[str, Any], path: str) -> None:
-    """K-5. A small document, written by the driver."""
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
+    """K-5. A small document in a local folder."""
+    Path(path).write_text(json_text(value), encoding="utf-8")
 
 
-def write_yaml(value: Mapping[str, Any], path: str) -> None:
-    """K-5. JSON is YAML; PyYAML, where it is installed, writes the usual style."""
+def yaml_text(value: Mapping[str, Any]) -> str:
+    """JSON is YAML; PyYAML, where it is installed, gives the usual style."""
     try:
         import yaml
     except ImportError:
-        write_json(value, path)
-    else:
-        Path(path).write_text(yaml.safe_dump(dict(value), sort_keys=False), encoding="utf-8")
+        return json_text(value)
+    return yaml.safe_dump(dict(value), sort_keys=False)
+
+
+def write_yaml(value: Mapping[str, Any], path: str) -> None:
+    """K-5."""
+    Path(path).write_text(yaml_text(value), encoding="utf-8")
 
 
 def renamed(df: DataFrame, dataset: str, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:

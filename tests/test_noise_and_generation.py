@@ -103,4 +103,5 @@ def test_collisions_share_a_leader(spark):
     people = spark.range(300).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).alias("g"))
     got = generation.forced_collisions(people, "k", ["g"], 150, 1)
     sizes = {r["count"] for r in got.where("leader IS NOT NULL").groupBy("leader").count().collect()}
-    assert sizes == {5} and got.count() == 300
+    assert sizes <= {3, 4, 5, 6, 7} and len(sizes) > 2 and got.count() == 300  # sizes are drawn, as no group need have the mean one
+    assert abs(got.where("leader IS NOT NULL").count() - 150) <= 3 * 2

@@ -70,6 +70,61 @@ def test_a_scenario_from_end_to_end(spark, tmp_path):
     assert validate.contract_errors(spark, str(tmp_path / "run"), {"truth_events.parquet": ["EventKey"], "gone.csv": [], "entity_record_map.csv": ["PersonKey", "Other"]}) == [("gone.csv", "missing"), ("entity_record_map.csv", "column Other is missing")]
 
 
+def test_a_scenario_selects_groups_and_names(spark, tmp_path):
+    """Filters, samples, roommates, nicknames and addresses that no book has all take effect, and documents that contradict a run are found."""
+    from attesta.config import document_of, scenario_of
+    from attesta.plans.scenario import document_conflicts
+    from attesta.sources import write_json
+
+    records = people(spark, 60).select(F.concat(F.lit("1"), "PersonKey").alias("RecordKey"), "PersonKey", F.lit("1").alias("EntityRecordIndex"), F.lit("AGE_18_34").alias("AgeBin"), "Gender", "Ethnicity", "ResidenceType")
+    base = people(spark, 60).select(*PEOPLE_COLUMNS, "AddressKey", "ResidenceType")
+    document = document_of(scenario("roommates_split")) | {"selection": {"sample": {"mode": "count", "value": 20}, "filters": {"genders": ["FEMALE"]}}, "simulation": {"periods": 1}}
+    made = scenario_of(document)
+    every = replace(made, noise=(NoiseRates(nickname=100), NoiseRates(nickname=100)), appear=(100, 50))
+    names = spark.createDataFrame([("Robert", ["Bob"])], "FormalName string, variants array<string>")
+    run = run_scenario(records, base, every, nicknames=names)
+    assert run.population.count() == 20 and run.population.where("Gender <> 'female'").count() == 0
+    assert run.selection_log()["counts"]["after_genders"] == 30 and run.selection_log()["counts"]["selected_entities"] == 20
+    homes = run.truth["memberships"].where("HouseholdKey LIKE 'HH_ROOM_BASE_%'").groupBy("HouseholdKey").agg(F.countDistinct("PersonKey").alias("n")).collect()
+    assert homes and all(3 <= r.n <= 5 for r in homes)
+    a = run.observed["dataset_a"]
+    assert a.where("FirstName <> 'Bob' AND FirstName NOT LIKE 'Child%'").count() == 0 and a.where("City IS NULL OR StreetName IS NULL").count() == 0
+    write_run(run, str(tmp_path / "run"))
+    assert validate_run(spark, str(tmp_path / "run"), list(run.observed)) == []
+    log = load_json(str(tmp_path / "run" / "scenario_selection_log.json"))
+    write_json(log | {"selection_seed": 1}, str(tmp_path / "run" / "scenario_selection_log.json"))
+    assert [f for f, _ in validate_run(spark, str(tmp_path / "run"), list(run.observed))] == ["scenario_selection_log.json"]
+    assert document_conflicts({"manifest.json": {"run_id": "x"}}, 0) == [("manifest.json", "run_id is not a run id")]
+
+
+def test_documents_are_checked():
+    from attesta.config import constraints_of, document_errors, document_of, emission_of, rates_of, scenario_of, selection_of
+
+    for s in SCENARIOS.values():
+        assert document_errors(document_of(s, "a", "b")) == [] and scenario_of(document_of(s)).datasets() == s.datasets()
+    bad = [
+        (selection_of, {"sample": {"mode": "some"}}), (selection_of, {"sample": {"value": 101}}), (selection_of, {"filters": {"genders": "f"}}), (selection_of, {"thresholds": {"trait_low_max": 0.9}}), (selection_of, {"filters": {"redundancy_profiles": ["x"]}}),
+        (emission_of, {"crossfile_match_mode": "x"}), (emission_of, {"datasets": []}), (emission_of, {"datasets": [{"dataset_id": "a", "snapshot": "noon"}]}), (emission_of, {"noise": {"A": {"name_typo_pct": 101}}}),
+        (constraints_of, {"partner_age_gap_distribution": {}}), (constraints_of, {"min_marriage_age": 130}), (rates_of, {"move_rate_pct": "x"}), (scenario_of, {"seed": 1}), (scenario_of, {"scenario_id": "a", "seed": -1}),
+    ]
+    for f, value in bad:
+        with pytest.raises(ValueError):
+            f(value)
+    assert rates_of({"use_priors_for_unspecified_rates": True, "split_rate_pct": 5})["leave_home"] == 5 and rates_of({"use_priors_for_unspecified_rates": True})["birth"] == 4.0
+
+
+def test_births_and_partners(spark):
+    """One of two women who live together bears at a time, both are locked, f is female, and a blank address becomes a new one."""
+    cfg = truth.SimulationConfig(periods=1, birth=100, cohabit=100)
+    women = people(spark, 2).withColumns({"Gender": F.lit("F"), "AddressKey": F.lit(" ")})
+    made = truth.simulate(women, truth.SimulationConfig(periods=1, cohabit=100))
+    assert made["state"].where("trim(AddressKey) = ''").count() == 0
+    born = truth.stepped(made["state"], cfg, 2).where("event.EventType = 'BIRTH'").collect()
+    assert len(born) == 1 and {born[0].event.Parent1PersonKey, born[0].event.Parent2PersonKey} == {"0", "1"}
+    child = truth.children(truth.simulate(people(spark, 4).withColumn("Gender", F.lit("f")), truth.SimulationConfig(periods=1, birth=100))["events"], made["state"])
+    assert child.columns[0] == "PersonKey"
+
+
 def test_scenarios_and_presets():
     assert len(SCENARIOS) == 11 and len(PRESETS) == 8 == len(list_presets())
     assert patched(scenario("single_movers"), preset("hard_noise")).mode == "many_to_many"
@@ -139,7 +194,7 @@ def test_registered_simulations_run_all_periods(spark, monkeypatch):
     from attesta.plans import simulation
 
     ran = []
-    monkeypatch.setattr(simulation, "run_scenario", lambda records, people, made, book: ran.append(made))
+    monkeypatch.setattr(simulation, "run_scenario", lambda records, people, made, *rest: ran.append(made))
     for name in ("single_movers", "three_source_partial_overlap"):
         simulation._scenario(MagicMock(), name)
     assert ran == [scenario("single_movers"), scenario("three_source_partial_overlap")] and {r.periods for r in ran} == {12} and simulation.CONFIG.periods == 12
