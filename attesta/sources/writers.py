@@ -43,7 +43,11 @@ def write_parquet(df: DataFrame, path: str, overwrite: bool = False, rows_per_fi
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small document in any file system that Spark knows, written by the driver."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # as a plain file, without the checksum beside it that would refuse later edits
+        Path(p.toUri().getPath()).write_text(text, encoding="utf-8")
+        return
+    out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
