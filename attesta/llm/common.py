@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import Workspace, shared_root
+
 #: Rows and bytes of one Arrow batch handed to Python; texts may be long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound what one Arrow batch holds, so that long texts can't fill a Python worker, in jobs that run inside; the session's own settings come back after."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,41 +39,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In plain local mode, where one is not set, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="attesta-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Workspace:
-    """Tables of one job in the shared folder. Writing a table cuts lineage and survives the loss of executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path = spark, f"{shared_root(spark)}/attesta-{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(conf).delete(path, True)
-
-    def mounted(self, name: str) -> str:
-        """The folder as a path that any Python worker can open. Memory-mapped files need a mounted shared folder."""
-        if "://" in self.path and not self.path.startswith("file://"):
-            raise ValueError(f"memory-mapped files need a mounted shared folder; {self.path} isn't one")
-        return f"{self.path.removeprefix('file://').removeprefix('file:')}/{name}"
-
-
 # ---------------------------------------------------------------- words as 64-bit hashes, a batch at a time
 
 
@@ -134,10 +112,18 @@ def _hash_buffer(data: bytes, member: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Batches with the texts of their column "text"."""
+    """Batches with the texts of their column "text", in parts of a bounded number of rows and bytes, whatever the session makes a batch."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch, batch.column("text").to_pylist()
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + BATCH_ROWS, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+            part = batch.slice(at, to - at)
+            yield part, part.column("text").to_pylist()
+            at = to
 
 
 # ---------------------------------------------------------------- components
@@ -186,3 +172,8 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
             break
         before = state
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+__all__ = [
+    "BATCH_BYTES", "BATCH_ROWS", "NOT_SPACE", "WORD", "Workspace", "byte_class", "connected_components", "hash_words", "local_components", "mix", "partitions", "shared_root", "small_batches", "text_batches",
+]

@@ -2,163 +2,377 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, mix, small_batches
 from .embeddings import matrix, usable
 
-TABLES, HASHES, WIDTH = 4, 6, 1.0
-#: The recall that the probing radius is calibrated for, on a sample of at most so many rows and queries.
-RECALL, SAMPLE_ROWS, SAMPLE_QUERIES = 0.97, 8192, 128
-#: Rows and queries of one block.
-ROWS, QUERIES = 8192, 1024
+#: Tables, the slots' width on vectors of length one, and the numbers of hashes a table may have.
+TABLES, WIDTH, HASHES = 8, 2.5, (4, 6, 8, 10, 12, 14, 16, 20, 24)
+#: The recall that probing is calibrated for, with so many sampled queries against all rows and so many sampled rows for the sizes of buckets.
+RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.96, 96, 8192
+#: Probes of one table at most; a query that finds too little by them is asked again, of all rows.
+PROBES = 1024
+#: Numbers in the vectors of one task's rows, and queries of one task.
+CELLS, QUERIES = 1 << 22, 2048
+#: Candidates that are looked at together.
+CHUNK = 1 << 17
 SEED = 20240301
 
 
+@lru_cache(maxsize=16)
+def sequence(hashes: int, probes: int) -> np.ndarray:
+    """The perturbations of a bucket in the order of estimated success, as rows of 0 and 1 over the ranks of its 2 * hashes nearest borders.
+
+    The nearest border has rank 0. A perturbation crosses the borders of its ranks, at most one of the two borders of each hash; its score is the sum of the
+    expected squared distances of those ranks. The heap makes sets of ranks by rising score: the last rank moves on, or the next one joins.
+    """
+    m, j = hashes, np.arange(1, 2 * hashes + 1, dtype=float)
+    far = 2 * m + 1 - j
+    expected = np.where(j <= m, j * (j + 1) / (4 * (m + 1) * (m + 2)), 1 - far / (m + 1) + far * (far + 1) / (4 * (m + 1) * (m + 2)))
+    out, heap = [()], [(expected[0], (0,))]
+    while heap and len(out) < probes:
+        score, ranks = heapq.heappop(heap)
+        if not any(2 * m - 1 - r in ranks for r in ranks):
+            out.append(ranks)
+        last = ranks[-1]
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (score - expected[last] + expected[last + 1], (*ranks[:-1], last + 1)))
+            heapq.heappush(heap, (score + expected[last + 1], (*ranks, last + 1)))
+    table = np.zeros((len(out), 2 * m), np.float32)
+    for k, ranks in enumerate(out):
+        table[k, list(ranks)] = 1
+    return table
+
+
+@dataclass(frozen=True)
 class Index:
-    """p-stable hash functions for inner products: vectors get one more coordinate that brings them all to the norm `top`, so that the nearest by distance has the largest product."""
+    """p-stable hash functions for inner products in one dimension: vectors get one more coordinate that brings them all to the norm `top`, so that the nearest by distance has the largest product.
+
+    A bucket's key is a hash of its slots; the first `prefix` of them make its shard, so that perturbed buckets are mostly in the same shard.
+    """
 
-    def __init__(self, dim: int, top: float) -> None:
-        rng = np.random.default_rng([SEED, dim])
-        self.top = top or 1.0
-        self.a, self.b = rng.normal(size=(TABLES, dim + 1, HASHES)), rng.uniform(0, WIDTH, size=(TABLES, 1, HASHES))
+    dim: int
+    top: float
+    hashes: int
+    probes: int = 1
+    prefix: int = 0
 
-    def place(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """For each table the hash values before rounding down. A query is brought to the same norm without the extra coordinate."""
-        x = x / self.top
-        norm = np.linalg.norm(x, axis=1)
+    def places(self, x: np.ndarray, table: int, query: bool) -> np.ndarray:
+        """Hash values before rounding down. A query is brought to the same norm without the extra coordinate."""
+        rng = np.random.default_rng([SEED, self.dim, self.hashes, table])
+        a, b = rng.normal(size=(self.dim + 1, self.hashes)), rng.uniform(0, 1, size=self.hashes)
+        x = x / (self.top or 1.0)
+        square = np.einsum("nd,nd->n", x, x)
         if query:
-            x, rest = x / norm[:, None], np.zeros(len(x))
+            x, rest = x / np.sqrt(square)[:, None], np.zeros(len(x))
         else:
-            rest = np.sqrt(np.maximum(0, 1 - norm**2))
-        return np.einsum("nd,tdh->tnh", np.column_stack([x, rest]), self.a) / WIDTH + self.b / WIDTH
-
-    def distances(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """For each query and row the least probing score of the row's buckets: the sum over hashes of the squared distance from the query to the bucket's slot.
-
-        Multiprobe hashing visits the buckets of a table by increasing score, the order of estimated success. So all rows of a score up to some radius
-        are the candidates of the perturbation sequences that reach that far; here only buckets that hold rows are looked at.
-        """
-        best = np.full((len(queries), len(rows)), np.inf, np.float32)
-        for own, at in zip(np.floor(self.place(rows, False)).astype(np.int32), self.place(queries, True)):  # noqa: B905
-            buckets, of_row = np.unique(own, axis=0, return_inverse=True)
-            score = np.zeros((len(queries), len(buckets)), np.float32)
-            for h in range(HASHES):
-                values, of_bucket = np.unique(buckets[:, h], return_inverse=True)
-                gap = np.maximum(0, np.maximum(values[None, :] - at[:, h, None], at[:, h, None] - values[None, :] - 1)).astype(np.float32) ** 2
-                score += gap[:, of_bucket]
-            np.minimum(best, score[:, of_row.ravel()], out=best)
-        return best
-
-
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k largest of each row; ties at the edge all stay, as -1 marks what doesn't count."""
-    if scores.shape[1] <= k:
-        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
-
-
-def calibrate(vectors: np.ndarray, index: Index, k: int, recall: float = RECALL) -> float:
-    """The probing radius at which at least this share of the sample's true k nearest are candidates."""
-    queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)]
-    near = _top(queries @ vectors.T, k)
-    scores = np.take_along_axis(index.distances(vectors, queries), near, axis=1)
-    return float(np.quantile(scores, recall)) + 1e-6
+            rest = np.sqrt(np.maximum(0, 1 - square))
+        return (x @ a[:-1] + rest[:, None] * a[-1]) / WIDTH + b
+
+    def keys(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, key) of buckets, whose slots are along the last axis."""
+        h = np.zeros(slots.shape[:-1], np.uint64)
+        shard = h
+        for j in range(slots.shape[-1]):
+            h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + slots[..., j].astype(np.int64).view(np.uint64) + np.uint64(1))
+            if j + 1 == self.prefix:
+                shard = h
+        return shard.view(np.int64), h.view(np.int64)
+
+    def buckets(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys(np.floor(self.places(x, table, False)))
+
+    def borders(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of queries, and (query, rank, hash) with the step that crosses the border of that rank."""
+        at = self.places(x, table, True)
+        own = np.floor(at)
+        gap = np.concatenate([at - own, 1 - (at - own)], axis=1)
+        order = np.argsort(gap, axis=1, kind="stable")
+        steps = np.zeros((len(x), 2 * self.hashes, self.hashes), np.float32)
+        n, r = np.indices(order.shape)
+        steps[n, r, order % self.hashes] = np.where(order < self.hashes, -1, 1)
+        return own, steps
+
+    def probed(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, key) of the buckets that each query visits, in order; arrays of queries by probes."""
+        own, steps = self.borders(x, table)
+        return self.keys(own[:, None, :] + sequence(self.hashes, self.probes) @ steps)
+
+
+def fitted(dim: int, top: float, n: int, queries: np.ndarray, near: list[np.ndarray], sample: np.ndarray, recall: float = RECALL) -> Index:
+    """The index that reaches the recall on sampled queries with the least work: probes, and candidates as the sampled rows tell the sizes of buckets.
+
+    near[i] are the true nearest vectors of query i. For each of them it is known which probe of which table would find it first.
+    """
+    best, least = Index(dim, top, HASHES[0], PROBES), math.inf
+    near_of = np.repeat(np.arange(len(queries)), [len(x) for x in near])
+    flat = np.concatenate([x for x in near if len(x)]) if len(near_of) else np.zeros((0, dim))
+    for hashes in HASHES:
+        index = Index(dim, top, hashes, PROBES)
+        order = {p.tobytes(): k for k, p in enumerate(sequence(hashes, PROBES).astype(bool))}
+        first = np.full(len(flat), PROBES, np.int64)
+        sizes = np.zeros((len(queries), len(order)))
+        for table in range(TABLES):
+            own, steps = index.borders(queries, table)
+            delta = np.floor(index.places(flat, table, False)) - own[near_of]
+            crossed = np.einsum("nrm,nm->nr", steps[near_of], np.clip(delta, -2, 2)) > 0
+            met = np.abs(delta).max(axis=1, initial=0) <= 1
+            visit = np.array([order.get(c.tobytes(), PROBES) if ok else PROBES for c, ok in zip(crossed, met, strict=True)], np.int64)
+            first = np.minimum(first, visit)
+            held, count = np.unique(index.buckets(sample, table)[1], return_counts=True)
+            keys = index.probed(queries, table)[1]
+            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            sizes += np.where(held[at] == keys, count[at], 0)
+        needed = int(np.sort(first)[min(len(first) - 1, math.ceil(recall * len(first)))]) + 1 if len(first) else 1
+        if needed <= PROBES:
+            work = TABLES * needed + sizes[:, :needed].sum(axis=1).mean() * n / len(sample)
+            if work < least:
+                best, least = Index(dim, top, hashes, needed), work
+    limit, prefix = rows_of_task(dim), 0
+    while n > limit and prefix < best.hashes:
+        prefix += 1
+        _, count = np.unique(Index(dim, top, best.hashes, best.probes, prefix).buckets(sample, 0)[0], return_counts=True)
+        if n * ((count / len(sample)) ** 2).sum() <= limit:
+            break
+    return Index(dim, top, best.hashes, best.probes, prefix)
+
+
+def rows_of_task(dim: int) -> int:
+    return max(256, CELLS // max(1, dim))
+
+
+def _nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of different ids, ties to the smaller id."""
+    size = 2 * k
+    while True:
+        if len(scores) > size:
+            some = np.flatnonzero(scores >= np.partition(scores, len(scores) - size)[len(scores) - size])
+        else:
+            some = np.arange(len(scores))
+        some = some[np.lexsort((ids[some], -scores[some]))]
+        _, at = np.unique(ids[some], return_index=True)
+        if len(at) >= k or len(some) == len(scores):
+            return some[np.sort(at)][:k]
+        size *= 4
+
+
+_FOUND = "query_id long, id long, score double"
+
+
+def _table(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    ids = [np.full(len(i), q, np.int64) for q, i, _ in parts]
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return pa.table({"query_id": join(ids, np.int64), "id": join([i for _, i, _ in parts], np.int64), "score": join([s for _, _, s in parts], float)})
+
+
+def _merged(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest of each query among the rows in the buckets that it probes; every candidate is scored exactly."""
+    if not left.num_rows or not right.num_rows:
+        return _table([])
+    keys = left.column("key").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys, ids, x = keys[order], left.column("id").to_numpy()[order], matrix(left.column("vec"))[order]
+    asking, q = right.column("id").to_numpy(), matrix(right.column("vec"))
+    lists = right.column("keys").combine_chunks()
+    sizes, probes = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    low = np.searchsorted(keys, probes, "left")
+    count = np.searchsorted(keys, probes, "right") - low
+    ends = np.cumsum(sizes)
+    total = np.add.reduceat(np.append(count, 0), ends - sizes) * (sizes > 0)
+    parts, at = [], 0
+    while at < len(q):
+        to = at + 1
+        while to < len(q) and total[at:to + 1].sum() <= CHUNK:
+            to += 1
+        a, b = ends[at] - sizes[at], ends[to - 1]
+        own = count[a:b]
+        rows = np.repeat(low[a:b] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        edge = 0
+        for i in range(at, to):
+            mine = rows[edge:edge + total[i]]
+            edge += total[i]
+            mine = mine[ids[mine] != asking[i]]
+            if len(mine):
+                scores = (x[mine] * q[i]).sum(axis=1)  # summed row by row, so that equal vectors have equal scores in every task
+                best = _nearest(ids[mine], scores, k)
+                parts.append((asking[i], ids[mine][best], scores[best]))
+        at = to
+    return _table(parts)
+
+
+def _compared(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest of each query among all rows of a block."""
+    if not left.num_rows or not right.num_rows:
+        return _table([])
+    ids, x = left.column("id").to_numpy(), matrix(left.column("vec"))
+    asking, q = right.column("id").to_numpy(), matrix(right.column("vec"))
+    parts = []
+    for i in range(len(q)):
+        other = ids != asking[i]
+        rough = x @ q[i]  # may round otherwise than the sum that counts, so a little below its k-th largest is looked at too
+        limit = np.partition(rough[other], -2 * k)[-2 * k] if other.sum() > 2 * k else -np.inf
+        slack = 1e-9 * (1 + np.abs(rough).max())
+        mine = np.flatnonzero(other & (rough >= limit - slack))
+        scores = (x[mine] * q[i]).sum(axis=1)
+        best = _nearest(ids[mine], scores, k)
+        if len(best) < k and len(mine) < other.sum():  # ids that repeat fill the places: look at all
+            mine = np.flatnonzero(other)
+            scores = (x[mine] * q[i]).sum(axis=1)
+            best = _nearest(ids[mine], scores, k)
+        if len(best):
+            parts.append((asking[i], ids[mine][best], scores[best]))
+    return _table(parts)
+
+
+class _Searcher:
+    """Search among the rows of one dimension."""
+
+    def __init__(self, rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, k: int, ws: Workspace) -> None:
+        self.rows, self.asked, self.dim, self.n, self.top, self.k, self.ws = rows, asked, dim, n, top, k, ws
+
+    def sampled(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """A bounded sample of queries with their true nearest vectors of all rows, and one of rows."""
+        drawn = lambda df, m: df.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(m).toArrow()  # noqa: E731  # m rows at most
+        some = drawn(self.asked.select("id", "vec"), SAMPLE_QUERIES)
+        own, queries, k = some.column("id").to_numpy(), matrix(some.column("vec")) if some.num_rows else np.zeros((0, self.dim)), self.k
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = [(np.zeros(0), np.zeros((0, queries.shape[1]))) for _ in own]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column("id").to_numpy(), matrix(batch.column("vec"))
+                scores = queries @ x.T
+                for i, mine in enumerate(own):
+                    s = np.where(ids == mine, -np.inf, scores[i])
+                    best = np.argpartition(-s, min(k, len(s)) - 1)[:k]
+                    s, v = np.concatenate([kept[i][0], s[best]]), np.concatenate([kept[i][1], x[best]])
+                    top = np.argsort(-s, kind="stable")[:k]
+                    kept[i] = (s[top], v[top])
+            for i, (s, v) in enumerate(kept):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int32()), pa.array(s), pa.array(v.tolist(), pa.list_(pa.float64()))], ["q", "score", "vec"])
+
+        found = self.rows.select("id", "vec").mapInArrow(scan, "q int, score double, vec array<double>").where("score > double('-infinity')")
+        top = found.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("rn") <= k).toArrow()  # k rows of each sampled query
+        q, vec = top.column("q").to_numpy(), top.column("vec")
+        v = matrix(vec) if top.num_rows else np.zeros((0, self.dim))
+        share = min(1.0, 2 * SAMPLE_ROWS / self.n)
+        part = self.rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("vec").limit(SAMPLE_ROWS).toArrow()
+        return queries, [v[q == i] for i in range(len(own))], matrix(part.column("vec")) if part.num_rows else np.zeros((1, self.dim))
+
+    def best(self, found: DataFrame) -> DataFrame:
+        """The k nearest of what all tables or blocks found, each row once."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")  # the group limit keeps k of each query before the shuffle
+        once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select("query_id", "rank", "id", "score")
+
+    def probed(self, index: Index) -> DataFrame:
+        """Rows join queries on table and bucket, in tasks of one shard of a table."""
+        k, tables = self.k, range(TABLES)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column("vec"))
+                    for t in tables:
+                        shard, key = index.buckets(x, t)
+                        yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(shard), pa.array(key), batch.column("id"), batch.column("vec")], ["t", "shard", "key", "id", "vec"])
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
+                    x = matrix(part.column("vec"))
+                    for t in tables:
+                        shard, key = index.probed(x, t)
+                        row = np.repeat(np.arange(len(x)), shard.shape[1])
+                        shard, key = shard.ravel(), key.ravel()
+                        order = np.lexsort((np.arange(len(row)), shard, row))
+                        row, shard, key = row[order], shard[order], key[order]
+                        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(key))
+                        of = pa.array(row[first])
+                        yield pa.RecordBatch.from_arrays([pa.array([t] * len(first), pa.int32()), pa.array(shard[first]), lists, part.column("id").take(of), part.column("vec").take(of)], ["t", "shard", "keys", "id", "vec"])
+
+        left = self.rows.select("id", "vec").mapInArrow(placed, "t int, shard long, key long, id long, vec array<double>")
+        right = self.ws.save(self.asked.select("id", "vec").mapInArrow(asked, "t int, shard long, keys array<long>, id long, vec array<double>"), f"probes{self.dim}")
+        held = left.groupBy("t", "shard").agg(F.count("*").alias("n"))
+        wanted = right.groupBy("t", "shard").agg(F.count("*").alias("m"))
+        parts = lambda c, size: F.ceil(F.col(c) / size).cast("long")
+        sizes = self.ws.save(held.join(wanted, ["t", "shard"]).select("t", "shard", parts("n", rows_of_task(self.dim)).alias("a"), parts("m", QUERIES).alias("b")), f"shards{self.dim}")
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Each part of a shard's rows meets each part of its queries, so neither side of a task grows."""
+            out = df.join(sizes, ["t", "shard"]).withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)))
+            return out.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("a", "b")
+
+        keys = ["t", "shard", "_a", "_b"]
+        pairs = dealt(left, "a", "b").groupBy(*keys).cogroup(dealt(right, "b", "a").groupBy(*keys))
+        return self.best(pairs.applyInArrow(lambda x, y: _merged(x, y, k), _FOUND))
+
+    def compared(self, asked: DataFrame, n_asked: int) -> DataFrame:
+        """All rows in blocks against these queries in blocks."""
+        a, b, k = math.ceil(self.n / rows_of_task(self.dim)), math.ceil(n_asked / QUERIES), self.k
+
+        def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+            out = df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own))
+            return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+        pairs = dealt(self.rows, "_a", a, "_b", b).groupBy("_a", "_b").cogroup(dealt(asked, "_b", b, "_a", a).groupBy("_a", "_b"))
+        return self.best(pairs.applyInArrow(lambda x, y: _compared(x, y, k), _FOUND))
+
+    def search(self) -> DataFrame:
+        found = self.ws.save(self.probed(fitted(self.dim, self.top, self.n, *self.sampled())), f"probed{self.dim}")
+        enough = found.where(F.col("rank") == self.k).select(F.col("query_id").alias("id"))
+        short = self.ws.save(self.asked.join(enough, "id", "left_anti"), f"short{self.dim}")
+        if not (n_short := short.count()):
+            return found
+        again = self.compared(short, n_short)
+        return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(again)
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row of queries the k nearest rows of table by inner product in double precision, but for the query's own id.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id or a length other than the most common one.
-    Ties go to the smaller id. Rows that repeat an id with an equal score are one result. Fewer candidates than k give fewer rows; empty tables none.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id. Vectors of each length are searched by themselves, as
+    others have no inner product with them. Ties go to the smaller id. Rows that repeat an id are one result, the nearest of them; queries that repeat an id are one query with
+    what either finds. Fewer candidates than k give fewer rows; empty tables none. Other columns are not read.
 
-    Every row is indexed. Rows and queries are cut into blocks of a bounded size and each pair of blocks is one task: the block's rows are hashed into
-    the tables, the buckets within the calibrated radius are probed, the tables' candidates merged and scored exactly, and k of each query go on.
-    Queries for which that gives fewer than k, as those far from the dense parts, are asked again without a radius, of all blocks of rows.
+    Every row is indexed in every table. Queries and rows meet by an equi-join on table and bucket: a task has one shard of a table, in parts of a bounded size if many
+    rows or queries share it. A query visits perturbed buckets in the order of estimated success; what the tables find is merged, scored exactly, and k of each query stay. Hashes
+    and probes are fitted to a recall on a sample of queries whose true nearest are known. Queries that find fewer than k are asked again, of all rows in blocks.
     """
     spark = table.sparkSession
-    small_batches(spark)
     ws = Workspace(spark, "neighbours")
 
     def clean(df: DataFrame) -> DataFrame:
         vec = F.col(vector_col).cast("array<double>")
-        return df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    rows = ws.save(clean(table).withColumn("norm", norm), "rows")
-    asked = clean(queries)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    schema = "query_id long, id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    dim, n, top = sizes[0]
-    rows, asked = rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
-    index = Index(dim, top)
-    share = min(1.0, SAMPLE_ROWS / n)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("vec").limit(SAMPLE_ROWS)
-    radius = calibrate(matrix(sample.toArrow().column("vec")), index, k)
-    row_blocks = max(1, math.ceil(n / ROWS))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        out = df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-
-    def run(left: pa.Table, right: pa.Table, radius: float) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, x = left.column("id").to_numpy(), matrix(left.column("vec"))
-        asking, q = right.column("id").to_numpy(), matrix(right.column("vec"))
-        parts = []
-        for at in range(0, len(q), 256):
-            own = asking[at : at + 256]
-            score = q[at : at + 256] @ x.T
-            if radius < np.inf:
-                score[index.distances(x, q[at : at + 256]) > radius] = -np.inf
-            score[ids[None, :] == own[:, None]] = -np.inf
-            near = _top(score, 2 * k)  # more than k, so that ties and repeated ids can be settled exactly later
-            value = np.take_along_axis(score, near, axis=1)
-            edge = value.min(axis=1) if near.shape[1] < len(ids) else np.full(len(own), -np.inf)
-            tied = (score == edge[:, None]) & np.isfinite(edge)[:, None]
-            r, c = np.nonzero(tied)
-            r2 = np.repeat(np.arange(len(own)), near.shape[1])
-            r, c = np.concatenate([r, r2]), np.concatenate([c, near.ravel()])
-            keep = np.isfinite(score[r, c])
-            r, c = np.unique(np.stack([r[keep], c[keep]]), axis=1)
-            # the matrix product may round a little differently than a plain sum; the score is the plain one
-            exact = np.array([math.fsum(q[at + i] * x[j]) for i, j in zip(r, c)])  # noqa: B905
-            order = np.lexsort((ids[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            first = np.concatenate([[True], (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])]) if len(r) else np.zeros(0, bool)
-            r, c, exact = r[first], c[first], exact[first]
-            starts = np.searchsorted(r, np.arange(len(own)))
-            best = np.arange(len(r)) - starts[r] < k
-            parts.append((own[r[best]], ids[c[best]], exact[best]))
-        return pa.table({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("query_id", "id", "score"))})
-
-    keys = ["rows_in", "queries_in"]
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")  # the group limit keeps k of each query before the shuffle
-
-    def nearest(asked: DataFrame, n_asked: int, radius: float) -> DataFrame:
-        query_blocks = max(1, math.ceil(n_asked / QUERIES))
-        pairs = dealt(rows, "rows_in", row_blocks, "queries_in", query_blocks).groupBy(*keys).cogroup(dealt(asked, "queries_in", query_blocks, "rows_in", row_blocks).groupBy(*keys))
-        found = pairs.applyInArrow(lambda left, right: run(left, right, radius), schema)
-        best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-    probed = ws.save(nearest(asked, asked.count(), radius), "probed")
-    enough = probed.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    short = asked.join(enough, "id", "left_anti")
-    n_short = short.count()
-    if not n_short:
-        return probed
-    return probed.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(nearest(short, n_short, math.inf))
+        return df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec"))
+
+    out = spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    with small_batches(spark):
+        rows = ws.save(clean(table).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), "rows")
+        asked = ws.save(clean(queries), "queries")
+        sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).join(asked.select("dim").distinct(), "dim").orderBy("dim").collect()  # a row for each length of vectors
+        for s in sizes:
+            of = lambda df, dim=s.dim: df.where(F.col("dim") == dim)
+            found = _Searcher(of(rows), of(asked), s.dim, s.n, s.top, k, ws).search()
+            out = ws.save(found, f"found{s.dim}") if len(sizes) == 1 else out.unionByName(ws.save(found, f"found{s.dim}"))
+    return out
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20 among all others."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(table, table.where("vec_id % 20 = 0")).withColumnRenamed("id", "vec_id")
