@@ -19,14 +19,15 @@ ALIASES = {
 FUZZY, EXACT, IGNORED = ("FirstName", "MiddleName", "LastName", "FullName"), ("DOB", "SSN", "Phone", "AddressKey", "Gender", "Ethnicity"), ("RecordKey", "SourceDataset")
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def guard_targets(df: DataFrame, paths: Sequence[str], overwrite: bool) -> None:
     """K-4. An error before anything is written if a target exists and may not be replaced."""
-    if not overwrite and (there := [p for p in paths if _exists(df, p)]):
+    if not overwrite and (there := [p for p in paths if path_exists(df.sparkSession, p)]):
         raise FileExistsError(f"exists already: {', '.join(there)}")
 
 
