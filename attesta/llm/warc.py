@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import io
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from ..sources.writers import path_exists
+from .common import Workspace, partitions, small_batches
+from .files import reader, writer
 
 #: Bytes of a record's block above which it is cut into segments; of one chunk of a body; of content after which a new file begins.
 SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 16 << 20
@@ -19,7 +22,7 @@ SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 16 << 20
 LEAST = 100
 #: Archives carry a fixed date, so that writing again gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-_LINE, _WINDOW = b"\r\n", 32 << 10
+_LINE, _WINDOW = b"\r\n", 64 << 10
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -60,7 +63,7 @@ def page_records(record_id: str, page_id: int | None, url: str | None, body: byt
         headers["X-Page-ID"] = page_id
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if original is not None:
-        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{original}>"}
+        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{page_urn(original, digest)}>", "X-Refers-To-Page": original}
         return [_record("revisit", record_id, http, headers | more)]
     block = http + chunked(body)
     if len(block) <= segment:
@@ -73,166 +76,224 @@ def page_records(record_id: str, page_id: int | None, url: str | None, body: byt
     return out
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and blocks of all records of a file, compressed record by record or not at all."""
-    members, at = [], 0
-    if data[:2] == b"\x1f\x8b":
-        while at < len(data):
-            d, parts = zlib.decompressobj(31), []
-            while not d.eof:
-                if at >= len(data):
+def page_urn(page: int | None, digest: str) -> str:
+    """The identifier of a page's record, if there is one row of that id and payload; more of them add their place to it."""
+    return f"urn:page:{'none' if page is None else page}:{digest[:16]}"
+
+
+class _Stream:
+    """Bytes of a file, compressed record by record or as a whole or not at all, as they are needed."""
+
+    def __init__(self, source: Any) -> None:
+        self.source, self.data, self.at = source, b"", 0
+        self.raw = source.read(_WINDOW)
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+        self.member = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bool:
+        """Add some bytes; false at the end of the file."""
+        got = b""
+        while not got:
+            if not self.raw:
+                self.raw = self.source.read(_WINDOW)
+            if not self.raw:
+                if self.member is not None and not self.member.eof and self.started:
                     raise ValueError("a compressed record is cut short")
-                parts.append(d.decompress(data[at : at + _WINDOW]))  # in windows, as what is left over is copied each time
-                at += _WINDOW
-            at = min(at, len(data)) - len(d.unused_data)
-            members.append(b"".join(parts))
-    else:
-        members.append(data)
-    for raw in members:
-        at = 0
-        while at < len(raw):
-            end = raw.index(b"\r\n\r\n", at)
-            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
-            headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-            size = int(headers["content-length"])
-            block = raw[end + 4 : end + 4 + size]
-            if len(block) != size:
+                return False
+            if self.member is None:
+                got, self.raw = self.raw, b""
+            else:
+                if self.member.eof:
+                    self.member = zlib.decompressobj(31)
+                got = self.member.decompress(self.raw)
+                self.raw = self.member.unused_data
+                self.started = not self.member.eof
+        self.data, self.at = self.data[self.at :] + got, 0
+        return True
+
+    started = False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before a mark, which is skipped; None at the end of the file."""
+        look = self.at
+        while (end := self.data.find(mark, look)) < 0:
+            rest = len(self.data) - self.at
+            if not self.more():
+                if self.data[self.at :].strip():
+                    raise ValueError("a record is cut short")
+                return None
+            look = max(0, rest - len(mark))
+        out = self.data[self.at : end]
+        self.at = end + len(mark)
+        return out
+
+    def exactly(self, n: int) -> bytes:
+        while len(self.data) - self.at < n:
+            if not self.more():
                 raise ValueError("a record is cut short")
-            yield headers, block
-            at = end + 4 + size + 4
+        out = self.data[self.at : self.at + n]
+        self.at += n
+        return out
+
+
+def parse_records(source: Any) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and blocks of all records of a file (a stream or bytes). One record is held at a time."""
+    stream = _Stream(io.BytesIO(source) if isinstance(source, bytes) else source)
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        lines = head.decode("utf-8", "replace").strip().split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+        yield headers, stream.exactly(int(headers["content-length"]))
+        stream.until(b"\r\n\r\n")
 
 
 def revisit_targets(pages: DataFrame, id_col: str = "page_id", body_col: str = "html") -> DataFrame:
-    """(page, digest, bytes, original): for each distinct id and payload the page that it revisits, else null.
+    """(page, digest, bytes, copies, original): for each distinct id and payload how many rows have both, and the page that they revisit, else null.
 
     Only digests are shuffled. Pages of one payload are a hot key at worst in a join that the adaptive skew join splits; their minimum is combined before the shuffle.
     """
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
-    light = pages.select(F.col(id_col).cast("long").alias("page"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes")).distinct()
+    each = pages.select(F.col(id_col).cast("long").alias("page"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
+    light = each.groupBy("page", "digest", "bytes").agg(F.count("*").alias("copies"))
     first = light.where((F.col("bytes") >= LEAST) & F.col("page").isNotNull()).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
     joined = light.join(first, "digest", "left")
-    return joined.select("page", "digest", "bytes", F.when(F.col("page") > F.col("first"), F.col("first")).alias("original"))
+    return joined.select("page", "digest", "bytes", "copies", F.when(F.col("page") > F.col("first"), F.col("first")).alias("original"))
 
 
 def write_archives(pages: DataFrame, ws: Workspace, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> str:
     """Write one record for each row of pages into compressed archives in the shared folder; returns the folder's address.
 
-    A null html is an empty payload; a null or repeated page id is written like any other, as is a null url. Nothing else of pages is read.
+    A null html is an empty payload; a null or repeated page id is written like any other, as is a null url; every record has an identifier of its own. Nothing else of
+    pages is read. A manifest beside the folder names the archives of the tasks that ended; what tasks left that didn't is not in it. No pages give no archives.
     """
     spark = pages.sparkSession
-    small_batches(spark)
-    folder, name = ws.mounted("warc"), f"{ws.path}/warc"
+    name = f"{ws.path}/warc"
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha2(F.encode(body, "UTF-8"), 256).alias("sha"))
     targets = revisit_targets(pages, id_col, body_col)
-    rows = rows.join(targets, rows.id.eqNullSafe(targets.page) & (rows.sha == targets.digest)).select("id", "url", "body", "digest", "original")
+    rows = rows.join(targets, rows.id.eqNullSafe(targets.page) & (rows.sha == targets.digest)).select("id", "url", "body", "digest", "copies", "original")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, k, n = TaskContext.get().partitionId(), 0, 0
-        buffer, size = [], 0
-        os.makedirs(folder, exist_ok=True)
-
-        def close() -> pa.RecordBatch:
-            path = f"part-{task:06d}-{k:04d}.warc.gz"
-            own = f"{folder}/.{path}-{os.urandom(4).hex()}"
-            with open(own, "wb") as f:
-                f.writelines(buffer)
-            os.replace(own, f"{folder}/{path}")  # whole or not at all; a task that runs again puts the same bytes in its place
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size])], ["path", "bytes"])
-
-        seen: dict[int, int] = {}
+        task, attempt, k, n = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, 0
+        out, path, size = None, "", 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size])], ["path", "bytes"])
         for batch in batches:
-            for page, url, text, digest, original in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "body", "digest", "original"))):  # noqa: B905
-                again = seen[page] = seen.get(page, -1) + 1
-                record_id = f"urn:page:{page}" if page is not None and not again else f"urn:page:{page}:{task}.{n}"
+            for page, url, text, digest, copies, original in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "body", "digest", "copies", "original")), strict=True):
                 n += 1
+                record_id = page_urn(page, digest) + (f":{task}.{n}" if copies > 1 else "")
+                if out is None:
+                    path, size = f"{name}/part-{task:06d}-{attempt}-{k:04d}.warc.gz", 0
+                    out = writer(path)
                 for record in page_records(record_id, page, url, text.encode("utf-8", "surrogatepass"), digest, original):
                     c = zlib.compressobj(3, zlib.DEFLATED, 31)
                     data = c.compress(record) + c.flush()
-                    buffer.append(data)
+                    out.write(data)
                     size += len(data)
                 if size >= FILE:
-                    yield close()
-                    k, buffer, size = k + 1, [], 0
-        if buffer:
-            yield close()
-
-    ws.save(rows.mapInArrow(run, "path string, bytes long"), "manifest")
+                    out.close()
+                    yield done()
+                    out, k = None, k + 1
+        if out is not None:
+            out.close()
+            yield done()
+
+    with small_batches(spark):
+        rows.mapInArrow(run, "path string, bytes long").write.parquet(f"{name}-manifest")
     return name
 
 
-def read_archives(spark: SparkSession, address: str) -> DataFrame:
+def archives(spark: SparkSession, address: str) -> DataFrame:
+    """(path): the archives of a folder, those of its manifest if it has one; their contents are not read."""
+    if path_exists(spark, f"{address}-manifest"):
+        return spark.read.schema("path string, bytes long").parquet(f"{address}-manifest").select("path")
+    if not path_exists(spark, address):
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(address).select("path")
+
+
+_SCHEMA = "origin string, segment int, total long, kind string, page_id long, refers_to long, uri string, digest string, bytes long, block binary"
+_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+_NAMES = [x.strip().split()[0] for x in _SCHEMA.split(",")]
+
+
+def _payload(origin: str, digest: str | None, block: bytes) -> bytes:
+    """The body of a response's block, its framing decoded and its digest verified."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    body = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if digest and hashlib.sha256(body).hexdigest() != digest:
+        raise ValueError(f"{origin}: the payload doesn't have the stated digest")
+    return body
+
+
+def read_archives(spark: SparkSession, address: str, payload: bool = True) -> DataFrame:
     """(record_id, page_id, record_type, refers_to, target_uri, digest, payload_bytes, payload binary) of the responses and revisits of all archives in a folder.
 
     Segments are grouped by the identifier of their origin, ordered by number, and must be without gaps and of the stated total length; chunked framing
     is decoded and the payload's digest verified; whatever doesn't hold is an error. A group is one record, so its size is bounded by that record.
-    A revisit's payload is null; its digest and size are those of the full payload. A folder without archives gives no rows.
+    A revisit's payload is null; its digest and size are those of the full payload. payload=False verifies alike but leaves payloads out. A folder without archives gives no rows.
+    Archives are read record by record and only once: whole records are finished where they are read, and segments alone go on.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(address).select("content")
-    schema = "origin string, segment int, total long, kind string, page_id long, refers_to long, uri string, digest string, bytes long, block binary"
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    ws = Workspace(spark, "warc-read")
     bare = lambda x: x.strip("<>")
-    small_batches(spark)  # a file is a row larger than a batch's bytes, so it comes alone
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
         for batch in batches:
-            for k in range(batch.num_rows):
+            for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                for h, block in parse_records(batch.column("content")[k].as_py()):
-                    if h["warc-type"] not in ("response", "revisit", "continuation"):
-                        continue
-                    page, refers = h.get("x-page-id"), bare(h.get("warc-refers-to", "")).rpartition(":")[2]
-                    rows.append((
-                        bare(h.get("warc-segment-origin-id", h["warc-record-id"])), int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                        h["warc-type"], int(page) if page else None, int(refers) if refers else None, h.get("warc-target-uri"), h.get("warc-payload-digest", "").rpartition(":")[2],
-                        int(h["x-payload-bytes"]) if "x-payload-bytes" in h else None, block,
-                    ))
-                    size += len(block)
-                    if size > FILE // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)  # noqa: B905
-                        rows, size = [], 0
+                with reader(path) as source:
+                    for h, block in parse_records(source):
+                        kind, page = h["warc-type"], h.get("x-page-id")
+                        if kind not in ("response", "revisit", "continuation"):
+                            continue
+                        origin, segment = bare(h.get("warc-segment-origin-id", h["warc-record-id"])), int(h.get("warc-segment-number", 0))
+                        refers = h.get("x-refers-to-page")
+                        digest, total = h.get("warc-payload-digest", "").rpartition(":")[2] or None, h.get("warc-segment-total-length")
+                        full = int(h["x-payload-bytes"]) if "x-payload-bytes" in h else None
+                        if not segment:
+                            block = _payload(origin, digest, block) if kind == "response" else None
+                            full = full if block is None else len(block)
+                            block = block if payload else None
+                        rows.append((origin, segment, int(total) if total else None, kind, int(page) if page else None, int(refers) if refers else None, h.get("warc-target-uri"), digest, full, block))
+                        size += len(block or b"") + 256
+                        if size > FILE // 4:
+                            yield made(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)  # noqa: B905
-
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    records = files.mapInArrow(parse, schema)
-    # whole records go on as they are; only segments are shuffled
-    whole = records.where("segment = 0").select("origin", "kind", "page_id", "refers_to", "uri", "digest", "bytes", F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"), F.lit(True).alias("ordered"))
-    parts = records.where("segment > 0").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
-        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "uri", "digest", "bytes")),
-    )
-    ordered = (F.col("parts.segment") == F.sequence(F.lit(1), F.size("parts"))) & F.col("total").isNotNull() & F.col("kind").isNotNull()
-    parts = parts.select("origin", "kind", "page_id", "refers_to", "uri", "digest", "bytes", F.col("parts.block").alias("blocks"), "total", ordered.alias("ordered"))
-    out_types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    out_names = ["record_id", "page_id", "record_type", "refers_to", "target_uri", "digest", "payload_bytes", "payload"]
+                    yield made(rows)
 
-    def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                block = b"".join(r["blocks"])
-                if not r["ordered"] or (r["total"] is not None and r["total"] != len(block)):
+                block = b"".join(p["block"] for p in r["parts"])
+                if not r["ordered"] or r["total"] != len(block):
                     raise ValueError(f"{r['origin']}: segments are missing or don't have the stated length")
-                body = None
-                if r["kind"] == "response":
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    body = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                    if r["digest"] and hashlib.sha256(body).hexdigest() != r["digest"]:
-                        raise ValueError(f"{r['origin']}: the payload doesn't have the stated digest")
-                rows.append((r["origin"], r["page_id"], r["kind"], r["refers_to"], r["uri"], r["digest"], r["bytes"] if body is None else len(body), body))
+                body = _payload(r["origin"], r["digest"], block) if r["kind"] == "response" else None
+                rows.append((r["origin"], r["page_id"], r["kind"], r["refers_to"], r["uri"], r["digest"], r["bytes"] if body is None else len(body), body if payload else None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_types)], out_names)  # noqa: B905
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_types, strict=True)], out_names)
 
+    out_types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    out_names = ["record_id", "page_id", "record_type", "refers_to", "target_uri", "digest", "payload_bytes", "payload"]
     schema = "record_id string, page_id long, record_type string, refers_to long, target_uri string, digest string, payload_bytes long, payload binary"
-    return whole.unionByName(parts).mapInArrow(payload, schema)
+    with small_batches(spark):
+        records = ws.save(archives(spark, address).repartition(partitions(spark), "path").mapInArrow(parse, _SCHEMA), "records")
+        whole = records.where("segment = 0").select("origin", "page_id", "kind", "refers_to", "uri", "digest", "bytes", "block").toDF(*out_names)
+        parts = records.where("segment > 0").groupBy("origin").agg(
+            F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
+            *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "uri", "digest", "bytes")),
+        )
+        ordered = (F.col("parts.segment") == F.sequence(F.lit(1), F.size("parts"))) & F.col("total").isNotNull() & F.col("kind").isNotNull()
+        long = ws.save(parts.withColumn("ordered", ordered).mapInArrow(joined, schema), "joined")
+    return (whole if payload else whole.withColumn("payload", F.lit(None).cast("binary"))).unionByName(long)
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: digests and kinds of records."""
     ws = Workspace(spark, "warc")
-    back = read_archives(spark, write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), ws))
+    back = read_archives(spark, write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), ws), payload=False)
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
