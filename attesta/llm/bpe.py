@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import os
 from array import array
 from bisect import bisect_left
@@ -16,12 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, small_batches, text_batches
+from .common import Workspace, fresh, partitions, small_batches, text_batches, text_bytes
 
 #: A block of documents ends when it holds so many words or distinct words. Blocks bound the memory of every task.
 BLOCK_WORDS, BLOCK_DISTINCT = 1 << 22, 1 << 19
-#: Words that are encoded together as one text.
-TOGETHER = 64
+#: Words that are encoded together as one text; words of texts that are looked up together.
+TOGETHER, STEP = 64, 1 << 20
+#: Bytes of texts for which there is one shard of words at least.
+SHARD_BYTES = 256 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -171,25 +173,33 @@ class BlockWords:
     """The ids of a block's words: those of the word of rank p are flat[starts[p]:starts[p] + sizes[p]]."""
 
     def __init__(self, table: pa.Table, top: np.ndarray) -> None:
-        replies = [r for _, r in sorted(zip(table.column("shard").to_pylist(), table.column("reply").to_pylist()))]  # noqa: B905
+        replies = [r for _, r in sorted(zip(table.column("shard").to_pylist(), table.column("reply").to_pylist(), strict=True))]
         parts = [tuple(map(_unplaned, _parted(r))) for r in replies]
         sizes, self.flat = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4") for i in (0, 1))
         order = _in_order(top, len(sizes))
         self.sizes = sizes[order].astype(np.int64)
         self.starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
 
-    def each(self) -> Iterator[list[int]]:
-        """The ids of every word, in the order of places."""
-        flat = self.flat.tolist()
-        return (flat[a : a + n] for a, n in zip(self.starts.tolist(), self.sizes.tolist()))  # noqa: B905
-
-    def packed(self) -> list[bytes]:
-        """The same as little-endian unsigned 32-bit numbers."""
-        raw = self.flat.astype("<u4").tobytes()
-        return [raw[4 * a : 4 * (a + n)] for a, n in zip(self.starts.tolist(), self.sizes.tolist())]  # noqa: B905
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """The ids of words by their ranks, one after another."""
+        n = self.sizes[places]
+        first = self.starts[places] - (np.cumsum(n) - n)
+        return self.flat[np.repeat(first, n) + np.arange(n.sum())]
+
+    def texts(self, places: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, ids, ends) of runs of texts that have about STEP words together: their ids, and where each text's end."""
+        ends = np.cumsum([0, *sizes])
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, "right")) - 1)
+            own = places[ends[at] : ends[to]]
+            counts = np.append(0, np.cumsum(self.sizes[own]))
+            yield at, to, self.ids(own), counts[ends[at + 1 : to + 1] - ends[at]]
+            at = to
 
 
-Finish = Callable[[BlockWords, list[list[int]], list], pa.Table]
+#: Makes rows from a block's words, the ranks of all words of its texts, the texts' numbers of words, and the rows' ids.
+Finish = Callable[[BlockWords, np.ndarray, list[int], list], pa.Table]
 
 
 def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long, ids array<int>", path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -197,16 +207,17 @@ def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long
     """(id, ids) for each row of docs: the ids of its whole text. Null and empty texts have none; rows that repeat an id stay apart; other columns are not read.
 
     1. Texts are split into words; a block of documents (bounded in words and distinct words) is written as ranks in the block's own list of distinct words.
-    2. The blocks' lists are dealt by the words' hash, so each shard sees every block's copies of its words and encodes each distinct word once.
+    2. The blocks' lists are dealt by the words' hash, so each shard sees every block's copies of its words and encodes each distinct word once. There are as many shards as
+       the bytes of all texts ask for.
     3. The words' ids go back to the block, where documents look them up by position.
 
-    Texts themselves never cross the network. finish(words, places of each text, row ids) may make other columns, as digests and packing do.
+    Texts themselves never cross the network. finish may make other columns, as packing does. An empty table gives no rows.
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
-    small_batches(spark)
-    ws, shards = Workspace(spark, "bpe"), partitions(spark)
+    ws, shards = Workspace(spark, "bpe"), max(partitions(spark), math.ceil(text_bytes(docs, text_col) / SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = ws.save(rows.mapInArrow(_blocks(shards, block_words, block_distinct), _BLOCK), "blocks")
+    with small_batches(spark):
+        blocks = ws.save(rows.mapInArrow(_blocks(shards, block_words, block_distinct), _BLOCK), "blocks")
 
     def once(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(x).split() for x in table.column("words").to_pylist()]
@@ -215,9 +226,13 @@ def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long
         known, at = [], list(distinct)
         for k in range(0, len(at), 1 << 14):
             known += encode_words(path, at[k : k + (1 << 14)])
-        sizes = np.array([len(x) for x in known], "<u4")
-        packed = [np.array(x, "<u4").tobytes() for x in known]
-        out = [_joined([_planes(sizes[x]), _planes(np.frombuffer(b"".join([packed[p] for p in x.tolist()]), "<u4"))]) for x in places]
+        sizes = np.array([len(x) for x in known], np.int64)
+        flat, ends = np.array([i for x in known for i in x], "<u4"), np.cumsum(sizes)
+        out = []
+        for x in places:
+            n = sizes[x]
+            first = ends[x] - n - (np.cumsum(n) - n)
+            out.append(_joined([_planes(n), _planes(flat[np.repeat(first, n) + np.arange(n.sum())])]))
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "reply": pa.array(out, pa.binary())})
 
     answers = blocks.where("shard >= 0").select("block", "shard", "words").groupBy("shard").applyInArrow(once, "block string, shard int, reply binary")
@@ -225,19 +240,15 @@ def encode(docs: DataFrame, finish: Finish | None = None, schema: str = "id long
     make = finish or _plain
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = []
-        for ids, sizes, places, top in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "places", "top"))):  # noqa: B905
-            flat = _decoded(places).tolist()
-            ends = np.cumsum(sizes).tolist()
-            made.append(make(BlockWords(right, _unplaned(top)), [flat[e - n : e] for e, n in zip(ends, sizes)], ids))  # noqa: B905
-        return pa.concat_tables(made)
+        columns = (left.column(c).to_pylist() for c in ("ids", "sizes", "places", "top"))
+        return pa.concat_tables([make(BlockWords(right, _unplaned(top)), _decoded(places), sizes, ids) for ids, sizes, places, top in zip(*columns, strict=True)])
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, schema)
 
 
-def _plain(words: BlockWords, places: list[list[int]], ids: list) -> pa.Table:
-    of = list(words.each())
-    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array([[i for p in x for i in of[p]] for x in places], pa.list_(pa.int32()))})
+def _plain(words: BlockWords, places: np.ndarray, sizes: list[int], ids: list) -> pa.Table:
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.astype(np.int32))) for _, _, flat, ends in words.texts(places, sizes)]
+    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.chunked_array(lists, pa.list_(pa.int32())).combine_chunks()})
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -247,39 +258,27 @@ def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column `decoded`: its pieces by id, joined by a space, as this vocabulary without a decoder gives them. Empty and null ids give an empty text.
+    """encoded with a column `decoded`: its ids joined to their pieces, with a space between, as this vocabulary without a decoder gives them. Empty and null ids give an empty text.
 
-    The vocabulary joins as a broadcast map: it has a fixed number of rows. Ids that are not in it are skipped. A column named `decoded` is replaced.
+    The vocabulary joins as one broadcast row, an array of pieces by id: it has as many entries as the file, whatever the input. Ids that are not in it are skipped. A column
+    named `decoded` is replaced; others stay, whatever their names.
     """
-    table = pieces(encoded.sparkSession, path).agg(F.map_from_entries(F.collect_list(F.struct("id", "piece"))).alias("_pieces"))
-    looked = F.array_join(F.filter(F.transform(F.col(ids_col), lambda i: F.col("_pieces")[i]), lambda p: p.isNotNull()), " ")
-    return encoded.crossJoin(F.broadcast(table)).withColumn("decoded", F.coalesce(looked, F.lit(""))).drop("_pieces")
+    name = fresh(encoded.columns, "pieces")
+    table = pieces(encoded.sparkSession, path).agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("p"))
+    last = F.element_at("p", -1)["id"]
+    known = F.map_from_entries("p")
+    dense = table.select(F.when(F.size("p") == last + 1, F.col("p.piece")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: known[i])).alias(name))
+    looked = F.array_join(F.transform(F.col(ids_col), lambda i: F.get(F.col(name), i)), " ")  # nulls, for ids beyond the vocabulary, are left out
+    kept = [F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"]
+    return encoded.crossJoin(F.broadcast(dense)).select(*kept, F.coalesce(looked, F.lit("")).alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row: the digests of encode() and decode() made while a block's words are at hand."""
-    path = path or vocabulary_path()
-    names = {i: p.encode() for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
-    numbers = {i: b"%d" % i for i in names}
-    spread = docs.sparkSession.sparkContext.broadcast((names, numbers))  # the id-to-piece table: as many rows as the vocabulary
-
-    def finish(words: BlockWords, places: list[list[int]], ids: list) -> pa.Table:
-        piece, number = spread.value
-        numbers, texts, some = [], [], words.sizes > 0
-        for w in words.each():
-            numbers.append(b" ".join([number[i] for i in w]))
-            texts.append(b" ".join([piece[i] for i in w]))
-        every, sizes = bool(some.all()), words.sizes.tolist()
-        n, a, b = [], [], []
-        for x in places:
-            own = x if every else [p for p in x if sizes[p]]
-            n.append(sum([sizes[p] for p in own]))
-            a.append(hashlib.sha256(b" ".join([numbers[p] for p in own])).hexdigest())
-            b.append(hashlib.sha256(b" ".join([texts[p] for p in own])).hexdigest())
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
-
-    return encode(docs, finish, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, id_col, text_col)
+    """(id, n_tokens, ids_sha256, decoded_sha256) for each row: what encode() gives, decoded by decode()."""
+    back = decode(encode(docs, path=path, id_col=id_col, text_col=text_col), path)
+    return back.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")

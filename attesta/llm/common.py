@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -39,6 +39,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name like this one that none of the taken ones is, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a column's texts. Numbers of shards follow it, so that what one task holds doesn't grow with the input."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")).cast("long")), F.lit(0))).first()[0]
+
+
 # ---------------------------------------------------------------- words as 64-bit hashes, a batch at a time
 
 
@@ -175,5 +188,5 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
 
 
 __all__ = [
-    "BATCH_BYTES", "BATCH_ROWS", "NOT_SPACE", "WORD", "Workspace", "byte_class", "connected_components", "hash_words", "local_components", "mix", "partitions", "shared_root", "small_batches", "text_batches",
+    "BATCH_BYTES", "BATCH_ROWS", "NOT_SPACE", "WORD", "Workspace", "byte_class", "connected_components", "fresh", "hash_words", "local_components", "mix", "partitions", "shared_root", "small_batches", "text_batches", "text_bytes",
 ]

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, local_components, partitions, small_batches
+from .common import Workspace, connected_components, local_components
 
-#: Projections, the window's half-width in standard deviations of a pair at the threshold, and the odds that such a pair is missed.
-PROJECTIONS, WINDOW, MISS = 24, 2.0, 1e-6
+#: Projections, the window's half-width in standard deviations of a pair at the threshold, and the odds that such a pair is missed. A wide window lets far pairs collide more
+#: often, but near ones nearly always, so that fewer projections tell them apart.
+PROJECTIONS, WINDOW, MISS = 16, 3.0, 1e-6
 #: Vectors of one side of a tile.
 TILE = 2048
 SEED = 20240229
@@ -117,19 +116,20 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows with a null label or id. Equal vectors of a label
     become one class before pairs are compared: they link with each other, and a class of any size costs one row. Rows that repeat an id count as vectors of their own.
-    Vectors of different length don't link. More columns are not read.
+    Vectors of different length don't link. An empty table gives no rows. More columns are not read.
     """
     ws = Workspace(table.sparkSession, "embeddings")
-    small_batches(table.sparkSession)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
     rows = rows.withColumn("ok", usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     rows = rows.withColumn("vec", F.when(F.col("ok"), F.transform("vec", lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
-    classes = ws.save(rows.where("ok").groupBy("label", "vec").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "classes")
+    grouped = rows.where("ok").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = ws.save(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")  # keys of their own, as an id may have several vectors
     found = ws.save(cosine_links(classes.select(F.col("class").alias("id"), "label", "vec", "copies"), threshold), "links")
     links = found.where("id2 IS NULL").groupBy(F.col("id").alias("class")).agg(F.sum("linked").alias("linked"))
-    groups = connected_components(found.where("id2 IS NOT NULL").select(F.col("id").alias("u"), F.col("id2").alias("v")), ws).withColumnRenamed("node", "class")
-    named = classes.join(links, "class", "left").join(groups, "class", "left")
-    named = named.select("label", "vec", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    groups = ws.save(connected_components(found.where("id2 IS NOT NULL").select(F.col("id").alias("u"), F.col("id2").alias("v")), ws).withColumnRenamed("node", "class"), "groups")
+    smallest = groups.join(classes.select("class", "first"), "class").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = classes.join(links, "class", "left").join(groups, "class", "left").join(smallest, "component", "left")
+    named = named.select("label", "vec", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     out = rows.join(named, ["label", "vec"], "left").select(
         "id", F.when(F.col("ok"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
@@ -137,6 +137,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors with equal labels at a cosine of 0.93."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BlockWords, encode
-from .common import Workspace
+from .common import Workspace, fresh
 
 #: Pieces that one task packs. A group of so many ends with at most a fraction of a bin unfilled.
 GROUP = 16384
@@ -37,19 +38,23 @@ def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, path: str
     ids are packed for the way; pack() gives them back as little-endian unsigned 32-bit numbers.
     """
 
-    def finish(words: BlockWords, places: list[list[int]], doc_ids: list) -> pa.Table:
-        of, end, step = words.packed(), np.array([end_id], "<u4").tobytes(), 4 * limit
+    def finish(words: BlockWords, places: np.ndarray, sizes: list[int], doc_ids: list) -> pa.Table:
         out: list[tuple] = []
-        for id_, x in zip(doc_ids, places):  # noqa: B905
-            ids = b"".join([of[p] for p in x]) + end
-            for k, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                out.append((id_, k, at // 4, len(part) // 4, zlib.crc32(part), packed_ids(part) if with_ids else None))
+        for at, to, flat, ends in words.texts(places, sizes):
+            raw, starts = flat.astype("<u4"), np.append(0, ends)
+            for id_, a, b in zip(doc_ids[at:to], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                n = b - a + 1  # with the end
+                for k, start in enumerate(range(0, n, limit)):
+                    part = raw[a + start : min(b, a + start + limit)].tobytes()
+                    if start + limit >= n:
+                        part += end
+                    out.append((id_, k, start, len(part) // 4, zlib.crc32(part), packed_ids(part) if with_ids else None))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]  # noqa: B905
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
         names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
         return pa.table(cols if with_ids else cols[:-1], names=names if with_ids else names[:-1])
 
+    end = np.array([end_id], "<u4").tobytes()
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return encode(docs, finish, schema, path, id_col, text_col)
 
@@ -179,39 +184,41 @@ class Bins:
 def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP) -> DataFrame:
     """pieces (any columns; id, piece, length) with sequence_id long and offset long: sequences of at most limit tokens, without gaps.
 
-    Pieces of the full length are sequences of their own. The others are dealt evenly to groups of a bounded size by a hash of the whole row's key; each group is
-    packed by best fit on its own, then searched for swaps. Rows of equal key and length may share a group however many they are: a hash of their
-    place spreads them. Columns sequence_id and offset of the input are replaced; a column `ids` is unpacked.
+    Pieces of the full length are sequences of their own and never grouped, so few very long texts don't meet in one task. The others are dealt evenly to groups of a bounded
+    size; each group is packed by best fit on its own, then searched for swaps. Rows of equal key and length may share a group however many they are: a hash of their
+    place spreads them. Columns sequence_id and offset of the input are replaced; a column `ids` is unpacked; other columns stay, whatever their names. An empty table gives no rows.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     n = pieces.where(F.col("length") < limit).count()
-    groups = max(1, math.ceil(n / group))
-    # pieces of the full length only get an id, in whatever group they fall
-    keyed = pieces.select(*names, F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(groups)).alias("_g"))
+    groups, g = max(1, math.ceil(n / group)), fresh(names, "_group")
+    columns = [F.col(f"`{c}`") for c in names]
+    keyed = pieces.where(F.col("length") < limit).select(*columns, F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(groups)).alias(g))
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in names) + ", sequence_id long, offset long"
+
+    def unpacked(table: pa.Table) -> pa.Table:
+        if "ids" not in names:
+            return table
+        return table.set_column(table.column_names.index("ids"), "ids", pa.array([None if x is None else unpacked_ids(x) for x in table.column("ids").to_pylist()], pa.binary()))
 
     def run(table: pa.Table) -> pa.Table:
-        g = table.column("_g")[0].as_py()
+        first = table.column(g)[0].as_py() << 32
         lengths = table.column("length").to_numpy().astype(np.int64)
         seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        part = np.flatnonzero(lengths < limit)
-        whole = np.flatnonzero(lengths >= limit)
-        bins = Bins(lengths[part], limit)
+        bins = Bins(lengths, limit)
         bins.search()
-        k = 0
-        for items in bins.items:
-            if items:
-                own = part[items]
-                seq[own] = k
-                off[own] = np.cumsum(lengths[own]) - lengths[own]
-                k += 1
-        seq[whole] = np.arange(k, k + len(whole))
-        if "ids" in names:
-            table = table.set_column(table.column_names.index("ids"), "ids", pa.array([None if x is None else unpacked_ids(x) for x in table.column("ids").to_pylist()], pa.binary()))
-        return table.drop_columns(["_g"]).append_column("sequence_id", pa.array(g * (1 << 32) + seq)).append_column("offset", pa.array(off))
+        for k, items in enumerate(x for x in bins.items if x):
+            seq[items] = first + k
+            off[items] = np.cumsum(lengths[items]) - lengths[items]
+        return unpacked(table.drop_columns([g])).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in names) + ", sequence_id long, offset long"
-    return keyed.groupBy("_g").applyInArrow(run, schema)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from unpacked(pa.Table.from_batches([batch])).to_batches()
+
+    full = pieces.where(F.col("length") >= limit).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = full.mapInArrow(whole, schema) if "ids" in names else full
+    return keyed.groupBy(g).applyInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, limit: int = 2048, with_ids: bool = True, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,5 +231,6 @@ def pack_documents(docs: DataFrame, limit: int = 2048, with_ids: bool = True, pa
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
     out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Workspace, connected_components, local_components, partitions, small_batches, text_batches
+from .common import Workspace, connected_components, fresh, local_components, partitions, small_batches, text_batches
 
 BITS = 64
 #: Fingerprints that one trie node aims to hold when the join starts.
 NODE = 256
 #: Node pairs with more fingerprints than this are opened further before one task gets them.
 OPEN = 1 << 16
+#: Rows that one partition of the traversal holds on average at most.
+ROWS = 1 << 18
 #: Leaf buckets: a node pair whose sides hold at most so many fingerprints is compared directly.
 LEAF = 8
 #: Node pairs that one step of the local traversal expands, a bound on its memory.
@@ -65,7 +67,6 @@ def _majorities(hashes: list[list[int]]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): a signed 64-bit fingerprint for every row. Null text counts as empty; fingerprint zero. Other columns are not read."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
@@ -158,8 +159,8 @@ def traverse(fp: np.ndarray, pairs: np.ndarray, depth: int, budget: int) -> tupl
     return np.concatenate(found_a or empty), np.concatenate(found_b or empty)
 
 
-def _traversed(rows: DataFrame, depth: int, budget: int) -> DataFrame:
-    """(u, v): for each partition a spanning forest of the links between fingerprints of its node pairs."""
+def _traversed(rows: DataFrame, parts: int, depth: int, budget: int) -> DataFrame:
+    """(u, v): for each of so many partitions a spanning forest of the links between fingerprints of its node pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -183,8 +184,7 @@ def _traversed(rows: DataFrame, depth: int, budget: int) -> DataFrame:
         own = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["u", "v"])
 
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "pa", "pb").mapInArrow(run, "u long, v long")
+    return rows.repartition(parts, "pa", "pb").mapInArrow(run, "u long, v long")
 
 
 def hamming_links(classes: DataFrame, budget: int = 2, node: int = NODE, most: int = OPEN) -> DataFrame:
@@ -195,6 +195,8 @@ def hamming_links(classes: DataFrame, budget: int = 2, node: int = NODE, most: i
     becomes one task. Edges are a spanning forest per task: every linked pair ends up connected; not every link is returned.
     """
     n = classes.count()
+    # every fingerprint meets those of all nodes within the budget; partitions follow that number, so that none grows with the input
+    spread = lambda depth: max(partitions(classes.sparkSession), math.ceil(n * len(_masks(depth, budget)) / ROWS))
     depth = min(24, max(0, math.ceil(math.log2(max(1, n) / node))))
     rows = classes.select(F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), F.lit(0).alias("side"), "fp", "node")
     rows = _opened(rows, 0, depth, budget) if depth else rows
@@ -202,11 +204,11 @@ def hamming_links(classes: DataFrame, budget: int = 2, node: int = NODE, most: i
     while True:
         big = classes.groupBy(_prefix(depth).alias("p")).count().where(F.col("count") * 2 > most).select("p") if depth < BITS else None
         if big is None or big.isEmpty():
-            found = _traversed(rows, depth, budget)
+            found = _traversed(rows, spread(depth), depth, budget)
             return found if out is None else out.unionByName(found)
         mark = lambda df, side: df.join(big.select(F.col("p").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
         marked = mark(mark(rows, "pa"), "pb").withColumn("_big", F.coalesce("_pa", "_pb", F.lit(False)))
-        done = _traversed(marked.where(~F.col("_big")).select(rows.columns), depth, budget)
+        done = _traversed(marked.where(~F.col("_big")).select(rows.columns), spread(depth), depth, budget)
         out = done if out is None else out.unionByName(done)
         step = min(8, BITS - depth)
         rows = _opened(marked.where("_big").select(rows.columns), depth, step, budget)
@@ -218,10 +220,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Equal fingerprints become one class before anything is joined, so a group of copies costs one row however large it is. Null and empty texts have
     fingerprint zero and are linked like any other. Rows with a null id have a null component and link nothing. Rows that repeat an id keep their own fingerprints.
+    Words split at white space; texts are read whole. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")
-    prints = ws.save(fingerprints(docs, id_col, text_col, width), "prints")
+    with small_batches(spark):
+        prints = ws.save(fingerprints(docs, id_col, text_col, width), "prints")
     classes = ws.save(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "classes")
     groups = connected_components(hamming_links(classes, budget), ws)
     named = classes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -231,11 +235,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the first of their group of near-duplicates. Rows with a null id stay, and an id whose rows differ stays if one of them does. All columns stay as they are."""
     found = simhash_components(docs, id_col, text_col)
-    gone = found.groupBy(F.col("id").alias(id_col)).agg(F.min(F.col("id") != F.col("component_id")).alias("_gone")).where("_gone").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = found.groupBy("id").agg(F.min(F.col("id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("id").alias(fresh(docs.columns, "gone")))
+    return docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti").select(docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all documents, on shingles of three words and two differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = simhash_components(docs)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

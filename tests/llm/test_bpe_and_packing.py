@@ -117,6 +117,57 @@ def test_moves_and_swaps():
         assert sum(f * f for f in bins.fill) >= squares and max(bins.fill) <= 100 and sorted(i for b in bins.items for i in b) == list(range(len(lengths)))
 
 
+def least_bins(lengths, size):
+    """The fewest bins, by trying all ways to place the longest first."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, [r - lengths[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, size - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_cases_equal_the_best_packing():
+    rng = np.random.default_rng(9)
+    more = 0
+    for _ in range(150):
+        lengths = rng.choice([34, 33, 51, 26, 23, 49, 17, 60], rng.integers(4, 10))
+        bins = Bins(lengths, 100)
+        bins.search()
+        more += sum(map(bool, bins.items)) - least_bins(lengths.tolist(), 100)
+    assert more <= 3  # of 150 cases; a local search may end one bin beside the best
+
+
+def test_best_fit_is_beaten():
+    """Longest first leaves 6 bins where 5 hold all; swaps find them."""
+    lengths = np.array([70, 60, 50, 33, 33, 33, 31, 30, 30, 30, 40, 60])
+    bins = Bins(lengths, 100)
+    before = sum(map(bool, bins.items))
+    bins.search()
+    assert sum(map(bool, bins.items)) == least_bins(lengths.tolist(), 100) <= before
+
+
+def test_full_pieces_and_clashing_names(spark):
+    """Pieces of the full length are sequences of their own in no group; columns named like the operator's own stay."""
+    rows = [(i, 0, 100 if i % 2 else 30, "g", "h") for i in range(40)] + [(None, 0, 100, None, None)]
+    df = spark.createDataFrame(rows, "id long, piece int, length int, _group string, _g string")
+    from attesta.llm.packing import pack
+
+    got = pack(df, 100).collect()
+    assert len(got) == 41 and {r._group for r in got} == {"g", None} and {r._g for r in got} == {"h", None}
+    full = [r.sequence_id for r in got if r.length == 100]
+    assert len(set(full)) == 21 and not set(full) & {r.sequence_id for r in got if r.length == 30}
+    assert pack(df.where("id IS NULL"), 100).count() == 1 and pack(df.limit(0), 100).count() == 0
+
+
 def test_codes_of_ranks():
     from attesta.llm.bpe import ONE, TWO, _coded, _decoded, _joined, _parted, _planes, _unplaned
 

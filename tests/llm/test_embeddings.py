@@ -39,6 +39,13 @@ def test_links_equal_brute_force(spark):
     assert max(len(v) for v in near.values()) > 3
 
 
+def test_repeated_ids_with_different_vectors(spark):
+    """Rows of one id are vectors of their own: what is near one of them isn't linked with what is near the other."""
+    data = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (7, [1.0, 0.0], 1), (8, [1.0, 0.0], 1), (8, [-1.0, 0.0], 1)]
+    got = sorted((r.id, r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame([(*r, "x", "y") for r in data], SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True), (8, 0, 8, True), (8, 1, 7, False)]
+
+
 def test_tiles_change_nothing(spark):
     from attesta.llm import embeddings
 
@@ -101,3 +108,72 @@ def test_strays_beside_clusters_find_k(spark):
     for r in search(df, df.where("vec_id % 25 = 0")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert set(got) == set(range(0, 4000, 25)) and all(len(ids) == len(set(ids)) == 20 for ids in got.values())
+
+
+def test_every_length_is_searched(spark):
+    """Vectors of all lengths have neighbours among their like, and rows that repeat an id are one result."""
+    rng = np.random.default_rng(2)
+    data = [(i, [float(v) for v in rng.normal(size=4 + i % 3)], 0, "a", "b") for i in range(150)] + [(149, [9.0, 9.0, 9.0, 9.0, 9.0, 9.0], 0, "a", "b")]
+    got = {}
+    for r in search(spark.createDataFrame(data, SCHEMA), spark.createDataFrame(data[:30], SCHEMA), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    assert set(got) == set(range(30))
+    hit = 0
+    for q, found in got.items():
+        v = np.array(np.float32(data[q][1]), float)
+        best = {}
+        for i, w, *_ in data:
+            if i != q and len(w) == len(v):
+                best[i] = max(best.get(i, -np.inf), float(v @ np.array(np.float32(w), float)))
+        assert len({i for _, i, _ in found}) == 5 and all(s == pytest.approx(best[i], abs=1e-12) for _, i, s in found)
+        assert [(-s, i) for _, i, s in sorted(found)] == sorted((-s, i) for _, i, s in found)
+        hit += len({i for _, i, _ in found} & set(sorted(best, key=lambda i: (-best[i], i))[:5]))
+    assert hit / 150 >= 0.9
+
+
+def test_perturbations_rise_and_differ():
+    """Sequences begin with the bucket itself, cross one border of a hash at most, never repeat, and rise in the expected score."""
+    from attesta.llm.neighbours import sequence
+
+    t = sequence(5, 400)
+    assert not t[0].any() and len({r.tobytes() for r in t}) == len(t) == 3**5
+    assert not (t * t[:, ::-1]).any() and t[1, 0] == 1
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_query_s_own_table(spark, size):
+    import os
+
+    from attesta.llm.neighbours import op10_nearest_neighbours
+
+    folder = f"/root/testdata/{size}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    got = {}
+    for r in op10_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    t = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    ids, x = np.array(t.column("vec_id").to_pylist()), np.array(t.column("embedding").to_pylist(), float)
+    hit = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(got[ids[i]] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hit / 20 / len(got) >= 0.9
+
+
+def test_work_is_less_than_all_pairs():
+    """On vectors with structure, buckets hold few of all rows; probes find their like all the same."""
+    from attesta.llm.neighbours import TABLES, fitted
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(200, 32)), 20, axis=0) + rng.normal(size=(4000, 32)) * 0.3
+    q = x[::100]
+    near = [x[np.argsort(-(x @ v))[1:11]] for v in q]
+    index = fitted(32, float(np.linalg.norm(x, axis=1).max()), len(x), q, near, x)
+    seen = np.zeros((len(q), len(x)), bool)
+    for t in range(TABLES):
+        own, probes = index.buckets(x, t)[1], index.probed(q, t)[1]
+        seen |= np.array([np.isin(own, p) for p in probes])
+    found = np.mean([seen[i, np.argsort(-(x @ v))[1:11]].mean() for i, v in enumerate(q)])
+    assert found >= 0.9 and seen.mean() < 0.35
