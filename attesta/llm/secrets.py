@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 # The patterns of the three kinds that are always reported.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -16,34 +19,51 @@ LEAST_VALUE = 12
 
 #: What the battery looks at: runs of characters that encodings use.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Rate of changes between character classes that ordinary names and words stay under; the levels of the tests; the false-discovery rate.
-CHANGES, LEVEL, FALSE = 0.15, 3.3, 0.01
-#: The same rate where letters have one case, so that only changes to and from digits count.
-ONE_CASE = 0.05
+#: Rates of changes between character classes that ordinary names and words stay under, in mixed case and where letters have one case, so that only changes to and from
+#: digits count; and the false-discovery rate.
+CHANGES, ONE_CASE, FALSE = 0.15, 0.05, 0.01
 #: Rate of changes between vowels and consonants that runs of letters of one case stay over, and their least length: shorter ones count as words.
 SPOKEN, LETTERS = 0.5, 28
 #: Lengths that begin a band; each band has a cut of its own, since short strings give weaker evidence and are far more frequent.
 BANDS = (20, 28, 40, 64)
 #: p-values are counted in bins of a quarter of a natural logarithm.
 BINS, LAST_BIN = 4, 400
+#: Elements that are summed together where sums run along an array.
+RUN = 256
+#: Code points of one part of a text that is cut into pieces.
+PART = 1 << 16
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
 _SPAN = "array<struct<start:long,end:long,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array what all elements before it join to. Blocks are joined first, so that long arrays don't take the square of their length."""
+    fold = lambda x: F.aggregate(x, zero, join)
+    blocks = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda b: fold(F.slice(values, b * RUN + 1, F.lit(RUN)))))
+    before = lambda own: F.transform(own, lambda _, b: fold(F.slice(own, F.lit(1), b)))
+    block = lambda i: F.floor(i / F.lit(RUN)).cast("int")
+    all_of = lambda heads: F.transform(values, lambda _, i: join(heads[block(i)], fold(F.slice(values, block(i) * RUN + 1, i % RUN))))
+    return F.when(F.size(values) > 0, _let(blocks, lambda x: _let(before(x), all_of)))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches with their places in code points. Texts without one are not split."""
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def places(one: Column) -> Column:
+        hits, gaps = one["hits"], F.transform(F.slice(one["parts"], F.lit(1), F.size(one["hits"])), lambda g: F.length(g).cast("long"))
+        both = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.length(h).cast("long").alias("length"), h.alias("hit")))
+        steps = lambda rows: _running(F.transform(rows, lambda r: r["gap"] + r["length"]), F.lit(0).cast("long"), lambda x, y: x + y)
+        span = lambda r, at: F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["length"]).alias("end"), r["hit"].alias("value"))
+        return _let(both, lambda rows: F.zip_with(rows, steps(rows), span))
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    once = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(once, places)).otherwise(F.array().cast(_SPAN))
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -60,42 +80,74 @@ def _class(c: Column) -> Column:
     return F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4)
 
 
+def _below(z: Column) -> Column:
+    """The odds that a normal number is below z, by a logistic curve that stays within 0.0002 and is right in order of magnitude in both tails."""
+    return 1 / (1 + F.exp(-F.least(F.greatest(z * (1.5976 + 0.07056 * z * z), F.lit(-600.0)), F.lit(600.0))))
+
+
+def _cauchy(p: Column, q: Column) -> Column:
+    """cot(pi p), given q = 1 - p as well so that neither end is lost."""
+    pi = math.pi
+    safe = lambda x: F.greatest(x, F.lit(1e-290))
+    return F.when(p <= 0.5, 1 / F.tan(safe(p) * pi)).otherwise(-1 / F.tan(safe(q) * pi))
+
+
+def _evidence(text: Column, n: Column, size: Column, letters: Column, squares: Column, correlation: Column, changed: Column) -> Column:
+    """-log of the combined p-value of the three tests, zero or more.
+
+    Each p-value is small for what random characters do and ordinary text doesn't: counts no further from even than chance puts them (chi-squared, as a normal number by the
+    cube root), neighbours that correlate no more than chance makes them, and changes of class at a rate that text doesn't have, by the bound exp(-n KL(rate, text's rate)). They
+    depend on each other, so they are joined by the Cauchy combination, which holds all the same; a test that is sure of text outweighs what the others found.
+    """
+    free = size - 1
+    chi = squares * size / n - n
+    z = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+    r = F.abs(correlation) * F.sqrt(n)
+    rate = changed / (n - 1)
+    safe = F.least(F.greatest(rate, F.lit(0.001)), F.lit(0.999))
+    unlike = (n - 1) * (safe * F.log(safe / text) + (1 - safe) * F.log((1 - safe) / (1 - text)))
+    random = F.when(letters, (rate < text) & (n >= LETTERS)).otherwise(rate > text)
+    runs = F.when(random, F.exp(-F.least(unlike, F.lit(600.0)))).otherwise(F.lit(1.0))
+    even, apart = _below(z), 2 * _below(r) - 1
+    parts = [_cauchy(even, _below(-z)), _cauchy(apart, 2 * _below(-r)), _cauchy(runs, 1 - runs)]
+    t = (parts[0] + parts[1] + parts[2]) / 3
+    return F.when(random, F.when(t > 1e3, F.log(t * math.pi)).otherwise(F.greatest(-F.log(0.5 - F.atan(t) / math.pi), F.lit(0.0)))).otherwise(F.lit(0.0))
+
+
 def _tested(span: Column) -> Column:
-    """A candidate with its evidence against ordinary text, as a bin of the p-value's logarithm; bin 0 for what a test of randomness rejects.
+    """A candidate with its evidence against ordinary text, as a bin of the combined p-value's logarithm.
 
-    The encoding is inferred from the characters: hexadecimal, letters, base 32 or base 36 in one case, base 62, or base 64. Then
-    - chi-squared: the squared counts must not exceed those of uniform characters of that alphabet by LEVEL standard deviations;
-    - serial correlation: neighbouring values must not correlate, at the same level;
-    - runs: changes between lower case, upper case, digits and signs, as many as a random string has, must be more than a text's; in letters of one case
-      changes between vowels and consonants must be fewer. Its p-value is the bound exp(-n KL(rate, the encoding's rate for texts)) for n neighbours.
+    The encoding is inferred from the characters: hexadecimal, letters, base 32 or base 36 in one case, base 62, or base 64. It says how many different characters chance would
+    spread evenly over, and what changes of class text of its kind has: between lower case, upper case, digits and signs, or, in letters of one case, between vowels and consonants.
     """
     value = F.rtrim(span["value"], F.lit("="))
-    n = F.length(value).cast("double")
     size = F.lit(64.0)
     for k, own in ((62, "[A-Za-z0-9]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (32, "[a-z2-7]+|[A-Z2-7]+"), (26, "[a-z]+|[A-Z]+"), (16, "[0-9a-f]+|[0-9A-F]+")):
         size = F.when(F.rlike(value, F.lit(f"^({own})$")), float(k)).otherwise(size)
-    letters = size == 26
-    chars = F.filter(F.split(value, "", -1), lambda c: c != "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda d: d == c)).cast("double"), F.lit(2.0)))
-    chi = squares * size / n - n
-    uniform = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-    codes = F.transform(chars, lambda c: F.instr(F.lit(_ALPHABET), c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    behind = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda x, y: (x - mean) * (y - mean))
-    serial = F.when(spread > 0, F.abs(F.aggregate(behind, F.lit(0.0), lambda s, x: s + x) / spread) * F.sqrt(n)).otherwise(F.lit(1e9))
-    kinds = F.transform(chars, lambda c: F.when(letters, F.when(F.instr(F.lit("AEIOUaeiou"), c) > 0, 1).otherwise(2)).otherwise(_class(c)))
-    changed = F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0))
-    rate = F.aggregate(changed, F.lit(0.0), lambda s, x: s + x) / (n - 1)
-    text = F.when(letters, SPOKEN).when(size <= 36, ONE_CASE).otherwise(CHANGES)
-    safe = F.least(F.greatest(rate, F.lit(0.001)), F.lit(0.999))
-    evidence = (n - 1) * (safe * F.log(safe / text) + (1 - safe) * F.log((1 - safe) / (1 - text)))
-    random = (uniform <= LEVEL) & (serial <= LEVEL) & F.when(letters, (rate < text) & (n >= LETTERS)).otherwise(rate > text)
-    bin_ = F.when(random, F.least(F.floor(evidence * BINS), F.lit(LAST_BIN))).otherwise(0).cast("int")
-    band = F.lit(0)
-    for k, low in enumerate(BANDS[1:], 1):
-        band = F.when(n >= low, k).otherwise(band)
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.cast("int").alias("band"), bin_.alias("bin"))
+    once = F.struct(F.filter(F.split(value, "", -1), lambda c: c != "").alias("chars"), size.alias("size"), F.length(value).cast("double").alias("n"))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    pairs = lambda values, f: F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), f)
+
+    def counted(one: Column) -> Column:
+        chars, n, letters = one["chars"], one["n"], one["size"] == 26
+        squares = add(F.transform(F.array_distinct(chars), lambda c: F.pow(F.size(F.filter(chars, lambda d: d == c)).cast("double"), F.lit(2.0))))
+        codes = F.transform(chars, lambda c: F.instr(F.lit(_ALPHABET), c).cast("double"))
+        kinds = F.transform(chars, lambda c: F.when(letters, F.when(F.instr(F.lit("AEIOUaeiou"), c) > 0, 1).otherwise(2)).otherwise(_class(c)))
+        centred = _let(codes, lambda x: _let(add(x) / n, lambda mean: F.transform(x, lambda c: c - mean)))
+        spread = lambda x: add(F.transform(x, lambda c: c * c))
+        serial = _let(centred, lambda x: F.when(spread(x) > 0, add(pairs(x, lambda c, d: c * d)) / spread(x)).otherwise(F.lit(1.0)))
+        changed = _let(kinds, lambda x: add(pairs(x, lambda c, d: F.when(c != d, 1.0).otherwise(0.0))))
+        return F.struct(n.alias("n"), one["size"].alias("size"), letters.alias("letters"), squares.alias("squares"), serial.alias("serial"), changed.alias("changed"))
+
+    def judged(c: Column) -> Column:
+        text = F.when(c["letters"], SPOKEN).when(c["size"] <= 36, ONE_CASE).otherwise(CHANGES)
+        found = _evidence(text, c["n"], c["size"], c["letters"], c["squares"], c["serial"], c["changed"])
+        band = F.lit(0)
+        for k, low in enumerate(BANDS[1:], 1):
+            band = F.when(c["n"] >= low, k).otherwise(band)
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.cast("int").alias("band"), F.least(F.floor(found * BINS), F.lit(LAST_BIN)).cast("int").alias("bin"))
+
+    return _let(_let(once, counted), judged)
 
 
 def candidates(text: Column) -> Column:
@@ -132,7 +184,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) for each row: arrays of (start, kind, end) in code points, end exclusive; kind is a place in KINDS.
 
-    Null and empty texts have none; rows that repeat an id stay apart; other columns are not read. Texts are read once: what was found in them is written to the
+    Null and empty texts have none; rows that repeat an id stay apart; other columns are not read; an empty table gives no rows. Texts are read once: what was found in them is written to the
     shared folder, the cuts are made from it, and applied to it.
     """
     ws = Workspace(docs.sparkSession, "secrets")
@@ -142,34 +194,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return joined.select("id", "base", F.array_sort(F.concat("base", _added(F.col("base"), F.col("candidates"), F.col("cuts")))).alias("spans"))
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by the mask. The text is cut into parts of a bounded length, so that no piece is looked for from its beginning."""
+    zero = F.lit(0).cast("long")
+    ends = lambda s: _running(F.transform(s, lambda x: x["end"]), zero, lambda x, y: F.greatest(x, y))  # noqa: E731  # how far all before it reach
+    fresh_ones = lambda s, e: F.filter(F.zip_with(s, e, lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))), lambda x: x["to"] >= x["from"])
+    last = lambda s: F.aggregate(s, zero, lambda m, x: F.greatest(m, x["end"]))
+    gaps = _let(spans, lambda s: F.concat(_let(ends(s), lambda e: fresh_ones(s, e)), F.array(F.struct(last(s).alias("from"), F.length(text).cast("long").alias("to")))))
+    parts = F.transform(F.sequence(zero, F.floor(F.length(text) / PART)), lambda j: F.substring(text, (j * PART + 1).cast("int"), F.lit(PART)))
+
+    def piece(all_parts: Column, gap: Column) -> Column:
+        first, stop = F.floor(gap["from"] / PART), F.floor((gap["to"] - 1) / PART)
+        inside = lambda j: _let(F.greatest(gap["from"] - j * PART, zero), lambda a: F.substring(all_parts[j.cast("int")], (a + 1).cast("int"), (F.least(gap["to"] - j * PART, F.lit(PART).cast("long")) - a).cast("int")))
+        return F.when(gap["to"] > gap["from"], F.array_join(F.transform(F.sequence(first, stop), inside), "")).otherwise(F.lit(""))
+
+    return _let(parts, lambda p: F.array_join(F.transform(gaps, lambda g: piece(p, g)), mask))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", length_col: str | None = None) -> DataFrame:
-    """docs with every span of scan() replaced by the mask in the text; spans that overlap become one mask. Other columns and rows without secrets stay as they are.
+    """docs with every span of scan() replaced by the mask in the text; spans that overlap become one mask. Other columns, whatever their names, and rows without secrets stay as they are.
 
-    A null text stays null. length_col, if given, is set to the new text's length in rows that change.
+    A null text stays null. length_col, if given, is set to the new text's length in rows that change. An empty table gives no rows.
     """
     names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    limits = cuts(docs.select(candidates(text).alias("candidates")))
-    base, more = F.col("_base"), F.col("_more")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    spans = F.array_sort(F.concat(base, _added(base, more, F.col("_cuts"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    out = docs.withColumns({"_base": base_spans(text), "_more": candidates(text)}).crossJoin(F.broadcast(limits.withColumnRenamed("cuts", "_cuts"))).withColumn("_spans", spans)
-    out = out.withColumn("_text", F.when(F.size("_spans") > 0, masked).otherwise(F.col(text_col)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own, limits = fresh(names, "_spans"), fresh(names, "_cuts")
+    cut = cuts(docs.select(candidates(text).alias("candidates"))).withColumnRenamed("cuts", limits)
+    both = F.struct(base_spans(text).alias("base"), candidates(text).alias("more"))
+    found = _let(both, lambda x: F.array_sort(F.concat(x["base"], _added(x["base"], x["more"], F.col(limits)))))
+    out = docs.crossJoin(F.broadcast(cut)).withColumn(own, found).withColumn(own, F.when(F.size(own) > 0, _masked(text, F.col(own), mask)))  # one row of cuts
+    new = {text_col: F.coalesce(own, F.col(f"`{text_col}`"))}
     if length_col:
-        length = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-        out = out.withColumn("_length", length)
-    new = {text_col: "_text"} | ({length_col: "_length"} if length_col else {})
-    return out.select(*[F.col(new.get(c, c)).alias(c) for c in names])
+        new[length_col] = F.when(F.col(own).isNotNull(), F.length(own).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+    return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the fixed patterns, and what the battery adds."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select(F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import string
@@ -60,6 +61,67 @@ def test_every_encoding_is_found_at_any_length(spark):
             assert share >= least, (name, n, share)
 
 
+def judged(value):
+    """(band, bin) of a candidate by the formulas of the battery, in plain Python."""
+    from attesta.llm import secrets as S
+
+    v = value.rstrip("=")
+    n, size = len(v), 64.0
+    for k, own in ((62, "[A-Za-z0-9]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (32, "[a-z2-7]+|[A-Z2-7]+"), (26, "[a-z]+|[A-Z]+"), (16, "[0-9a-f]+|[0-9A-F]+")):
+        size = float(k) if re.fullmatch(own, v) else size
+    letters = size == 26
+    chi = sum(v.count(c) ** 2 for c in set(v)) * size / n - n
+    z = ((chi / (size - 1)) ** (1 / 3) - (1 - 2 / (9 * (size - 1)))) / math.sqrt(2 / (9 * (size - 1)))
+    codes = [S._ALPHABET.find(c) + 1 for c in v]
+    mean = sum(codes) / n
+    spread = sum((x - mean) ** 2 for x in codes)
+    r = abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0) * math.sqrt(n)
+    kind = (lambda c: c in "AEIOUaeiou") if letters else (lambda c: 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4)
+    rate = sum(kind(a) != kind(b) for a, b in zip(v, v[1:], strict=False)) / (n - 1)
+    text = S.SPOKEN if letters else S.ONE_CASE if size <= 36 else S.CHANGES
+    safe = min(max(rate, 0.001), 0.999)
+    random_ = rate < text and n >= S.LETTERS if letters else rate > text
+    band = sum(n >= b for b in S.BANDS[1:])
+    if not random_:
+        return band, 0
+    runs = math.exp(-min((n - 1) * (safe * math.log(safe / text) + (1 - safe) * math.log((1 - safe) / (1 - text))), 600))
+    below = lambda x: 1 / (1 + math.exp(-min(max(x * (1.5976 + 0.07056 * x * x), -600), 600)))
+    cot = lambda p, q: 1 / math.tan(max(p, 1e-290) * math.pi) if p <= 0.5 else -1 / math.tan(max(q, 1e-290) * math.pi)
+    t = (cot(below(z), below(-z)) + cot(2 * below(r) - 1, 2 * below(-r)) + cot(runs, 1 - runs)) / 3
+    e = math.log(t * math.pi) if t > 1e3 else max(-math.log(0.5 - math.atan(t) / math.pi), 0.0)
+    return band, min(math.floor(e * S.BINS), S.LAST_BIN)
+
+
+def test_battery_and_cuts_equal_brute_force(spark):
+    """p-values, bins and the false-discovery cut of every band against plain Python, over encodings, words, paths and repeated patterns."""
+    from attesta.llm import secrets as S
+
+    own = random.Random(3)
+    make = lambda alphabet, n: "".join(own.choice(alphabet) for _ in range(n))
+    words = ["".join(own.choice(["get", "Set", "value", "Http", "index", "2", "_", "/"]) for _ in range(own.randint(8, 16))) for _ in range(150)]
+    texts = [f"{make(a, n)}  {w}" for w, (a, n) in zip(words, [(a, n) for a in (string.ascii_letters + string.digits + "+/", string.ascii_lowercase + "234567", "0123456789ABCDEF", string.ascii_lowercase, "aB1") for n in (20, 24, 31, 40, 64, 90) for _ in range(5)], strict=True)]
+    found = [(i, m.start(), m.end(), *judged(m[0])) for i, t in enumerate(texts) for m in re.finditer(S.CANDIDATE, t)]
+    cut = {}
+    for band in range(len(S.BANDS)):
+        bins = [b for *_, k, b in found if k == band]
+        good = [b for b in set(bins) if b > 0 and len(bins) * math.exp(-b / S.BINS) <= S.FALSE * sum(x >= b for x in bins)]
+        cut[band] = min(good) if good else None
+    assert sum(c is not None for c in cut.values()) >= 3
+    want = {(i, a, b) for i, a, b, k, v in found if cut[k] is not None and v >= cut[k] and not any(x <= a and b <= y for x, _, y in base(texts[i]))}
+    got = {(r.id, s.start, s.end) for r in scan(frame(spark, texts)).collect() for s in r.spans if s.kind == KINDS.index("random")}
+    assert got == want and len(want) > 40
+
+
+def test_many_matches_and_clashing_names(spark):
+    """Texts with very many matches, parts longer than one cut, and columns named like the operator's own."""
+    text = ("é" * 50 + "token=abcdefghijkl ") * 3000 + "tail"
+    df = spark.createDataFrame([(1, text, "a", "b", "c"), (2, None, "a", "b", "c"), (3, "", None, None, None)], "doc_id long, text string, _spans string, _cuts string, `a.b` string")
+    by = {r.doc_id: r for r in redact(df).collect()}
+    assert by[1].text == ("é" * 50 + "[secret] ") * 3000 + "tail" and by[1]._spans == "a" and by[1]._cuts == "b" and by[1]["a.b"] == "c"
+    assert by[2].text is None and by[3].text == "" and by[3]._spans is None
+    assert [(s.start, s.end) for s in scan(df).where("id = 1").first().base] == [(69 * k + 50, 69 * k + 68) for k in range(3000)]
+
+
 def test_native(spark):
     plan = scan(frame(spark))._jdf.queryExecution().toString() + redact(frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
