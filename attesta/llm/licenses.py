@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_words, mix, small_batches, text_batches
+from .common import WORD, Workspace, hash_words, mix, small_batches, text_batches
 
 #: Words of a gram; offsets that merge, as a word more or less shifts what follows; shares of a template's words that a span must cover.
 GRAM, NEAR, SHORT, SHORT_SHARE, LONG_SHARE = 3, 2, 14, 0.8, 0.5
@@ -37,6 +38,18 @@ TEMPLATES = (
     ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3"),
+    ("you should have received a copy of the gnu general public license along with this program if not see", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("you should have received a copy of the gnu affero general public license along with this program", "agpl"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "epl-2"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "bsl-1"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this work is licensed under the creative commons attribution noderivatives 4 0 international license", "cc-by-nd"),
 )
 
 
@@ -63,15 +76,32 @@ def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     return spark.createDataFrame([(0, -1, 0), *rows], "gram long, template int, at int")
 
 
+def in_order(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (place in the text, place in the template) in which both rise: what stands in the order of the template."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(spots)
+    spots = sorted(spots, key=lambda s: (s[0], -s[1]))  # of one place in the text only one place in the template can follow another
+    for i, (_, at) in enumerate(spots):
+        k = bisect_left(tails, at)
+        before[i] = ends[k - 1] if k else -1
+        tails[k : k + 1], ends[k : k + 1] = [at], [i]
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(spots[i])
+        i = before[i]
+    return out[::-1]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """(id, n_words, places array<struct<start,phrase>>, found array<struct<label,first,last,share>>) for each row.
 
-    places: where a phrase's words stand consecutively. found: merged diagonals of a template of which enough words are covered in order; first and last are places of words.
-    Null and empty texts, and texts shorter than a gram, have none. Rows that repeat an id stay apart; other columns are not read. The table of template
-    grams is as large as the templates given and is broadcast; every gram of every text is joined to it.
+    places: where a phrase's words stand consecutively. found: merged diagonals of a template of which enough words are covered, word by word and in the template's order; first and
+    last are places of words. Null and empty texts, and texts shorter than a gram, have none. Rows that repeat an id stay apart; other columns are not read; an empty table gives no
+    rows. The table of template grams is as large as the templates given and is broadcast; every gram of every text is joined to it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ws = Workspace(spark, "licenses")
     every = (*phrases, *templates)
     n_phrases = len(phrases)
     lengths = grams([t for t, _ in every])[3].tolist()
@@ -124,19 +154,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                         else:
                             groups.append([d])
                     for group in groups:
-                        share = len({p + j for _, at in group for p in at for j in range(GRAM)}) / lengths[t]
+                        spots = in_order([(d + p, p) for d, at in group for p in at])
+                        share = len({p + j for _, p in spots for j in range(GRAM)}) / lengths[t]
                         if share >= (SHORT_SHARE if lengths[t] <= SHORT else LONG_SHARE):
-                            spots = [d + p for d, at in group for p in at]
-                            own_found.append({"label": labels[t], "first": min(spots), "last": max(spots) + GRAM - 1, "share": share})
+                            own_found.append({"label": labels[t], "first": spots[0][0], "last": spots[-1][0] + GRAM - 1, "share": share})
                 words.append(n)
                 places.append(sorted(own_places, key=lambda x: (x["start"], x["phrase"])))
                 found.append(sorted(own_found, key=lambda x: (x["first"], x["last"], x["label"])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.int64()), pa.array(places, place_type), pa.array(found, found_type)], ["id", "n_words", "places", "found"])
 
-    return by_text.select("id", "votes").mapInArrow(verified, schema)
+    with small_batches(spark):
+        return ws.save(by_text.select("id", "votes").mapInArrow(verified, schema), "found")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license texts in all documents."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     label_of = F.create_map(*[F.lit(x) for pair in PHRASES for x in pair])
     base = F.transform("places", lambda p: label_of[p["phrase"]])

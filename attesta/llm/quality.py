@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, small_batches, text_batches
+from .common import BATCH_ROWS, Workspace, byte_class, small_batches, text_batches
 from .kneser_ney import held_out
 
-#: Rows of each kind, trusted positives and unlabelled, that the model is fitted on at most. Scores cover all rows.
+#: Labelled rows, the trusted positives, that the model is fitted on at most. Unlabelled rows all count; so many of them give a first fit, and the curvature that steps are scaled by.
 SAMPLE = 10_000
 #: Score from which a text counts as good.
 KEEP = 0.3
-SEED, STEPS, RATE, RIDGE = 7, 400, 0.05, 1e-4
+#: The ridge; the steps that a first fit takes on the bounded sample, and their length; the most steps on all rows, and the slope at which they end.
+SEED, RIDGE, FIRST, RATE, STEPS, FLAT = 7, 1e-3, 300, 0.05, 8, 2e-4
 #: Bytes whose features are made at once.
 _CHUNK = 1 << 20
 
@@ -86,97 +87,216 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale, -6, 6)
 
 
-def _descend(x: np.ndarray, slope) -> tuple[np.ndarray, float]:
-    """Adam from zero; slope gives the derivative of the risk by each row's output."""
-    w = np.zeros(x.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, STEPS + 1):
-        d = slope(x @ w[:-1] + w[-1])
-        g = np.append(x.T @ d + RIDGE * w[:-1], d.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+class Unlabelled:
+    """Unlabelled rows: sums over all of them, wherever they are, and a bounded sample. half is true for those that tell the samples apart, false for those that the prior comes from."""
 
+    def __init__(self, x: np.ndarray, half: np.ndarray) -> None:
+        self.x, self.half, self.sample = x, half, self
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled from scores of a model that tells the two samples apart.
+    def total(self, size: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum of f(rows, half), an array of so many numbers, over all rows."""
+        return f(self.x.astype(float), self.half) if len(self.x) else np.zeros(size)
+
+
+class Table(Unlabelled):
+    """The same of a written table (x binary of 16-bit floats, half boolean): every sum is a pass over it, and only the sum comes to the driver."""
+
+    def __init__(self, table: DataFrame, sample: Unlabelled) -> None:
+        self.table, self.sample = table, sample
+
+    def total(self, size: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    out += f(_rows(part.column("x")), part.column("half").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], ["k", "v"])
+
+        found = self.table.select("x", "half").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # so many numbers
+        out = np.zeros(size)
+        out[found.column("k").to_numpy()] = found.column("v").to_numpy()
+        return np.array([float(f"{v:.10e}") for v in out])  # sums of any order are the same to ten digits
+
+
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(float)
+
+
+def _logistic(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logistic loss of outputs as bad, and its slope."""
+    return np.logaddexp(0, z), _sigmoid(z)
+
+
+def _bounded(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sigmoid loss of outputs as bad, and its slope."""
+    s = _sigmoid(z)
+    return s, s * (1 - s)
+
+
+@dataclass(frozen=True)
+class Risk:
+    """A risk of standardised positives and unlabelled rows, for outputs z; its slope; and steps to where it is least.
+
+    Without a prior it tells the two samples apart: the logistic loss, mean softplus(-z) of positives plus mean softplus(z) of unlabelled rows. With a prior it is the non-negative
+    risk with the sigmoid loss: prior * mean s(-z) of positives + max(0, rest), where rest is mean s(z) of unlabelled rows - prior * mean s(z) of positives. Unlabelled rows are
+    summed where they are, those of a half alone if that is given. A ridge is added.
+    """
+
+    unlabelled: Unlabelled
+    mean: np.ndarray
+    scale: np.ndarray
+    positive: np.ndarray
+    prior: float | None = None
+    half: bool | None = None
+
+    def _far(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        half, mean, scale, losses = self.half, self.mean, self.scale, _logistic if self.prior is None else _bounded
+
+        def f(x: np.ndarray, halves: np.ndarray) -> np.ndarray:
+            x = _standard(x if half is None else x[halves == half], mean, scale)
+            loss, slope = losses(x @ w[:-1] + w[-1])
+            return np.concatenate([[len(x), loss.sum()], x.T @ slope, [slope.sum()]])
+
+        n, loss, *slope = self.unlabelled.total(len(w) + 2, f)
+        return loss / max(1, n), np.array(slope) / max(1, n)
+
+    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        far, slope = self._far(w)
+        x, n = np.append(self.positive.T, np.ones((1, len(self.positive))), axis=0), max(1, len(self.positive))
+        z = w @ x
+        ridge = RIDGE / 2 * w[:-1] @ w[:-1], np.append(RIDGE * w[:-1], 0)
+        losses = _logistic if self.prior is None else _bounded
+        good, down = losses(-z)
+        if self.prior is None:
+            return far + good.sum() / n + ridge[0], slope - x @ down / n + ridge[1]
+        bad, up = losses(z)
+        rest = far - self.prior * bad.sum() / n
+        grad = -self.prior * (x @ down) / n + (slope - self.prior * (x @ up) / n if rest >= 0 else 0) + ridge[1]
+        return self.prior * good.sum() / n + max(0.0, rest) + ridge[0], grad
+
+    def _curvature(self, w: np.ndarray) -> np.ndarray:
+        """How steps are scaled, from the sample and the positives: where they end doesn't depend on it."""
+        out = np.diag(np.append(np.full(len(w) - 1, RIDGE), 1e-6))
+        for x in (_standard(self.unlabelled.sample.x.astype(float), self.mean, self.scale), self.positive):
+            if len(x):
+                x = np.column_stack([x, np.ones(len(x))])
+                s = _sigmoid(x @ w)
+                out += (x * (s * (1 - s) + 1e-4)[:, None]).T @ x / len(x)
+        return out
+
+    def first(self) -> np.ndarray:
+        """A fit on the sample alone, by Adam from zero."""
+        risk = replace(self, unlabelled=self.unlabelled.sample)
+        w = np.zeros(self.positive.shape[1] + 1)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, FIRST + 1):
+            g = risk.at(w)[1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    def least(self) -> np.ndarray:
+        """From the first fit on, steps by the risk of all rows, each as long as lets it fall."""
+        w = self.first()
+        value, grad = self.at(w)
+        for _ in range(STEPS):
+            if np.abs(grad).max() < FLAT:
+                break
+            step, length = np.linalg.solve(self._curvature(w), grad), 1.0
+            while True:
+                new = w - length * step
+                found = self.at(new)
+                if found[0] <= value - 1e-4 * length * grad @ step or length < 0.02:
+                    break
+                length /= 4
+            if found[0] >= value:
+                break
+            w, (value, grad) = new, found
+        return w
+
+
+#: Shares of the positives below the cuts where the prior's ratios are taken.
+CUTS = np.linspace(0.02, 0.9, 45)
+
+
+def cuts_of(positive: np.ndarray) -> np.ndarray:
+    order = np.sort(positive)
+    return order[(CUTS * (len(order) - 1)).astype(int)] if len(order) else np.zeros(0)
+
+
+def estimated_prior(positive: np.ndarray, n_u: int, above: np.ndarray) -> float:
+    """The share of positives among n_u unlabelled rows, from scores of a model that tells the two samples apart; above has how many of these rows reach each of the cuts.
 
     Where only positives score, the unlabelled reach a score as often as the positives do times the prior. So the prior is at most the least ratio of the two
     tails; each tail needs enough rows to be trusted, and an allowance for chance is added before the minimum is taken.
     """
-    best, n_p, n_u = 1.0, len(positive), len(unlabelled)
-    order_p, order_u = np.sort(positive), np.sort(unlabelled)
-    for q in np.linspace(0.02, 0.9, 45):
-        cut = order_p[int(q * (n_p - 1))]
-        share_p = (n_p - np.searchsorted(order_p, cut)) / n_p
-        share_u = (n_u - np.searchsorted(order_u, cut)) / n_u
-        slack = np.sqrt(np.log(40) / (2 * n_u)) + np.sqrt(np.log(40) / (2 * n_p))
-        best = min(best, (share_u + slack) / share_p - slack)
-    return float(np.clip(best, 0.01, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
+    n_p = len(positive)
+    if not n_p or not n_u:
+        return 0.5
+    share_p, share_u = (n_p - np.searchsorted(np.sort(positive), cuts_of(positive))) / n_p, above / n_u
+    slack = np.sqrt(np.log(40) / (2 * n_u)) + np.sqrt(np.log(40) / (2 * n_p))
+    return float(np.clip(min(1.0, ((share_u + slack) / share_p - slack).min()), 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: Unlabelled) -> QualityModel:
     """Minimise the non-negative risk: prior * risk of positives as good + max(0, risk of unlabelled as bad - prior * risk of positives as bad).
 
-    Without positives or unlabelled rows nothing can be learned: every text then scores a half.
+    The prior comes from the scores of a model that tells the two samples apart, on rows that it has not seen. Without positives or unlabelled rows nothing can be learned:
+    every text then scores a half.
     """
     dim = N_FEATURES
-    if not len(positive) or not len(unlabelled):
+    sums = unlabelled.total(2 * dim + 1, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])) if len(positive) else np.zeros(1)
+    if not len(positive) or not sums[0]:
         return QualityModel(np.zeros(dim), 0.0, np.zeros(dim), np.ones(dim), 0.5)
-    mean, scale = unlabelled.mean(axis=0, dtype=float), unlabelled.std(axis=0, dtype=float) + 1e-3
-    x = _standard(np.concatenate([positive, unlabelled]), mean, scale).astype(np.float64)
-    n_p, n_u = len(positive), len(unlabelled)
-
-    def apart(z: np.ndarray) -> np.ndarray:
-        return np.concatenate([(_sigmoid(z[:n_p]) - 1) / n_p, _sigmoid(z[n_p:]) / n_u])
-
-    half = np.random.default_rng(SEED).random(n_p + n_u) < 0.5  # the prior comes from rows that the model has not seen
-    weight = np.where(half, 2.0, 0.0)
-    w, b = _descend(x, lambda z: apart(z) * weight)
-    z = x @ w + b
-    prior = estimated_prior(z[:n_p][~half[:n_p]], z[n_p:][~half[n_p:]]) if (~half[:n_p]).any() and (~half[n_p:]).any() else 0.5
+    mean = sums[1 : dim + 1] / sums[0]
+    scale = np.sqrt(np.maximum(0, sums[dim + 1 :] / sums[0] - mean**2)) + 1e-3
+    p = _standard(positive.astype(float), mean, scale)
+    half = np.random.default_rng(SEED).random(len(p)) < 0.5
+    apart = Risk(unlabelled, mean, scale, p[half], None, True).least()
 
-    def slope(z: np.ndarray) -> np.ndarray:
-        p, u = z[:n_p], z[n_p:]
-        bad = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        good = prior * (_sigmoid(p) - 1) / n_p
-        down = np.concatenate([-prior * _sigmoid(p) / n_p, _sigmoid(u) / n_u])
-        if bad < 0:  # the estimate has gone below what a risk can be: undo that first
-            return -down
-        return np.concatenate([good, np.zeros(n_u)]) + down
+    def counted(x: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        z = _standard(x[~halves], mean, scale) @ apart[:-1] + apart[-1]
+        return np.append((z[:, None] >= cuts).sum(axis=0), len(z)).astype(float)
 
-    w, b = _descend(x, slope)
-    return QualityModel(w, b, mean, scale, prior)
+    scores = p[~half] @ apart[:-1] + apart[-1]
+    cuts = cuts_of(scores)
+    *above, n_u = unlabelled.total(len(cuts) + 1, counted)
+    prior = estimated_prior(scores, int(n_u), np.array(above))
+    w = Risk(unlabelled, mean, scale, p, prior).least()
+    return QualityModel(w[:-1], float(w[-1]), mean, scale, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """Fit a model on at most `sample` trusted positives and `sample` unlabelled texts among the rows where the condition `learn` on the id holds.
+    """Fit a model on at most `sample` trusted positives and all unlabelled texts among the rows where the condition `learn` on the id holds.
 
-    Ids with labels that contradict each other are neither. Labels of zero are never used. The samples are drawn by a hash of the id, so they don't depend on order.
+    Ids with labels that contradict each other are neither; labels of zero are never used, nor are rows with a null id. The positives are drawn by a hash of the id, so they don't
+    depend on order. Texts become rows of features where they are read; only those are shuffled, to meet the labels, and written for the passes of the fit.
+    Null and empty texts are texts like any other. Empty tables give the model that scores a half.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    ws = Workspace(spark, "quality")
     key = F.col(id_col).cast("long").alias("id")
-    known = labels.select(key, F.col(label_col).alias("y")).where("y IS NOT NULL").groupBy("id").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    ids = docs.where(learn).select(key).where("id IS NOT NULL").distinct().join(known, "id", "left")
-    kinds = ids.withColumn("kind", F.when(F.col("high").isNull(), 0).when((F.col("low") == 1) & (F.col("high") == 1), 1)).where("kind IS NOT NULL")
-    drawn = [kinds.where(F.col("kind") == k).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).select("id", "kind") for k in (0, 1)]
+    known = labels.select(key, F.col(label_col).alias("y")).where("y IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("y").alias("low"), F.max("y").alias("high"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array([r.tobytes() for r in features(texts)], pa.binary())], ["id", "kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in features(texts).astype(np.float16)], pa.binary())], ["id", "x"])
 
-    rows = docs.select(key, F.col(text_col).cast("string").alias("text"))
-    chosen = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "kind", "text")  # at most twice `sample` ids
-    got = chosen.mapInArrow(run, "id long, kind int, x binary").toArrow()
-    found = sorted(zip(*(got.column(c).to_pylist() for c in ("id", "x", "kind"))))  # noqa: B905  # rows arrive in any order; the fit shouldn't depend on it
-    kind = np.array([k for _, _, k in found], int)
-    x = np.frombuffer(b"".join(b for _, b, _ in found), np.float32).reshape(-1, N_FEATURES)
-    return fit(x[kind == 1], x[kind == 0])
+    rows = docs.where(learn).select(key, F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    kind = F.when(F.col("high").isNull(), 0).when((F.col("low") == 1) & (F.col("high") == 1), 1)
+    half = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(2)) == 0
+    with small_batches(spark):
+        made = rows.mapInArrow(run, "id long, x binary").join(known, "id", "left").select("id", "x", kind.alias("kind"), half.alias("half")).where("kind IS NOT NULL")
+        table = ws.save(made, "features")
+        drawn = lambda k: table.where(F.col("kind") == k).orderBy(F.xxhash64("id", F.lit(SEED)), "id", "x").limit(sample).select("x", "half").toArrow()  # noqa: E731  # at most `sample` rows
+        positive, some = drawn(1), drawn(0)
+        first = Unlabelled(_rows(some.column("x")), some.column("half").to_numpy())
+        return fit(_rows(positive.column("x")), Table(table.where("kind = 0"), first))
 
 
 def scored(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row, by its whole text alone. Null and empty texts are scored like any other; rows that repeat an id stay apart."""
-    small_batches(docs.sparkSession)
+    """(id, score) for each row, by its whole text alone. Null and empty texts are scored like any other; rows that repeat an id stay apart; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
@@ -190,18 +310,19 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
     """The rows of docs that score at least the threshold, with all columns as they are."""
     from pyspark.sql.functions import pandas_udf
 
-    small_batches(docs.sparkSession)
 
     @pandas_udf("double")
     def score(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(model.score([t if isinstance(t, str) else None for t in text]))
+        texts = [t if isinstance(t, str) else None for t in text]
+        return pd.Series(np.concatenate([model.score(texts[k : k + BATCH_ROWS]) for k in range(0, len(texts), BATCH_ROWS)] or [np.zeros(0)]))
 
     return docs.where(score(F.col(text_col)) >= threshold)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those whose crc32 mod 5 is not 0."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels, ~held_out("doc_id", 0))
     out = scored(docs, model).withColumnRenamed("id", "doc_id")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from attesta.llm.quality import N_FEATURES, estimated_prior, features, fit, keep_good, scored, train
+from attesta.llm.quality import N_FEATURES, RIDGE, Risk, Table, Unlabelled, _standard, cuts_of, estimated_prior, features, fit, keep_good, scored, train
 
 SCHEMA = "doc_id long, text string, score string, y int"
 
@@ -54,7 +54,7 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "x", "", 0)], SCHEMA)
     model = train(frame, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
     assert [r.score for r in scored(frame, model).collect()] == [0.5]
-    assert scored(frame.limit(0), model).count() == 0 and fit(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES))).prior == 0.5
+    assert scored(frame.limit(0), model).count() == 0 and fit(np.zeros((0, N_FEATURES)), Unlabelled(np.zeros((0, N_FEATURES)), np.zeros(0, bool))).prior == 0.5
 
 
 def test_features_read_whole_texts():
@@ -66,4 +66,77 @@ def test_features_read_whole_texts():
 def test_prior():
     rng = np.random.default_rng(1)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 1600)
-    assert abs(estimated_prior(rng.normal(2, 1, 4000), np.concatenate([p[:2400], n])) - 0.6) < 0.08
+    u, q = np.concatenate([p[:2400], n]), rng.normal(2, 1, 4000)
+    assert abs(estimated_prior(q, len(u), (u[:, None] >= cuts_of(q)).sum(axis=0)) - 0.6) < 0.08
+    assert estimated_prior(np.zeros(0), 5, np.zeros(0)) == 0.5
+
+
+def test_risk_by_hand():
+    """Two unlabelled rows and one positive of one feature each, written out: the non-negative risk on both sides of its bend, and the one that tells samples apart."""
+    pad = lambda v: np.concatenate([[v], np.zeros(2)])
+    x, p, w = np.array([pad(1.0), pad(-2.0)]), np.array([pad(0.5)]), np.array([0.7, 0.0, 0.0, 0.1])
+    s, sp = lambda z: 1 / (1 + np.exp(-z)), lambda z: np.log1p(np.exp(z))
+    rows, ridge = Unlabelled(x, np.array([True, False])), RIDGE / 2 * 0.49
+    for prior in (0.6, 0.95):  # outputs are 0.8 and -1.3, and 0.45 of the positive
+        risk = Risk(rows, np.zeros(3), np.ones(3), p, prior)
+        rest = (s(0.8) + s(-1.3)) / 2 - prior * s(0.45)
+        assert (rest > 0) == (prior == 0.6) and abs(risk.at(w)[0] - (prior * s(-0.45) + max(0, rest) + ridge)) < 1e-12
+    apart = Risk(rows, np.zeros(3), np.ones(3), p, None, True)
+    assert abs(apart.at(w)[0] - (sp(0.8) + sp(-0.45) + ridge)) < 1e-12
+    for risk in (Risk(rows, np.zeros(3), np.ones(3), p, 0.6), Risk(rows, np.zeros(3), np.ones(3), p, 0.95), apart):
+        for k in range(4):
+            step = np.eye(4)[k] * 1e-6
+            assert abs((risk.at(w + step)[0] - risk.at(w - step)[0]) / 2e-6 - risk.at(w)[1][k]) < 1e-6
+
+
+def test_the_fit_has_the_least_non_negative_risk(spark):
+    """No weights near by have a smaller non-negative risk, nor has plain descent from many starts; a written table gives the same model as rows in memory."""
+    rows, labels = docs(400)
+    good = {i for i, q, _ in labels if q}
+    x = features([t for _, t, *_ in rows]).astype(np.float16)
+    known = {i for i, *_ in labels}
+    p, u = x[sorted(good)], x[[i for i, *_ in rows if i not in known]]
+    half = np.arange(len(u)) % 2 == 0
+    model = fit(p, Unlabelled(u, half))
+    s = lambda z: 1 / (1 + np.exp(-z))
+    zp, zu = (_standard(y.astype(float), model.mean, model.scale) for y in (p, u))
+
+    def risk(w, b):
+        a, c = zp @ w + b, zu @ w + b
+        return model.prior * s(-a).mean() + max(0.0, s(c).mean() - model.prior * s(a).mean()) + RIDGE / 2 * w @ w
+
+    least, rng = risk(model.weights, model.bias), np.random.default_rng(1)
+    for size in (1e-3, 1e-2, 0.1, 1):
+        for _ in range(30):
+            assert risk(model.weights + rng.normal(size=N_FEATURES) * size, model.bias + rng.normal() * size) >= least - 2e-3
+    for _ in range(5):
+        w, b = rng.normal(size=N_FEATURES) * 0.1, 0.0
+        for _ in range(500):
+            a, c = zp @ w + b, zu @ w + b
+            on = s(c).mean() - model.prior * s(a).mean() >= 0
+            da, dc = s(a) * (1 - s(a)) / len(a) * model.prior, s(c) * (1 - s(c)) / len(c) * on
+            w, b = w - 0.5 * (zu.T @ dc - zp.T @ da * (1 + on) + RIDGE * w), b - 0.5 * (dc.sum() - da.sum() * (1 + on))
+        assert risk(w, b) >= least - 2e-3
+    table = spark.createDataFrame([(r.tobytes(), bool(h)) for r, h in zip(u, half, strict=True)], "x binary, half boolean")
+    far = fit(p, Table(table, Unlabelled(u, half)))
+    assert np.allclose(far.weights, model.weights, atol=1e-3) and abs(far.prior - model.prior) < 1e-6
+
+
+def test_repeated_rows_and_held_out_accuracy_of_the_query(spark):
+    """Rows that repeat an id are scored alike; the query keeps good texts that it never learned from and rejects poor ones."""
+    import os
+
+    from attesta.llm.quality import op7_quality_classifier
+
+    rows, labels = docs(200)
+    frame = spark.createDataFrame([*rows, *rows[:20]], SCHEMA)
+    scores = {}
+    for r in scored(frame, train(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))).collect():
+        scores.setdefault(r.id, []).append(r.score)
+    assert all(len(set(v)) == 1 for v in scores.values()) and sum(map(len, scores.values())) == 220
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        return
+    marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality IS NOT NULL")
+    counts = {(r.quality, r.predicted): r["count"] for r in op7_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(marks, "doc_id").groupBy("quality", "predicted").count().collect()}
+    assert counts.get((1, 1), 0) / sum(n for (q, _), n in counts.items() if q == 1) > 0.99
+    assert counts.get((0, 0), 0) / sum(n for (q, _), n in counts.items() if q == 0) > 0.85

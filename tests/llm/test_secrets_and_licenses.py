@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -163,3 +164,39 @@ def test_rows_that_repeat_an_id_stay_apart(spark):
     df = spark.createDataFrame([(1, "cc by nc", "", "", 0, 0), (1, "cc by nc", "", "", 0, 0), (None, "a", "", "", 0, 0)], SCHEMA)
     assert sorted(len(r.places) for r in license_scan(df).collect()) == [0, 1, 1]
     assert scan(df).count() == 3
+
+
+def test_words_out_of_order_are_no_license(spark):
+    """A template's grams in another order don't make its span; a word more, less or changed does no harm; all against plain Python."""
+    from attesta.llm.licenses import GRAM, LONG_SHARE, NEAR, SHORT, SHORT_SHARE, TEMPLATES, in_order
+
+    text = TEMPLATES[1][0].split()
+    chunks = [text[k : k + 5] for k in range(0, len(text), 5)]
+    own = random.Random(1)
+    cases = [" ".join(text), " ".join(w for c in reversed(chunks) for w in c), " ".join(text[:9] + ["indeed"] + text[9:20] + text[21:]), " ".join(text[::-1]), "x y z " * 50 + " ".join(text[4:])]
+    cases += [" ".join(own.choice(text) for _ in range(40)) for _ in range(10)]
+    got = {r.id: {(f.label, f.first, f.last, round(f.share, 9)) for f in r.found} for r in license_scan(frame(spark, cases)).collect()}
+    for i, case in enumerate(cases):
+        words, want = case.split(), set()
+        for t, label in TEMPLATES:
+            w = t.split()
+            spots = [(a, b) for a in range(len(words) - GRAM + 1) for b in range(len(w) - GRAM + 1) if words[a : a + GRAM] == w[b : b + GRAM]]
+            groups = []
+            for d in sorted({a - b for a, b in spots}):
+                if groups and d - groups[-1][-1] <= NEAR:
+                    groups[-1].append(d)
+                else:
+                    groups.append([d])
+            for g in groups:
+                chain = in_order([s for s in spots if s[0] - s[1] in g])
+                share = len({b + j for _, b in chain for j in range(GRAM)}) / len(w)
+                if share >= (SHORT_SHARE if len(w) <= SHORT else LONG_SHARE):
+                    want.add((label, chain[0][0], chain[-1][0] + GRAM - 1, round(share, 9)))
+        assert got[i] == want
+    assert got[0] and got[2] and got[4] and not got[1] and not got[3]
+    for _ in range(200):
+        spots = [(own.randint(0, 9), own.randint(0, 9)) for _ in range(own.randint(0, 9))]
+        chain = in_order(list(set(spots)))
+        assert all(a < c and b < d for (a, b), (c, d) in zip(chain, chain[1:], strict=False))
+        best = max((len(c) for n in range(len(set(spots)) + 1) for c in itertools.combinations(sorted(set(spots)), n) if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(c, c[1:], strict=False))), default=0)
+        assert len(chain) == best
