@@ -103,19 +103,21 @@ ONE, TWO = 128, 128 + 127 * 256
 
 def _coded(ranks: np.ndarray) -> bytes:
     """Ranks, of which small ones are frequent: a first byte that tells how large a rank is, then what it leaves open."""
-    ranks = ranks.astype(np.int64)
-    first = np.where(ranks < ONE, ranks, ONE + np.minimum((ranks - ONE) >> 8, 127)).astype(np.uint8)
-    middle, large = ranks[(ranks >= ONE) & (ranks < TWO)], ranks[ranks >= TWO]
-    return _joined([zstandard.compress(first.tobytes(), 3), zstandard.compress(((middle - ONE) & 255).astype(np.uint8).tobytes(), 3), _planes(large - TWO)])
+    first = ranks.astype(np.uint8)
+    above = ranks >= ONE
+    rest = ranks[above] - np.uint32(ONE)
+    first[above] = np.uint8(ONE) + np.minimum(rest >> np.uint32(8), 127).astype(np.uint8)
+    large = rest >= TWO - ONE
+    return _joined([zstandard.compress(first.tobytes(), 3), zstandard.compress(rest[~large].astype(np.uint8).tobytes(), 3), _planes(rest[large] - np.uint32(TWO - ONE))])
 
 
 def _decoded(data: bytes) -> np.ndarray:
     a, b, c = _parted(data)
     first = np.frombuffer(zstandard.decompress(a), np.uint8)
-    out = first.astype(np.int64)
+    out = first.astype(np.uint32)
     middle, large = (first >= ONE) & (first < 255), first == 255
     out[middle] = ONE + ((out[middle] - ONE) << 8) + np.frombuffer(zstandard.decompress(b), np.uint8)
-    out[large] = TWO + _unplaned(c).astype(np.int64)
+    out[large] = TWO + _unplaned(c)
     return out
 
 
@@ -123,7 +125,7 @@ def _in_order(top: np.ndarray, n: int) -> np.ndarray:
     """Places in the lists by rank: the frequent words first, as told, then all others as they are listed."""
     rest = np.ones(n, bool)
     rest[top] = False
-    return np.concatenate([top.astype(np.int64), np.flatnonzero(rest)])
+    return np.concatenate([top.astype(np.uint32), np.flatnonzero(rest).astype(np.uint32)])
 
 
 _BLOCK = "block string, shard int, ids array<long>, sizes array<long>, places binary, words binary"
@@ -140,17 +142,17 @@ def _blocks(shards: int, words: int, distinct: int) -> Callable[[Iterator[pa.Rec
         local, ids, texts = _Places(), [], []
 
         def close() -> pa.RecordBatch:
-            name, seen = f"{task}.{k}", np.frombuffer(b"".join([x.tobytes() for x in texts]), np.uintc)
+            name, seen = f"{task}.{k}", np.concatenate([np.frombuffer(x, np.uintc) for x in texts]) if total else np.zeros(0, np.uintc)
             by: dict[int, list[bytes]] = {}
             for w in local:
                 by.setdefault(xxhash.xxh64_intdigest(w) % shards, []).append(w)
             lists = {s: sorted(by[s]) for s in sorted(by)}  # neighbours share their beginnings, which compresses better
-            listed = np.empty(len(local), np.int64)  # a word's place in the lists one after another, by its order of first sight
-            listed[[local[w] for own in lists.values() for w in own]] = np.arange(len(local))
+            listed = np.empty(len(local), np.uint32)  # a word's place in the lists one after another, by its order of first sight
+            listed[np.fromiter((local[w] for own in lists.values() for w in own), np.int64, len(local))] = np.arange(len(local), dtype=np.uint32)
             top = listed[np.argsort(-np.bincount(seen, minlength=len(local)), kind="stable")[:TWO]]
-            rank = np.empty(len(local), np.int64)
-            rank[_in_order(top, len(local))] = np.arange(len(local))
-            rows = [(name, -1, ids, [len(x) for x in texts], _coded(rank[listed[seen]]), _planes(top))]
+            rank = np.empty(len(local), np.uint32)
+            rank[_in_order(top, len(local))] = np.arange(len(local), dtype=np.uint32)
+            rows = [(name, -1, ids, [len(x) for x in texts], _coded(rank[listed][seen]), _planes(top))]
             rows += [(name, s, None, None, None, zstandard.compress(b" ".join(own), 9)) for s, own in lists.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["block", "shard", "ids", "sizes", "places", "words"])  # noqa: B905
 
