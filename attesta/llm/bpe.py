@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 from array import array
@@ -11,12 +12,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Workspace, fresh, partitions, small_batches, text_batches, text_bytes
+from .common import Workspace, partitions, small_batches, text_batches, text_bytes
 
 #: A block of documents ends when it holds so many words or distinct words. Blocks bound the memory of every task.
 BLOCK_WORDS, BLOCK_DISTINCT = 1 << 22, 1 << 19
@@ -259,26 +263,70 @@ def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in t.get_vocab(with_added_tokens=True).items()], "id int, piece string")
 
 
+class Pieces:
+    """The vocabulary as a column of pieces by id, null where the file has none, and a column of the ids as decimal numbers."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ids = table.column("id").to_numpy()
+        by: list[str | None] = [None] * (int(ids.max()) + 1 if len(ids) else 0)
+        for i, piece in zip(ids.tolist(), table.column("piece").to_pylist(), strict=True):
+            by[i] = piece
+        self.texts, self.known = pa.array(by, pa.string()), np.array([p is not None for p in by], bool)
+        self.numbers = pa.array([str(i) for i in range(len(by))], pa.string())
+
+    @staticmethod
+    def join(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """For each run of ids, which end where ends says, their entries of the column with a space between."""
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), column.take(pa.array(ids, pa.int64())))
+        return pc.binary_join(lists, " ")
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of runs of ids. Ids without a piece are left out."""
+        good = (ids >= 0) & (ids < len(self.known))
+        good[good] = self.known[ids[good]]
+        return self.join(self.texts, ids[good], np.append(0, np.cumsum(good))[ends])
+
+
+def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
+    """The pieces for all workers: as many as the file has, whatever the input."""
+    return spark.sparkContext.broadcast(Pieces(pieces(spark, path).toArrow()))
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """encoded with a column `decoded`: its ids joined to their pieces, with a space between, as this vocabulary without a decoder gives them. Empty and null ids give an empty text.
 
-    The vocabulary joins as one broadcast row, an array of pieces by id: it has as many entries as the file, whatever the input. Ids that are not in it are skipped. A column
-    named `decoded` is replaced; others stay, whatever their names.
+    The vocabulary goes to all workers, where ids meet it by position, a column at a time. Ids that are not in it are skipped. A column named `decoded` is replaced; others stay.
     """
-    name = fresh(encoded.columns, "pieces")
-    table = pieces(encoded.sparkSession, path).agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("p"))
-    last = F.element_at("p", -1)["id"]
-    known = F.map_from_entries("p")
-    dense = table.select(F.when(F.size("p") == last + 1, F.col("p.piece")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: known[i])).alias(name))
-    looked = F.array_join(F.transform(F.col(ids_col), lambda i: F.get(F.col(name), i)), " ")  # nulls, for ids beyond the vocabulary, are left out
-    kept = [F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"]
-    return encoded.crossJoin(F.broadcast(dense)).select(*kept, F.coalesce(looked, F.lit("")).alias("decoded"))
+    table = vocabulary(encoded.sparkSession, path)
+    kept = [c for c in encoded.columns if c.lower() != "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = pc.fill_null(part.column(ids_col), [])
+                flat = pc.fill_null(lists.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*part.columns, table.value.decoded(flat, ends)], [*part.schema.names, "decoded"])
+
+    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField("decoded", T.StringType())])
+    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row: what encode() gives, decoded by decode()."""
-    back = decode(encode(docs, path=path, id_col=id_col, text_col=text_col), path)
-    return back.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(id, n_tokens, ids_sha256, decoded_sha256) for each row: the ids of encode(), joined to their pieces as in decode(), where they are made, so that only digests go on."""
+    table = vocabulary(docs.sparkSession, path)
+    sha = lambda texts: [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]
+
+    def finish(words: BlockWords, places: np.ndarray, sizes: list[int], ids: list) -> pa.Table:
+        n, a, b = [], [], []
+        for _, _, flat, ends in words.texts(places, sizes):
+            n += np.diff(ends, prepend=0).tolist()
+            a += sha(Pieces.join(table.value.numbers, flat, ends))
+            b += sha(table.value.decoded(flat, ends))
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+
+    return encode(docs, finish, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, id_col, text_col)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

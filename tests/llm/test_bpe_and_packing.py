@@ -41,6 +41,14 @@ def test_decoding(spark):
         assert r.decoded_sha256 == hashlib.sha256(got[r.id].encode()).hexdigest()
 
 
+def test_decoding_of_other_ids(spark):
+    """Nulls and ids that the vocabulary hasn't are skipped; a column named decoded is replaced; rows without ids give an empty text."""
+    t = tokenizer(vocabulary_path())
+    rows = [(1, [5, None, 10**8, -1, 7], "x"), (2, None, "y"), (3, [], "z"), (4, [49407], None)]
+    got = {r.id: r for r in decode(spark.createDataFrame(rows, "id long, ids array<long>, decoded string")).collect()}
+    assert [got[i].decoded for i in (1, 2, 3, 4)] == [f"{t.id_to_token(5)} {t.id_to_token(7)}", "", "", t.id_to_token(49407)] and got[1].ids == rows[0][1]
+
+
 def test_empty_tables(spark):
     none = frame(spark).limit(0)
     assert encode(none).count() == digests(none).count() == pack_documents(none).count() == 0
