@@ -135,3 +135,23 @@ def patched(base: Scenario, patch: dict[str, Any]) -> Scenario:
     if len(patch.get("appear", base.appear)) != len(base.appear):  # other datasets than those that were named
         patch = {"names": (), "snapshots": ()} | patch
     return replace(base, **patch)
+
+
+def explained(s: Scenario) -> str:
+    """R-13. What a scenario does, in sentences: events, datasets, overlap, and the noise of names and of other fields."""
+    events = ", ".join(f"{name.replace('_', ' ')} {rate:g} %" for name, rate in s.rates.items() if rate) or "no events"
+    out = [f"{s.name}: {s.periods} {s.step} periods from {s.start} with {events} a year."]
+    specs = s.datasets()
+    if len(specs) == 1:
+        out.append(f"One dataset, {specs[0].dataset}, holds {s.appear[0]:g} % of people with {s.duplicates[0]:g} % extra records.")
+    else:
+        out.append(f"{len(specs)} datasets share {s.overlap:g} % of people, matched {s.mode.replace('_', ' ')}.")
+        out += [f"{d.dataset} holds {s.appear[k]:g} % of people on {d.snapshot}, with {s.duplicates[k]:g} % extra records." for k, d in enumerate(specs)]
+    for k, d in enumerate(specs):
+        n = d.rates(k)
+        names = n.typo + n.phonetic + n.ocr + n.nickname
+        rest = n.middle_missing + n.dob_shift + n.ssn_mask + n.phone_missing + n.address_missing + n.date_swap + n.zip_error + n.suffix_missing
+        out.append(f"Noise of {d.dataset}: names {names:g} %, other fields {rest:g} %.")
+    if s.roommate_share:
+        out.append(f"{s.roommate_share:g} % of people from {s.roommate_age[0]} to {s.roommate_age[1]} begin with {s.roommate_size[0]} to {s.roommate_size[1]} roommates.")
+    return " ".join(out)

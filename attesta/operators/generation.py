@@ -280,3 +280,21 @@ def last_name_weights(rows: DataFrame) -> DataFrame:
     """A-2. (last_name, ethnicity, weight) summed by name in upper case; blank names and weights that are not positive left out."""
     good = rows.where((text_or_empty(F.col("name")) != "") & (F.col("weight") > 0))
     return good.groupBy(F.upper(F.trim("name")).alias("last_name"), "ethnicity").agg(F.sum("weight").alias("weight"))
+
+
+def quality_report(records: DataFrame, key_sets: Mapping[str, Sequence[str]], columns: Sequence[str], shares_of: Sequence[str], name: str, key: str = "PersonKey") -> DataFrame:
+    """R-2. (section, dataset, metric, value) of baseline records: collisions of a name, rows that repeat a set of keys, consistency of names, missing cells, shares, and records per entity.
+
+    dataset is what a row is about: a set of keys, a column, column=value, or a number of records.
+    """
+    from .allocation import records_summary
+    from .reports import missingness, quality_metrics, shares
+
+    about = lambda df, c, *keep: df.select(F.col(c).cast("string").alias("DatasetId"), *keep)
+    parts = {
+        "collisions": collision_metrics(records, name), "duplicates": about(duplicate_keys(records, key_sets), "key_set", "duplicate_rows"), "names": name_consistency(records, key, name),
+        "missing": about(missingness(records, columns), "field", "missing", "pct"), "records": about(records_summary(records.groupBy(key).agg(F.count("*").alias("records"))), "records", "entities"),
+    }
+    for c in shares_of:
+        parts[f"shares_{c}"] = about(shares(records, c).withColumn("value", F.concat(F.lit(f"{c}="), "value")), "value", "n", "pct")
+    return quality_metrics(parts)

@@ -121,6 +121,11 @@ def weakest_pair(overlap: DataFrame) -> DataFrame:
     return overlap.agg(F.min_by(F.struct("a", "b", "pct_of_union"), F.struct("pct_of_union", "a", "b")).alias("p")).select("p.*")
 
 
+def preview(df: DataFrame, order: Sequence[Column], n: int = 20) -> DataFrame:
+    """O-3. The first rows of an order, kept by a top-n of every partition, never by a full sort."""
+    return df.orderBy(*order).limit(n)
+
+
 def recent(runs: DataFrame, by: str, n: int, where: Column | None = None) -> DataFrame:
     """O-5. The newest rows first, so many of them."""
     return (runs.where(where) if where is not None else runs).orderBy(F.desc(by)).limit(n)

@@ -140,7 +140,24 @@ def balanced_records(t: Tables):  # noqa: ANN201
     return allocation.balanced_counts(t["people"].select("PersonKey"), "PersonKey", n, 2 * n + int(n * 0.4), SEED)
 
 
-@query()
+def _heavy_tail(alpha: float = 1.3, most: int = 10) -> str:
+    """G-11 in SQL: five passes of eight candidates for the scale, then the records that are still missing, in rounds by another hash."""
+    out = f"""
+WITH n AS (SELECT count(*) AS n, 2 * count(*) AS target FROM {{people}}), r AS MATERIALIZED (SELECT PersonKey, pow(rk + 1.0::DOUBLE, -{alpha}e0) AS w FROM (SELECT PersonKey, {_rank('records')} AS rk FROM {{people}}) x),
+b0 AS (SELECT 0e0 AS lo, {most}e0 * pow(n::DOUBLE, {alpha}e0) AS hi FROM n)"""
+    for i in range(5):
+        out += f""",
+t{i} AS MATERIALIZED (SELECT s, sum(least({most}, 1 + floor(w * s))) AS total FROM r, (SELECT lo + (hi - lo) * k / 9 AS s FROM b{i}, range(1, 9) x(k)) y GROUP BY s),
+b{i + 1} AS MATERIALIZED (SELECT coalesce((SELECT max(s) FROM t{i}, n WHERE total <= target), lo) AS lo, coalesce((SELECT min(s) FROM t{i}, n WHERE total > target), hi) AS hi FROM b{i})"""
+    out += f", c0 AS MATERIALIZED (SELECT PersonKey, CAST(least({most}, 1 + floor(w * lo)) AS BIGINT) AS records FROM r, b5)"
+    for i in range(4):
+        out += f""",
+m{i} AS MATERIALIZED (SELECT PersonKey FROM (SELECT PersonKey, {_rank('room')} AS q FROM c{i} WHERE records < {most}) x WHERE q < (SELECT target FROM n) - (SELECT sum(records) FROM c{i})),
+c{i + 1} AS MATERIALIZED (SELECT c.PersonKey, records + CASE WHEN m.PersonKey IS NULL THEN 0 ELSE 1 END AS records FROM c{i} c LEFT JOIN m{i} m ON m.PersonKey = c.PersonKey)"""
+    return out + " SELECT PersonKey, records FROM c4"
+
+
+@query(_heavy_tail())
 def heavy_tail_records(t: Tables):  # noqa: ANN201
     n = t["customer"].count()
     return allocation.heavy_tail_counts(t["people"].select("PersonKey"), "PersonKey", n, 2 * n, SEED)
@@ -289,6 +306,33 @@ def name_consistency(t: Tables):  # noqa: ANN201
     return generation.name_consistency(t["records"], "PersonKey", "AgeBin")
 
 
+_QUALITY_KEYS = {"record": ["RecordKey"], "person": ["PersonKey"], "place": ["StreetName", "HouseNumber"]}
+_metric = lambda section, about, metric, value, frm: f"SELECT '{section}' AS section, {about} AS dataset, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value FROM {frm}"
+_NAMED = "(SELECT StreetName AS k, count(*) AS n FROM {records} GROUP BY 1) g"
+_NAMES = "(SELECT PersonKey, count(DISTINCT StreetName) AS n FROM {records} GROUP BY 1) g"
+_BLANK = "sum(CASE WHEN coalesce(trim({0}), '') = '' THEN 1 ELSE 0 END)"
+
+
+@query(" UNION ALL ".join([
+    *(_metric("collisions", "CAST(NULL AS VARCHAR)", m, v, _NAMED) for m, v in {
+        "members": "coalesce(sum(n) FILTER (WHERE n > 1), 0)", "member_pct": "round_even(coalesce(sum(n) FILTER (WHERE n > 1), 0) * 100 / sum(n), 6)", "groups": "count(*) FILTER (WHERE n > 1)",
+        "smallest": "coalesce(min(n) FILTER (WHERE n > 1), 0)", "largest": "coalesce(max(n) FILTER (WHERE n > 1), 0)",
+    }.items()),
+    *(_metric("duplicates", f"'{n}'", "duplicate_rows", f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM {{records}}) d)", "{records}") for n, c in _QUALITY_KEYS.items()),
+    _metric("names", "CAST(NULL AS VARCHAR)", "people", "count(*)", _NAMES), _metric("names", "CAST(NULL AS VARCHAR)", "consistent", "max(n) <= 1", _NAMES),
+    *(_metric("missing", f"'{c}'", m, v, "{records}") for c in ("AgeBin", "Gender") for m, v in (("missing", _BLANK.format(c)), ("pct", f"round_even({_BLANK.format(c)} * 100 / count(*), 6)"))),
+    _metric("records", "CAST(n AS VARCHAR)", "entities", "count(*)", "(SELECT PersonKey, count(*) AS n FROM {records} GROUP BY 1) g GROUP BY n"),
+    *(_metric("shares_Gender", "'Gender=' || coalesce(nullif(trim(Gender), ''), 'unknown')", m, v, "{records} GROUP BY coalesce(nullif(trim(Gender), ''), 'unknown')") for m, v in (("n", "count(*)"), ("pct", "round_even(count(*) * 100 / sum(count(*)) OVER (), 6)"))),
+]))
+def baseline_quality(t: Tables):  # noqa: ANN201
+    return generation.quality_report(t["records"], _QUALITY_KEYS, ("AgeBin", "Gender"), ("Gender",), "StreetName")
+
+
+@query("SELECT PersonKey, LastName FROM {people} ORDER BY LastName, CAST(PersonKey AS BIGINT) LIMIT 20")
+def preview_keys(t: Tables):  # noqa: ANN201
+    return reports.preview(t["people"].select("PersonKey", "LastName"), [F.col("LastName"), F.col("PersonKey").cast("long")])
+
+
 _BOOK = "SELECT 'ADDR_' || CAST(CAST(RecordKey AS BIGINT) % 700 AS STRING) AS AddressKey, StreetName, HouseNumber, RecordKey FROM {records}"
 
 

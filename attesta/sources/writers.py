@@ -64,6 +64,18 @@ def write_json(value: Mapping[str, Any], path: str) -> None:
     Path(path).write_text(json_text(value), encoding="utf-8")
 
 
+def upper_keys(value: Any, texts: bool = True) -> Any:
+    """P-10. A document with all keys, and texts unless that is off, in upper case, as upper-cased tables have them. Keys that meet are an error."""
+    if isinstance(value, Mapping):
+        out = {str(k).upper(): upper_keys(v, texts) for k, v in value.items()}
+        if len(out) != len(value):
+            raise ValueError("keys differ in case only")
+        return out
+    if isinstance(value, (list, tuple)):
+        return [upper_keys(v, texts) for v in value]
+    return value.upper() if texts and isinstance(value, str) else value
+
+
 def yaml_text(value: Mapping[str, Any]) -> str:
     """JSON is YAML; PyYAML, where it is installed, gives the usual style."""
     try:

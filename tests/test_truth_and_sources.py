@@ -97,6 +97,18 @@ def test_a_scenario_selects_groups_and_names(spark, tmp_path):
     assert document_conflicts({"manifest.json": {"run_id": "x"}}, 0) == [("manifest.json", "run_id is not a run id")]
 
 
+def test_explanations_and_upper_keys():
+    from attesta.config import explained
+    from attesta.sources.writers import upper_keys
+
+    text = explained(scenario("roommates_split"))
+    assert "leave home 45 %" in text and "42 % of people from 18 to 30" in text and "dataset_b holds 88 %" in text
+    assert "One dataset, registry" in explained(scenario("high_duplication_dedup"))
+    assert upper_keys({"a": {"b": ["x", 1]}, "c": None}) == {"A": {"B": ["X", 1]}, "C": None} and upper_keys({"a": "x"}, texts=False) == {"A": "x"}
+    with pytest.raises(ValueError):
+        upper_keys({"a": 1, "A": 2})
+
+
 def test_documents_are_checked():
     from attesta.config import constraints_of, document_errors, document_of, emission_of, rates_of, scenario_of, selection_of
 
