@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import functions as F
 
-from ..config import scenario
-from ..operators import intervals, population, truth, validate
+from ..config import patched, scenario
+from ..operators import emission, intervals, population, truth, validate
+from ..operators.noise import NoiseRates
 from .adapters import Tables, int_sql, unit_sql, with_views
 from .scenario import PEOPLE_COLUMNS, run_scenario
 from .selection import traits_sql
@@ -203,21 +206,25 @@ def roommate_groups(t: Tables):  # noqa: ANN201
 NICKNAMES = [("James", ["Jim", "Jimmy"]), ("Robert", ["Bob"]), ("Mary", ["Polly", "Molly"]), ("Patricia", ["Pat", "Trish"]), ("Michael", ["Mike"])]
 
 
-def _scenario(t: Tables, name: str):  # noqa: ANN202
+def _scenario(t: Tables, name: str, patch: dict[str, Any] | None = None):  # noqa: ANN202
     people = t["people"].select(*PEOPLE_COLUMNS, "AddressKey", "ResidenceType")
     book = t["people"].select("AddressKey", F.concat(F.lit("Street "), "AddressKey").alias("StreetName"), "ZipCode")
-    return run_scenario(t["records"], people, scenario(name), book, t.spark.createDataFrame(NICKNAMES, "FormalName string, variants array<string>"))
+    return run_scenario(t["records"], people, patched(scenario(name), patch or {}), book, t.spark.createDataFrame(NICKNAMES, "FormalName string, variants array<string>"))
 
 
-def _record_map_sql(name: str) -> str:
+def _record_map_sql(name: str, patch: dict[str, Any] | None = None) -> str:
     """(PersonKey, DatasetId, RecordKey) of a scenario that selects everybody: simulation, snapshots, coverage, duplication and record keys."""
-    s = scenario(name)
+    s = patched(scenario(name), patch or {})
     specs, seed = s.datasets(), s.seed
     rank = lambda salt, extra="", own=seed: f"row_number() OVER (ORDER BY {extra}{unit_sql(own, salt, 'PersonKey')}, PersonKey) - 1"
     part = lambda pct, n: f"CAST(round_even({_double(pct)} * {n} / 100, 0) AS BIGINT)"
     born = "SELECT ChildPersonKey AS PersonKey FROM told WHERE EventType = 'BIRTH'"
     out = [steps_sql(s.simulation(), _start(seed)), "old AS MATERIALIZED (SELECT PersonKey FROM s0)", f"late AS MATERIALIZED ({born})", "n AS MATERIALIZED (SELECT (SELECT count(*) FROM old) AS n0, (SELECT count(*) FROM late) AS nl)"]
-    if len(specs) == 2:
+    fresh: dict[int, str] = {}
+    if len(specs) == 1:
+        every = "(SELECT PersonKey FROM old UNION ALL SELECT PersonKey FROM late)"
+        out.append(f"cover AS MATERIALIZED (SELECT PersonKey, r < {part(s.appear[0], '(n0 + nl)')} AS in_0 FROM (SELECT PersonKey, {rank('coverage')} AS r FROM {every} y) x, n)")
+    elif len(specs) == 2:
         a, b = (part(p, "n0") for p in s.appear)
         out.append(f"z AS (SELECT *, greatest(greatest(0, a + b - n0), least({part(s.overlap, 'n0')}, a, b)) AS o FROM (SELECT *, {a} AS a, {b} AS b FROM n) x)")
         out.append(f"cover AS MATERIALIZED (SELECT PersonKey, r < a AS in_0, r < o OR (r >= a AND r < a + b - o) AS in_1 FROM (SELECT PersonKey, {rank('coverage')} AS r FROM old) x, z)")
@@ -256,6 +263,38 @@ def scenario_three_sources(t: Tables):  # noqa: ANN201
     return _scenario(t, "three_source_partial_overlap").record_map
 
 
+_SINGLE = {"appear": (60,), "duplicates": (25,), "periods": 3, "rates": {"birth": 60, "move": 12}}
+
+
+@query(_record_map_sql("high_duplication_dedup", _SINGLE))
+def scenario_single_dataset(t: Tables):  # noqa: ANN201
+    """G-19: a dataset of part of the people, those born in the simulation among them."""
+    return _scenario(t, "high_duplication_dedup", _SINGLE).record_map
+
+
+_RATES = NoiseRates(middle_missing=30, ssn_mask=20, phone_missing=10, address_missing=15, nickname=40, date_swap=35, suffix_missing=50)
+_gate = lambda op: f"{unit_sql(7, f'gate:{op}', 'RecordKey')} < {_double(getattr(_RATES, op) / 100)}"
+_RENAMED = "CASE FirstName " + " ".join(f"WHEN '{n}' THEN {_pick(tuple(v), int_sql(7, 'nickname', len(v), 'RecordKey'))}" for n, v in NICKNAMES) + " ELSE FirstName END"
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n, CAST(round_even(12e0 * count(*) / 100, 0) AS BIGINT) AS e FROM {{people}}),
+x AS (SELECT {int_sql(7, 'extra', '(SELECT n FROM n)', 'i')} AS r, count(*) AS extra FROM range((SELECT e FROM n)) y(i) GROUP BY 1),
+w AS (SELECT PersonKey, unnest(range(1, 2 + CAST(coalesce(extra, 0) AS INT))) AS c FROM (SELECT PersonKey, row_number() OVER (ORDER BY {unit_sql(7, 'extras', 'PersonKey')}, PersonKey) - 1 AS r FROM {{people}}) y LEFT JOIN x USING (r)),
+k AS (SELECT PersonKey, 'feed-' || lpad(CAST(row_number() OVER (ORDER BY CAST(PersonKey AS BIGINT), c) AS VARCHAR), 9, '0') AS RecordKey FROM w),
+o AS (SELECT RecordKey, PersonKey, CASE WHEN {_gate('nickname')} THEN {_RENAMED} ELSE FirstName END AS FirstName, CASE WHEN NOT {_gate('middle_missing')} THEN MiddleName END AS MiddleName, LastName,
+  CASE WHEN NOT {_gate('suffix_missing')} THEN Suffix END AS Suffix, CASE WHEN {_gate('date_swap')} AND day(DOB) <= 12 AND day(DOB) <> month(DOB) THEN make_date(year(DOB), day(DOB), month(DOB)) ELSE DOB END AS DOB,
+  CASE WHEN {_gate('ssn_mask')} THEN '***-**-' || right(SSN, 4) ELSE SSN END AS SSN, CASE WHEN NOT {_gate('phone_missing')} THEN Phone END AS Phone, CASE WHEN NOT {_gate('address_missing')} THEN AddressKey END AS AddressKey,
+  {_gate('nickname')} AS noise_nickname, 'feed' AS SourceSystem FROM k JOIN {{people}} USING (PersonKey))
+SELECT *, concat_ws(' ', FirstName, MiddleName, LastName) AS FullName FROM o
+""")
+def emitted_rows(t: Tables):  # noqa: ANN201
+    """G-22, W-5: records of a snapshot, their keys, duplicates, noise in its order, and flags."""
+    names = t.spark.createDataFrame(NICKNAMES, "FormalName string, variants array<string>")
+    made = emission.emit(t["people"], t["people"].select("PersonKey"), t["people"].count(), emission.DatasetSpec("feed", "2026-01-01", 12, _RATES), 0, 7, names)
+    return made.select("RecordKey", "PersonKey", "FirstName", "MiddleName", "LastName", "Suffix", "DOB", "SSN", "Phone", "AddressKey", "noise_nickname", "SourceSystem", "FullName")
+
+
 @query()
 def scenario_quality(t: Tables):  # noqa: ANN201
     return _scenario(t, "single_movers").quality()
