@@ -11,6 +11,7 @@ from .packing import op4_best_fit_packing
 from .quality import op7_quality_classifier
 from .secrets import op5_secret_scan
 from .simhash import op2_simhash_near_dedup
+from .toxicity import op13_toxicity
 from .warc import OP8_SQL, op8_warc_round_trip
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_warc_round_trip,
         op9_bpe_round_trip,
         op10_nearest_neighbours,
+        op13_toxicity,
     )
 }
 
