@@ -9,6 +9,7 @@ from .licenses import op6_license_scan
 from .neighbours import op10_nearest_neighbours
 from .packing import op4_best_fit_packing
 from .quality import op7_quality_classifier
+from .ranking import OP12_SQL, op12_ranked_search
 from .secrets import op5_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .toxicity import op13_toxicity
@@ -27,9 +28,10 @@ QUERIES = {
         op8_warc_round_trip,
         op9_bpe_round_trip,
         op10_nearest_neighbours,
+        op12_ranked_search,
         op13_toxicity,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op8_warc_round_trip": OP8_SQL}
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op8_warc_round_trip": OP8_SQL, "op12_ranked_search": OP12_SQL}
