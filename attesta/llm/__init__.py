@@ -13,6 +13,7 @@ from .ranking import OP12_SQL, op12_ranked_search
 from .secrets import op5_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .toxicity import op13_toxicity
+from .variants import OP11_SQL, op11_spelling_variants
 from .warc import OP8_SQL, op8_warc_round_trip
 
 QUERIES = {
@@ -28,10 +29,11 @@ QUERIES = {
         op8_warc_round_trip,
         op9_bpe_round_trip,
         op10_nearest_neighbours,
+        op11_spelling_variants,
         op12_ranked_search,
         op13_toxicity,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op8_warc_round_trip": OP8_SQL, "op12_ranked_search": OP12_SQL}
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op8_warc_round_trip": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_ranked_search": OP12_SQL}
