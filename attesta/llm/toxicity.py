@@ -37,12 +37,11 @@ SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 5, "window_log": 18,
 #: What ends each window and each dictionary. It begins no match within a text, gives every window something to save, and keeps the last bytes, in which zstandard looks for no match, free of words.
 _TAIL = b" \n#~end~# \n \n#~end~# \n"
 _WINDOW = re.compile(rb"(?:[^ ]{1,%d} ?){1,%d}" % (WORD_BYTES, WORDS))
-_SPACE = re.compile(rb"[\x09-\x0D\x20]+")
 
 
 def normalised(text: str | None) -> bytes:
     """A text's bytes with A-Z lower-cased and one space for white space. Null is empty."""
-    return _SPACE.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip(b" ")
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
 def windows(data: bytes) -> list[bytes]:
