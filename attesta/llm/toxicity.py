@@ -231,19 +231,22 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes], share: float | None =
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """The model of the rows of docs for which learn holds and whose id has one label, 0 or 1.
 
-    At most SAMPLE rows of each label, first by a hash of their id and text, and of these at most SAMPLE_BYTES of text, come to the driver. Null texts are empty; ids that are
+    At most SAMPLE rows of each label, first by a hash of their id, and of these at most SAMPLE_BYTES of text, come to the driver. Null texts are empty; ids that are
     null or have both labels teach nothing. Scores follow the share of label 1 among all rows that
     count; without rows of both labels every score is that share.
     """
     key = F.col(id_col).cast("long").alias("id")
     known = labels.select(key, F.col(label_col).alias("y")).where("y IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").select("id", "y")
-    rows = docs.where(learn).select(key, F.col(text_col).cast("string").alias("text")).join(known, "id")
-    order = F.xxhash64("id", "text", F.lit(SEED))
-    counts = {y: n for y, n in rows.groupBy("y").count().toLocalIterator()}  # at most two rows
+    rows = docs.where(learn)
+    taught = rows.select(key).groupBy("id").agg(F.count("*").alias("n")).join(known, "id")
+    counts = {y: n for y, n in taught.groupBy("y").agg(F.sum("n")).toLocalIterator()}  # at most two rows
+    order = F.xxhash64("id", F.lit(SEED))
 
     def drawn(label: int) -> list[bytes]:
         out, size = [], 0
-        for (text,) in rows.where(F.col("y") == label).orderBy(order, "id", "text").limit(SAMPLE).select("text").toLocalIterator():
+        own = F.broadcast(taught.where(F.col("y") == label).orderBy(order, "id").limit(SAMPLE).select("id"))  # ids alone are joined and sorted, so that only the sample's texts move
+        texts = rows.select(key, F.col(text_col).cast("string").alias("text")).join(own, "id").orderBy(order, "id", "text").limit(SAMPLE)
+        for (text,) in texts.select("text").toLocalIterator():
             out.append(normalised(text))
             size += len(out[-1])
             if size > SAMPLE_BYTES:
