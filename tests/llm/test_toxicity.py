@@ -28,15 +28,15 @@ def docs(n=400, seed=2):
 
 def test_held_out_toxic_texts_are_caught_and_clean_ones_left(spark):
     rows, labels = docs()
-    frame = spark.createDataFrame([*rows, (None, None, "x", 0), (9999, "", "x", 0), (3, rows[6][1], "twice", 0)], SCHEMA)
+    frame = spark.createDataFrame([*rows, (None, None, "x", 0), (9999, "", "x", 0), (5, rows[30][1], "twice", 0)], SCHEMA)
     marks = spark.createDataFrame([*labels, (None, 1), (1, None), (7, 1), (7, 0)], "doc_id long, toxic int")
     model = T.train(frame, marks, F.col("doc_id") % 5 != 0)
     got = T.scored(frame, model).collect()
     assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
-    by = {r.id: r.score for r in got if r.id is not None and r.id < 400 and r.id != 3}
+    by = {r.id: r.score for r in got if r.id is not None and r.id < 400 and r.id != 5}
     held = [i for i in by if i % 5 == 0]
     assert np.mean([by[i] >= T.TOXIC for i in held if i % 6 == 0]) > 0.9 and not any(by[i] >= T.TOXIC for i in held if i % 6)
-    assert sorted(r.score >= T.TOXIC for r in got if r.id == 3) == [False, True]  # rows that repeat an id are scored apart
+    assert sorted(r.score >= T.TOXIC for r in got if r.id == 5) == [False, True]  # rows that repeat an id are scored apart
     assert all(r.score < T.TOXIC for r in got if r.id in (None, 9999))
     again = T.train(frame.repartition(7), marks, F.col("doc_id") % 5 != 0)
     assert again.toxic == model.toxic and np.allclose(again.weights, model.weights)
