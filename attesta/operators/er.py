@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,7 +156,11 @@ def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     p = predicted.select(cols).distinct().withColumn("p", F.lit(1))
     t = linked_pairs(truth).select(cols).distinct().withColumn("t", F.lit(1))
     n = lambda c, alias: F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(alias)
-    sums = p.join(t, cols, "full").agg(n(F.col("p").isNotNull() & F.col("t").isNotNull(), "tp"), n(F.col("t").isNull(), "fp"), n(F.col("p").isNull(), "fn"))
+    return _rates(p.join(t, cols, "full").agg(n(F.col("p").isNotNull() & F.col("t").isNotNull(), "tp"), n(F.col("t").isNull(), "fp"), n(F.col("p").isNull(), "fn")))
+
+
+def _rates(sums: DataFrame) -> DataFrame:
+    """(tp, fp, fn, precision_, recall_, f1) of one row (tp, fp, fn)."""
     tp, fp, fn = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("tp", "fp", "fn"))
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
     return sums.select(
@@ -163,6 +168,47 @@ def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def name_dob_block() -> list[Column]:
+    """The block of J-10: last name and date of birth."""
+    return [F.when(text_or_empty(F.col("LastName")) != "", F.col("LastName")), F.col("DOB")]
+
+
+def dob_prefix_block(letters: int = 3) -> list[Column]:
+    """The block of J-11: the first letters of the last name, without case, and date of birth."""
+    return [F.when(text_or_empty(F.col("LastName")) != "", F.upper(F.substring(F.trim("LastName"), 1, letters))), F.col("DOB")]
+
+
+def block_confusion(a: DataFrame, b: DataFrame, block: Sequence[Column], person: str = "PersonKey") -> DataFrame:
+    """A-21, U-6 of a blocking rule: (tp, fp, fn, precision_, recall_, f1) of the pairs of records that share a block, against those that share a person, without making a pair.
+
+    A block finds as many pairs as the product of its records on both sides, and of these those of one person are true: one row for each block and person is all that is shuffled. Records whose block has
+    a null part are in none; those without a person are linked with nothing. A record key stands for one record; rows that repeat one with equal block and person count once.
+    """
+    names = [f"_b{k}" for k in range(len(block))]
+    side = lambda df, n: df.select(*[c.alias(x) for c, x in zip(block, names, strict=True)], F.col(person).alias("_p"), F.col("RecordKey").alias("_r")).distinct().withColumn("_s", F.lit(n))
+    both = side(a, 0).unionByName(side(b, 1))
+    n = lambda s: F.count_if(F.col("_s") == s)
+    cells = both.groupBy(*names, "_p").agg(n(0).alias("a"), n(1).alias("b"))
+    blocked = " AND ".join(f"{x} IS NOT NULL" for x in names)
+    hit = F.when(F.col("_p").isNotNull(), F.col("a") * F.col("b")).otherwise(0)
+    found = cells.where(blocked).groupBy(*names).agg((F.sum("a") * F.sum("b")).alias("found"), F.sum(hit).alias("tp")).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("found", "tp")])
+    people = cells.where("_p IS NOT NULL").groupBy("_p").agg((F.sum("a") * F.sum("b")).alias("linked")).agg(F.coalesce(F.sum("linked"), F.lit(0).cast("long")).alias("linked"))
+    sums = found.crossJoin(F.broadcast(people))  # one row each
+    return _rates(sums.select("tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("linked") - F.col("tp")).alias("fn")))
+
+
+def record_map_of(walks: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
+    """R-1 from crosswalks alone: (DatasetId, RecordKey, PersonKey), each once, of all rows of crosswalks by their pair of datasets. Rows of one side only bring that side's record; records or people that are
+    null bring none. A record that crosswalks give to several people stays with each, which ambiguity() counts. Overlap, cardinality, duplicates and drift follow from the map."""
+    sides = [
+        walk.select(F.lit(name).alias("DatasetId"), F.col(column).alias("RecordKey"), "PersonKey") for pair, walk in walks.items() for name, column in zip(pair, ("A_RecordKey", "B_RecordKey"), strict=True)
+    ]
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out.where("RecordKey IS NOT NULL AND PersonKey IS NOT NULL").distinct()
+
+
 def error_reasons(predicted: DataFrame, truth: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """R-12. (A_RecordKey, B_RecordKey, error, reasons): false positives and negatives with what differs between the two records."""
     cols = ["A_RecordKey", "B_RecordKey"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import interval_contains
@@ -26,26 +26,71 @@ def asof_address(residence: DataFrame, day, per_person_fallback: bool = False) -
     return residence.where((active if some else begun) & known).groupBy("PersonKey").agg(F.max(order).alias("a")).select("PersonKey", F.col("a.AddressKey").alias("AddressKey"))
 
 
+#: Days of a block of a sweep.
+_BLOCK = 256
+#: Dyadic blocks of days have up to 2**_LEVELS days, which is more than all that a date can hold; days count from the year 1.
+_LEVELS, _EPOCH = 22, 719162
+
+
+def _day(c) -> Column:  # noqa: ANN001
+    return F.datediff(c, F.lit("1970-01-01").cast("date")) + _EPOCH
+
+
+def covering_blocks(start: Column, end: Column) -> Column:
+    """Disjoint blocks (level, block) of 2**level days, aligned to their size, that together are the closed interval; a null end is open. At most two of each level, so a long interval is few blocks."""
+    low, high = _day(start), F.coalesce(_day(end), F.lit((1 << _LEVELS) - 1)) + 1
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), level)
+        a, b = F.floor((low + size - 1) / size).cast("int"), F.floor(high / size).cast("int")
+        block = lambda n: F.struct(level.alias("level"), n.alias("block"))
+        return F.array(F.when((a < b) & (a % 2 == 1), block(a)), F.when((a < b) & (b % 2 == 1), block(b - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)))
+
+
+def blocks_of_day(day: Column) -> Column:
+    """The block of each level that holds a day."""
+    return F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftrightunsigned", _day(day), k).alias("block")))
+
+
+def members_on(moves: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(EventKey, PersonKey) for each membership that holds the day of a move of its household, once for each such membership.
+
+    A range join as an equal join: a membership is dealt to the dyadic blocks of days that it consists of, a move to the blocks that hold its day. The two share exactly one block if the day is in the
+    interval and none otherwise, so no pair is made in vain, and the blocks spread a large household over many keys.
+    """
+    m = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL AND MembershipStartDate IS NOT NULL AND (MembershipEndDate IS NULL OR MembershipEndDate >= MembershipStartDate)")
+    spans = m.select("HouseholdKey", "PersonKey", F.explode(covering_blocks(F.col("MembershipStartDate"), F.col("MembershipEndDate"))).alias("at")).select("HouseholdKey", "PersonKey", "at.*")
+    days = moves.where("SubjectHouseholdKey IS NOT NULL AND EventDate IS NOT NULL").select("EventKey", F.col("SubjectHouseholdKey").alias("HouseholdKey"), F.explode(blocks_of_day(F.col("EventDate"))).alias("at"))
+    return spans.join(days.select("EventKey", "HouseholdKey", "at.*"), ["HouseholdKey", "level", "block"]).select("EventKey", "PersonKey")
+
+
 def household_move_members(moves: DataFrame, memberships: DataFrame) -> DataFrame:
     """J-8. (EventKey, PersonKey): members of the moving household on the day of the move."""
-    m = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL AND MembershipStartDate IS NOT NULL")
-    joined = moves.select("EventKey", F.col("SubjectHouseholdKey").alias("HouseholdKey"), "EventDate").join(m, "HouseholdKey")
-    return joined.where(interval_contains(F.col("MembershipStartDate"), F.col("MembershipEndDate"), F.col("EventDate"))).select("EventKey", "PersonKey").distinct()
+    return members_on(moves, memberships).distinct()
 
 
 def interval_violations(df: DataFrame, entity: str, start: str, end: str, tie: str) -> DataFrame:
     """W-1. (entity, start_missing, end_before_start, overlaps) for each entity with any: an interval overlaps if it starts no later than the one before it ends.
 
     Rows without a start are counted and then left out, also as predecessors. Open ends last for ever. The tie column makes the order total.
+
+    Rows are summed by day first, before the shuffle: of the intervals that start on one day, each but the first follows one that started the same day, so what counts are those that last until that day,
+    without the last of them; the first follows the last one of the day before. The window then has a row for each day on which the entity has a start, however many intervals it has.
     """
-    w = Window.partitionBy(entity).orderBy(F.col(start).asc_nulls_last(), tie)
-    before = F.lag(F.coalesce(F.col(end), F.lit(OPEN_END).cast("date"))).over(w)
-    rows = df.select(entity, start, end, F.when(F.col(start).isNotNull(), before).alias("_before"))
+    close = F.coalesce(F.col(end), F.lit(OPEN_END).cast("date"))
+    days = df.groupBy(entity, start).agg(
+        F.count("*").alias("_n"), F.count_if(F.coalesce(F.col(end) < F.col(start), F.lit(False))).alias("_turned"), F.count_if(F.coalesce(close >= F.col(start), F.lit(False))).alias("_lasting"),
+        F.max_by(close, F.struct(F.col(tie), close)).alias("_last"),
+    )
+    w = Window.partitionBy(entity).orderBy(F.col(start).asc_nulls_last())
+    same = F.col("_lasting") - (F.col("_last") >= F.col(start)).cast("long")
+    before = F.coalesce((F.lag("_last").over(w) >= F.col(start)).cast("long"), F.lit(0))
+    rows = days.withColumn("_overlaps", F.when(F.col(start).isNotNull(), same + before).otherwise(0))
     out = rows.groupBy(entity).agg(
-        F.sum(F.col(start).isNull().cast("long")).alias("start_missing"),
-        F.sum(F.coalesce((F.col(end) < F.col(start)).cast("long"), F.lit(0))).alias("end_before_start"),
-        F.sum(F.coalesce((F.col(start) <= F.col("_before")).cast("long"), F.lit(0))).alias("overlaps"),
-    )
+        F.sum(F.when(F.col(start).isNull(), F.col("_n")).otherwise(0)).alias("start_missing"), F.sum("_turned").alias("end_before_start"), F.sum("_overlaps").alias("overlaps")
+    )
     return out.where("start_missing + end_before_start + overlaps > 0")
 
 
@@ -53,13 +98,20 @@ def sweep(memberships: DataFrame, low: int = 1, high: int = 8) -> DataFrame:
     """W-2. (HouseholdKey, points, violations, peak): sizes of each household where they change.
 
     One up at a start, one down the day after an end; changes of one day are summed first; points with nobody are left out. A violation is a size outside low..high.
+
+    Sums over days go in two levels: within blocks of _BLOCK days, and over the few sums of whole blocks. So however long and often a household changes, no window has more than a block, or the
+    blocks, of its days.
     """
     rows = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL AND MembershipStartDate IS NOT NULL")
     up = rows.select("HouseholdKey", F.col("MembershipStartDate").alias("day"), F.lit(1).alias("d"))
     down = rows.where("MembershipEndDate IS NOT NULL").select("HouseholdKey", F.date_add("MembershipEndDate", 1).alias("day"), F.lit(-1).alias("d"))
     changes = up.unionAll(down).groupBy("HouseholdKey", "day").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("HouseholdKey").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    points = changes.withColumn("size", F.sum("d").over(w)).where("size > 0")
+    dealt = changes.withColumn("block", F.floor(_day(F.col("day")) / _BLOCK).cast("int"))
+    earlier = Window.partitionBy("HouseholdKey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("HouseholdKey", "block").agg(F.sum("d").alias("d")).select("HouseholdKey", "block", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("HouseholdKey", "block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    sized = dealt.withColumn("size", F.sum("d").over(within)).join(before, ["HouseholdKey", "block"])
+    points = sized.withColumn("size", F.col("size") + F.col("before")).where("size > 0")
     return points.groupBy("HouseholdKey").agg(
         F.count("*").alias("points"), F.sum((~F.col("size").between(low, high)).cast("long")).alias("violations"), F.max("size").cast("long").alias("peak")
     )

@@ -45,8 +45,9 @@ def moves_per_person(events: DataFrame, memberships: DataFrame, people: DataFram
     """A-14. (PersonKey, moves) for all people: moves of their own, and of a household while they are in it."""
     moves = events.where(F.upper(F.trim("EventType")) == "MOVE")
     own = moves.where("SubjectPersonKey IS NOT NULL").select(F.col("SubjectPersonKey").alias("PersonKey"))
-    home = household_move_members(moves.where("SubjectPersonKey IS NULL AND SubjectHouseholdKey IS NOT NULL"), memberships).select("PersonKey")
-    counts = own.unionByName(home).groupBy("PersonKey").agg(F.count("*").alias("moves"))
+    home = household_move_members(moves.where("SubjectPersonKey IS NULL AND SubjectHouseholdKey IS NOT NULL"), memberships)
+    each = own.groupBy("PersonKey").agg(F.count("*").alias("moves")).unionByName(home.groupBy("PersonKey").agg(F.count("*").alias("moves")))
+    counts = each.groupBy("PersonKey").agg(F.sum("moves").alias("moves"))
     return people.select("PersonKey").distinct().join(counts, "PersonKey", "left").select("PersonKey", F.coalesce("moves", F.lit(0)).alias("moves"))
 
 

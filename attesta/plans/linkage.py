@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import er, intervals, reports, validate
 from .adapters import Tables, with_views
 
-QUERIES, ORACLE_SQL = {}, {}
+QUERIES, ORACLE_SQL, RAW = {}, {}, {}
 
 
 def query(sql: str | None = None):  # noqa: ANN201
     def add(f):  # noqa: ANN001, ANN202
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql)
+            ORACLE_SQL[f.__name__], RAW[f.__name__] = with_views(sql), sql
         return f
 
     return add
@@ -283,12 +283,56 @@ SELECT tp, fp, fn, round_even(tp / (tp + fp), 6) AS precision_, round_even(tp /
 
 @query(_confusion_sql(_BLOCK1))
 def er_confusion(t: Tables):  # noqa: ANN201
-    return er.confusion(er.block_name_dob(t["observed_a"], t["observed_b"]), _walk(t))
+    return er.block_confusion(t["observed_a"], t["observed_b"], er.name_dob_block())
 
 
 @query(_confusion_sql(_BLOCK2))
 def er_confusion_prefix(t: Tables):  # noqa: ANN201
-    return er.confusion(er.block_dob_prefix(t["observed_a"], t["observed_b"]), _walk(t))
+    return er.block_confusion(t["observed_a"], t["observed_b"], er.dob_prefix_block())
+
+
+@query(_confusion_sql(_BLOCK1))
+def er_confusion_pairs(t: Tables):  # noqa: ANN201
+    return er.confusion(er.block_name_dob(t["observed_a"], t["observed_b"]), _walk(t))
+
+
+# A crosswalk in which some records are given to a second person.
+_WALKED = f"SELECT PersonKey, A_RecordKey, B_RecordKey FROM ({_TRUTH}) w UNION ALL SELECT CAST(CAST(PersonKey AS INT) + 1 AS VARCHAR), A_RecordKey, NULL FROM ({_TRUTH}) w WHERE CAST(PersonKey AS INT) % 50 = 0"
+_MAP = f"SELECT DISTINCT * FROM (SELECT 'dataset_a' AS DatasetId, A_RecordKey AS RecordKey, PersonKey FROM ({_WALKED}) x UNION ALL SELECT 'dataset_b', B_RecordKey, PersonKey FROM ({_WALKED}) y) m WHERE RecordKey IS NOT NULL"
+
+
+def _walked(t: Tables):  # noqa: ANN202
+    walk = _walk(t)
+    again = walk.where("CAST(PersonKey AS INT) % 50 = 0").select((F.col("PersonKey").cast("int") + 1).cast("string").alias("PersonKey"), "A_RecordKey", F.lit(None).cast("string").alias("B_RecordKey"))
+    return er.record_map_of({("dataset_a", "dataset_b"): walk.unionByName(again)})
+
+
+@query(_MAP)
+def crosswalk_record_map(t: Tables):  # noqa: ANN201
+    return _walked(t)
+
+
+def _of_map(name: str, measure):  # noqa: ANN001, ANN202
+    """A query of record maps, over the map of crosswalks: the SQL is the same but for the map."""
+
+    def f(t: Tables):  # noqa: ANN202
+        return measure(_walked(t))
+
+    f.__name__ = f"crosswalk_{name}"
+    query(RAW[name].replace("{record_map}", f"({_MAP}) walked"))(f)
+
+
+for _name, _f in (("pairwise_overlap", er.pairwise_overlap), ("duplicate_rates", er.duplicate_rates), ("ambiguity", er.ambiguity)):
+    _of_map(_name, _f)
+
+
+@query(f"""
+WITH m AS ({_MAP}), a AS (SELECT PersonKey, count(*) AS n FROM m WHERE DatasetId = 'dataset_a' GROUP BY 1), b AS (SELECT PersonKey, count(*) AS n FROM m WHERE DatasetId = 'dataset_b' GROUP BY 1)
+SELECT CASE WHEN a.n <= 1 THEN 'one' ELSE 'many' END || '_to_' || CASE WHEN b.n <= 1 THEN 'one' ELSE 'many' END AS cardinality, count(*) AS people FROM a JOIN b USING (PersonKey) GROUP BY 1
+""")
+def crosswalk_cardinality(t: Tables):  # noqa: ANN201
+    m = _walked(t)
+    return er.match_cardinality(m.where("DatasetId = 'dataset_a'"), m.where("DatasetId = 'dataset_b'"))
 
 
 _DIFF = "a.{0} IS DISTINCT FROM b.{0}"
