@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,26 +118,50 @@ def balanced_counts(people: DataFrame, key: str, n_people: int, n_records: int,
 def heavy_tail_counts(people: DataFrame, key: str, n_people: int, n_records: int, seed: int, least: int = 1, most: int = 10, alpha: float = 1.3) -> DataFrame:
     """G-11. people with `records` that fall with the hash rank to the power -alpha, from least to most, and sum exactly to n_records.
 
-    Shares beyond the cap go to those below it: the scale is found by bisection on sums, which are one aggregate each, and the last few records are dealt by rank.
+    Counts follow the rank alone: a scale s gives at least j records more than the least to ranks below (s / j) ** (1 / alpha). So the sum for any scale is arithmetic, the scale is found by bisection
+    without a look at the rows, and a row's count is how many of these few limits its rank is below. The last few records are dealt by another hash.
     """
     if not least * n_people <= n_records <= most * n_people:
         raise ValueError("the number of records can't be reached")
-    ranked = cut_lineage(hash_rank(people, key, seed, "records", "_rank")).withColumn("_w", F.pow(F.col("_rank") + 1.0, F.lit(-alpha)))
-    count = lambda s: F.least(F.lit(most), F.lit(least) + F.floor(F.col("_w") * s)).cast("long")
+
+    def limits(s: float) -> list[int]:
+        """For j = 1.., how many ranks get at least j more."""
+        return [_ranks_reaching(s, j, alpha, n_people) for j in range(1, most - least + 1)]
+
     low, high = 0.0, float(most) * float(max(1, n_people)) ** alpha
-    tries = 40
-    for _ in range(tries // 8):  # eight candidates a pass
+    for _ in range(5):  # eight candidates a pass
         steps = [low + (high - low) * k / 9 for k in range(1, 9)]
-        sums = ranked.agg(*[F.sum(count(s)).alias(f"s{k}") for k, s in enumerate(steps)]).first()
-        under = [k for k in range(8) if (sums[k] or 0) <= n_records]
+        under = [k for k in range(8) if least * n_people + sum(limits(steps[k])) <= n_records]
         low, high = (steps[under[-1]] if under else low), (steps[under[-1] + 1] if under and under[-1] < 7 else high if under else steps[0])
-    base = ranked.withColumn("records", count(low))
-    short = n_records - (base.agg(F.sum("records")).first()[0] or 0)
+    cuts = limits(low)
+    more = sum((F.when(F.col("_rank") < c, 1).otherwise(0) for c in cuts), F.lit(0))
+    base = hash_rank(people, key, seed, "records", "_rank").withColumn("records", (F.lit(least) + more).cast("long")).drop("_rank")
+    short, full = n_records - least * n_people - sum(cuts), (cuts[-1] if cuts else n_people)
     while short > 0:  # one more for those with room, in the order of another hash
-        room = hash_rank(base.where(F.col("records") < most), key, seed, "room", "_r").where(F.col("_r") < short).select(key, F.lit(1).alias("_more"))
-        base = cut_lineage(base.join(room, key, "left").withColumn("records", F.col("records") + F.coalesce("_more", F.lit(0))).drop("_more"))
+        base = cut_lineage(base)
+        room = base.where(F.col("records") < most)
+        cut = first_rows(room, F.lit(0), hash_unit(seed, "room", key), key, short)
+        given = F.col("records") < most
+        if cut is not None:
+            given = given & cut.holds(F.lit(0), hash_unit(seed, "room", key), F.col(key))
+        base = base.withColumn("records", F.col("records") + given.cast("long"))
+        if short <= n_people - full:
+            break
+        base = cut_lineage(base)
         short = n_records - base.agg(F.sum("records")).first()[0]
-    return base.drop("_rank", "_w")
+        full = base.where(F.col("records") >= most).count()
+    return base
+
+
+def _ranks_reaching(s: float, j: int, alpha: float, n: int) -> int:
+    """How many of the ranks 0..n - 1 have (rank + 1) ** -alpha * s >= j. The inverse of the power is a first guess; the last step is the comparison itself."""
+    reaches = lambda r: float(r) ** -alpha * s >= j
+    r = min(n, max(0, int((s / j) ** (1 / alpha))))
+    while r > 0 and not reaches(r):
+        r -= 1
+    while r < n and reaches(r + 1):
+        r += 1
+    return r
 
 
 def expanded(df: DataFrame, count: str, name: str = "copy") -> DataFrame:
@@ -162,24 +187,70 @@ def coverage(people: DataFrame, key: str, n: int, overlap_pct: float, a_pct: flo
     return hash_rank(people, key, seed, "coverage", "_rank").withColumns({"in_a": r < a, "in_b": (r < both) | ((r >= a) & (r < a + b - both))}).drop("_rank")
 
 
+@dataclass(frozen=True)
+class Cut:
+    """The first rows of an order (level, hash, key): all of the levels below, and of one level those up to a hash and, among equal hashes, up to a key."""
+
+    level: int
+    hash: float
+    key: object
+
+    def holds(self, level: Column, u: Column, key: Column) -> Column:
+        edge = (u < F.lit(self.hash)) | ((u == F.lit(self.hash)) & (key <= F.lit(self.key)))
+        return (level < self.level) | ((level == self.level) & edge)
+
+
+#: Bits of the hash by which rows are counted at once; rows among which the cut is looked up by themselves.
+CUT_BITS, CUT_ROWS = 12, 1024
+
+
+def first_rows(df: DataFrame, level: Column, u: Column, key: str, n: int) -> Cut | None:
+    """The cut before which stand exactly n rows of df (None: there are no more than n).
+
+    Rows are counted by level and the first bits of the hash; the bucket where n is reached is counted by further bits, until it has so few rows that these are looked at. That is one scan for each
+    factor of 4,096 in the number of rows, without a shuffle but of counts.
+    """
+    if n <= 0:
+        return Cut(-(1 << 31), 0.0, None)
+    rows = df.select(level.cast("int").alias("l"), u.alias("u"), F.col(key).alias("k"))
+    at, depth, left = None, 1, n
+    while True:
+        bucket = F.floor(F.col("u") * float(1 << CUT_BITS * depth)).cast("long")
+        inside = rows if at is None else rows.where((F.col("l") == at[0]) & (F.floor(F.col("u") * float(1 << CUT_BITS * (depth - 1))).cast("long") == at[1]))
+        counts = sorted(((r.l, r.b), r.n) for r in inside.groupBy("l", bucket.alias("b")).agg(F.count("*").alias("n")).toLocalIterator())  # levels times 4,096 at most
+        for at, size in counts:  # noqa: B007
+            if size >= left:
+                break
+            left -= size
+        else:
+            return None
+        if size <= CUT_ROWS or CUT_BITS * (depth + 1) > 52:
+            break
+        depth += 1
+    edge = rows.where((F.col("l") == at[0]) & (bucket == at[1])).orderBy("u", "k").limit(left).select("u", "k").tail(1)[0]
+    return Cut(at[0], edge.u, edge.k)
+
+
 def nway_coverage(people: DataFrame, key: str, n: int, overlap_pct: float, appear_pct: Sequence[float], seed: int, sizes: Sequence[int] | None = None) -> DataFrame:
     """G-20, W-8. people with in_0, in_1, ...: a common overlap, then each dataset fills up with those assigned least often so far, by hash among equals.
 
-    sizes: how many people each dataset takes, by default its percentage of n. Datasets are few; each adds one distributed numbering in the order (times assigned, hash), of
-    keys alone, and is written, so that no round is computed again by the next.
+    sizes: how many people each dataset takes, by default its percentage of n. Each dataset is a cut in the order (times assigned, hash): counts find it, and the columns are comparisons with the cuts, so people
+    are neither numbered nor written nor shuffled, however many datasets there are.
     """
     sizes = [round(p * n / 100) for p in appear_pct] if sizes is None else list(sizes)
     both = min([round(overlap_pct * n / 100), *sizes])
-    common = F.when(F.col("_rank") < both, F.lit(-1)).otherwise(F.lit(0))
-    out = cut_lineage(hash_rank(people.select(key), key, seed, "overlap", "_rank").select(key, common.alias("_times")))
+    keys, every = people.select(key), F.lit(True)
+    held = lambda cut, level, u: every if cut is None else cut.holds(level, u, F.col(key))
+    u = hash_unit(seed, "overlap", key)
+    times = F.when(held(first_rows(keys, F.lit(0), u, key, both), F.lit(0), u), F.lit(-1)).otherwise(F.lit(0))
+    so_far = keys.withColumn("_times", times)
+    out = people.withColumn("_times", times)
     for k, size in enumerate(sizes):
-        step = out.withColumn("_u", hash_unit(seed, f"fill:{k}", key))
-        bucket = (F.col("_times") + 1) * BUCKETS + F.floor(F.col("_u") * (BUCKETS - 1))
-        step = numbered(step, [F.col("_times"), F.col("_u"), F.col(key)], bucket.cast("long"), "_fill").withColumn(f"in_{k}", F.col("_fill") < size)
-        again = F.when(F.col("_times") < 0, F.col("_times")).otherwise(F.col("_times") + F.col(f"in_{k}").cast("int"))
-        out = cut_lineage(step.withColumn("_times", again).drop("_u", "_fill"))
-    out = out.drop("_times")
-    return out if people.columns == [key] else people.join(out, key)
+        u, level = hash_unit(seed, f"fill:{k}", key), F.col("_times")
+        chosen = held(first_rows(so_far, level, u, key, size), level, u)
+        again = F.when(level < 0, level).otherwise(level + F.col(f"in_{k}").cast("int"))
+        so_far, out = (x.withColumn(f"in_{k}", chosen).withColumn("_times", again) for x in (so_far, out))
+    return out.drop("_times")
 
 
 def group_sizes(targets: DataFrame, keys: Sequence[str], seed: int, salt: str, low: int, high: int, first: int = 0) -> DataFrame:

@@ -78,6 +78,21 @@ FROM {events}
     "record_map": """
 SELECT CAST(user_id AS STRING) AS PersonKey, event_type AS DatasetId, event_type || '-' || CAST(event_id - event_id % 40 AS STRING) AS RecordKey
 FROM {events} WHERE NOT (event_type = 'view' AND user_id % 3 = 0) AND NOT (event_type = 'error' AND user_id % 4 < 2)
+""",
+    "cohorts": """
+SELECT split_part('age_0_17,age_18_24,age_25_34,age_35_64', ',', CAST(1 + c_nationkey % 4 AS INT)) AS age_cohort_id, avg(CAST(c_custkey % 40 AS DOUBLE)) AS moved_past_year_pct, count(*) AS population
+FROM {customer} WHERE c_custkey % 11 <> 0 GROUP BY 1
+""",
+    "demographics": """
+SELECT CASE WHEN c_nationkey % 7 = 0 THEN 'Elsewhere' ELSE split_part('White (Non-Hispanic),Hispanic / Latino,Black / African American,Asian,Multiracial / Other', ',', CAST(1 + c_custkey % 5 AS INT)) END AS label,
+       CASE WHEN c_nationkey % 2 = 0 THEN 'about ' || CAST(count(*) AS STRING) || '.5%' WHEN c_nationkey % 3 = 0 THEN ' ' || CAST(count(*) AS STRING) || ' % ' ELSE CAST(count(*) AS STRING) END AS value
+FROM {customer} GROUP BY 1, c_nationkey
+""",
+    "age_labels": """
+SELECT CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS STRING) || '-' || CAST(p_size + p_partkey % 9 AS STRING) WHEN p_partkey % 5 = 1 THEN CAST(p_size AS STRING) || '+'
+       WHEN p_partkey % 5 = 2 THEN 'under ' || CAST(p_size AS STRING) WHEN p_partkey % 5 = 3 THEN 'about ' || CAST(p_size AS STRING) || ' - ' || CAST(p_size + p_partkey % 9 AS STRING) || ' years' ELSE 'unknown' END AS label,
+       CASE WHEN p_partkey % 5 < 4 THEN p_size END AS low, CASE WHEN p_partkey % 5 IN (0, 3) THEN CAST(p_size + p_partkey % 9 AS INT) WHEN p_partkey % 5 < 4 THEN 95 END AS high
+FROM {part}
 """,
     "observed_a": _observed("A", "dataset_a", 97, "< 8"),
     "observed_b": _observed("B", "dataset_b", 23, ">= 2") + " UNION ALL " + _observed("B", "dataset_b", 11, "IN (2, 5, 9)", "-2"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import SCENARIOS
 from ..functions import age_on, as_int, concat_nonempty, hash_int, title_case
 from ..operators import allocation, emission, er, generation, noise, reports
 from ..sources.readers import scenario_status_counts
 from ..sources.writers import renamed
 from .adapters import Tables, int_sql, unit_sql, with_views
+from .linkage import RAW
 
 QUERIES, ORACLE_SQL = {}, {}
 SEED, END = 11, "2026-01-01"
@@ -443,24 +443,34 @@ def missingness_by_dataset(t: Tables):  # noqa: ANN201
     return reports.missingness(t["observed_a"].unionByName(t["observed_b"]), ("MiddleName", "Phone", "AddressKey"), "DatasetId", blanks=False)
 
 
-_names = lambda r: r.typo + r.phonetic + r.ocr + r.nickname
-_SCEN = [(s.name, s.mode, float(s.overlap), float(_names(s.noise[-1])), float(s.duplicates[0]), float(s.duplicates[-1])) for s in SCENARIOS.values()]
-_SCENSQL = "WITH s(scenario, mode, overlap_pct, name_noise, dup_a, dup_b) AS (VALUES " + ", ".join(repr(x) for x in _SCEN) + ") "
+# Pairs of datasets of the record map as runs: their overlap, their duplicates, and as noise the share of rows whose record belongs to several people.
+_PAIRS = f"""
+WITH o AS ({RAW["pairwise_overlap"]}), d AS ({RAW["duplicate_rates"]}), m AS ({RAW["ambiguity"]}),
+s AS (SELECT o.a || '/' || o.b AS scenario, CASE WHEN x.multi_entity_pct > 60 AND y.multi_entity_pct > 60 THEN 'many_to_many' ELSE 'one_to_many' END AS mode, o.pct_of_union AS overlap_pct,
+        n.ambiguous_rows * 20.0::DOUBLE / n.row_count AS name_noise, x.duplicate_rate * 20 AS dup_a, y.duplicate_rate * 20 AS dup_b
+      FROM o JOIN d x ON x.DatasetId = o.a JOIN d y ON y.DatasetId = o.b JOIN m n ON n.DatasetId = o.a)
+"""
 
 
-def _scenarios(t: Tables):  # noqa: ANN202
-    return t.spark.createDataFrame(_SCEN, "scenario string, mode string, overlap_pct double, name_noise double, dup_a double, dup_b double")
+def _runs(t: Tables):  # noqa: ANN202
+    side = lambda s: er.duplicate_rates(t["record_map"]).select(F.col("DatasetId").alias(s), (F.col("duplicate_rate") * 20).alias(f"dup_{s}"), F.col("multi_entity_pct").alias(f"multi_{s}"))
+    noise = er.ambiguity(t["record_map"]).select(F.col("DatasetId").alias("a"), (F.col("ambiguous_rows") * 20.0 / F.col("row_count")).alias("name_noise"))
+    mode = F.when((F.col("multi_a") > 60) & (F.col("multi_b") > 60), "many_to_many").otherwise("one_to_many")
+    rows = er.pairwise_overlap(t["record_map"]).join(side("a"), "a").join(side("b"), "b").join(noise, "a")
+    return rows.select(F.concat_ws("/", "a", "b").alias("scenario"), mode.alias("mode"), F.col("pct_of_union").alias("overlap_pct"), "name_noise", "dup_a", "dup_b")
 
 
-@query(_SCENSQL + """, p AS (SELECT scenario, CAST(CASE WHEN mode = 'single_dataset' THEN 0 WHEN overlap_pct < 40 THEN 3 WHEN overlap_pct < 60 THEN 2 WHEN overlap_pct < 75 THEN 1 ELSE 0 END + CASE WHEN name_noise > 10 THEN 2 WHEN name_noise > 5 THEN 1 ELSE 0 END + CASE WHEN dup_a > 10 OR dup_b > 10 THEN 1 ELSE 0 END + CASE WHEN mode = 'many_to_many' THEN 1 ELSE 0 END AS INT) AS score FROM s)
+@query(_PAIRS + """, p AS (SELECT scenario, CAST(CASE WHEN mode = 'single_dataset' THEN 0 WHEN overlap_pct < 40 THEN 3 WHEN overlap_pct < 60 THEN 2 WHEN overlap_pct < 75 THEN 1 ELSE 0 END
+  + CASE WHEN name_noise > 10 THEN 2 WHEN name_noise > 5 THEN 1 ELSE 0 END + CASE WHEN dup_a > 10 OR dup_b > 10 THEN 1 ELSE 0 END + CASE WHEN mode = 'many_to_many' THEN 1 ELSE 0 END AS INT) AS score FROM s)
 SELECT scenario, score, list_extract(['VERY EASY', 'EASY', 'MEDIUM', 'HARD', 'VERY HARD'], least(score, 4) + 1) AS rating FROM p""")
 def difficulty_score(t: Tables):  # noqa: ANN201
-    return reports.difficulty(_scenarios(t))
+    return reports.difficulty(_runs(t))
 
 
-@query(_SCENSQL + "SELECT scenario, CASE WHEN name_noise > 8 THEN 'fuzzy blocking on names' WHEN overlap_pct < 50 THEN 'restrictive blocking' WHEN dup_b > 15 THEN 'deduplicate first' ELSE 'last name and year of birth' END AS recommendation FROM s")
+@query(_PAIRS + """SELECT scenario, CASE WHEN name_noise > 8 THEN 'fuzzy blocking on names' WHEN overlap_pct < 50 THEN 'restrictive blocking' WHEN dup_b > 15 THEN 'deduplicate first'
+  ELSE 'last name and year of birth' END AS recommendation FROM s""")
 def blocking_recommendation(t: Tables):  # noqa: ANN201
-    return reports.blocking_recommendation(_scenarios(t))
+    return reports.blocking_recommendation(_runs(t))
 
 
 @query("WITH a AS (SELECT event_type AS metric, round_even(avg(value), 6) AS value FROM {events} WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, round_even(avg(value), 6) AS value FROM {events} WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1) SELECT metric, a.value AS a, b.value AS b, round_even(b.value - a.value, 6) AS delta FROM a FULL JOIN b USING (metric)")
@@ -475,12 +485,14 @@ def recent_runs(t: Tables):  # noqa: ANN201
     return reports.recent(t["events"], "ts", 20, F.col("event_type") == "click").select("event_id", "ts")
 
 
-_DEMO = [("White (Non-Hispanic)", "57.8%"), ("Hispanic / Latino", " 20.0 %"), ("Black / African American", "12.6"), ("Asian", "about 6.7%"), ("Multiracial / Other", "2.9%"), ("Elsewhere", "9%")]
-
-
-@query("WITH v(Ethnicity, pct) AS (VALUES ('American Indian & Alaskan Native', 0.0::DOUBLE), ('Asian & Pacific Islander', 6.7::DOUBLE), ('Black', 12.6::DOUBLE), ('Hispanic', 20.0::DOUBLE), ('Two or More Races', 2.9::DOUBLE), ('White', 57.8::DOUBLE)) SELECT * FROM v")
+@query("""
+WITH n AS (SELECT CASE label WHEN 'White (Non-Hispanic)' THEN 'White' WHEN 'Hispanic / Latino' THEN 'Hispanic' WHEN 'Black / African American' THEN 'Black' WHEN 'Asian' THEN 'Asian & Pacific Islander'
+  WHEN 'Multiracial / Other' THEN 'Two or More Races' END AS Ethnicity, CAST(trim(replace(replace(value, 'about', ''), '%', '')) AS DOUBLE) AS x FROM {demographics}), s AS (SELECT Ethnicity, sum(x) AS x FROM n GROUP BY 1),
+v(Ethnicity) AS (VALUES ('American Indian & Alaskan Native'), ('Asian & Pacific Islander'), ('Black'), ('Hispanic'), ('Two or More Races'), ('White'))
+SELECT v.Ethnicity, round_even(coalesce(x, 0), 6) AS pct FROM v LEFT JOIN s ON s.Ethnicity = v.Ethnicity
+""")
 def demographics_reshape(t: Tables):  # noqa: ANN201
-    return reports.ethnicity_shares(t.spark.createDataFrame(_DEMO, "label string, value string"))
+    return reports.ethnicity_shares(t["demographics"])
 
 
 @query("SELECT r_name, CAST(sum(t - s) AS BIGINT) AS moved, round_even(sum(t - s) / sum(t) * 100, 6) AS moved_pct FROM (SELECT r_name, n_nationkey * 10 + 100 AS t, n_nationkey * 7 + 50 AS s FROM {nation} JOIN {region} ON n_regionkey = r_regionkey) x GROUP BY r_name")
@@ -547,9 +559,6 @@ def entity_record_map(t: Tables):  # noqa: ANN201
     return emission.entity_record_map([t["observed_a"], t["observed_b"]])
 
 
-_AGE_LABELS = ["18-34", "65+", "under 5", "about 20 - 24 years"]
-
-
-@query("SELECT * FROM (VALUES ('18-34', 18, 34), ('65+', 65, 95), ('under 5', 5, 95), ('about 20 - 24 years', 20, 24)) v(label, low, high)")
+@query("SELECT id, label, low, high FROM {age_labels}")
 def age_ranges(t: Tables):  # noqa: ANN201
-    return t.spark.createDataFrame([(x,) for x in _AGE_LABELS], "label string").withColumn("r", reports.age_range(F.col("label"))).select("label", "r.low", "r.high")
+    return t["age_labels"].select("id", "label", reports.age_range(F.col("label")).alias("r")).select("id", "label", "r.low", "r.high")

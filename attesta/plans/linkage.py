@@ -107,7 +107,7 @@ def closed_history(t: Tables):  # noqa: ANN201
 
 _blank = lambda c: f"coalesce(trim({c}), '') = ''"
 _same = lambda a, b: f"({a} = {b} AND NOT {_blank(a)})"
-_GRAMMAR = [
+GRAMMAR = [
     (_blank("EventKey"), "EventKey", "missing"), ("EventDate IS NULL", "EventDate", "missing"), ("t = ''", "EventType", "missing"), ("t IN ('DEATH', 'NAME_CHANGE', 'ADOPTION')", "EventType", "reserved"),
     ("t <> '' AND t NOT IN ('MOVE', 'COHABIT', 'BIRTH', 'DIVORCE', 'LEAVE_HOME', 'DEATH', 'NAME_CHANGE', 'ADOPTION')", "EventType", "unknown"),
     (f"t = 'MOVE' AND {_blank('SubjectPersonKey')} AND {_blank('SubjectHouseholdKey')}", "SubjectPersonKey", "no subject"), (f"t = 'MOVE' AND {_blank('FromAddressKey')}", "FromAddressKey", "missing"),
@@ -121,7 +121,7 @@ _GRAMMAR = [
 ]
 
 
-@query("WITH e AS (SELECT *, upper(trim(coalesce(EventType, ''))) AS t FROM {truth_events}) " + " UNION ALL ".join(f"SELECT EventKey, '{f}' AS field, '{m}' AS error FROM e WHERE {c}" for c, f, m in _GRAMMAR))
+@query("WITH e AS (SELECT *, upper(trim(coalesce(EventType, ''))) AS t FROM {truth_events}) " + " UNION ALL ".join(f"SELECT EventKey, '{f}' AS field, '{m}' AS error FROM e WHERE {c}" for c, f, m in GRAMMAR))
 def event_grammar_errors(t: Tables):  # noqa: ANN201
     return validate.grammar_errors(t["truth_events"])
 

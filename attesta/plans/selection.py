@@ -114,15 +114,10 @@ def missing_keys(t: Tables):  # noqa: ANN201
     return pop.missing_keys(t["people"], t["records"])
 
 
-_COHORTS = [("age_0_17", 10.0, 1000), ("age_18_24", 20.0, 800), ("age_25_34", 18.0, 900), ("age_35_64", 9.0, 1500)]
-
-
-@query(f"""
-WITH c(id, pct, n) AS (VALUES {", ".join(f"('{a}', {b}, {c}.0)" for a, b, c in _COHORTS)}),
-k AS (SELECT CASE WHEN id IN ('age_18_24', 'age_25_34') THEN 'age_18_34' ELSE id END AS AgeBin, sum(pct::DOUBLE / 100 * n::DOUBLE) / greatest(sum(n::DOUBLE), 1.0) AS b FROM c GROUP BY 1),
+@query("""
+WITH k AS (SELECT CASE WHEN age_cohort_id IN ('age_18_24', 'age_25_34') THEN 'age_18_34' ELSE age_cohort_id END AS AgeBin, sum(moved_past_year_pct / 100 * population::DOUBLE) / greatest(sum(population::DOUBLE), 1.0) AS b FROM {cohorts} GROUP BY 1),
 d(AgeBin, v) AS (VALUES ('age_0_17', 0.10), ('age_18_34', 0.20), ('age_35_64', 0.09), ('age_65_plus', 0.06))
 SELECT d.AgeBin, round_even(coalesce(k.b, d.v::DOUBLE), 6) AS Base FROM d LEFT JOIN k USING (AgeBin)
 """)
 def mobility_base(t: Tables):  # noqa: ANN201
-    rows = t.spark.createDataFrame(_COHORTS, "age_cohort_id string, moved_past_year_pct double, population long")
-    return pop.mobility_base(rows).select("AgeBin", F.bround("Base", 6).alias("Base"))
+    return pop.mobility_base(t["cohorts"]).select("AgeBin", F.bround("Base", 6).alias("Base"))
