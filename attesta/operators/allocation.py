@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ from ..sources.checkpoints import cut_lineage
 
 #: Buckets of the order in which rows are numbered; each bucket is sorted by itself.
 BUCKETS = 4096
+#: Rows of a bucket, about: more buckets are made for more rows.
+BUCKET_ROWS = 1 << 20
 
 
 def normalised(values: Mapping[str, float | None], rescale: bool = True) -> dict[str, float]:
@@ -62,10 +65,16 @@ def range_numbered(df: DataFrame, order: Sequence[Column], name: str = "number")
     return numbered(dealt, [F.col(c) for c in places], F.col("_range"), name).drop("_range", *places)
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, salt: str, name: str = "number") -> DataFrame:
-    """df with each row's rank in the order of its hash, from 0."""
+def rank_buckets(n: int) -> int:
+    """Buckets of a hash order of n rows: so many that none of them has much more than BUCKET_ROWS, however many rows there are. Their counts are what is broadcast."""
+    return max(BUCKETS, 1 << max(0, math.ceil(n / BUCKET_ROWS) - 1).bit_length())
+
+
+def hash_rank(df: DataFrame, key: str, seed: int, salt: str, name: str = "number", n: int | None = None) -> DataFrame:
+    """df with each row's rank in the order of its hash, from 0. n: the number of rows, which is counted if it is not given; buckets follow it."""
     u = hash_unit(seed, salt, key)
-    return numbered(df.withColumn("_u", u), [F.col("_u"), F.col(key)], F.floor(F.col("_u") * (BUCKETS - 1)).cast("long"), name).drop("_u")
+    buckets = rank_buckets(df.count() if n is None else n)
+    return numbered(df.withColumn("_u", u), [F.col("_u"), F.col(key)], F.floor(F.col("_u") * (buckets - 1)).cast("long"), name).drop("_u")
 
 
 def assigned(df: DataFrame, key: str, shares: DataFrame, n: int, seed: int, salt: str = "category", name: str = "category") -> DataFrame:
@@ -73,7 +82,7 @@ def assigned(df: DataFrame, key: str, shares: DataFrame, n: int, seed: int, salt
     w = Window.partitionBy(F.lit(1)).orderBy("category")
     cuts = quotas(shares, n, seed).withColumn("hi", F.sum("quota").over(w)).withColumn("lo", F.col("hi") - F.col("quota"))
     table = cuts.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "category"))).alias("_cuts"))
-    ranked = hash_rank(df, key, seed, salt, "_rank").crossJoin(F.broadcast(table))  # one row, an array of the categories
+    ranked = hash_rank(df, key, seed, salt, "_rank", n).crossJoin(F.broadcast(table))  # one row, an array of the categories
     hit = F.filter("_cuts", lambda c: (c["lo"] <= F.col("_rank")) & (F.col("_rank") < c["hi"]))
     return ranked.withColumn(name, F.try_element_at(hit, F.lit(1))["category"]).drop("_rank", "_cuts")
 
@@ -112,7 +121,7 @@ def balanced_counts(people: DataFrame, key: str, n_people: int, n_records: int,
         raise ValueError("the number of records can't be reached")
     extra = n_records - least * n_people
     each, rest = divmod(extra, n_people) if n_people else (0, 0)
-    return hash_rank(people, key, seed, "records", "_rank").withColumn("records", (F.lit(least + each) + (F.col("_rank") < rest).cast("long")).cast("long")).drop("_rank")
+    return hash_rank(people, key, seed, "records", "_rank", n_people).withColumn("records", (F.lit(least + each) + (F.col("_rank") < rest).cast("long")).cast("long")).drop("_rank")
 
 
 def heavy_tail_counts(people: DataFrame, key: str, n_people: int, n_records: int, seed: int, least: int = 1, most: int = 10, alpha: float = 1.3) -> DataFrame:
@@ -135,7 +144,7 @@ def heavy_tail_counts(people: DataFrame, key: str, n_people: int, n_records: int
         low, high = (steps[under[-1]] if under else low), (steps[under[-1] + 1] if under and under[-1] < 7 else high if under else steps[0])
     cuts = limits(low)
     more = sum((F.when(F.col("_rank") < c, 1).otherwise(0) for c in cuts), F.lit(0))
-    base = hash_rank(people, key, seed, "records", "_rank").withColumn("records", (F.lit(least) + more).cast("long")).drop("_rank")
+    base = hash_rank(people, key, seed, "records", "_rank", n_people).withColumn("records", (F.lit(least) + more).cast("long")).drop("_rank")
     short, full = n_records - least * n_people - sum(cuts), (cuts[-1] if cuts else n_people)
     while short > 0:  # one more for those with room, in the order of another hash
         base = cut_lineage(base)
@@ -184,7 +193,7 @@ def coverage(people: DataFrame, key: str, n: int, overlap_pct: float, a_pct: flo
     """G-18. people with booleans in_a and in_b: hash ranks up to the overlap are in both, the next in A alone, the next in B alone. One pass."""
     both, a, b = coverage_targets(n, overlap_pct, a_pct, b_pct)
     r = F.col("_rank")
-    return hash_rank(people, key, seed, "coverage", "_rank").withColumns({"in_a": r < a, "in_b": (r < both) | ((r >= a) & (r < a + b - both))}).drop("_rank")
+    return hash_rank(people, key, seed, "coverage", "_rank", n).withColumns({"in_a": r < a, "in_b": (r < both) | ((r >= a) & (r < a + b - both))}).drop("_rank")
 
 
 @dataclass(frozen=True)
@@ -285,4 +294,4 @@ def duplication(people: DataFrame, key: str, n: int, duplicate_pct: float, seed:
         return base.withColumn("records", F.col("records").cast("long"))
     spark = people.sparkSession
     draws = spark.range(extras).select(hash_int(seed, "extra", n, "id").alias("_rank")).groupBy("_rank").agg(F.count("*").alias("_extra"))
-    return hash_rank(base, key, seed, "extras", "_rank").join(draws, "_rank", "left").withColumn("records", (F.col("records") + F.coalesce("_extra", F.lit(0))).cast("long")).drop("_rank", "_extra")
+    return hash_rank(base, key, seed, "extras", "_rank", n).join(draws, "_rank", "left").withColumn("records", (F.col("records") + F.coalesce("_extra", F.lit(0))).cast("long")).drop("_rank", "_extra")

@@ -113,11 +113,11 @@ def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> Da
     return _changed(rows, hit, {c: F.when(first, F.col(c)).otherwise(v) for c, v in moved.items()} | alone, first, event)
 
 
-def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date, n: int | None = None) -> DataFrame:
     """T-2, J-16, J-17. Free people of age are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
     least = 0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age
     free = rows.where(~F.col("locked") & F.col("Partner").isNull() & (F.coalesce("Age", F.lit(0)) >= least)).select("PersonKey", "AddressKey", *TRAITS)
-    ranked = hash_rank(free, "PersonKey", cfg.seed, f"pair:{i}", "_rn")
+    ranked = hash_rank(free, "PersonKey", cfg.seed, f"pair:{i}", "_rn", n)
     one = F.struct("PersonKey", "AddressKey", *TRAITS)
     side = lambda odd: F.max(F.when(F.col("_rn") % 2 == odd, one))
     pairs = ranked.groupBy(F.floor(F.col("_rn") / 2).alias("pair")).agg(side(0).alias("a"), side(1).alias("b")).where("b IS NOT NULL")
@@ -190,7 +190,7 @@ def _move(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataF
 PHASES = (("divorce", _divorce), ("cohabit", _cohabit), ("birth", _birth), ("leave_home", _leave_home), ("move", _move))
 
 
-def stepped(state: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+def stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int | None = None) -> DataFrame:
     """The state after step i, with `touched` for those who changed and `event` for what they tell of it.
 
     Phases run in order: divorce, cohabit, birth, leave home, move; one whose rate is zero has no plan. Who has changed is locked for later phases, so a row tells of one event at
@@ -199,7 +199,7 @@ def stepped(state: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     rows = begun(state)
     for name, phase in PHASES:
         if cfg.rate(getattr(cfg, name)):
-            rows = phase(rows, cfg, i, cfg.day(i))
+            rows = phase(rows, cfg, i, cfg.day(i), n) if phase is _cohabit else phase(rows, cfg, i, cfg.day(i))
     return rows.drop("locked")
 
 
@@ -215,7 +215,7 @@ def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None =
     state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)), "step=0").drop("touched", "event")
     for i in range(1, cfg.periods + 1):
         if any(cfg.rate(getattr(cfg, name)) for name, _ in PHASES):
-            state = ws.save(stepped(state, cfg, i), f"step={i}").drop("touched", "event")
+            state = ws.save(stepped(state, cfg, i, state.count()), f"step={i}").drop("touched", "event")  # a count of a written table reads its footers alone
     steps = spark.read.schema(T.StructType([*begun(first).drop("locked").schema.fields, T.StructField("step", T.IntegerType())])).parquet(ws.path)
     days = F.element_at(F.array(*[F.lit(cfg.day(i)) for i in range(cfg.periods + 1)]), F.col("step") + 1)
     log = steps.where("touched").select("PersonKey", days.alias("since"), "HouseholdKey", "AddressKey", "HouseholdType", "Role", "step")

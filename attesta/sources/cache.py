@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 from collections.abc import Mapping
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .readers import check_columns, load_json
-from .writers import guard_targets, write_json, write_parquet
+from .readers import check_columns, parsed, read_text
+from .writers import guard_targets, json_text, path_exists, write_parquet, write_text
 
 # The tables of a prepared cache and their columns; nicknames are optional.
 CACHE = {
@@ -19,8 +19,15 @@ CACHE = {
 OPTIONAL = {"nicknames": ("category", "formal", "nickname", "weight")}
 
 
+def listing(spark: SparkSession, pattern: str) -> list[tuple[str, str, int]]:
+    """(folder, name, time of change) of what matches a pattern, in any file system that Spark knows; names in order. A folder that isn't there has nothing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted((f.getPath().getParent().toString(), f.getPath().getName(), f.getModificationTime()) for f in found or [])
+
+
 def build_cache(tables: Mapping[str, DataFrame], folder: str, overwrite: bool = False) -> dict[str, Any]:
-    """K-6. Write prepared tables after a check of names, columns and targets; returns the manifest, which a local folder also holds."""
+    """K-6. Write prepared tables after a check of names, columns and targets; returns the manifest, which the folder also holds."""
     if missing := sorted(set(CACHE) - set(tables)):
         raise ValueError(f"missing tables: {', '.join(missing)}")
     known = CACHE | OPTIONAL
@@ -30,14 +37,13 @@ def build_cache(tables: Mapping[str, DataFrame], folder: str, overwrite: bool =
     for n, df in checked.items():
         write_parquet(df, f"{folder}/{n}.parquet", overwrite)
     manifest = {"tables": {n: list(df.columns) for n, df in checked.items()}}
-    if "://" not in folder:
-        write_json(manifest, f"{folder}/manifest.json")
+    write_text(first.sparkSession, json_text(manifest), f"{folder}/manifest.json")
     return manifest
 
 
 def load_cache(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """S-13. The prepared tables of a local or mounted folder; an error names those missing; nicknames may be."""
-    have = {p.name.removesuffix(".parquet") for p in Path(folder).glob("*.parquet")}
+    """S-13. The prepared tables of a folder; an error names those missing; nicknames may be."""
+    have = {name.removesuffix(".parquet") for _, name, _ in listing(spark, f"{folder}/*.parquet")}
     if missing := sorted(set(CACHE) - have):
         raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
     known = CACHE | OPTIONAL
@@ -46,23 +52,24 @@ def load_cache(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def datasets_of(folder: str) -> list[str]:
     """K-10. Observed datasets of a run: those its manifest names, else those whose files are there, else the old A and B."""
-    path = Path(folder)
-    if (path / "manifest.json").exists() and (named := [t for t in load_json(str(path / "manifest.json")).get("tables", []) if t.startswith("observed_")]):
+    spark = SparkSession.active()
+    manifest = f"{folder}/manifest.json"
+    if path_exists(spark, manifest) and (named := [t for t in parsed(read_text(spark, manifest), manifest).get("tables", []) if t.startswith("observed_")]):
         return sorted(named)
-    found = sorted(p.name.removesuffix(".csv") for p in path.glob("observed_*.csv"))
-    return found or [n for n in ("DatasetA", "DatasetB") if (path / f"{n}.csv").exists()]
+    found = [name.removesuffix(".csv") for _, name, _ in listing(spark, f"{folder}/observed_*.csv")]
+    return found or [n for n in ("DatasetA", "DatasetB") if path_exists(spark, f"{folder}/{n}.csv")]
 
 
 def recent_run_folders(root: str, n: int = 10, contains: str = "") -> list[str]:
     """O-5, R-5. Names of run folders with a manifest, the newest first."""
-    runs = [p.parent for p in Path(root).glob("*/manifest.json") if contains in p.parent.name]
-    return [p.name for p in sorted(runs, key=lambda p: (-(p / "manifest.json").stat().st_mtime, p.name))[:n]]
+    runs = [(folder.rsplit("/", 1)[-1], changed) for folder, _, changed in listing(SparkSession.active(), f"{root}/*/manifest.json")]
+    return [name for name, changed in sorted(runs, key=lambda r: (-r[1], r[0])) if contains in name][:n]
 
 
 def bundle(folder: str, target: str) -> float:
     """K-9. A folder as a zip file; returns its size in MB."""
     made = shutil.make_archive(target.removesuffix(".zip"), "zip", folder)
-    return round(Path(made).stat().st_size / 1e6, 2)
+    return round(os.path.getsize(made) / 1e6, 2)
 
 
 def set_path(values: dict[str, Any], path: str, value: Any) -> dict[str, Any]:

@@ -160,3 +160,33 @@ def test_moves_of_people_and_households_are_added(spark):
 def test_couples_apart_are_found(spark):
     state = spark.createDataFrame([("a", "b", "h", "x"), ("b", "a", "h", "x"), ("c", "d", "h1", "y"), ("d", "c", "h1", "z"), ("e", None, "h2", "y")], "PersonKey string, Partner string, HouseholdKey string, AddressKey string")
     assert tuple(truth.couple_colocation(state).first()) == (2, 1)
+
+
+def test_rank_buckets_follow_the_rows(spark, monkeypatch):
+    for n in (0, 10**6, 10**10, 10**12):
+        assert n / allocation.rank_buckets(n) <= allocation.BUCKET_ROWS and allocation.rank_buckets(10 * n) <= max(allocation.BUCKETS, 20 * 10 * n / allocation.BUCKET_ROWS)
+    monkeypatch.setattr(allocation, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(allocation, "BUCKETS", 2)
+    people = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    got = [r.k for r in allocation.hash_rank(people, "k", 3, "s").orderBy("number").collect()]
+    assert got == [r.k for r in people.orderBy(hash_unit(3, "s", "k"), "k").collect()]
+
+
+def test_caches_and_runs_by_address(spark, tmp_path):
+    from attesta.sources import cache
+    from attesta.sources.readers import load_json
+    from attesta.sources.writers import write_text
+
+    tables = {n: spark.createDataFrame([tuple("1" for _ in cols)], ", ".join(f"{c} string" for c in cols)) for n, cols in cache.CACHE.items()}
+    root = f"file://{tmp_path}"
+    assert cache.recent_run_folders(root) == [] and cache.listing(spark, f"{root}/nowhere/*") == []
+    manifest = cache.build_cache(tables, f"{root}/one")
+    assert load_json(f"{tmp_path}/one/manifest.json") == {"tables": manifest["tables"]} and set(cache.load_cache(spark, f"{root}/one")) == set(cache.CACHE)
+    write_text(spark, '{"tables": ["truth", "observed_b", "observed_a"]}', f"{root}/manifest.json")
+    assert cache.datasets_of(root) == ["observed_a", "observed_b"] and cache.recent_run_folders(root, contains="on") == ["one"]
+    (tmp_path / "old").mkdir()
+    for name in ("DatasetA.csv", "DatasetB.csv"):
+        write_text(spark, "RecordKey\n", f"{root}/old/{name}")
+    assert cache.datasets_of(f"{root}/old") == ["DatasetA", "DatasetB"]
+    write_text(spark, "RecordKey\n", f"{root}/old/observed_x.csv")
+    assert cache.datasets_of(f"{root}/old") == ["observed_x"]
