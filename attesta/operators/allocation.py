@@ -198,26 +198,26 @@ def coverage(people: DataFrame, key: str, n: int, overlap_pct: float, a_pct: flo
 
 @dataclass(frozen=True)
 class Cut:
-    """The first rows of an order (level, hash, key): all of the levels below, and of one level those up to a hash and, among equal hashes, up to a key."""
+    """The first rows of an order (level, hash, key): all of the levels below, and of one level those up to a hash and, among equal hashes, up to a key (null: none of those)."""
 
     level: int
     hash: float
     key: object
 
     def holds(self, level: Column, u: Column, key: Column) -> Column:
-        edge = (u < F.lit(self.hash)) | ((u == F.lit(self.hash)) & (key <= F.lit(self.key)))
+        edge = (u < F.lit(self.hash)) | ((u == F.lit(self.hash)) & F.coalesce(key <= F.lit(self.key), F.lit(False)))
         return (level < self.level) | ((level == self.level) & edge)
 
 
 #: Bits of the hash by which rows are counted at once; rows among which the cut is looked up by themselves.
-CUT_BITS, CUT_ROWS = 12, 1024
+CUT_BITS, CUT_ROWS = 16, 1024
 
 
 def first_rows(df: DataFrame, level: Column, u: Column, key: str, n: int) -> Cut | None:
     """The cut before which stand exactly n rows of df (None: there are no more than n).
 
     Rows are counted by level and the first bits of the hash; the bucket where n is reached is counted by further bits, until it has so few rows that these are looked at. That is one scan for each
-    factor of 4,096 in the number of rows, without a shuffle but of counts.
+    factor of 65,536 in the number of rows, without a shuffle but of counts; where n ends with a bucket, its border is the cut.
     """
     if n <= 0:
         return Cut(-(1 << 31), 0.0, None)
@@ -226,17 +226,19 @@ def first_rows(df: DataFrame, level: Column, u: Column, key: str, n: int) -> Cut
     while True:
         bucket = F.floor(F.col("u") * float(1 << CUT_BITS * depth)).cast("long")
         inside = rows if at is None else rows.where((F.col("l") == at[0]) & (F.floor(F.col("u") * float(1 << CUT_BITS * (depth - 1))).cast("long") == at[1]))
-        counts = sorted(((r.l, r.b), r.n) for r in inside.groupBy("l", bucket.alias("b")).agg(F.count("*").alias("n")).toLocalIterator())  # levels times 4,096 at most
+        counts = sorted(((r.l, r.b), r.n) for r in inside.groupBy("l", bucket.alias("b")).agg(F.count("*").alias("n")).collect())  # levels times 65,536 at most
         for at, size in counts:  # noqa: B007
             if size >= left:
                 break
             left -= size
         else:
             return None
+        if size == left:
+            return Cut(at[0], (at[1] + 1) / float(1 << CUT_BITS * depth), None)
         if size <= CUT_ROWS or CUT_BITS * (depth + 1) > 52:
             break
         depth += 1
-    edge = rows.where((F.col("l") == at[0]) & (bucket == at[1])).orderBy("u", "k").limit(left).select("u", "k").tail(1)[0]
+    edge = rows.where((F.col("l") == at[0]) & (bucket == at[1])).select("u", "k").orderBy("u", "k").limit(left).collect()[-1]
     return Cut(at[0], edge.u, edge.k)
 
 
@@ -248,18 +250,30 @@ def nway_coverage(people: DataFrame, key: str, n: int, overlap_pct: float, appea
     """
     sizes = [round(p * n / 100) for p in appear_pct] if sizes is None else list(sizes)
     both = min([round(overlap_pct * n / 100), *sizes])
-    keys, every = people.select(key), F.lit(True)
-    held = lambda cut, level, u: every if cut is None else cut.holds(level, u, F.col(key))
-    u = hash_unit(seed, "overlap", key)
-    times = F.when(held(first_rows(keys, F.lit(0), u, key, both), F.lit(0), u), F.lit(-1)).otherwise(F.lit(0))
-    so_far = keys.withColumn("_times", times)
-    out = people.withColumn("_times", times)
+    hashes = {"_u": hash_unit(seed, "overlap", key)} | {f"_u{k}": hash_unit(seed, f"fill:{k}", key) for k in range(len(sizes))}
+
+    rows, kind = people.withColumns(hashes), people.schema[key].dataType
+    first = first_rows(rows, F.lit(0), F.col("_u"), key, both)
+    common = F.lit(True) if first is None else first.holds(F.lit(0), F.col("_u"), F.col(key))
+    cuts: list[Cut] = []
+
+    def filled() -> Column:
+        """(times, flags) after the cuts so far: a fold over datasets, which keeps the expression as small as their number."""
+        begun = F.struct(F.when(common, -1).otherwise(0).alias("times"), F.array().cast("array<boolean>").alias("flags"))
+
+        def take(now: Column, x: Column) -> Column:
+            t = now["times"]
+            chosen = (t < x["level"]) | ((t == x["level"]) & ((x["u"] < x["hash"]) | ((x["u"] == x["hash"]) & F.coalesce(F.col(key) <= x["key"], F.lit(False)))))
+            return F.struct(F.when(t < 0, t).otherwise(t + chosen.cast("int")).alias("times"), F.concat(now["flags"], F.array(chosen)).alias("flags"))
+
+        steps = [F.struct(F.lit(c.level).alias("level"), F.lit(c.hash).alias("hash"), F.lit(c.key).cast(kind).alias("key"), F.col(f"_u{k}").alias("u")) for k, c in enumerate(cuts)]
+        return F.aggregate(F.array(*steps), begun, take) if steps else begun
+
     for k, size in enumerate(sizes):
-        u, level = hash_unit(seed, f"fill:{k}", key), F.col("_times")
-        chosen = held(first_rows(so_far, level, u, key, size), level, u)
-        again = F.when(level < 0, level).otherwise(level + F.col(f"in_{k}").cast("int"))
-        so_far, out = (x.withColumn(f"in_{k}", chosen).withColumn("_times", again) for x in (so_far, out))
-    return out.drop("_times")
+        so_far = rows.select(key, f"_u{k}", filled()["times"].alias("_times"))
+        cuts.append(first_rows(so_far, F.col("_times"), F.col(f"_u{k}"), key, size) or Cut((1 << 31) - 1, 0.0, None))
+    out = rows.withColumn("_filled", filled())
+    return out.select(*people.columns, *[F.coalesce(F.col("_filled.flags")[k], F.lit(False)).alias(f"in_{k}") for k in range(len(sizes))])
 
 
 def group_sizes(targets: DataFrame, keys: Sequence[str], seed: int, salt: str, low: int, high: int, first: int = 0) -> DataFrame:

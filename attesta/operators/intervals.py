@@ -26,44 +26,43 @@ def asof_address(residence: DataFrame, day, per_person_fallback: bool = False) -
     return residence.where((active if some else begun) & known).groupBy("PersonKey").agg(F.max(order).alias("a")).select("PersonKey", F.col("a.AddressKey").alias("AddressKey"))
 
 
-#: Days of a block of a sweep.
-_BLOCK = 256
-#: Dyadic blocks of days have up to 2**_LEVELS days, which is more than all that a date can hold; days count from the year 1.
-_LEVELS, _EPOCH = 22, 719162
+#: Blocks of days have 4**level days; the largest holds all days of the calendar, which count from the year 1.
+_LEVELS, _EPOCH = 12, 719162
 
 
-def _day(c) -> Column:  # noqa: ANN001
+def _day(c: Column) -> Column:
     return F.datediff(c, F.lit("1970-01-01").cast("date")) + _EPOCH
 
 
-def covering_blocks(start: Column, end: Column) -> Column:
-    """Disjoint blocks (level, block) of 2**level days, aligned to their size, that together are the closed interval; a null end is open. At most two of each level, so a long interval is few blocks."""
-    low, high = _day(start), F.coalesce(_day(end), F.lit((1 << _LEVELS) - 1)) + 1
-
-    def at(level: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1), level)
-        a, b = F.floor((low + size - 1) / size).cast("int"), F.floor(high / size).cast("int")
-        block = lambda n: F.struct(level.alias("level"), n.alias("block"))
-        return F.array(F.when((a < b) & (a % 2 == 1), block(a)), F.when((a < b) & (b % 2 == 1), block(b - 1)))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)))
+def covering_blocks(start: Column, end: Column) -> dict[str, Column]:
+    """Columns level and block, a row each, of the blocks that a closed interval of days touches: those of the smallest level whose blocks are as long as the interval, so that they are one or two."""
+    low, high = _day(start), _day(end)
+    level = F.lit(_LEVELS - 1)
+    for k in range(_LEVELS - 2, -1, -1):
+        level = F.when(high - low < 4**k, F.lit(k)).otherwise(level)
+    at = lambda d: F.call_function("shiftright", d, level * 2)
+    return {"level": level, "block": F.explode(F.sequence(at(low), at(high)))}
 
 
 def blocks_of_day(day: Column) -> Column:
     """The block of each level that holds a day."""
-    return F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftrightunsigned", _day(day), k).alias("block")))
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.call_function("shiftright", _day(day), F.lit(2 * k)).alias("block")) for k in range(_LEVELS)])
 
 
 def members_on(moves: DataFrame, memberships: DataFrame) -> DataFrame:
     """(EventKey, PersonKey) for each membership that holds the day of a move of its household, once for each such membership.
 
-    A range join as an equal join: a membership is dealt to the dyadic blocks of days that it consists of, a move to the blocks that hold its day. The two share exactly one block if the day is in the
-    interval and none otherwise, so no pair is made in vain, and the blocks spread a large household over many keys.
+    A range join as an equal join: a membership is dealt to the one or two blocks of about its own length that it touches, a move to the block of each level that holds its day. The two share one block
+    at most, so pairs are made once, and what a block holds beside true pairs is a small multiple of them; blocks spread a large household over many keys. Open ends count to the last move.
     """
-    m = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL AND MembershipStartDate IS NOT NULL AND (MembershipEndDate IS NULL OR MembershipEndDate >= MembershipStartDate)")
-    spans = m.select("HouseholdKey", "PersonKey", F.explode(covering_blocks(F.col("MembershipStartDate"), F.col("MembershipEndDate"))).alias("at")).select("HouseholdKey", "PersonKey", "at.*")
-    days = moves.where("SubjectHouseholdKey IS NOT NULL AND EventDate IS NOT NULL").select("EventKey", F.col("SubjectHouseholdKey").alias("HouseholdKey"), F.explode(blocks_of_day(F.col("EventDate"))).alias("at"))
-    return spans.join(days.select("EventKey", "HouseholdKey", "at.*"), ["HouseholdKey", "level", "block"]).select("EventKey", "PersonKey")
+    asked = moves.where("SubjectHouseholdKey IS NOT NULL AND EventDate IS NOT NULL").select("EventKey", F.col("SubjectHouseholdKey").alias("HouseholdKey"), "EventDate")
+    last = asked.agg(F.max("EventDate").alias("_last"))
+    m = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL").crossJoin(F.broadcast(last)).withColumn("_to", F.least(F.coalesce("MembershipEndDate", "_last"), "_last"))  # one row
+    blocks = {k: c.alias(k) for k, c in covering_blocks(F.col("MembershipStartDate"), F.col("_to")).items()}
+    spans = m.where("MembershipStartDate <= _to").select("HouseholdKey", "PersonKey", "MembershipStartDate", "_to", *blocks.values())
+    days = asked.select("EventKey", "HouseholdKey", "EventDate", F.explode(blocks_of_day(F.col("EventDate"))).alias("at"))
+    both = spans.join(days.select("*", "at.*").drop("at"), ["HouseholdKey", "level", "block"])
+    return both.where("MembershipStartDate <= EventDate AND EventDate <= _to").select("EventKey", "PersonKey")
 
 
 def household_move_members(moves: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -99,19 +98,14 @@ def sweep(memberships: DataFrame, low: int = 1, high: int = 8) -> DataFrame:
 
     One up at a start, one down the day after an end; changes of one day are summed first; points with nobody are left out. A violation is a size outside low..high.
 
-    Sums over days go in two levels: within blocks of _BLOCK days, and over the few sums of whole blocks. So however long and often a household changes, no window has more than a block, or the
-    blocks, of its days.
+    Changes are summed by household and day before the shuffle, so the window over a household has a row for each day of the calendar at most, however many members come and go.
     """
     rows = memberships.where("HouseholdKey IS NOT NULL AND PersonKey IS NOT NULL AND MembershipStartDate IS NOT NULL")
     up = rows.select("HouseholdKey", F.col("MembershipStartDate").alias("day"), F.lit(1).alias("d"))
     down = rows.where("MembershipEndDate IS NOT NULL").select("HouseholdKey", F.date_add("MembershipEndDate", 1).alias("day"), F.lit(-1).alias("d"))
     changes = up.unionAll(down).groupBy("HouseholdKey", "day").agg(F.sum("d").alias("d"))
-    dealt = changes.withColumn("block", F.floor(_day(F.col("day")) / _BLOCK).cast("int"))
-    earlier = Window.partitionBy("HouseholdKey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy("HouseholdKey", "block").agg(F.sum("d").alias("d")).select("HouseholdKey", "block", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("HouseholdKey", "block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    sized = dealt.withColumn("size", F.sum("d").over(within)).join(before, ["HouseholdKey", "block"])
-    points = sized.withColumn("size", F.col("size") + F.col("before")).where("size > 0")
+    w = Window.partitionBy("HouseholdKey").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    points = changes.withColumn("size", F.sum("d").over(w)).where("size > 0")
     return points.groupBy("HouseholdKey").agg(
         F.count("*").alias("points"), F.sum((~F.col("size").between(low, high)).cast("long")).alias("violations"), F.max("size").cast("long").alias("peak")
     )

@@ -38,14 +38,17 @@ def test_moves_meet_members_on_the_day_and_nobody_else(spark):
     assert Counter((r.EventKey, r.PersonKey) for r in intervals.household_move_members(e, m).collect()) == Counter(set(expected))
 
 
-def test_covering_blocks_are_disjoint_exact_and_few(spark):
+def test_covering_blocks_hold_their_interval_and_are_few(spark):
     rng = random.Random(3)
-    spans = [(i, a := DAY0 + timedelta(rng.randint(-3000, 3000)), a + timedelta(rng.choice([0, 1, 7, 30, 900, 20000]))) for i in range(60)]
-    df = spark.createDataFrame(spans, "i int, a date, b date").select("i", "a", "b", intervals.covering_blocks(F.col("a"), F.col("b")).alias("blocks"))
-    for r in df.collect():
-        days = [d for x in r.blocks for d in range(x.block << x.level, (x.block + 1) << x.level)]
-        low = r.a.toordinal() - 1
-        assert sorted(days) == list(range(low, low + (r.b - r.a).days + 1)) and len(r.blocks) <= 2 * max(1, ((r.b - r.a).days + 1).bit_length())
+    spans = [(i, a := DAY0 + timedelta(rng.randint(-3000, 3000)), a + timedelta(rng.choice([0, 1, 3, 4, 7, 30, 900, 20000]))) for i in range(60)]
+    df = spark.createDataFrame(spans, "i int, a date, b date").select("i", "a", "b", *[c.alias(k) for k, c in intervals.covering_blocks(F.col("a"), F.col("b")).items()])
+    df = df.groupBy("i", "a", "b").agg(F.array_sort(F.collect_list(F.struct("level", "block"))).alias("blocks")).withColumn("first", intervals.blocks_of_day(F.col("a")))
+    rows = df.collect()
+    assert len(rows) == len(spans)
+    for r in rows:
+        low, high, size = r.a.toordinal() - 1, r.b.toordinal() - 1, 4 ** r.blocks[0].level
+        assert len({x.level for x in r.blocks}) == 1 and len(r.blocks) <= 2 and high - low < size and (size == 1 or high - low >= size // 4)
+        assert [x.block for x in r.blocks] == list(range(low // size, high // size + 1)) and {(x.level, x.block) for x in r.first} == {(k, low // 4**k) for k in range(12)}
 
 
 def test_overlaps_by_day_are_those_row_by_row(spark):
