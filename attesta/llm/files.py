@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 
@@ -18,6 +20,23 @@ def writer(uri: str):  # noqa: ANN201
     return fs.open_output_stream(path, compression=None)
 
 
+@contextmanager
+def whole(uri: str):  # noqa: ANN201
+    """A stream whose file is there under its name once it is closed without an error, and not before. Each attempt of a task writes under a name of its own, so one that is killed leaves what another has
+    finished as it is; attempts that both end leave one of their files, which hold the same."""
+    fs, path = opened(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as f:
+        yield f
+    try:
+        fs.move(own, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(own)  # file systems that don't replace a file keep the first one
+
+
 def reader(uri: str):  # noqa: ANN201
     fs, path = opened(uri)
     return fs.open_input_stream(path, compression=None)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Workspace, hash_words, mix, small_batches, text_batches, text_bytes
-from .files import local, writer
+from .files import local, whole
 
 #: Words of the longest grams: by default, and in the query, whose disk longer ones exceed (the README has figures).
 ORDER, QUERY_ORDER = 3, 2
@@ -121,9 +121,9 @@ def _dealt(keys: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray],
 
 
 def _put(uri: str, arrays: list[np.ndarray]) -> None:
-    """Write a shard's arrays, each from a multiple of 8 bytes on. A task that runs twice writes the same bytes."""
+    """Write a shard's arrays, each from a multiple of 8 bytes on. A task that runs twice puts a whole file in the place of the other, also if it is killed on the way."""
     head = np.array([len(arrays[0]), *(a.itemsize for a in arrays)], "<u8").tobytes()
-    with writer(uri) as f:
+    with whole(uri) as f:
         f.write(head)
         for a in arrays:
             raw = a.tobytes()

@@ -111,3 +111,28 @@ def test_hashes_follow_words():
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     assert hash_words(texts, WORD)[1].tolist() == [len(pattern.findall((t or "").translate(lower))) for t in texts]
+
+
+def test_a_second_attempt_that_dies_leaves_the_finished_shard(tmp_path):
+    import numpy as np
+    import pytest
+
+    from attesta.llm import files, kneser_ney
+
+    uri = f"file://{tmp_path}/model/1-0"
+    arrays = [np.arange(200, dtype="<u8"), np.arange(200, dtype="<u2")]
+    kneser_ney._put(uri, arrays)
+    before = (tmp_path / "model" / "1-0").read_bytes()
+
+    def killed():
+        with files.whole(uri) as f:
+            f.write(b"cut short!")
+            assert (tmp_path / "model" / "1-0").read_bytes() == before  # nothing is cut while it writes
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        killed()
+    assert (tmp_path / "model" / "1-0").read_bytes() == before
+    kneser_ney._put(uri, arrays)  # a second attempt that ends
+    assert (tmp_path / "model" / "1-0").read_bytes() == before
+    assert [a.tolist() for a in kneser_ney._get(uri, 2)] == [a.tolist() for a in arrays]
