@@ -91,6 +91,21 @@ def nway_overlap(record_map: DataFrame) -> DataFrame:
     return out.select("datasets", "in_all", "in_any", _pct(F.col("in_all"), F.col("in_any")).alias("pct"))
 
 
+def coverage_counters(members: DataFrame, base: DataFrame) -> DataFrame:
+    """A-24. (DatasetId, entities, base_entities, late_entities, only_entities, shared_entities) from members (DatasetId, PersonKey) and the people that every dataset could have from the start.
+
+    Late are people who are not among those; only are those of no other dataset; shared are those of all. Datasets are few, so a person's are an array.
+    """
+    known = base.select("PersonKey").distinct().withColumn("_base", F.lit(1))
+    of = members.where("PersonKey IS NOT NULL").groupBy("PersonKey").agg(F.collect_set("DatasetId").alias("_in")).join(known, "PersonKey", "left")
+    total = members.where("PersonKey IS NOT NULL").agg(F.count_distinct("DatasetId").alias("_all"))
+    rows = of.crossJoin(F.broadcast(total)).select(F.explode("_in").alias("DatasetId"), F.size("_in").alias("_n"), "_all", "_base")  # one row of total
+    return rows.groupBy("DatasetId").agg(
+        F.count("*").alias("entities"), F.count("_base").alias("base_entities"), (F.count("*") - F.count("_base")).alias("late_entities"),
+        F.count_if(F.col("_n") == 1).alias("only_entities"), F.count_if(F.col("_n") == F.col("_all")).alias("shared_entities"),
+    )
+
+
 def match_cardinality(a: DataFrame, b: DataFrame) -> DataFrame:
     """A-19. (cardinality, people) over people in both tables."""
     n = lambda df, name: df.groupBy("PersonKey").agg(F.countDistinct("RecordKey").alias(name))

@@ -117,6 +117,48 @@ def insights(overlap: DataFrame) -> DataFrame:
     return overlap.select("a", "b", text.alias("insight"))
 
 
+def _whole(c: Column) -> Column:
+    return F.bround(c, 0).cast("int").cast("string")
+
+
+def missing_insights(missing: DataFrame, limit: float = 20) -> DataFrame:
+    """R-9. (DatasetId, insight) from (DatasetId, field, pct): the field that is missing most, the first by name among equals, if that is more than the limit."""
+    worst = missing.groupBy("DatasetId").agg(F.min(F.struct((-F.col("pct")).alias("m"), "field")).alias("first"))
+    name, pct = F.col("first.field"), -F.col("first.m")
+    return worst.select("DatasetId", F.when(pct > limit, F.concat(name, F.lit(" is missing in "), _whole(pct), F.lit(" % of rows: no blocking key"))).otherwise("few values are missing: most fields can block").alias("insight"))
+
+
+def noise_insights(noise: DataFrame) -> DataFrame:
+    """R-9. (a, b, insight) for each pair of datasets from (DatasetId, name_noise, sound_noise) in percent: sounds and nicknames of the second first, then which side is noisier."""
+    side = lambda s: noise.select(F.col("DatasetId").alias(s), F.col("name_noise").alias(f"n_{s}"), F.col("sound_noise").alias(f"s_{s}"))
+    text = F.when(F.col("s_b") > 5, "sounds and nicknames in the second break blocks of names").when(F.col("n_b") > F.col("n_a") * 2, "the second is much noisier: its fields count for less").otherwise("both are about as noisy")
+    return side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b")).select("a", "b", text.alias("insight"))  # a row for each dataset
+
+
+def age_insight(summary: DataFrame) -> DataFrame:
+    """R-9. One row (insight) from age_summary()."""
+    spread = F.when(F.col("std_age") > 20, "a wide spread, names collide across cohorts").otherwise("a narrow spread, ages set few people apart")
+    return summary.select(F.concat(F.lit("most people are "), F.col("mode_age").cast("string"), F.lit(": "), spread).alias("insight"))
+
+
+def event_insight(top: DataFrame, kind: str) -> DataFrame:
+    """R-9. One row (insight) from dominant()."""
+    share = F.when(F.col("total") > 0, F.concat(F.col(kind), F.lit(" is "), _whole(F.col("n") * 100 / F.col("total")), F.lit(" % of "), F.col("total").cast("string"), F.lit(" events"))).otherwise("no events")
+    return top.select(share.alias("insight"))
+
+
+def dataset_insights(rates: DataFrame) -> DataFrame:
+    """R-9. (DatasetId, insight) from duplicate_rates(): what is left to deduplicate."""
+    text = F.concat(F.col("row_count").cast("string"), F.lit(" rows of "), F.col("entities").cast("string"), F.lit(" people, "), F.col("duplicate_rows").cast("string"), F.lit(" to deduplicate"))
+    return rates.select("DatasetId", text.alias("insight"))
+
+
+def score_card(scenarios: DataFrame) -> DataFrame:
+    """R-9. (scenario, insight): rating, score and advice of each."""
+    both = difficulty(scenarios).join(blocking_recommendation(scenarios), "scenario")
+    return both.select("scenario", F.concat("rating", F.lit(" ("), F.col("score").cast("string"), F.lit(" of 7): "), "recommendation").alias("insight"))
+
+
 def weakest_pair(overlap: DataFrame) -> DataFrame:
     """O-6."""
     return overlap.agg(F.min_by(F.struct("a", "b", "pct_of_union"), F.struct("pct_of_union", "a", "b")).alias("p")).select("p.*")

@@ -473,6 +473,31 @@ def blocking_recommendation(t: Tables):  # noqa: ANN201
     return reports.blocking_recommendation(_runs(t))
 
 
+@query(f"SELECT d.scenario, d.rating || ' (' || d.score || ' of 7): ' || b.recommendation AS insight FROM ({ORACLE_SQL['difficulty_score']}) d JOIN ({ORACLE_SQL['blocking_recommendation']}) b USING (scenario)")
+def insights_score_card(t: Tables):  # noqa: ANN201
+    return reports.score_card(_runs(t))
+
+
+@query(f"""
+SELECT DatasetId, CASE WHEN pct > 20 THEN field || ' is missing in ' || CAST(round_even(pct, 0) AS INT) || ' % of rows: no blocking key' ELSE 'few values are missing: most fields can block' END AS insight
+FROM (SELECT *, row_number() OVER (PARTITION BY DatasetId ORDER BY pct DESC, field) AS n FROM ({ORACLE_SQL['missingness_by_dataset']}) m) x WHERE n = 1
+""")
+def insights_missing(t: Tables):  # noqa: ANN201
+    return reports.missing_insights(reports.missingness(t["observed_a"].unionByName(t["observed_b"]), ("MiddleName", "Phone", "AddressKey"), "DatasetId", blanks=False))
+
+
+_NOISY = "SELECT event_type AS DatasetId, avg(CASE WHEN event_id % 7 = 0 THEN 100 ELSE 0 END)::DOUBLE AS name_noise, avg(CASE WHEN user_id % 21 = 0 THEN 100 ELSE 0 END)::DOUBLE AS sound_noise FROM {events} GROUP BY 1"
+
+
+@query(f"""
+WITH n AS ({_NOISY}) SELECT x.DatasetId AS a, y.DatasetId AS b, CASE WHEN y.sound_noise > 5 THEN 'sounds and nicknames in the second break blocks of names'
+  WHEN y.name_noise > x.name_noise * 2 THEN 'the second is much noisier: its fields count for less' ELSE 'both are about as noisy' END AS insight FROM n x JOIN n y ON x.DatasetId < y.DatasetId
+""")
+def insights_noise(t: Tables):  # noqa: ANN201
+    share = lambda c: F.avg(F.when(F.expr(c), 100).otherwise(0))
+    return reports.noise_insights(t["events"].groupBy(F.col("event_type").alias("DatasetId")).agg(share("event_id % 7 = 0").alias("name_noise"), share("user_id % 21 = 0").alias("sound_noise")))
+
+
 @query("WITH a AS (SELECT event_type AS metric, round_even(avg(value), 6) AS value FROM {events} WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, round_even(avg(value), 6) AS value FROM {events} WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1) SELECT metric, a.value AS a, b.value AS b, round_even(b.value - a.value, 6) AS delta FROM a FULL JOIN b USING (metric)")
 def run_compare(t: Tables):  # noqa: ANN201
     e = t["events"]

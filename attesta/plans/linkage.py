@@ -395,3 +395,31 @@ def run_ids(t: Tables):  # noqa: ANN201
 ORACLE_SQL["run_ids"] = """
 SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS scenario, event_id % 7 <> 0 AS valid, count(*) AS n, count(DISTINCT CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END) AS seeds FROM events GROUP BY ALL
 """
+
+
+@query(f"SELECT 'most people are ' || mode_age || ': ' || CASE WHEN std_age > 20 THEN 'a wide spread, names collide across cohorts' ELSE 'a narrow spread, ages set few people apart' END AS insight FROM ({ORACLE_SQL['age_summary']}) a")
+def insights_ages(t: Tables):  # noqa: ANN201
+    return reports.age_insight(reports.age_summary(t["people"], END))
+
+
+@query("""
+SELECT EventType || ' is ' || CAST(round_even(n * 100 / total, 0) AS INT) || ' % of ' || total || ' events' AS insight
+FROM (SELECT first(EventType ORDER BY n DESC, EventType) AS EventType, max(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM (SELECT EventType, count(*) AS n FROM {truth_events} GROUP BY 1) c) d
+""")
+def insights_events(t: Tables):  # noqa: ANN201
+    return reports.event_insight(er.dominant(t["truth_events"], "EventType"), "EventType")
+
+
+@query(f"SELECT DatasetId, row_count || ' rows of ' || entities || ' people, ' || duplicate_rows || ' to deduplicate' AS insight FROM ({ORACLE_SQL['duplicate_rates']}) d")
+def insights_datasets(t: Tables):  # noqa: ANN201
+    return reports.dataset_insights(er.duplicate_rates(t["record_map"]))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT DatasetId, PersonKey FROM {record_map}), k AS (SELECT PersonKey, count(*) AS n FROM p GROUP BY 1), z AS (SELECT count(DISTINCT DatasetId) AS datasets FROM p),
+b AS (SELECT DISTINCT PersonKey FROM {people} WHERE CAST(PersonKey AS INT) % 7 <> 0)
+SELECT DatasetId, count(*) AS entities, count(b.PersonKey) AS base_entities, count(*) - count(b.PersonKey) AS late_entities, count(*) FILTER (WHERE n = 1) AS only_entities, count(*) FILTER (WHERE n = datasets) AS shared_entities
+FROM p JOIN k USING (PersonKey) CROSS JOIN z LEFT JOIN b ON b.PersonKey = p.PersonKey GROUP BY DatasetId
+""")
+def coverage_counters(t: Tables):  # noqa: ANN201
+    return er.coverage_counters(t["record_map"], t["people"].where("CAST(PersonKey AS INT) % 7 <> 0"))

@@ -138,6 +138,8 @@ def run_scenario(records: DataFrame, people: DataFrame, scenario: Scenario, book
         observed[spec.dataset] = cut_lineage(emission.emit(snaps[spec.snapshot], members, count.n, spec, k, scenario.seed + k, nicknames, count.forced))
     record_map = emission.entity_record_map(list(observed.values()))
     walks = er.all_crosswalks(record_map, list(observed), scenario.mode) if len(observed) > 1 else {}
+    for r in er.coverage_counters(record_map, pools[0]).collect():  # a row for each dataset
+        coverage[r.DatasetId] |= {"base_entities": r.base_entities, "late_entities": r.late_entities, "only_entities": r.only_entities, "shared_entities": r.shared_entities}
     return Run(scenario, selected, stages, made, observed, record_map, walks, book, coverage)
 
 

@@ -193,3 +193,22 @@ def test_caches_and_runs_by_address(spark, tmp_path):
     assert cache.datasets_of(f"{root}/old") == ["DatasetA", "DatasetB"]
     write_text(spark, "RecordKey\n", f"{root}/old/observed_x.csv")
     assert cache.datasets_of(f"{root}/old") == ["observed_x"]
+
+
+def test_coverage_counters(spark):
+    rows = [("a", "p1"), ("a", "p1"), ("a", "p2"), ("b", "p1"), ("b", "p9"), ("c", "p1"), ("c", "p2"), ("c", None)]
+    members = spark.createDataFrame(rows, "DatasetId string, PersonKey string")
+    got = {r.DatasetId: tuple(r)[1:] for r in er.coverage_counters(members, spark.createDataFrame([("p1",), ("p2",), ("p2",)], "PersonKey string")).collect()}
+    assert got == {"a": (2, 2, 0, 0, 1), "b": (2, 1, 1, 1, 1), "c": (2, 2, 0, 0, 1)}
+    assert er.coverage_counters(members.limit(0), members.select("PersonKey")).collect() == []
+
+
+def test_insights_name_the_worst_and_the_dominant(spark):
+    missing = spark.createDataFrame([("a", "Phone", 20.0), ("a", "DOB", 3.0), ("b", "Phone", 40.4), ("b", "Email", 40.4)], "DatasetId string, field string, pct double")
+    assert {r.DatasetId: r.insight.split(":")[0] for r in reports.missing_insights(missing).collect()} == {"a": "few values are missing", "b": "Email is missing in 40 % of rows"}
+    noise = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.5, 5.0), ("c", 2.5, 5.1)], "DatasetId string, name_noise double, sound_noise double")
+    assert {(r.a, r.b): r.insight.split()[0] for r in reports.noise_insights(noise).collect()} == {("a", "b"): "the", ("a", "c"): "sounds", ("b", "c"): "sounds"}
+    top = er.dominant(spark.createDataFrame([("MOVE",)] * 2 + [("BIRTH",)], "t string"), "t")
+    assert reports.event_insight(top, "t").first().insight == "MOVE is 67 % of 3 events"
+    ages = spark.createDataFrame([(9, 30, 20.5)], "people long, mode_age int, std_age double")
+    assert reports.age_insight(ages).first().insight == "most people are 30: a wide spread, names collide across cohorts"
