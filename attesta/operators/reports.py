@@ -202,6 +202,33 @@ def moved_shares(rows: DataFrame, group: str, total: str, same: str) -> DataFram
     return sums.select(group, "moved", F.bround(F.col("moved") / F.nullif(F.col("_t"), F.lit(0)) * 100, 6).alias("moved_pct"))
 
 
+# Which lines of the mobility table by age make a cohort; the line of those who stayed in their house is so many lines below.
+COHORT_LINES = {"age_0_17": (2, 3), "age_18_24": (4, 5), "age_25_34": (6, 7), "age_35_64": (8, 9, 10, 11, 12, 13), "age_65_plus": (14, 15, 16)}
+STAYED = 16
+
+
+def cohort_mobility(lines: DataFrame) -> DataFrame:
+    """P-13. (age_cohort_id, population, moved_population, same_house_population, moved_past_year_pct) of all cohorts from (line, value): sums of a cohort's lines, less those who stayed.
+
+    Lines that belong to no cohort are left out; a cohort without people has a null share. population.mobility_base() reads the result.
+    """
+    cohort = F.create_map(*[x for c, own in COHORT_LINES.items() for k in own for x in (F.lit(k), F.lit(c))])
+    below = F.col("line") > max(k for own in COHORT_LINES.values() for k in own)
+    named = lines.select(cohort[F.when(below, F.col("line") - STAYED).otherwise(F.col("line"))].alias("age_cohort_id"), below.alias("_stayed"), F.col("value").cast("long").alias("value")).where("age_cohort_id IS NOT NULL")
+    n = lambda stayed: F.coalesce(F.sum(F.when(F.col("_stayed") == stayed, F.col("value"))), F.lit(0))
+    sums = named.groupBy("age_cohort_id").agg(n(False).alias("population"), n(True).alias("same_house_population"))
+    moved = F.col("population") - F.col("same_house_population")
+    share = F.bround(moved * 100.0 / F.nullif(F.col("population"), F.lit(0)), 6)
+    return sums.select("age_cohort_id", "population", moved.alias("moved_population"), "same_house_population", share.alias("moved_past_year_pct"))
+
+
+def shares_of_total(rows: DataFrame, kind: str, count: str, total: str) -> DataFrame:
+    """P-13. (kind, count, pct) of each kind but the total, as percentages of the total's count: household types of all households, kinds of moves of all people. Without a total the shares are null."""
+    whole = rows.agg(F.sum(F.when(F.col(kind) == total, F.col(count))).alias("_total"))  # one row
+    pct = F.bround(F.col(count) * 100.0 / F.nullif(F.col("_total"), F.lit(0)), 6)
+    return rows.where(F.col(kind) != total).crossJoin(F.broadcast(whole)).select(kind, count, pct.alias("pct"))
+
+
 def quality_metrics(parts: Mapping[str, DataFrame]) -> DataFrame:
     """R-1. (section, dataset, metric, value): each table's numeric columns as rows, with DatasetId, where there is one, as the dataset."""
     numeric = ("bigint", "int", "double", "boolean")

@@ -82,6 +82,13 @@ FROM {events} WHERE NOT (event_type = 'view' AND user_id % 3 = 0) AND NOT (event
     "cohorts": """
 SELECT split_part('age_0_17,age_18_24,age_25_34,age_35_64', ',', CAST(1 + c_nationkey % 4 AS INT)) AS age_cohort_id, avg(CAST(c_custkey % 40 AS DOUBLE)) AS moved_past_year_pct, count(*) AS population
 FROM {customer} WHERE c_custkey % 11 <> 0 GROUP BY 1
+""",
+    "mobility_lines": """
+SELECT CAST(2 + c_custkey % 17 AS INT) AS line, count(*) AS value FROM {customer} GROUP BY 1
+UNION ALL SELECT CAST(18 + c_custkey % 15 AS INT), count(*) FROM {customer} WHERE c_custkey % 17 < 15 AND c_nationkey % 3 = 0 GROUP BY 1
+""",
+    "household_types": """
+SELECT c_mktsegment AS household_type_id, count(*) AS household_count FROM {customer} WHERE c_nationkey % 4 <> 1 GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM {customer}
 """,
     "demographics": """
 SELECT CASE WHEN c_nationkey % 7 = 0 THEN 'Elsewhere' ELSE split_part('White (Non-Hispanic),Hispanic / Latino,Black / African American,Asian,Multiracial / Other', ',', CAST(1 + c_custkey % 5 AS INT)) END AS label,

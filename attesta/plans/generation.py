@@ -520,6 +520,21 @@ def demographics_reshape(t: Tables):  # noqa: ANN201
     return reports.ethnicity_shares(t["demographics"])
 
 
+@query("""
+WITH c(line, id) AS (SELECT line, CASE WHEN line <= 3 THEN 'age_0_17' WHEN line <= 5 THEN 'age_18_24' WHEN line <= 7 THEN 'age_25_34' WHEN line <= 13 THEN 'age_35_64' ELSE 'age_65_plus' END FROM range(2, 17) r(line)),
+s AS (SELECT id, CAST(sum(CASE WHEN m.line = c.line THEN value ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN m.line = c.line + 16 THEN value ELSE 0 END) AS BIGINT) AS h FROM c JOIN {mobility_lines} m ON m.line IN (c.line, c.line + 16)
+  WHERE NOT (m.line = c.line AND m.line > 16) GROUP BY id)
+SELECT id AS age_cohort_id, p AS population, p - h AS moved_population, h AS same_house_population, round_even((p - h) * 100.0::DOUBLE / nullif(p, 0), 6) AS moved_past_year_pct FROM s
+""")
+def cohort_mobility(t: Tables):  # noqa: ANN201
+    return reports.cohort_mobility(t["mobility_lines"])
+
+
+@query("SELECT household_type_id, household_count, round_even(household_count * 100.0::DOUBLE / (SELECT max(household_count) FROM {household_types} WHERE household_type_id = 'all'), 6) AS pct FROM {household_types} WHERE household_type_id <> 'all'")
+def household_shares(t: Tables):  # noqa: ANN201
+    return reports.shares_of_total(t["household_types"], "household_type_id", "household_count", "all")
+
+
 @query("SELECT r_name, CAST(sum(t - s) AS BIGINT) AS moved, round_even(sum(t - s) / sum(t) * 100, 6) AS moved_pct FROM (SELECT r_name, n_nationkey * 10 + 100 AS t, n_nationkey * 7 + 50 AS s FROM {nation} JOIN {region} ON n_regionkey = r_regionkey) x GROUP BY r_name")
 def moved_shares(t: Tables):  # noqa: ANN201
     rows = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", (F.col("n_nationkey") * 10 + 100).alias("t"), (F.col("n_nationkey") * 7 + 50).alias("s"))

@@ -212,3 +212,12 @@ def test_insights_name_the_worst_and_the_dominant(spark):
     assert reports.event_insight(top, "t").first().insight == "MOVE is 67 % of 3 events"
     ages = spark.createDataFrame([(9, 30, 20.5)], "people long, mode_age int, std_age double")
     assert reports.age_insight(ages).first().insight == "most people are 30: a wide spread, names collide across cohorts"
+
+
+def test_cohorts_and_shares_of_totals(spark):
+    lines = spark.createDataFrame([(1, 999), (2, 10), (3, 30), (18, 5), (19, 15), (4, 8), (33, 4), (16, 0), (32, 0)], "line int, value long")
+    got = {r.age_cohort_id: tuple(r)[1:] for r in reports.cohort_mobility(lines).collect()}
+    assert got == {"age_0_17": (40, 20, 20, 50.0), "age_18_24": (8, 8, 0, 100.0), "age_65_plus": (0, 0, 0, None)}
+    kinds = spark.createDataFrame([("all", 30), ("a", 10), ("b", 20), ("c", 0)], "k string, n long")
+    assert {r.k: (r.n, r.pct) for r in reports.shares_of_total(kinds, "k", "n", "all").collect()} == {"a": (10, 33.333333), "b": (20, 66.666667), "c": (0, 0.0)}
+    assert [r.pct for r in reports.shares_of_total(kinds.where("k = 'a'"), "k", "n", "all").collect()] == [None]
