@@ -17,8 +17,8 @@ from .kneser_ney import held_out
 SAMPLE = 10_000
 #: Score from which a text counts as good.
 KEEP = 0.3
-#: The ridge; the steps that a first fit takes on the bounded sample, and their length; the most steps on all rows, and the slope at which they end.
-SEED, RIDGE, FIRST, RATE, STEPS, FLAT = 7, 1e-3, 300, 0.05, 8, 2e-4
+#: The ridge; the steps that a first fit takes on the bounded sample, and their length; the fall of the risk that a step on all rows has to promise.
+SEED, RIDGE, FIRST, RATE, FLAT = 7, 1e-3, 300, 0.05, 1e-9
 #: Bytes whose features are made at once.
 _CHUNK = 1 << 20
 
@@ -161,7 +161,8 @@ class Risk:
         n, loss, *slope = self.unlabelled.total(len(w) + 2, f)
         return loss / max(1, n), np.array(slope) / max(1, n)
 
-    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+    def parts(self, w: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """What is always counted, and its slope; what counts where it is above zero (nothing, without a prior), and its slope."""
         far, slope = self._far(w)
         x, n = np.append(self.positive.T, np.ones((1, len(self.positive))), axis=0), max(1, len(self.positive))
         z = w @ x
@@ -169,11 +170,13 @@ class Risk:
         losses = _logistic if self.prior is None else _bounded
         good, down = losses(-z)
         if self.prior is None:
-            return far + good.sum() / n + ridge[0], slope - x @ down / n + ridge[1]
+            return far + good.sum() / n + ridge[0], slope - x @ down / n + ridge[1], 0.0, np.zeros_like(w)
         bad, up = losses(z)
-        rest = far - self.prior * bad.sum() / n
-        grad = -self.prior * (x @ down) / n + (slope - self.prior * (x @ up) / n if rest >= 0 else 0) + ridge[1]
-        return self.prior * good.sum() / n + max(0.0, rest) + ridge[0], grad
+        return self.prior * good.sum() / n + ridge[0], ridge[1] - self.prior * (x @ down) / n, far - self.prior * bad.sum() / n, slope - self.prior * (x @ up) / n
+
+    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad, rest, slope = self.parts(w)
+        return value + max(0.0, rest), grad + slope * (rest >= 0)
 
     def _curvature(self, w: np.ndarray) -> np.ndarray:
         """How steps are scaled, from the sample and the positives: where they end doesn't depend on it."""
@@ -196,24 +199,42 @@ class Risk:
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         return w
 
-    def least(self) -> np.ndarray:
-        """From the first fit on, steps by the risk of all rows, each as long as lets it fall."""
+    def least(self, flat: float = FLAT) -> np.ndarray:
+        """From the first fit on, steps by the risk of all rows until none promises to lower it by more than `flat`, on the bend as elsewhere.
+
+        A step is shortened until the risk falls by a part of what its model promises, and the curvature learns from the slopes met on the way (a damped secant update, so it stays
+        positive). The risk isn't below zero and each step lowers it, so they end by themselves; the other end is a step so short that the sums' ten digits don't show it.
+        """
         w = self.first()
-        value, grad = self.at(w)
-        for _ in range(STEPS):
-            if np.abs(grad).max() < FLAT:
-                break
-            step, length = np.linalg.solve(self._curvature(w), grad), 1.0
-            while True:
-                new = w - length * step
-                found = self.at(new)
-                if found[0] <= value - 1e-4 * length * grad @ step or length < 0.02:
-                    break
+        curve, found = self._curvature(w), self.parts(w)
+        while True:
+            step, share, fall = modelled(curve, found)
+            if fall <= flat:
+                return w
+            value, length = found[0] + max(0.0, found[2]), 1.0
+            while (new := self.parts(w + length * step))[0] + max(0.0, new[2]) > value - 0.1 * length * fall:
                 length /= 4
-            if found[0] >= value:
-                break
-            w, (value, grad) = new, found
-        return w
+                if length * fall < 1e-11:
+                    return w
+            moved, turned = length * step, new[1] - found[1] + share * (new[3] - found[3])
+            bent = curve @ moved
+            if (met := moved @ turned) < 0.2 * (own := moved @ bent):
+                turned = bent + 0.8 * own / (own - met) * (turned - bent)
+            curve = curve - np.outer(bent, bent) / own + np.outer(turned, turned) / (moved @ turned)
+            w, found = w + moved, new
+
+
+def modelled(curve: np.ndarray, found: tuple[float, np.ndarray, float, np.ndarray]) -> tuple[np.ndarray, float, float]:
+    """The step to where the risk's model is least, the share of the rest's slope in it, and how far the model falls. The model has slopes and a curvature, and keeps the bend.
+
+    It is least on one side of the bend, or on it: there the slope of the rest counts by the share that brings the rest to zero.
+    """
+    _, grad, rest, slope = found
+    down, side = np.linalg.solve(curve, np.column_stack([grad, slope])).T
+    along = slope @ side
+    share = float(np.clip((rest - slope @ down) / along, 0, 1)) if along > 0 else 0.0
+    step = -(down + share * side)
+    return step, share, max(0.0, rest) - (grad @ step + step @ curve @ step / 2 + max(0.0, rest + slope @ step))
 
 
 #: Shares of the positives below the cuts where the prior's ratios are taken.
@@ -239,11 +260,11 @@ def estimated_prior(positive: np.ndarray, n_u: int, above: np.ndarray) -> float:
     return float(np.clip(min(1.0, ((share_u + slack) / share_p - slack).min()), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: Unlabelled) -> QualityModel:
+def fit(positive: np.ndarray, unlabelled: Unlabelled, flat: float = FLAT) -> QualityModel:
     """Minimise the non-negative risk: prior * risk of positives as good + max(0, risk of unlabelled as bad - prior * risk of positives as bad).
 
     The prior comes from the scores of a model that tells the two samples apart, on rows that it has not seen. Without positives or unlabelled rows nothing can be learned:
-    every text then scores a half.
+    every text then scores a half. The risk isn't convex: the fit is the least point that steps from the first fit lead to, and a smaller `flat` than the default moves scores by less than 0.01.
     """
     dim = N_FEATURES
     sums = unlabelled.total(2 * dim + 1, lambda x, _: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])) if len(positive) else np.zeros(1)
@@ -253,7 +274,7 @@ def fit(positive: np.ndarray, unlabelled: Unlabelled) -> QualityModel:
     scale = np.sqrt(np.maximum(0, sums[dim + 1 :] / sums[0] - mean**2)) + 1e-3
     p = _standard(positive.astype(float), mean, scale)
     half = np.random.default_rng(SEED).random(len(p)) < 0.5
-    apart = Risk(unlabelled, mean, scale, p[half], None, True).least()
+    apart = Risk(unlabelled, mean, scale, p[half], None, True).least(flat)
 
     def counted(x: np.ndarray, halves: np.ndarray) -> np.ndarray:
         z = _standard(x[~halves], mean, scale) @ apart[:-1] + apart[-1]
@@ -263,7 +284,7 @@ def fit(positive: np.ndarray, unlabelled: Unlabelled) -> QualityModel:
     cuts = cuts_of(scores)
     *above, n_u = unlabelled.total(len(cuts) + 1, counted)
     prior = estimated_prior(scores, int(n_u), np.array(above))
-    w = Risk(unlabelled, mean, scale, p, prior).least()
+    w = Risk(unlabelled, mean, scale, p, prior).least(flat)
     return QualityModel(w[:-1], float(w[-1]), mean, scale, prior)
 
 
@@ -310,7 +331,6 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
     """The rows of docs that score at least the threshold, with all columns as they are."""
     from pyspark.sql.functions import pandas_udf
 
-
     @pandas_udf("double")
     def score(text):  # noqa: ANN001, ANN202
         import pandas as pd

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from attesta.llm.quality import N_FEATURES, RIDGE, Risk, Table, Unlabelled, _standard, cuts_of, estimated_prior, features, fit, keep_good, scored, train
+from attesta.llm.quality import FLAT, N_FEATURES, RIDGE, Risk, Table, Unlabelled, _standard, cuts_of, estimated_prior, features, fit, keep_good, modelled, scored, train
 
 SCHEMA = "doc_id long, text string, score string, y int"
 
@@ -122,6 +122,26 @@ def test_the_fit_has_the_least_non_negative_risk(spark):
     assert np.allclose(far.weights, model.weights, atol=1e-3) and abs(far.prior - model.prior) < 1e-6
 
 
+def test_scores_stay_where_the_fit_goes_on():
+    """The fit ends where it has converged: a criterion a hundred times as strict gives the same scores, also where the least risk lies on the bend."""
+    rows, labels = docs(500)
+    x = features([t for _, t, *_ in rows]).astype(np.float16)
+    known, good = {i for i, *_ in labels}, sorted(i for i, q, _ in labels if q)
+    p, u = x[good], x[[i for i, *_ in rows if i not in known]]
+    rest = Unlabelled(u, np.arange(len(u)) % 2 == 0)
+    a, b = fit(p, rest), fit(p, rest, FLAT / 100)
+    score = lambda m: 1 / (1 + np.exp(-(_standard(x.astype(float), m.mean, m.scale) @ m.weights + m.bias)))
+    assert np.abs(score(a) - score(b)).max() < 0.01
+    risk = Risk(rest, a.mean, a.scale, _standard(p.astype(float), a.mean, a.scale), a.prior)
+    assert risk.at(np.append(b.weights, b.bias))[0] > risk.at(np.append(a.weights, a.bias))[0] - 1e-6
+    grad, slope = np.array([0.3, 0.0]), np.array([-1.0, 0.5])
+    for left, on in ((1.0, 1.0), (-1.0, 0.0), (0.05, None)):  # above the bend, below it and on it
+        step, share, fall = modelled(np.eye(2), (1.0, grad, left, slope))
+        model = lambda d: grad @ d + d @ d / 2 + max(0.0, left + slope @ d)  # noqa: B023, E731
+        assert fall > 0 and (on is None and 0 < share < 1 and abs(left + slope @ step) < 1e-12 or share == on)
+        assert all(model(step + d) >= model(step) - 1e-12 for d in np.random.default_rng(3).normal(size=(200, 2)) * 0.1)
+
+
 def test_repeated_rows_and_held_out_accuracy_of_the_query(spark):
     """Rows that repeat an id are scored alike; the query keeps good texts that it never learned from and rejects poor ones."""
     import os
