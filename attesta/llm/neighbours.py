@@ -18,10 +18,13 @@ from .embeddings import matrix, usable
 
 #: Tables, the slots' width on vectors of length one, and the numbers of hashes a table may have.
 TABLES, WIDTH, HASHES = 8, 2.5, (4, 6, 8, 10, 12, 14, 16, 20, 24)
-#: The recall that probing is calibrated for, with so many sampled queries against all rows and so many sampled rows for the sizes of buckets.
-RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.96, 96, 8192
-#: Probes of one table at most; a query that finds too little by them is asked again, of all rows.
+#: The recall to expect of a query, below which it is asked again of all rows; the share of queries that this may happen to, where probes can help it; so many
+#: sampled queries, with their true nearest of all rows, and sampled rows, for the sizes of buckets, choose hashes and probes.
+RECALL, AGAIN, SAMPLE_QUERIES, SAMPLE_ROWS = 0.9, 0.25, 96, 8192
+#: Probes of one table at most.
 PROBES = 1024
+#: Rows are searched in ranges of norms, each at most an octave wide; bins of an octave that ranges are made of; the share of the rows up to which a range is compared without an index.
+BINS, SMALL = 16, 1 / 64
 #: Numbers in the vectors of one task's rows, and queries of one task.
 CELLS, QUERIES = 1 << 22, 2048
 #: Candidates that are looked at together.
@@ -103,41 +106,72 @@ class Index:
         steps[n, r, order % self.hashes] = np.where(order < self.hashes, -1, 1)
         return own, steps
 
+    def distance(self, x: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """How far from each query the rows of this score are, by the vectors that are hashed."""
+        return np.sqrt(np.clip(2 - 2 * score / (np.linalg.norm(x, axis=1) * (self.top or 1.0)), 1e-12, 4))
+
+    def odds(self, x: np.ndarray, far: np.ndarray, table: int) -> np.ndarray:
+        """The chance of each probe of each query to visit the bucket of a row so far away: on random directions their places differ by a normal number."""
+        at = self.places(x, table, True)
+        gap = at - np.floor(at)
+        edges = (np.arange(-1, 3) - gap[:, :, None]) * WIDTH / far[:, None, None]
+        chance = np.maximum(np.diff(_normal(edges), axis=2), 1e-300)
+        order = np.argsort(np.concatenate([gap, 1 - gap], axis=1), axis=1, kind="stable")
+        side = np.log(np.concatenate([chance[:, :, 0], chance[:, :, 2]], axis=1)) - np.tile(np.log(chance[:, :, 1]), 2)
+        return np.exp(np.log(chance[:, :, 1]).sum(axis=1)[:, None] + np.take_along_axis(side, order, axis=1) @ sequence(self.hashes, self.probes).T)
+
+    def expected(self, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The mean chance that some table shows rows of these scores (queries by scores), after each probe; an array of queries by probes."""
+        shown = 0.0
+        for score in scores.T:
+            missed, far = 1.0, self.distance(x, score)
+            for table in range(TABLES):
+                missed = missed * (1 - np.minimum(1, np.cumsum(self.odds(x, far, table), axis=1)))
+            shown = shown + (1 - missed) / scores.shape[1]
+        return shown
+
     def probed(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(shard, key) of the buckets that each query visits, in order; arrays of queries by probes."""
         own, steps = self.borders(x, table)
         return self.keys(own[:, None, :] + sequence(self.hashes, self.probes) @ steps)
 
 
-def fitted(dim: int, top: float, n: int, queries: np.ndarray, near: list[np.ndarray], sample: np.ndarray, recall: float = RECALL) -> Index:
-    """The index that reaches the recall on sampled queries with the least work: probes, and candidates as the sampled rows tell the sizes of buckets.
+def _normal(z: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.array([math.erf(v) for v in (z / math.sqrt(2)).ravel()]).reshape(z.shape)
+
+
+def marks(k: int) -> list[int]:
+    """The ranks whose scores stand for all k: each for those above it, so that the recall to expect is not less than they tell."""
+    return sorted({math.ceil(k * j / 4) for j in range(1, 5)})
 
-    near[i] are the true nearest vectors of query i. For each of them it is known which probe of which table would find it first.
+
+def fitted(dim: int, top: float, n: int, queries: np.ndarray, near: list[np.ndarray], sample: np.ndarray, least: np.ndarray | None = None) -> Index:
+    """The index with the least work: probes, candidates as the sampled rows tell the sizes of buckets, and all rows for each query that is asked again.
+
+    near[i] are the true nearest vectors of query i, least[i] the score that matters to it at least, if that is known. Of hashes and probes that leave at most AGAIN of the
+    sampled queries below RECALL the cheapest are taken; where none do, those that leave the fewest. What is left is asked again, so results don't hang on the sample.
     """
-    best, least = Index(dim, top, HASHES[0], PROBES), math.inf
-    near_of = np.repeat(np.arange(len(queries)), [len(x) for x in near])
-    flat = np.concatenate([x for x in near if len(x)]) if len(near_of) else np.zeros((0, dim))
-    for hashes in HASHES:
+    some = [i for i, x in enumerate(near) if len(x)]
+    queries = queries[some]
+    ranked = [np.sort(near[i] @ q)[::-1] for i, q in zip(some, queries, strict=True)]
+    scores = np.array([[r[math.ceil(len(r) * j / 4) - 1] for j in range(1, 5)] for r in ranked])
+    if least is not None and some:
+        scores = np.fmax(scores, least[some][:, None])
+    best, rank = Index(dim, top, HASHES[0], 1), (True, math.inf)
+    for hashes in HASHES if some else ():
         index = Index(dim, top, hashes, PROBES)
-        order = {p.tobytes(): k for k, p in enumerate(sequence(hashes, PROBES).astype(bool))}
-        first = np.full(len(flat), PROBES, np.int64)
-        sizes = np.zeros((len(queries), len(order)))
+        again = (index.expected(queries, scores) < RECALL).mean(axis=0)
+        sizes = np.zeros((len(queries), len(again)))
         for table in range(TABLES):
-            own, steps = index.borders(queries, table)
-            delta = np.floor(index.places(flat, table, False)) - own[near_of]
-            crossed = np.einsum("nrm,nm->nr", steps[near_of], np.clip(delta, -2, 2)) > 0
-            met = np.abs(delta).max(axis=1, initial=0) <= 1
-            visit = np.array([order.get(c.tobytes(), PROBES) if ok else PROBES for c, ok in zip(crossed, met, strict=True)], np.int64)
-            first = np.minimum(first, visit)
             held, count = np.unique(index.buckets(sample, table)[1], return_counts=True)
             keys = index.probed(queries, table)[1]
             at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
             sizes += np.where(held[at] == keys, count[at], 0)
-        needed = int(np.sort(first)[min(len(first) - 1, math.ceil(recall * len(first)))]) + 1 if len(first) else 1
-        if needed <= PROBES:
-            work = TABLES * needed + sizes[:, :needed].sum(axis=1).mean() * n / len(sample)
-            if work < least:
-                best, least = Index(dim, top, hashes, needed), work
+        work = TABLES * np.arange(1, len(again) + 1) + sizes.cumsum(axis=1).mean(axis=0) * n / len(sample) + again * n
+        over = again > AGAIN
+        at = int(np.lexsort((work, np.where(over, again, 0), over))[0])
+        if (mine := (bool(over[at]), float(again[at] if over[at] else work[at]))) < rank:
+            best, rank = Index(dim, top, hashes, at + 1), mine
     limit, prefix = rows_of_task(dim), 0
     while n > limit and prefix < best.hashes:
         prefix += 1
@@ -235,15 +269,15 @@ def _compared(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 
 class _Searcher:
-    """Search among the rows of one dimension."""
+    """Search among the rows of one dimension and range of norms. asked has the score that each query's k-th so far has, or null, in `kth`."""
 
-    def __init__(self, rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, k: int, ws: Workspace) -> None:
-        self.rows, self.asked, self.dim, self.n, self.top, self.k, self.ws = rows, asked, dim, n, top, k, ws
+    def __init__(self, rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, k: int, ws: Workspace, name: str) -> None:
+        self.rows, self.asked, self.dim, self.n, self.top, self.k, self.ws, self.name = rows, asked, dim, n, top, k, ws, name
 
-    def sampled(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """A bounded sample of queries with their true nearest vectors of all rows, and one of rows."""
+    def sampled(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """A bounded sample of queries with their true nearest vectors of all rows, one of rows, and the scores that matter to the queries at least."""
         drawn = lambda df, m: df.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(m).toArrow()  # noqa: E731  # m rows at most
-        some = drawn(self.asked.select("id", "vec"), SAMPLE_QUERIES)
+        some = drawn(self.asked.select("id", "vec", "kth"), SAMPLE_QUERIES)
         own, queries, k = some.column("id").to_numpy(), matrix(some.column("vec")) if some.num_rows else np.zeros((0, self.dim)), self.k
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +303,8 @@ class _Searcher:
         v = matrix(vec) if top.num_rows else np.zeros((0, self.dim))
         share = min(1.0, 2 * SAMPLE_ROWS / self.n)
         part = self.rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("vec").limit(SAMPLE_ROWS).toArrow()
-        return queries, [v[q == i] for i in range(len(own))], matrix(part.column("vec")) if part.num_rows else np.zeros((1, self.dim))
+        least = np.array([np.nan if x is None else x for x in some.column("kth").to_pylist()], float)
+        return queries, [v[q == i] for i in range(len(own))], matrix(part.column("vec")) if part.num_rows else np.zeros((1, self.dim)), least
 
     def best(self, found: DataFrame) -> DataFrame:
         """The k nearest of what all tables or blocks found, each row once."""
@@ -306,11 +341,11 @@ class _Searcher:
                         yield pa.RecordBatch.from_arrays([pa.array([t] * len(first), pa.int32()), pa.array(shard[first]), lists, part.column("id").take(of), part.column("vec").take(of)], ["t", "shard", "keys", "id", "vec"])
 
         left = self.rows.select("id", "vec").mapInArrow(placed, "t int, shard long, key long, id long, vec array<double>")
-        right = self.ws.save(self.asked.select("id", "vec").mapInArrow(asked, "t int, shard long, keys array<long>, id long, vec array<double>"), f"probes{self.dim}")
+        right = self.ws.save(self.asked.select("id", "vec").mapInArrow(asked, "t int, shard long, keys array<long>, id long, vec array<double>"), f"probes{self.name}")
         held = left.groupBy("t", "shard").agg(F.count("*").alias("n"))
         wanted = right.groupBy("t", "shard").agg(F.count("*").alias("m"))
         parts = lambda c, size: F.ceil(F.col(c) / size).cast("long")
-        sizes = self.ws.save(held.join(wanted, ["t", "shard"]).select("t", "shard", parts("n", rows_of_task(self.dim)).alias("a"), parts("m", QUERIES).alias("b")), f"shards{self.dim}")
+        sizes = self.ws.save(held.join(wanted, ["t", "shard"]).select("t", "shard", parts("n", rows_of_task(self.dim)).alias("a"), parts("m", QUERIES).alias("b")), f"shards{self.name}")
 
         def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
             """Each part of a shard's rows meets each part of its queries, so neither side of a task grows."""
@@ -332,14 +367,56 @@ class _Searcher:
         pairs = dealt(self.rows, "_a", a, "_b", b).groupBy("_a", "_b").cogroup(dealt(asked, "_b", b, "_a", a).groupBy("_a", "_b"))
         return self.best(pairs.applyInArrow(lambda x, y: _compared(x, y, k), _FOUND))
 
-    def search(self) -> DataFrame:
-        found = self.ws.save(self.probed(fitted(self.dim, self.top, self.n, *self.sampled())), f"probed{self.dim}")
-        enough = found.where(F.col("rank") == self.k).select(F.col("query_id").alias("id"))
-        short = self.ws.save(self.asked.join(enough, "id", "left_anti"), f"short{self.dim}")
+    def unsure(self, index: Index, found: DataFrame) -> DataFrame:
+        """Queries that the tables may have shown too little: with fewer than k results, or with an expected recall below RECALL.
+
+        The true result of a rank is at least as near as the found one, so the chance to have met it is at least that of a row as far away as the found one.
+        """
+        at = [f"s{r}" for r in marks(self.k)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 128):
+                    part = batch.slice(start, 128)
+                    scores = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in at])  # null is not a number
+                    with np.errstate(all="ignore"):  # norms that overflow or vanish have no chance that is a number
+                        sure = index.expected(matrix(part.column("vec")), scores)[:, -1] >= RECALL
+                    yield part.select(["id", "vec"]).filter(pa.array(~sure))
+
+        scores = found.groupBy(F.col("query_id").alias("id")).agg(*[F.max(F.when(F.col("rank") == r, F.col("score"))).alias(f"s{r}") for r in marks(self.k)])
+        return self.asked.select("id", "vec").join(scores, "id", "left").mapInArrow(run, "id long, vec array<double>")
+
+    def search(self, found: DataFrame | None, small: bool) -> DataFrame:
+        """What is found so far, joined by what these rows hold. A small range is compared as it is."""
+        joined = lambda new: self.best(new if found is None else new.unionByName(found.select(*new.columns)))
+        if small:
+            return joined(self.compared(self.asked, self.asked.count()).select("query_id", "id", "score"))
+        index = fitted(self.dim, self.top, self.n, *self.sampled())
+        probed = self.ws.save(joined(self.probed(index).select("query_id", "id", "score")), f"probed{self.name}")
+        short = self.ws.save(self.unsure(index, probed), f"short{self.name}")
         if not (n_short := short.count()):
-            return found
+            return probed
         again = self.compared(short, n_short)
-        return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(again)
+        return self.best(probed.unionByName(again).select("query_id", "id", "score"))
+
+
+def with_kth(asked: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
+    """Queries with the score of their k-th result in `kth`; null if they have fewer."""
+    if found is None:
+        return asked.withColumn("kth", F.lit(None).cast("double"))
+    return asked.drop("kth").join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth")), "id", "left")
+
+
+def ranges_of(bins: list[tuple[int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """(first bin, last bin, rows, largest norm) of ranges from the largest norm down, none wider than an octave; bins are (bin, rows, largest norm)."""
+    out: list[tuple[int, int, int, float]] = []
+    for b, n, top in sorted(bins, reverse=True):
+        if out and out[-1][1] - b < BINS:
+            _, last, rows, high = out[-1]
+            out[-1] = (b, last, rows + n, max(high, top))
+        else:
+            out.append((b, b, n, top))
+    return out
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -349,9 +426,11 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     others have no inner product with them. Ties go to the smaller id. Rows that repeat an id are one result, the nearest of them; queries that repeat an id are one query with
     what either finds. Fewer candidates than k give fewer rows; empty tables none. Other columns are not read.
 
-    Every row is indexed in every table. Queries and rows meet by an equi-join on table and bucket: a task has one shard of a table, in parts of a bounded size if many
-    rows or queries share it. A query visits perturbed buckets in the order of estimated success; what the tables find is merged, scored exactly, and k of each query stay. Hashes
-    and probes are fitted to a recall on a sample of queries whose true nearest are known. Queries that find fewer than k are asked again, of all rows in blocks.
+    Rows are searched in ranges of norms, the longest first; a query is done when even the longest vector of the next range can't reach its k-th result. In a range every row is indexed in
+    every table. Queries and rows meet by an equi-join on table and bucket: a task has one shard of a table, in parts of a bounded size if many rows or queries share it. A query visits
+    perturbed buckets in the order of estimated success; what the tables find is merged, scored exactly, and k of each query stay. The recall to expect of each query
+    follows from its own place between the borders and from how near its results are; queries below RECALL are asked again, of all rows of the range in blocks. So recall holds for each kind of
+    query, strays beside clusters too, not in the mean alone. Ranges with less than a 64th of the rows are compared in blocks.
     """
     spark = table.sparkSession
     ws = Workspace(spark, "neighbours")
@@ -362,14 +441,28 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     out = spark.createDataFrame([], "query_id long, rank int, id long, score double")
     with small_batches(spark):
-        rows = ws.save(clean(table).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), "rows")
-        asked = ws.save(clean(queries), "queries")
-        sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).join(asked.select("dim").distinct(), "dim").orderBy("dim").collect()  # a row for each length of vectors
-        for s in sizes:
-            of = lambda df, dim=s.dim: df.where(F.col("dim") == dim)
-            found = _Searcher(of(rows), of(asked), s.dim, s.n, s.top, k, ws).search()
-            out = ws.save(found, f"found{s.dim}") if len(sizes) == 1 else out.unionByName(ws.save(found, f"found{s.dim}"))
-    return out
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        rows, asked = ws.save(clean(table).withColumn("norm", norm), "rows"), ws.save(clean(queries).withColumn("norm", norm), "queries")
+        level = F.when(F.col("norm") == float("inf"), 1 << 20).when(F.col("norm") == 0, -(1 << 20)).otherwise(F.floor(F.log2("norm") * BINS)).cast("int")
+        rows = rows.withColumn("bin", level)
+        levels = rows.groupBy("dim", "bin").agg(F.count("*").alias("n"), F.max("norm").alias("top")).join(asked.select("dim").distinct(), "dim").orderBy("dim", "bin").collect()  # bins of doubles, for each length
+        bins: dict[int, list[tuple[int, int, float]]] = {}
+        for r in levels:
+            bins.setdefault(r.dim, []).append((r.bin, r.n, r.top))
+        parts = []
+        for dim, own in bins.items():
+            found, mine, total = None, asked.where(F.col("dim") == dim), sum(n for _, n, _ in own)
+            for j, (low, high, n, top) in enumerate(ranges_of(own)):
+                open_ = with_kth(mine, found, k)
+                open_ = ws.save(open_.where(F.col("kth").isNull() | F.isnan("kth") | ~(F.col("kth") > F.col("norm") * top * (1 + 1e-9))), f"open{dim}_{j}")
+                if open_.isEmpty():
+                    break
+                here = rows.where((F.col("dim") == dim) & F.col("bin").between(low, high))
+                found = ws.save(_Searcher(here, open_, dim, n, top, k, ws, f"{dim}_{j}").search(found, n < SMALL * total or abs(high) == 1 << 20), f"found{dim}_{j}")
+            parts.append(found)
+        for found in parts:
+            out = found if len(parts) == 1 else out.unionByName(found)
+    return out.select("query_id", "rank", "id", "score")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

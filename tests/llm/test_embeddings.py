@@ -110,6 +110,60 @@ def test_strays_beside_clusters_find_k(spark):
     assert set(got) == set(range(0, 4000, 25)) and all(len(ids) == len(set(ids)) == 20 for ids in got.values())
 
 
+def _recall(spark, x, asks, k=20):
+    """Recall of each query by what brute force finds."""
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0, "a", "b") for i, r in enumerate(x)], SCHEMA)
+    got = {}
+    for r in search(df, df.where(F.col("vec_id").isin([int(i) for i in asks])), k).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    x, out = np.array(np.asarray(x, np.float32), float), {}
+    for q in asks:
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == k
+        out[q] = len(got[q] & set(np.argsort(-s)[:k].tolist())) / k
+    return out
+
+
+def test_recall_of_strays_beside_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 32))[np.arange(4000) % 30] + rng.normal(size=(4000, 32)) * 0.2
+    x[::20] = rng.normal(size=(200, 32))
+    hit = _recall(spark, x, range(0, 4000, 10))
+    assert np.mean([hit[q] for q in hit if q % 20 == 0]) >= 0.9 and np.mean([hit[q] for q in hit if q % 20]) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["one long", "log-normal", "overflow"])
+def test_recall_with_uneven_norms(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(25, 24))[np.arange(2500) % 25] + rng.normal(size=(2500, 24)) * 0.3
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(2500, 1)))
+    else:
+        x[7] *= 1000 if kind == "one long" else 1e30
+    hit = _recall(spark, x, range(0, 2500, 25))
+    long = np.linalg.norm(x, axis=1) > np.median(np.linalg.norm(x, axis=1))
+    assert all(np.mean([hit[q] for q in hit if long[q] == side]) >= 0.9 for side in (True, False))
+
+
+def test_ranges_and_chances():
+    """Ranges are an octave wide at most and hold every bin once; the chance that a query meets a row so far away is what hashing shows."""
+    from attesta.llm.neighbours import Index, ranges_of
+
+    assert ranges_of([(0, 5, 1.0), (15, 2, 1.9), (16, 1, 2.1), (160, 1, 1e3)]) == [(160, 160, 1, 1e3), (15, 16, 3, 2.1), (0, 0, 5, 1.0)]  # 0 and 15 could share one, but are an octave with 16
+    rng, index = np.random.default_rng(7), Index(24, 1.0, 8, 40)
+    q = rng.normal(size=(300, 24))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    far = np.full(300, 0.8)
+    other = rng.normal(size=q.shape)
+    other -= (other * q).sum(axis=1)[:, None] * q
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    y = q * (1 - 0.32) + other * np.sqrt(1 - 0.68**2)  # of length one, 0.8 away
+    met = np.mean([(index.probed(q, t)[1] == index.buckets(y, t)[1][:, None]).any(axis=1) for t in range(8)])
+    told = np.mean([index.odds(q, far, t).sum(axis=1) for t in range(8)])
+    assert abs(met - told) < 0.03
+
+
 def test_every_length_is_searched(spark):
     """Vectors of all lengths have neighbours among their like, and rows that repeat an id are one result."""
     rng = np.random.default_rng(2)
