@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, Workspace, hash_words, mix, small_batches, text_batches, text_bytes
 from .files import local, whole
 
-#: Words of the longest grams: by default, and in the query, whose disk longer ones exceed (the README has figures).
-ORDER, QUERY_ORDER = 3, 2
+#: Words of the longest grams.
+ORDER = 3
 #: Tokens whose grams a task combines before it hands them on; bytes of texts that are scored together; bytes of texts for which there is one shard of grams.
 BLOCK, TOGETHER, SHARD_BYTES = 1 << 21, 4 << 20, 16 << 20
 #: Stand for the start of a text (only ever the first of a gram), its end (a token like any other), and what is before the start in a gram that is shorter than the others.
@@ -85,10 +85,13 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
 
 
 def _blob(words: list[np.ndarray], columns: list[np.ndarray]) -> bytes:
-    """Grams as places in a list of their distinct words, which are far fewer."""
+    """Grams as places in a list of their distinct words, which are far fewer. Grams are sorted by their words; of the list and of first words the differences are kept."""
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     n = len(words[0])
-    return _packed([distinct, *(at[k * n : (k + 1) * n] for k in range(len(words))), *columns])
+    places = [at[k * n : (k + 1) * n] for k in range(len(words))]
+    order = np.lexsort(places[::-1])
+    first, *others = (p[order] for p in places)
+    return _packed([np.diff(distinct, prepend=np.uint64(0)), np.diff(first, prepend=0), *others, *(c[order] for c in columns)])
 
 
 def _joined(blobs: list[bytes], words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -96,7 +99,7 @@ def _joined(blobs: list[bytes], words: int) -> tuple[list[np.ndarray], list[np.n
     parts = []
     for blob in blobs:
         distinct, *rest = _unpacked(blob)
-        distinct = distinct.astype(np.uint64)
+        distinct, rest[0] = np.cumsum(distinct, dtype=np.uint64), np.cumsum(rest[0], dtype=np.int64)
         parts.append(([distinct[p] for p in rest[:words]], [c.astype(np.int64) for c in rest[words:]]))
     return tuple([np.concatenate(x) for x in zip(*(p[i] for p in parts), strict=True)] for i in (0, 1))  # type: ignore[return-value]
 
@@ -343,6 +346,6 @@ def held_out(id_col: str, remainder: int) -> Column:
 def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of those whose crc32 mod 5 is not 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs.where(~held_out("doc_id", 1)), order=QUERY_ORDER)
+    model = train(docs.where(~held_out("doc_id", 1)))
     out = scored(docs, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", held_out("doc_id", 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -136,3 +136,28 @@ def test_a_second_attempt_that_dies_leaves_the_finished_shard(tmp_path):
     kneser_ney._put(uri, arrays)  # a second attempt that ends
     assert (tmp_path / "model" / "1-0").read_bytes() == before
     assert [a.tolist() for a in kneser_ney._get(uri, 2)] == [a.tolist() for a in arrays]
+
+
+def test_the_query_fits_all_three_words(spark, monkeypatch, tmp_path):
+    """The query's model has every length that the operator has by default: its scores are those of three words, which two don't give."""
+    from attesta.llm import kneser_ney
+
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(TEXTS * 3)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    learn = [TEXTS[r.doc_id % len(TEXTS)] for r in docs.where(~kneser_ney.held_out("doc_id", 1)).collect()]
+    p, _ = plain(learn, 3)
+    for r in kneser_ney.op3_language_model_scores(spark, str(tmp_path)).collect():
+        seq = [1, *words(TEXTS[r.doc_id % len(TEXTS)]), 0]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), seq[i])) for i in range(1, len(seq))))
+
+
+def test_a_block_of_grams_comes_back():
+    """Words and columns of packed grams, whatever their order."""
+    from attesta.llm import kneser_ney
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 40, np.uint64)
+    words, columns = [rng.choice(pool, 300) for _ in range(3)], [rng.integers(1, 1 << 20, 300), rng.integers(0, 3, 300)]
+    back, numbers = kneser_ney._joined([kneser_ney._blob(words, columns), kneser_ney._blob([w[:1] for w in words], [c[:1] for c in columns])], 3)
+    rows = lambda w, c: sorted(zip(*(x.tolist() for x in (*w, *c)), strict=True))
+    assert rows(back, numbers) == sorted(rows(words, columns) + rows([w[:1] for w in words], [c[:1] for c in columns]))
