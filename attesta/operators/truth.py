@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import clip, hash_int, hash_unit, text_or_empty
+from ..functions import int_text, text_or_empty, unit_text
 from ..sources.checkpoints import Workspace
 from .allocation import group_sizes, hash_rank, range_numbered
 from .intervals import closed_history
@@ -76,118 +76,133 @@ def initial_state(people: DataFrame) -> DataFrame:
 
 def begun(state: DataFrame) -> DataFrame:
     """The state at the start of a step: nobody is locked or changed, nothing has happened."""
-    return state.withColumns({"locked": F.lit(False), "touched": F.lit(False), "event": F.lit(None).cast(_EVENT)})
+    return state.selectExpr(*state.columns, "false AS locked", "false AS touched", f"CAST(NULL AS {_EVENT}) AS event")
 
 
-def _event(day: dt.date, phase: int, kind: str, **values: Column) -> Column:
-    given = {"EventType": F.lit(kind), "EventDate": F.lit(day)} | values
-    return F.struct(*[(given[c] if c in given else F.lit(None).cast("string")).alias(c) for c in EVENT_COLUMNS if c != "EventKey"], F.lit(phase).alias("phase")).cast(_EVENT)
+# Phases are SQL text: a step is a few projections, whose plan is made by one call each. What is told is the phase with the three values that later phases may change; the events
+# themselves are made at the end of the step, so that no phase's code carries their columns.
 
+#: The phase that a row tells of, and of that the former partner and address and the new address.
+_SAYS = {"phase": "int", "_other": "string", "_from": "string", "_to": "string"}
+_GONE = {"Partner": "CAST(NULL AS STRING)"} | {f"p{t}": f"CAST(NULL AS {_KINDS[t]})" for t in TRAITS}
 
-def _changed(rows: DataFrame, hit: Column, values: dict[str, Column], says: Column | None = None, event: Column | None = None) -> DataFrame:
-    """rows with new values where hit, which locks; the event is told by the rows where `says` holds."""
-    out = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    if event is not None:
-        out = out.withColumn("event", F.when(F.col("_hit") & says, event).otherwise(F.col("event")))
-    new = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
-    return out.withColumns(new | {"locked": F.col("locked") | F.col("_hit"), "touched": F.col("touched") | F.col("_hit")}).drop("_hit")
 
+def _double(x: float) -> str:
+    return f"{float(x)!r}D"
 
-def _new_key(prefix: str, i: int, phase: str, key: Column) -> Column:
-    return F.concat(F.lit(f"{prefix}_SIM_{i:04d}{phase}_"), key)
 
+def _with(rows: DataFrame, values: dict[str, str], *drop: str) -> DataFrame:
+    """rows with columns replaced or added, from text."""
+    kept = [f"{values[c]} AS {c}" if c in values else c for c in rows.columns if c not in drop]
+    return rows.selectExpr(*kept, *[f"{v} AS {c}" for c, v in values.items() if c not in rows.columns])
 
-_none = lambda t: F.lit(None).cast(t)
 
+def _where(hit: str, values: dict[str, str]) -> dict[str, str]:
+    """New values where hit, which locks."""
+    return {c: f"CASE WHEN {hit} THEN {v} ELSE {c} END" for c, v in values.items()} | {"locked": f"locked OR {hit}", "touched": f"touched OR {hit}"}
 
-def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+
+def _key(prefix: str, i: int, phase: str, key: str) -> str:
+    return f"concat('{prefix}_SIM_{i:04d}{phase}_', {key})"
+
+
+def _below(cfg: SimulationConfig, salt: str, odds: str, key: str = "PersonKey") -> str:
+    return f"{unit_text(cfg.seed, salt, key)} < least(greatest({odds}, 0D), 1D)"
+
+
+def _chosen(values: tuple[str, ...], cfg: SimulationConfig, salt: str, key: str) -> str:
+    return f"element_at(array({', '.join(map(repr, values))}), {int_text(cfg.seed, salt, len(values), key)} + 1)"
+
+
+def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     """T-1. Couples part; the second by key leaves for a new household and address."""
-    a, b, first = F.least("PersonKey", "Partner"), F.greatest("PersonKey", "Partner"), F.col("PersonKey") < F.col("Partner")
-    p = clip(F.lit(cfg.rate(cfg.divorce)) * (1.7 - (F.col("Partnership") + F.col("pPartnership")) / 2))
-    hit = ~F.col("locked") & F.col("Partner").isNotNull() & (hash_unit(cfg.seed, f"divorce:{i}", a) < p)
-    home, address = _new_key("HH", i, "D", b), _new_key("ADDR", i, "D", b)
-    mode = F.element_at(F.array(*map(F.lit, CUSTODY_MODES)), (hash_int(cfg.seed, f"custody:{i}", len(CUSTODY_MODES), a) + 1).cast("int"))
-    event = _event(day, 0, "DIVORCE", PersonKeyA=a, PersonKeyB=b, NewHouseholdKey=home, FromAddressKey=F.col("AddressKey"), ToAddressKey=address, CustodyMode=mode)
-    moved = {"HouseholdKey": home, "AddressKey": address, "HouseholdType": F.lit("post_divorce"), "Role": F.lit("HEAD")}
-    alone = {"Partner": _none("string")} | {f"p{t}": _none(_KINDS[t]) for t in TRAITS}
-    return _changed(rows, hit, {c: F.when(first, F.col(c)).otherwise(v) for c, v in moved.items()} | alone, first, event)
-
-
-def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date, n: int | None = None) -> DataFrame:
+    odds = f"{_double(cfg.rate(cfg.divorce))} * (1.7D - (Partnership + pPartnership) / 2)"
+    asked = _with(rows, {"_hit": f"coalesce(NOT locked AND Partner IS NOT NULL AND {_below(cfg, f'divorce:{i}', odds, 'least(PersonKey, Partner)')}, false)", "_first": "coalesce(PersonKey < Partner, false)"})
+    moved = {"HouseholdKey": _key("HH", i, "D", "PersonKey"), "AddressKey": _key("ADDR", i, "D", "PersonKey"), "HouseholdType": "'post_divorce'", "Role": "'HEAD'"}
+    second = {c: f"CASE WHEN _hit AND NOT _first THEN {v} ELSE {c} END" for c, v in moved.items()}
+    told = {"phase": "0", "_other": "Partner", "_from": "AddressKey"}
+    return _with(asked, _where("_hit", _GONE) | second | {c: f"CASE WHEN _hit AND _first THEN {v} ELSE {c} END" for c, v in told.items()}, "_hit", "_first")
+
+
+def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, n: int | None = None) -> DataFrame:
     """T-2, J-16, J-17. Free people of age are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
     least = 0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age
-    free = rows.where(~F.col("locked") & F.col("Partner").isNull() & (F.coalesce("Age", F.lit(0)) >= least)).select("PersonKey", "AddressKey", *TRAITS)
+    free = rows.where(f"NOT locked AND Partner IS NULL AND coalesce(Age, 0) >= {least}").select("PersonKey", "AddressKey", *TRAITS)
     ranked = hash_rank(free, "PersonKey", cfg.seed, f"pair:{i}", "_rn", n)
-    one = F.struct("PersonKey", "AddressKey", *TRAITS)
-    side = lambda odd: F.max(F.when(F.col("_rn") % 2 == odd, one))
-    pairs = ranked.groupBy(F.floor(F.col("_rn") / 2).alias("pair")).agg(side(0).alias("a"), side(1).alias("b")).where("b IS NOT NULL")
+    one = f"struct(PersonKey, AddressKey, {', '.join(TRAITS)})"
+    side = lambda odd, name: F.expr(f"max(CASE WHEN _rn % 2 = {odd} THEN {one} END) AS {name}")
+    pairs = ranked.groupBy(F.expr("floor(_rn / 2)").alias("pair")).agg(side(0, "a"), side(1, "b")).where("b IS NOT NULL")
     if cfg.limits.gap is not None:
-        pairs = pairs.where(F.coalesce(F.abs(F.col("a.Age") - F.col("b.Age")) <= cfg.limits.gap, F.lit(True)))
-    key = F.col("a.PersonKey")
-    p = clip(F.lit(cfg.rate(cfg.cohabit)) * (0.5 + (F.col("a.Partnership") + F.col("b.Partnership")) / 2))
-    mode = F.element_at(F.array(*map(F.lit, COHABIT_MODES)), (hash_int(cfg.seed, f"cohabit:mode:{i}", 3, key) + 1).cast("int"))
-    fresh, filled = _new_key("ADDR", i, "C", key), lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    address = F.coalesce(F.when(F.col("mode") == "move_to_A", filled("a.AddressKey")).when(F.col("mode") == "move_to_B", filled("b.AddressKey")), fresh)
-    hit = pairs.where(hash_unit(cfg.seed, f"cohabit:{i}", key) < p).withColumn("mode", mode).withColumns({"home": _new_key("HH", i, "C", key), "to": address})
-    event = _event(day, 1, "COHABIT", PersonKeyA=key, PersonKeyB=F.col("b.PersonKey"), NewHouseholdKey=F.col("home"), CohabitMode=F.col("mode"), ToAddressKey=F.col("to"))
-    part = lambda own, other, role, told: F.struct(F.col(f"{own}.PersonKey").alias("PersonKey"), F.col(other).alias("_other"), F.lit(role).alias("_role"), "home", "to", told.alias("_event"))
-    couples = hit.select(F.explode(F.array(part("a", "b", "HEAD", event), part("b", "a", "SPOUSE", _none(_EVENT)))).alias("c")).select("c.*")
-    joined = rows.join(couples, "PersonKey", "left")
-    values = {"HouseholdKey": F.col("home"), "AddressKey": F.col("to"), "HouseholdType": F.lit("couple"), "Role": F.col("_role"), "Partner": F.col("_other.PersonKey")} | {f"p{t}": F.col(f"_other.{t}") for t in TRAITS}
-    return _changed(joined, F.col("home").isNotNull(), values, F.col("_event").isNotNull(), F.col("_event")).select(rows.columns)
-
-
-def _birth(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
+        pairs = pairs.where(f"coalesce(abs(a.Age - b.Age) <= {cfg.limits.gap}, true)")
+    odds = f"{_double(cfg.rate(cfg.cohabit))} * (0.5D + (a.Partnership + b.Partnership) / 2)"
+    hit = pairs.where(_below(cfg, f"cohabit:{i}", odds, "a.PersonKey")).selectExpr("a", "b", f"{_chosen(COHABIT_MODES, cfg, f'cohabit:mode:{i}', 'a.PersonKey')} AS mode")
+    address = f"coalesce(CASE mode WHEN 'move_to_A' THEN nullif(trim(a.AddressKey), '') WHEN 'move_to_B' THEN nullif(trim(b.AddressKey), '') END, {_key('ADDR', i, 'C', 'a.PersonKey')})"
+    part = lambda own, other, role: f"struct({own}.PersonKey AS PersonKey, {other} AS _mate, '{role}' AS _role, home AS _home, new AS _new)"
+    both = hit.selectExpr("a", "b", f"{_key('HH', i, 'C', 'a.PersonKey')} AS home", f"{address} AS new")
+    couples = both.selectExpr(f"explode(array({part('a', 'b', 'HEAD')}, {part('b', 'a', 'SPOUSE')})) AS c").selectExpr("c.*")
+    values = {"HouseholdKey": "_home", "AddressKey": "_new", "HouseholdType": "'couple'", "Role": "_role", "Partner": "_mate.PersonKey"} | {f"p{t}": f"_mate.{t}" for t in TRAITS}
+    told = {c: f"CASE WHEN _role = 'HEAD' THEN {v} ELSE {c} END" for c, v in {"phase": "1", "_to": "_new"}.items()}
+    met = rows.join(couples.hint("shuffle_hash"), "PersonKey", "left")  # couples are few beside people, so a partition's are a table in memory, and people need no sort
+    return _with(met, _where("(_home IS NOT NULL)", values) | told, "_mate", "_role", "_home", "_new")
+
+
+def _birth(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     """T-3. Women of the right age, or of unknown gender, bear children; of a couple only one does in a step, the first by key. Both parents are locked."""
 
-    def bears(key: str, trait: str) -> Column:
-        gender = F.lower(text_or_empty(F.col(f"{trait}Gender")))
-        able = ~F.col("locked") & gender.isin("female", "f", "") & F.col(f"{trait}Age").between(cfg.limits.fertility_age_min, cfg.limits.fertility_age_max)
-        return F.col(key).isNotNull() & F.coalesce(able, F.lit(False)) & (hash_unit(cfg.seed, f"birth:{i}", key) < clip(F.lit(cfg.rate(cfg.birth)) * (0.4 + F.col(f"{trait}Fertility"))))
-
-    both = rows.withColumns({"_own": F.coalesce(bears("PersonKey", ""), F.lit(False)), "_other": F.coalesce(bears("Partner", "p"), F.lit(False))})
-    own = F.col("_own") & ~(F.col("_other") & (F.col("Partner") < F.col("PersonKey")))
-    child = F.concat(F.lit(f"P_CHILD_{i:04d}_"), "PersonKey")
-    event = _event(day, 2, "BIRTH", Parent1PersonKey=F.col("PersonKey"), Parent2PersonKey=F.col("Partner"), ChildPersonKey=child, SubjectHouseholdKey=F.col("HouseholdKey"))
-    out = _changed(both.withColumn("_own", own), F.col("_own") | F.col("_other"), {}, F.col("_own"), event)
-    given = {
-        "PersonKey": child, "Role": F.lit("CHILD"), "Partner": _none("string"), "Gender": F.when(hash_unit(cfg.seed, f"child:{i}", "PersonKey") < 0.5, "female").otherwise("male"), "Age": F.lit(0), "Mobility": F.lit(0.25),
-        "Partnership": F.lit(0.05), "Fertility": F.lit(0.05), "locked": F.lit(True), "touched": F.lit(True), "event": _none(_EVENT),
-    } | {f"p{t}": _none(_KINDS[t]) for t in TRAITS}
-    person, born = F.struct(*rows.columns), F.struct(*[given.get(c, F.col(c)).alias(c) for c in rows.columns])
-    family = F.when(F.col("_own"), F.array(person, born)).otherwise(F.array(person))
-    return out.select(F.explode(family).alias("r")).select("r.*")
-
-
-def _leave_home(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
-    """T-4. Single people of 18 to 30 leave a household that has others for one of their own; the last one stays."""
-    home = Window.partitionBy("HouseholdKey")
-    wants = ~F.col("locked") & F.col("Partner").isNull() & F.col("Age").between(18, 30) & (hash_unit(cfg.seed, f"leave:{i}", "PersonKey") < cfg.rate(cfg.leave_home))
-    asked = rows.withColumn("_wants", F.coalesce(wants, F.lit(False)))
-    turn = F.row_number().over(home.orderBy(F.desc("_wants"), hash_unit(cfg.seed, f"leave:turn:{i}", "PersonKey"), "PersonKey"))
-    out = asked.withColumns({"_size": F.count("*").over(home), "_turn": turn})
-    key, address = _new_key("HH", i, "L", F.col("PersonKey")), _new_key("ADDR", i, "L", F.col("PersonKey"))
-    event = _event(day, 3, "LEAVE_HOME", ChildPersonKey=F.col("PersonKey"), SubjectPersonKey=F.col("PersonKey"), FromAddressKey=F.col("AddressKey"), ToAddressKey=address, NewHouseholdKey=key)
-    values = {"HouseholdKey": key, "AddressKey": address, "HouseholdType": F.lit("solo"), "Role": F.lit("HEAD")}
-    return _changed(out, F.col("_wants") & (F.col("_size") > F.col("_turn")), values, F.lit(True), event).drop("_wants", "_size", "_turn")
-
-
-def _move(rows: DataFrame, cfg: SimulationConfig, i: int, day: dt.date) -> DataFrame:
-    """T-5. Households of couples move as a whole; people who live alone move by themselves. Others stay."""
-    base, home = F.lit(cfg.rate(cfg.move)), Window.partitionBy("HouseholdKey")
-    first = ~F.col("locked") & (F.col("PersonKey") < F.col("Partner"))
-    couple = first & (hash_unit(cfg.seed, f"move:couple:{i}", "PersonKey") < clip(base * (0.5 + (F.col("Mobility") + F.col("pMobility")) / 2)))
-    single = ~F.col("locked") & F.col("Partner").isNull() & (hash_unit(cfg.seed, f"move:single:{i}", "PersonKey") < clip(base * (0.5 + F.col("Mobility"))))
-    out = rows.withColumns({"_couple": F.coalesce(couple, F.lit(False)), "_single": F.coalesce(single, F.lit(False))})
-    out = out.withColumns({"_all": F.max("_couple").over(home), "_size": F.count("*").over(home)})
-    to = _new_key("ADDR", i, "M", F.when(F.col("_all"), F.col("HouseholdKey")).otherwise(F.col("PersonKey")))
-    subject = {"SubjectHouseholdKey": F.when(F.col("_couple"), F.col("HouseholdKey")), "SubjectPersonKey": F.when(~F.col("_couple"), F.col("PersonKey"))}
-    event = _event(day, 4, "MOVE", FromAddressKey=F.col("AddressKey"), ToAddressKey=to, **subject)
-    alone = ~F.col("_all") & F.col("_single") & (F.col("_size") == 1)
-    return _changed(out, F.col("_all") | alone, {"AddressKey": to}, F.col("_couple") | alone, event).drop("_couple", "_single", "_all", "_size")
-
-
-PHASES = (("divorce", _divorce), ("cohabit", _cohabit), ("birth", _birth), ("leave_home", _leave_home), ("move", _move))
+    def bears(key: str, trait: str) -> str:
+        able = f"lower(trim(coalesce({trait}Gender, ''))) IN ('female', 'f', '') AND {trait}Age BETWEEN {cfg.limits.fertility_age_min} AND {cfg.limits.fertility_age_max}"
+        return f"coalesce(NOT locked AND {key} IS NOT NULL AND {able} AND {_below(cfg, f'birth:{i}', f'{_double(cfg.rate(cfg.birth))} * (0.4D + {trait}Fertility)', key)}, false)"
+
+    asked = _with(rows, {"_own": bears("PersonKey", ""), "_mate": bears("Partner", "p")})
+    asked = _with(asked, {"_bears": "_own AND NOT (_mate AND Partner < PersonKey)", "_parent": "_own OR _mate"}, "_own", "_mate")
+    every = _with(asked, {"_child": "explode(CASE WHEN _bears THEN array(false, true) ELSE array(false) END)"})
+    child = {
+        "PersonKey": f"concat('P_CHILD_{i:04d}_', PersonKey)", "Role": "'CHILD'", "Gender": f"CASE WHEN {unit_text(cfg.seed, f'child:{i}', 'PersonKey')} < 0.5D THEN 'female' ELSE 'male' END", "Age": "0",
+        "Mobility": "0.25D", "Partnership": "0.05D", "Fertility": "0.05D",
+    } | _GONE | {c: f"CAST(NULL AS {t})" for c, t in _SAYS.items()}
+    new = {c: f"CASE WHEN _child THEN {v} ELSE {c} END" for c, v in child.items()}
+    return _with(every, new | {"phase": "CASE WHEN _child THEN NULL WHEN _bears THEN 2 ELSE phase END", "locked": "locked OR _parent", "touched": "touched OR _parent"}, "_bears", "_parent", "_child")
+
+
+def _homes(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+    """T-4, T-5. Single people of 18 to 30 leave a household that has others for one of their own; the last one stays. Then households of couples move as a whole, and people who live alone by themselves.
+
+    Who leaves is alone then, and of those who stay a household's numbers tell what is left: of n people of whom w want to leave, the smaller of w and n - 1 do. So households meet once.
+    """
+    leave, move = cfg.rate(cfg.leave_home), cfg.rate(cfg.move)
+    free = "NOT locked AND Partner IS NULL"
+    asked = _with(rows, {
+        "_wants": f"coalesce({free} AND Age BETWEEN 18 AND 30 AND {unit_text(cfg.seed, f'leave:{i}', 'PersonKey')} < {_double(leave)}, false)" if leave else "false",
+        "_couple": f"coalesce(NOT locked AND PersonKey < Partner AND {_below(cfg, f'move:couple:{i}', f'{_double(move)} * (0.5D + (Mobility + pMobility) / 2)')}, false)" if move else "false",
+        "_single": f"coalesce({free} AND {_below(cfg, f'move:single:{i}', f'{_double(move)} * (0.5D + Mobility)')}, false)" if move else "false",
+    })
+    asked = _with(asked, {"_turn": f"CASE WHEN _wants THEN {unit_text(cfg.seed, f'leave:turn:{i}', 'PersonKey')} END"})
+    home = "OVER (PARTITION BY HouseholdKey)"
+    met = _with(asked, {"_n": f"count(*) {home}", "_w": f"count_if(_wants) {home}", "_all": f"max(_couple) {home}", "_turn": "row_number() OVER (PARTITION BY HouseholdKey ORDER BY _wants DESC, _turn, PersonKey)"})
+    met = _with(met, {"_left": "_wants AND _n > _turn"}, "_turn")
+    met = _with(met, {"_all": "_all AND NOT _left", "_alone": "_single AND NOT _all AND NOT _left AND _n - least(_w, _n - 1) = 1"}, "_single", "_wants", "_n", "_w")
+    to = _key("ADDR", i, "M", "CASE WHEN _all THEN HouseholdKey ELSE PersonKey END")
+    values = {c: f"CASE WHEN _left THEN {v} ELSE {c} END" for c, v in {"HouseholdKey": _key("HH", i, "L", "PersonKey"), "HouseholdType": "'solo'", "Role": "'HEAD'"}.items()}
+    values |= {"AddressKey": f"CASE WHEN _left THEN {_key('ADDR', i, 'L', 'PersonKey')} WHEN _all OR _alone THEN {to} ELSE AddressKey END"}
+    told = {"phase": "CASE WHEN _left THEN 3 WHEN _couple OR _alone THEN 4 ELSE phase END", "_from": "CASE WHEN _left OR _couple OR _alone THEN AddressKey ELSE _from END"}
+    return _with(met, values | told | {"locked": "locked OR _left OR _all OR _alone", "touched": "touched OR _left OR _all OR _alone"}, "_left", "_all", "_alone", "_couple")
+
+
+def _told(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+    """rows with the event that each tells of, from its phase."""
+    of = lambda **v: "CASE phase " + " ".join(f"WHEN {k[1:]} THEN {x}" for k, x in v.items()) + " END"
+    parts = {
+        "EventType": of(p0="'DIVORCE'", p1="'COHABIT'", p2="'BIRTH'", p3="'LEAVE_HOME'", p4="'MOVE'"), "EventDate": f"DATE '{cfg.day(i)}'", "SubjectPersonKey": of(p3="PersonKey", p4="CASE WHEN Partner IS NULL THEN PersonKey END"),
+        "SubjectHouseholdKey": of(p2="HouseholdKey", p4="CASE WHEN Partner IS NOT NULL THEN HouseholdKey END"), "FromAddressKey": "_from", "ToAddressKey": of(p0=_key("ADDR", i, "D", "_other"), p1="_to", p3="AddressKey", p4="AddressKey"),
+        "PersonKeyA": of(p0="PersonKey", p1="PersonKey"), "PersonKeyB": of(p0="_other", p1="Partner"), "NewHouseholdKey": of(p0=_key("HH", i, "D", "_other"), p1=_key("HH", i, "C", "PersonKey"), p3="HouseholdKey"),
+        "CohabitMode": of(p1=_chosen(COHABIT_MODES, cfg, f"cohabit:mode:{i}", "PersonKey")), "CustodyMode": of(p0=_chosen(CUSTODY_MODES, cfg, f"custody:{i}", "PersonKey")),
+        "ChildPersonKey": of(p2=f"concat('P_CHILD_{i:04d}_', PersonKey)", p3="PersonKey"), "Parent1PersonKey": of(p2="PersonKey"), "Parent2PersonKey": of(p2="Partner"),
+    }
+    values = ", ".join(f"{parts.get(c, 'CAST(NULL AS STRING)')} AS {c}" for c in EVENT_COLUMNS if c != "EventKey")
+    return _with(rows, {"event": f"CASE WHEN phase IS NOT NULL THEN struct({values}, phase) END"}, *_SAYS)
+
+
+PHASES = ("divorce", "cohabit", "birth", "leave_home", "move")
 
 
 def stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int | None = None) -> DataFrame:
@@ -196,11 +211,17 @@ def stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int | None = Non
     Phases run in order: divorce, cohabit, birth, leave home, move; one whose rate is zero has no plan. Who has changed is locked for later phases, so a row tells of one event at
     most. Couples decide in their own rows; only pairing strangers and counting households shuffle.
     """
-    rows = begun(state)
-    for name, phase in PHASES:
-        if cfg.rate(getattr(cfg, name)):
-            rows = phase(rows, cfg, i, cfg.day(i), n) if phase is _cohabit else phase(rows, cfg, i, cfg.day(i))
-    return rows.drop("locked")
+    own = [c for c in state.columns if c not in ("locked", "touched", "event")]
+    rows = state.selectExpr(*own, "false AS locked", "false AS touched", *[f"CAST(NULL AS {t}) AS {c}" for c, t in _SAYS.items()])
+    if cfg.rate(cfg.divorce):
+        rows = _divorce(rows, cfg, i)
+    if cfg.rate(cfg.cohabit):
+        rows = _cohabit(rows, cfg, i, n)
+    if cfg.rate(cfg.birth):
+        rows = _birth(rows, cfg, i)
+    if cfg.rate(cfg.leave_home) or cfg.rate(cfg.move):
+        rows = _homes(rows, cfg, i)
+    return _told(rows, cfg, i).drop("locked")
 
 
 def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -214,7 +235,7 @@ def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None =
     first = start if start is not None else initial_state(people)
     state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)), "step=0").drop("touched", "event")
     for i in range(1, cfg.periods + 1):
-        if any(cfg.rate(getattr(cfg, name)) for name, _ in PHASES):
+        if any(cfg.rate(getattr(cfg, name)) for name in PHASES):
             state = ws.save(stepped(state, cfg, i, state.count()), f"step={i}").drop("touched", "event")  # a count of a written table reads its footers alone
     steps = spark.read.schema(T.StructType([*begun(first).drop("locked").schema.fields, T.StructField("step", T.IntegerType())])).parquet(ws.path)
     days = F.element_at(F.array(*[F.lit(cfg.day(i)) for i in range(cfg.periods + 1)]), F.col("step") + 1)
@@ -243,7 +264,7 @@ def children(events: DataFrame, state: DataFrame) -> DataFrame:
     births = events.where("EventType = 'BIRTH'").select(F.col("ChildPersonKey").alias("PersonKey"), F.col("EventDate").alias("DOB"), "EventKey")
     n = F.col("_n") + 1
     pad = lambda c, width: F.lpad(c.cast("string"), width, "0")
-    text = _none("string")
+    text = F.lit(None).cast("string")
     named = range_numbered(births, [F.col("EventKey")], "_n").select("PersonKey", "DOB", F.concat(F.lit("Child"), pad(n, 6)).alias("FirstName"), F.concat(F.lit("900-00-"), pad(n % 9000 + 1000, 4)).alias("SSN"))
     return named.join(state.select("PersonKey", "LastName", "Gender", "Ethnicity"), "PersonKey").select(
         "PersonKey", "FirstName", text.alias("MiddleName"), "LastName", text.alias("Suffix"), "Gender", "Ethnicity", "DOB", F.lit(0).alias("Age"), "SSN", text.alias("Phone")

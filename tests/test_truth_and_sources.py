@@ -210,3 +210,26 @@ def test_registered_simulations_run_all_periods(spark, monkeypatch):
     for name in ("single_movers", "three_source_partial_overlap"):
         simulation._scenario(MagicMock(), name)
     assert ran == [scenario("single_movers"), scenario("three_source_partial_overlap")] and {r.periods for r in ran} == {12} and simulation.CONFIG.periods == 12
+
+
+def test_a_step_deals_people_to_households_once(spark):
+    """Leaving home and moving share one shuffle by household, couples join without a sort of all people, and what is told equals a step written out for few people."""
+    cfg = truth.SimulationConfig(periods=1, move=60, cohabit=60, birth=60, divorce=50, leave_home=60)
+    state = truth.initial_state(people(spark))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = truth.stepped(state, cfg, 1, 24)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("hashpartitioning(HouseholdKey") == 1 and "SortMergeJoin" not in plan
+
+
+def test_the_last_of_a_household_stays_and_may_move(spark):
+    """Of three who all want to leave two do; the third, then alone, moves. With one who is too old to want, all three leave, and that one moves."""
+    cfg = truth.SimulationConfig(periods=1, move=100, leave_home=100)
+    home = truth.initial_state(people(spark, 3)).withColumns({"HouseholdKey": F.lit("H"), "AddressKey": F.lit("A")})
+    for rows, stays in ((home, 1), (home.unionByName(home.where("PersonKey = '0'").withColumns({"PersonKey": F.lit("9"), "Age": F.lit(60)})), 1)):
+        out = truth.stepped(rows, cfg, 1).collect()
+        kinds = sorted(r.event.EventType for r in out if r.event)
+        assert kinds == ["LEAVE_HOME"] * (len(out) - 1) + ["MOVE"] and sum(r.HouseholdKey == "H" for r in out) == stays
+        assert all(r.touched and r.event.FromAddressKey == "A" and r.event.ToAddressKey == r.AddressKey for r in out)
