@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import int_text, text_or_empty, unit_text
 from ..sources.checkpoints import Workspace
-from .allocation import group_sizes, hash_rank, range_numbered
+from .allocation import group_sizes, hash_rank, range_numbered, rank_buckets
 from .intervals import closed_history
 from .validate import COHABIT_MODES, CUSTODY_MODES, EVENT_COLUMNS, Constraints
 
@@ -79,8 +79,20 @@ def begun(state: DataFrame) -> DataFrame:
     return state.selectExpr(*state.columns, "false AS locked", "false AS touched", f"CAST(NULL AS {_EVENT}) AS event")
 
 
-# Phases are SQL text: a step is a few projections, whose plan is made by one call each. What is told is the phase with the three values that later phases may change; the events
-# themselves are made at the end of the step, so that no phase's code carries their columns.
+# A step is one SQL text, which is parsed and resolved once; phases add to it. What is told is the phase with the three values that later phases may change; the events themselves are made at the end of the
+# step, so that no phase's code carries their columns.
+
+
+@dataclass(frozen=True)
+class _Rows:
+    """A SELECT and the columns it has."""
+
+    columns: tuple[str, ...]
+    text: str
+
+    def where(self, condition: str) -> _Rows:
+        return _Rows(self.columns, f"SELECT * FROM ({self.text}) WHERE {condition}")
+
 
 #: The phase that a row tells of, and of that the former partner and address and the new address.
 _SAYS = {"phase": "int", "_other": "string", "_from": "string", "_to": "string"}
@@ -91,10 +103,10 @@ def _double(x: float) -> str:
     return f"{float(x)!r}D"
 
 
-def _with(rows: DataFrame, values: dict[str, str], *drop: str) -> DataFrame:
+def _with(rows: _Rows, values: dict[str, str], *drop: str, hint: str = "") -> _Rows:
     """rows with columns replaced or added, from text."""
-    kept = [f"{values[c]} AS {c}" if c in values else c for c in rows.columns if c not in drop]
-    return rows.selectExpr(*kept, *[f"{v} AS {c}" for c, v in values.items() if c not in rows.columns])
+    new = {c: c for c in rows.columns if c not in drop} | values
+    return _Rows(tuple(new), f"SELECT {hint}{', '.join(v if v == c else f'{v} AS {c}' for c, v in new.items())} FROM ({rows.text})")
 
 
 def _where(hit: str, values: dict[str, str]) -> dict[str, str]:
@@ -114,7 +126,7 @@ def _chosen(values: tuple[str, ...], cfg: SimulationConfig, salt: str, key: str)
     return f"element_at(array({', '.join(map(repr, values))}), {int_text(cfg.seed, salt, len(values), key)} + 1)"
 
 
-def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+def _divorce(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
     """T-1. Couples part; the second by key leaves for a new household and address."""
     odds = f"{_double(cfg.rate(cfg.divorce))} * (1.7D - (Partnership + pPartnership) / 2)"
     asked = _with(rows, {"_hit": f"coalesce(NOT locked AND Partner IS NOT NULL AND {_below(cfg, f'divorce:{i}', odds, 'least(PersonKey, Partner)')}, false)", "_first": "coalesce(PersonKey < Partner, false)"})
@@ -124,29 +136,39 @@ def _divorce(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     return _with(asked, _where("_hit", _GONE) | second | {c: f"CASE WHEN _hit AND _first THEN {v} ELSE {c} END" for c, v in told.items()}, "_hit", "_first")
 
 
-def _cohabit(rows: DataFrame, cfg: SimulationConfig, i: int, n: int | None = None) -> DataFrame:
-    """T-2, J-16, J-17. Free people of age are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
-    least = 0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age
-    free = rows.where(f"NOT locked AND Partner IS NULL AND coalesce(Age, 0) >= {least}").select("PersonKey", "AddressKey", *TRAITS)
-    ranked = hash_rank(free, "PersonKey", cfg.seed, f"pair:{i}", "_rn", n)
-    one = f"struct(PersonKey, AddressKey, {', '.join(TRAITS)})"
-    side = lambda odd, name: F.expr(f"max(CASE WHEN _rn % 2 = {odd} THEN {one} END) AS {name}")
-    pairs = ranked.groupBy(F.expr("floor(_rn / 2)").alias("pair")).agg(side(0, "a"), side(1, "b")).where("b IS NOT NULL")
-    if cfg.limits.gap is not None:
-        pairs = pairs.where(f"coalesce(abs(a.Age - b.Age) <= {cfg.limits.gap}, true)")
-    odds = f"{_double(cfg.rate(cfg.cohabit))} * (0.5D + (a.Partnership + b.Partnership) / 2)"
-    hit = pairs.where(_below(cfg, f"cohabit:{i}", odds, "a.PersonKey")).selectExpr("a", "b", f"{_chosen(COHABIT_MODES, cfg, f'cohabit:mode:{i}', 'a.PersonKey')} AS mode")
-    address = f"coalesce(CASE mode WHEN 'move_to_A' THEN nullif(trim(a.AddressKey), '') WHEN 'move_to_B' THEN nullif(trim(b.AddressKey), '') END, {_key('ADDR', i, 'C', 'a.PersonKey')})"
-    part = lambda own, other, role: f"struct({own}.PersonKey AS PersonKey, {other} AS _mate, '{role}' AS _role, home AS _home, new AS _new)"
-    both = hit.selectExpr("a", "b", f"{_key('HH', i, 'C', 'a.PersonKey')} AS home", f"{address} AS new")
-    couples = both.selectExpr(f"explode(array({part('a', 'b', 'HEAD')}, {part('b', 'a', 'SPOUSE')})) AS c").selectExpr("c.*")
-    values = {"HouseholdKey": "_home", "AddressKey": "_new", "HouseholdType": "'couple'", "Role": "_role", "Partner": "_mate.PersonKey"} | {f"p{t}": f"_mate.{t}" for t in TRAITS}
-    told = {c: f"CASE WHEN _role = 'HEAD' THEN {v} ELSE {c} END" for c, v in {"phase": "1", "_to": "_new"}.items()}
-    met = rows.join(couples.hint("shuffle_hash"), "PersonKey", "left")  # couples are few beside people, so a partition's are a table in memory, and people need no sort
-    return _with(met, _where("(_home IS NOT NULL)", values) | told, "_mate", "_role", "_home", "_new")
-
-
-def _birth(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+def _paired(free: _Rows, seed: int, salt: str, columns: tuple[str, ...], n: int) -> _Rows:
+    """free with `_mate`, these columns of the other one of its pair, and `_even`, true for the first of the two: rows 0 and 1 in the order of their hashes, 2 and 3, and so on; the last of an odd number has no mate.
+
+    Hashes are counted by bucket, and buckets are put together so that each group of them begins with an even row. Then no pair lies across groups, and a row finds its mate beside it: rows move once, and nothing is joined
+    but the few buckets. About every other bucket begins a group.
+    """
+    hashed = _with(free, {"_u": unit_text(seed, salt, "PersonKey")})
+    hashed = _with(hashed, {"_bucket": f"CAST(floor(_u * {rank_buckets(n) - 1}) AS BIGINT)"})
+    counts = f"SELECT _bucket, count(*) AS _n FROM ({hashed.text}) GROUP BY _bucket"
+    before = f"SELECT _bucket, coalesce(sum(_n) OVER (ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before FROM ({counts})"
+    groups = f"SELECT _bucket, max(CASE WHEN _before % 2 = 0 THEN _bucket END) OVER (ORDER BY _bucket) AS _group FROM ({before})"
+    rows = _Rows((*hashed.columns, "_group"), f"SELECT /*+ BROADCAST(g) */ h.*, g._group FROM ({hashed.text}) h JOIN ({groups}) g ON h._bucket = g._bucket")
+    order, one = "OVER (PARTITION BY _group ORDER BY _u, PersonKey)", f"struct({', '.join(columns)})"
+    met = _with(rows, {"_even": f"row_number() {order} % 2 = 1", "_before": f"lag({one}) {order}", "_after": f"lead({one}) {order}"}, "_bucket")
+    return _with(met, {"_mate": "CASE WHEN _even THEN _after ELSE _before END"}, "_u", "_group", "_before", "_after")
+
+
+def _cohabit(rows: _Rows, cfg: SimulationConfig, i: int, n: int) -> _Rows:
+    """T-2, J-16, J-17. Free people of age (rows) are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
+    met = _paired(rows, cfg.seed, f"pair:{i}", ("PersonKey", "AddressKey", *TRAITS), n)
+    met = _with(met, {"_a": "CASE WHEN _even THEN PersonKey ELSE _mate.PersonKey END"})
+    odds = f"{_double(cfg.rate(cfg.cohabit))} * (0.5D + (Partnership + _mate.Partnership) / 2)"
+    near = f"coalesce(abs(Age - _mate.Age) <= {cfg.limits.gap}, true)" if cfg.limits.gap is not None else "true"
+    asked = _with(met, {"_hit": f"coalesce(_mate IS NOT NULL AND {near} AND {_below(cfg, f'cohabit:{i}', odds, '_a')}, false)"})
+    asked = _with(asked, {"_mode": f"CASE WHEN _hit THEN {_chosen(COHABIT_MODES, cfg, f'cohabit:mode:{i}', '_a')} END"})
+    side = lambda of_a: f"nullif(trim(CASE WHEN _even = {of_a} THEN AddressKey ELSE _mate.AddressKey END), '')"
+    asked = _with(asked, {"_new": f"coalesce(CASE _mode WHEN 'move_to_A' THEN {side('true')} WHEN 'move_to_B' THEN {side('false')} END, {_key('ADDR', i, 'C', '_a')})"}, "_mode")
+    values = {"HouseholdKey": _key("HH", i, "C", "_a"), "AddressKey": "_new", "HouseholdType": "'couple'", "Role": "CASE WHEN _even THEN 'HEAD' ELSE 'SPOUSE' END", "Partner": "_mate.PersonKey"} | {f"p{t}": f"_mate.{t}" for t in TRAITS}
+    told = {c: f"CASE WHEN _hit AND _even THEN {v} ELSE {c} END" for c, v in {"phase": "1", "_to": "_new"}.items()}
+    return _with(asked, _where("_hit", values) | told, "_hit", "_a", "_even", "_mate", "_new")
+
+
+def _birth(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
     """T-3. Women of the right age, or of unknown gender, bear children; of a couple only one does in a step, the first by key. Both parents are locked."""
 
     def bears(key: str, trait: str) -> str:
@@ -164,7 +186,7 @@ def _birth(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     return _with(every, new | {"phase": "CASE WHEN _child THEN NULL WHEN _bears THEN 2 ELSE phase END", "locked": "locked OR _parent", "touched": "touched OR _parent"}, "_bears", "_parent", "_child")
 
 
-def _homes(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
+def _homes(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
     """T-4, T-5. Single people of 18 to 30 leave a household that has others for one of their own; the last one stays. Then households of couples move as a whole, and people who live alone by themselves.
 
     Who leaves is alone then, and of those who stay a household's numbers tell what is left: of n people of whom w want to leave, the smaller of w and n - 1 do. So households meet once.
@@ -176,10 +198,11 @@ def _homes(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
         "_couple": f"coalesce(NOT locked AND PersonKey < Partner AND {_below(cfg, f'move:couple:{i}', f'{_double(move)} * (0.5D + (Mobility + pMobility) / 2)')}, false)" if move else "false",
         "_single": f"coalesce({free} AND {_below(cfg, f'move:single:{i}', f'{_double(move)} * (0.5D + Mobility)')}, false)" if move else "false",
     })
-    asked = _with(asked, {"_turn": f"CASE WHEN _wants THEN {unit_text(cfg.seed, f'leave:turn:{i}', 'PersonKey')} END"})
-    home = "OVER (PARTITION BY HouseholdKey)"
-    met = _with(asked, {"_n": f"count(*) {home}", "_w": f"count_if(_wants) {home}", "_all": f"max(_couple) {home}", "_turn": "row_number() OVER (PARTITION BY HouseholdKey ORDER BY _wants DESC, _turn, PersonKey)"})
-    met = _with(met, {"_left": "_wants AND _n > _turn"}, "_turn")
+    asked = _with(asked, {"_turn": f"CASE WHEN _wants THEN struct({unit_text(cfg.seed, f'leave:turn:{i}', 'PersonKey')} AS u, PersonKey) END", "_hash": "xxhash64(HouseholdKey)"})
+    home = "OVER (PARTITION BY _hash, HouseholdKey)"  # keys begin alike, so that a sort by them compares whole texts; numbers first spare it that
+    dealt = _with(asked, {}, hint="/*+ REPARTITION(HouseholdKey) */ ")
+    met = _with(dealt, {"_n": f"count(*) {home}", "_w": f"count_if(_wants) {home}", "_all": f"max(_couple) {home}", "_last": f"max(_turn) {home}"}, "_hash")
+    met = _with(met, {"_left": "_wants AND NOT (_w = _n AND _turn = _last)"}, "_turn", "_last")
     met = _with(met, {"_all": "_all AND NOT _left", "_alone": "_single AND NOT _all AND NOT _left AND _n - least(_w, _n - 1) = 1"}, "_single", "_wants", "_n", "_w")
     to = _key("ADDR", i, "M", "CASE WHEN _all THEN HouseholdKey ELSE PersonKey END")
     values = {c: f"CASE WHEN _left THEN {v} ELSE {c} END" for c, v in {"HouseholdKey": _key("HH", i, "L", "PersonKey"), "HouseholdType": "'solo'", "Role": "'HEAD'"}.items()}
@@ -188,11 +211,11 @@ def _homes(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
     return _with(met, values | told | {"locked": "locked OR _left OR _all OR _alone", "touched": "touched OR _left OR _all OR _alone"}, "_left", "_all", "_alone", "_couple")
 
 
-def _told(rows: DataFrame, cfg: SimulationConfig, i: int) -> DataFrame:
-    """rows with the event that each tells of, from its phase."""
+def _told(rows: _Rows, cfg: SimulationConfig, i: int, day: str) -> _Rows:
+    """rows with the event that each tells of, from its phase. day: the text of its date."""
     of = lambda **v: "CASE phase " + " ".join(f"WHEN {k[1:]} THEN {x}" for k, x in v.items()) + " END"
     parts = {
-        "EventType": of(p0="'DIVORCE'", p1="'COHABIT'", p2="'BIRTH'", p3="'LEAVE_HOME'", p4="'MOVE'"), "EventDate": f"DATE '{cfg.day(i)}'", "SubjectPersonKey": of(p3="PersonKey", p4="CASE WHEN Partner IS NULL THEN PersonKey END"),
+        "EventType": of(p0="'DIVORCE'", p1="'COHABIT'", p2="'BIRTH'", p3="'LEAVE_HOME'", p4="'MOVE'"), "EventDate": day, "SubjectPersonKey": of(p3="PersonKey", p4="CASE WHEN Partner IS NULL THEN PersonKey END"),
         "SubjectHouseholdKey": of(p2="HouseholdKey", p4="CASE WHEN Partner IS NOT NULL THEN HouseholdKey END"), "FromAddressKey": "_from", "ToAddressKey": of(p0=_key("ADDR", i, "D", "_other"), p1="_to", p3="AddressKey", p4="AddressKey"),
         "PersonKeyA": of(p0="PersonKey", p1="PersonKey"), "PersonKeyB": of(p0="_other", p1="Partner"), "NewHouseholdKey": of(p0=_key("HH", i, "D", "_other"), p1=_key("HH", i, "C", "PersonKey"), p3="HouseholdKey"),
         "CohabitMode": of(p1=_chosen(COHABIT_MODES, cfg, f"cohabit:mode:{i}", "PersonKey")), "CustodyMode": of(p0=_chosen(CUSTODY_MODES, cfg, f"custody:{i}", "PersonKey")),
@@ -209,19 +232,28 @@ def stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int | None = Non
     """The state after step i, with `touched` for those who changed and `event` for what they tell of it.
 
     Phases run in order: divorce, cohabit, birth, leave home, move; one whose rate is zero has no plan. Who has changed is locked for later phases, so a row tells of one event at
-    most. Couples decide in their own rows; only pairing strangers and counting households shuffle.
+    most. Couples decide in their own rows; only pairing strangers and counting households shuffle, and nothing is joined but counts of hash buckets.
     """
-    own = [c for c in state.columns if c not in ("locked", "touched", "event")]
-    rows = state.selectExpr(*own, "false AS locked", "false AS touched", *[f"CAST(NULL AS {t}) AS {c}" for c, t in _SAYS.items()])
-    if cfg.rate(cfg.divorce):
+    return _stepped(state, cfg, i, state.count() if n is None else n, f"DATE '{cfg.day(i)}'")
+
+
+def _stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int, day: str) -> DataFrame:
+    own = {c: c for c in state.columns if c not in ("locked", "touched", "event")}
+    rows = _with(_Rows(tuple(state.columns), "SELECT * FROM {state}"), own | {"locked": "false", "touched": "false"} | {c: f"CAST(NULL AS {t})" for c, t in _SAYS.items()}, *state.columns)
+    if cfg.rate(cfg.cohabit):  # couples part, free people pair, and nobody does both in a step
+        free = f"Partner IS NULL AND coalesce(Age, 0) >= {0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age}"
+        single, others = _cohabit(rows.where(free), cfg, i, n), rows.where(f"NOT ({free})")
+        if cfg.rate(cfg.divorce):
+            others = _divorce(others, cfg, i)
+        names = ", ".join(rows.columns)
+        rows = _Rows(rows.columns, f"SELECT {names} FROM ({single.text}) UNION ALL SELECT {names} FROM ({others.text})")
+    elif cfg.rate(cfg.divorce):
         rows = _divorce(rows, cfg, i)
-    if cfg.rate(cfg.cohabit):
-        rows = _cohabit(rows, cfg, i, n)
     if cfg.rate(cfg.birth):
         rows = _birth(rows, cfg, i)
     if cfg.rate(cfg.leave_home) or cfg.rate(cfg.move):
         rows = _homes(rows, cfg, i)
-    return _told(rows, cfg, i).drop("locked")
+    return state.sparkSession.sql(_with(_told(rows, cfg, i, day), {}, "locked").text, state=state)
 
 
 def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -236,7 +268,8 @@ def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None =
     state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)), "step=0").drop("touched", "event")
     for i in range(1, cfg.periods + 1):
         if any(cfg.rate(getattr(cfg, name)) for name in PHASES):
-            state = ws.save(stepped(state, cfg, i, state.count()), f"step={i}").drop("touched", "event")  # a count of a written table reads its footers alone
+            n = state.count()  # a count of a written table reads its footers alone
+            state = ws.save(_stepped(state, cfg, i, n, "CAST(NULL AS DATE)"), f"step={i}").drop("touched", "event")  # without its date a step has the code of the one before it, which is compiled then
     steps = spark.read.schema(T.StructType([*begun(first).drop("locked").schema.fields, T.StructField("step", T.IntegerType())])).parquet(ws.path)
     days = F.element_at(F.array(*[F.lit(cfg.day(i)) for i in range(cfg.periods + 1)]), F.col("step") + 1)
     log = steps.where("touched").select("PersonKey", days.alias("since"), "HouseholdKey", "AddressKey", "HouseholdType", "Role", "step")
@@ -245,7 +278,7 @@ def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None =
     memberships = member.select("PersonKey", "h.HouseholdKey", F.col("h.Role").alias("HouseholdRole"), F.col("start").alias("MembershipStartDate"), F.col("end").alias("MembershipEndDate"))
     kinds = log.groupBy("HouseholdKey").agg(F.min_by("HouseholdType", F.struct("step", "HouseholdType")).alias("HouseholdType"))
     spans = memberships.groupBy("HouseholdKey").agg(F.min("MembershipStartDate").alias("HouseholdStartDate"), F.when(F.count("*") == F.count("MembershipEndDate"), F.max("MembershipEndDate")).alias("HouseholdEndDate"))
-    told = steps.where("event IS NOT NULL").select("event.*", (F.col("step") * 10 + F.col("event.phase")).alias("_order"))
+    told = steps.where("event IS NOT NULL").select(*[(days if c == "EventDate" else F.col(f"event.{c}")).alias(c) for c in EVENT_COLUMNS if c != "EventKey"], (F.col("step") * 10 + F.col("event.phase")).alias("_order"))
     return {
         "events": numbered_events(told), "state": state, "memberships": memberships, "households": spans.join(kinds, "HouseholdKey", "left"),
         "residence_history": residence.select("PersonKey", "AddressKey", F.col("start").alias("ResidenceStartDate"), F.col("end").alias("ResidenceEndDate")),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.config import PRESETS, SCENARIOS, list_presets, patched, preset, scenario
+from attesta.functions import hash_unit
 from attesta.operators import intervals, truth, validate
 from attesta.operators.noise import NoiseRates
 from attesta.plans.scenario import PEOPLE_COLUMNS, run_scenario, validate_run, write_run
@@ -233,3 +234,23 @@ def test_the_last_of_a_household_stays_and_may_move(spark):
         kinds = sorted(r.event.EventType for r in out if r.event)
         assert kinds == ["LEAVE_HOME"] * (len(out) - 1) + ["MOVE"] and sum(r.HouseholdKey == "H" for r in out) == stays
         assert all(r.touched and r.event.FromAddressKey == "A" and r.event.ToAddressKey == r.AddressKey for r in out)
+
+
+def test_pairs_are_neighbours_by_hash_whatever_the_buckets(spark, monkeypatch):
+    """Pairs are rows 2k and 2k + 1 in the order of hashes, also where buckets have odd numbers of rows; a step moves people by hash bucket and household alone, and joins none by person."""
+    keys = [f"p{k}" for k in range(301)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "PersonKey string, x int")
+    order = [r.PersonKey for r in df.orderBy(hash_unit(5, "pair", F.col("PersonKey")), "PersonKey").collect()]
+    want = {(a, b) for a, b in zip(order[::2], order[1::2], strict=False)}
+    for buckets in (4096, 64, 7, 2):
+        monkeypatch.setattr(truth, "rank_buckets", lambda n: buckets)  # noqa: B023
+        rows = truth._paired(truth._Rows(("PersonKey", "x"), "SELECT * FROM {df}"), 5, "pair", ("PersonKey",), 301)
+        got = [(r.PersonKey, r._even, r._mate and r._mate.PersonKey) for r in spark.sql(rows.text, df=df).collect()]
+        assert {(k, m) for k, even, m in got if even and m} == want and {(m, k) for k, even, m in got if not even} == want and [k for k, _, m in got if not m] == [order[-1]]
+    cfg = truth.SimulationConfig(periods=1, move=60, cohabit=60, birth=60, divorce=50, leave_home=60)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = truth.stepped(truth.initial_state(people(spark)), cfg, 1, 24)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "hashpartitioning(PersonKey" not in plan and plan.count("hashpartitioning(_group") == 1
