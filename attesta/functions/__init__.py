@@ -13,6 +13,6 @@ from .exprs import (
     title_case,
     years_before,
 )
-from .hashing import hash_int, hash_unit, int_text, unit_text
+from .hashing import digest_text, hash_int, hash_unit, int_text, unit_text
 
-__all__ = ["age_on", "as_date", "as_int", "clip", "concat_nonempty", "hash_int", "hash_unit", "int_text", "interval_contains", "norm_text", "stable_order", "text_or_empty", "title_case", "unit_text", "years_before"]
+__all__ = ["age_on", "as_date", "as_int", "clip", "concat_nonempty", "digest_text", "hash_int", "hash_unit", "int_text", "interval_contains", "norm_text", "stable_order", "text_or_empty", "title_case", "unit_text", "years_before"]

@@ -24,8 +24,13 @@ def hash_int(seed: int | str, salt: str, modulus: int | Column, *keys: Column |
     return (_bits(seed, salt, *keys).cast("decimal(20,0)") % m).cast("long")
 
 
+def digest_text(seed: int | str, salt: str, key: str) -> str:
+    """The digest's 64 digits, whose order is that of hash_unit, as SQL."""
+    return f"sha2(concat_ws('|', '{seed}', '{salt}', {key}), 256)"
+
+
 def _bits_text(seed: int | str, salt: str, key: str) -> str:
-    return f"conv(substring(sha2(concat_ws('|', '{seed}', '{salt}', {key}), 256), 1, 16), 16, 10)"
+    return f"conv(substring({digest_text(seed, salt, key)}, 1, 16), 16, 10)"
 
 
 def unit_text(seed: int | str, salt: str, key: str) -> str:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import int_text, text_or_empty, unit_text
+from ..functions import digest_text, int_text, text_or_empty, unit_text
 from ..sources.checkpoints import Workspace
 from .allocation import group_sizes, hash_rank, range_numbered, rank_buckets
 from .intervals import closed_history
@@ -118,8 +119,12 @@ def _key(prefix: str, i: int, phase: str, key: str) -> str:
     return f"concat('{prefix}_SIM_{i:04d}{phase}_', {key})"
 
 
-def _below(cfg: SimulationConfig, salt: str, odds: str, key: str = "PersonKey") -> str:
-    return f"{unit_text(cfg.seed, salt, key)} < least(greatest({odds}, 0D), 1D)"
+def _below(cfg: SimulationConfig, salt: str, rate: float, part: str, key: str = "PersonKey", most: float = 1.5) -> str:
+    """Whether a hash is below the odds rate * part. Where part is at most `most`, as it is for scores from 0 to 1, the first digits of the digest rule out nearly all rows; only the others need a number."""
+    odds = f"{_double(rate)} * {part}"
+    under = f"{unit_text(cfg.seed, salt, key)} < least(greatest({odds}, 0D), 1D)"
+    top = math.ceil(rate * most * (1 + 1e-9) * 65536)
+    return under if top >= 65536 else f"CASE WHEN {part} > {_double(most)} OR {digest_text(cfg.seed, salt, key)} < '{top:04x}' THEN {under} ELSE false END"
 
 
 def _chosen(values: tuple[str, ...], cfg: SimulationConfig, salt: str, key: str) -> str:
@@ -128,21 +133,26 @@ def _chosen(values: tuple[str, ...], cfg: SimulationConfig, salt: str, key: str)
 
 def _divorce(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
     """T-1. Couples part; the second by key leaves for a new household and address."""
-    odds = f"{_double(cfg.rate(cfg.divorce))} * (1.7D - (Partnership + pPartnership) / 2)"
-    asked = _with(rows, {"_hit": f"coalesce(NOT locked AND Partner IS NOT NULL AND {_below(cfg, f'divorce:{i}', odds, 'least(PersonKey, Partner)')}, false)", "_first": "coalesce(PersonKey < Partner, false)"})
+    hit = _below(cfg, f"divorce:{i}", cfg.rate(cfg.divorce), "(1.7D - (Partnership + pPartnership) / 2)", "least(PersonKey, Partner)", 1.7)
+    asked = _with(rows, {"_hit": f"coalesce(NOT locked AND Partner IS NOT NULL AND {hit}, false)", "_first": "coalesce(PersonKey < Partner, false)"})
     moved = {"HouseholdKey": _key("HH", i, "D", "PersonKey"), "AddressKey": _key("ADDR", i, "D", "PersonKey"), "HouseholdType": "'post_divorce'", "Role": "'HEAD'"}
     second = {c: f"CASE WHEN _hit AND NOT _first THEN {v} ELSE {c} END" for c, v in moved.items()}
     told = {"phase": "0", "_other": "Partner", "_from": "AddressKey"}
     return _with(asked, _where("_hit", _GONE) | second | {c: f"CASE WHEN _hit AND _first THEN {v} ELSE {c} END" for c, v in told.items()}, "_hit", "_first")
 
 
+def _free(cfg: SimulationConfig) -> str:
+    """Who may become a partner in a step."""
+    return f"Partner IS NULL AND coalesce(Age, 0) >= {0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age}"
+
+
 def _paired(free: _Rows, seed: int, salt: str, columns: tuple[str, ...], n: int) -> _Rows:
     """free with `_mate`, these columns of the other one of its pair, and `_even`, true for the first of the two: rows 0 and 1 in the order of their hashes, 2 and 3, and so on; the last of an odd number has no mate.
 
     Hashes are counted by bucket, and buckets are put together so that each group of them begins with an even row. Then no pair lies across groups, and a row finds its mate beside it: rows move once, and nothing is joined
-    but the few buckets. About every other bucket begins a group.
+    but the few buckets. About every other bucket begins a group. Hashes are those in `_turn`, if free has that column: both counts and rows read them.
     """
-    hashed = _with(free, {"_u": unit_text(seed, salt, "PersonKey")})
+    hashed = _with(free, {"_u": "_turn" if "_turn" in free.columns else unit_text(seed, salt, "PersonKey")}, "_turn")
     hashed = _with(hashed, {"_bucket": f"CAST(floor(_u * {rank_buckets(n) - 1}) AS BIGINT)"})
     counts = f"SELECT _bucket, count(*) AS _n FROM ({hashed.text}) GROUP BY _bucket"
     before = f"SELECT _bucket, coalesce(sum(_n) OVER (ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before FROM ({counts})"
@@ -157,9 +167,9 @@ def _cohabit(rows: _Rows, cfg: SimulationConfig, i: int, n: int) -> _Rows:
     """T-2, J-16, J-17. Free people of age (rows) are paired in the order of their hashes; some pairs become couples with a new household. A pair that doesn't is not paired again in the step."""
     met = _paired(rows, cfg.seed, f"pair:{i}", ("PersonKey", "AddressKey", *TRAITS), n)
     met = _with(met, {"_a": "CASE WHEN _even THEN PersonKey ELSE _mate.PersonKey END"})
-    odds = f"{_double(cfg.rate(cfg.cohabit))} * (0.5D + (Partnership + _mate.Partnership) / 2)"
+    hit = _below(cfg, f"cohabit:{i}", cfg.rate(cfg.cohabit), "(0.5D + (Partnership + _mate.Partnership) / 2)", "_a")
     near = f"coalesce(abs(Age - _mate.Age) <= {cfg.limits.gap}, true)" if cfg.limits.gap is not None else "true"
-    asked = _with(met, {"_hit": f"coalesce(_mate IS NOT NULL AND {near} AND {_below(cfg, f'cohabit:{i}', odds, '_a')}, false)"})
+    asked = _with(met, {"_hit": f"coalesce(_mate IS NOT NULL AND {near} AND {hit}, false)"})
     asked = _with(asked, {"_mode": f"CASE WHEN _hit THEN {_chosen(COHABIT_MODES, cfg, f'cohabit:mode:{i}', '_a')} END"})
     side = lambda of_a: f"nullif(trim(CASE WHEN _even = {of_a} THEN AddressKey ELSE _mate.AddressKey END), '')"
     asked = _with(asked, {"_new": f"coalesce(CASE _mode WHEN 'move_to_A' THEN {side('true')} WHEN 'move_to_B' THEN {side('false')} END, {_key('ADDR', i, 'C', '_a')})"}, "_mode")
@@ -173,7 +183,7 @@ def _birth(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
 
     def bears(key: str, trait: str) -> str:
         able = f"lower(trim(coalesce({trait}Gender, ''))) IN ('female', 'f', '') AND {trait}Age BETWEEN {cfg.limits.fertility_age_min} AND {cfg.limits.fertility_age_max}"
-        return f"coalesce(NOT locked AND {key} IS NOT NULL AND {able} AND {_below(cfg, f'birth:{i}', f'{_double(cfg.rate(cfg.birth))} * (0.4D + {trait}Fertility)', key)}, false)"
+        return f"coalesce(NOT locked AND {key} IS NOT NULL AND {able} AND {_below(cfg, f'birth:{i}', cfg.rate(cfg.birth), f'(0.4D + {trait}Fertility)', key)}, false)"
 
     asked = _with(rows, {"_own": bears("PersonKey", ""), "_mate": bears("Partner", "p")})
     asked = _with(asked, {"_bears": "_own AND NOT (_mate AND Partner < PersonKey)", "_parent": "_own OR _mate"}, "_own", "_mate")
@@ -194,9 +204,9 @@ def _homes(rows: _Rows, cfg: SimulationConfig, i: int) -> _Rows:
     leave, move = cfg.rate(cfg.leave_home), cfg.rate(cfg.move)
     free = "NOT locked AND Partner IS NULL"
     asked = _with(rows, {
-        "_wants": f"coalesce({free} AND Age BETWEEN 18 AND 30 AND {unit_text(cfg.seed, f'leave:{i}', 'PersonKey')} < {_double(leave)}, false)" if leave else "false",
-        "_couple": f"coalesce(NOT locked AND PersonKey < Partner AND {_below(cfg, f'move:couple:{i}', f'{_double(move)} * (0.5D + (Mobility + pMobility) / 2)')}, false)" if move else "false",
-        "_single": f"coalesce({free} AND {_below(cfg, f'move:single:{i}', f'{_double(move)} * (0.5D + Mobility)')}, false)" if move else "false",
+        "_wants": f"coalesce({free} AND Age BETWEEN 18 AND 30 AND {_below(cfg, f'leave:{i}', leave, '1D', most=1.0)}, false)" if leave else "false",
+        "_couple": f"coalesce(NOT locked AND PersonKey < Partner AND {_below(cfg, f'move:couple:{i}', move, '(0.5D + (Mobility + pMobility) / 2)')}, false)" if move else "false",
+        "_single": f"coalesce({free} AND {_below(cfg, f'move:single:{i}', move, '(0.5D + Mobility)')}, false)" if move else "false",
     })
     asked = _with(asked, {"_turn": f"CASE WHEN _wants THEN struct({unit_text(cfg.seed, f'leave:turn:{i}', 'PersonKey')} AS u, PersonKey) END", "_hash": "xxhash64(HouseholdKey)"})
     home = "OVER (PARTITION BY _hash, HouseholdKey)"  # keys begin alike, so that a sort by them compares whole texts; numbers first spare it that
@@ -237,23 +247,31 @@ def stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int | None = Non
     return _stepped(state, cfg, i, state.count() if n is None else n, f"DATE '{cfg.day(i)}'")
 
 
+def _turned(cfg: SimulationConfig, i: int) -> str:
+    """What orders free people in step i, for the table of the step before it."""
+    return f"CASE WHEN {_free(cfg)} THEN {unit_text(cfg.seed, f'pair:{i}', 'PersonKey')} END"
+
+
 def _stepped(state: DataFrame, cfg: SimulationConfig, i: int, n: int, day: str) -> DataFrame:
+    """stepped(); a state with `_turn`, the order of free people, gives one with that of the next step."""
     own = {c: c for c in state.columns if c not in ("locked", "touched", "event")}
     rows = _with(_Rows(tuple(state.columns), "SELECT * FROM {state}"), own | {"locked": "false", "touched": "false"} | {c: f"CAST(NULL AS {t})" for c, t in _SAYS.items()}, *state.columns)
     if cfg.rate(cfg.cohabit):  # couples part, free people pair, and nobody does both in a step
-        free = f"Partner IS NULL AND coalesce(Age, 0) >= {0 if cfg.limits.allow_underage_marriage else cfg.limits.min_marriage_age}"
+        free = _free(cfg)
         single, others = _cohabit(rows.where(free), cfg, i, n), rows.where(f"NOT ({free})")
         if cfg.rate(cfg.divorce):
             others = _divorce(others, cfg, i)
-        names = ", ".join(rows.columns)
-        rows = _Rows(rows.columns, f"SELECT {names} FROM ({single.text}) UNION ALL SELECT {names} FROM ({others.text})")
+        kept = tuple(c for c in rows.columns if c != "_turn")
+        names = ", ".join(kept)
+        rows = _Rows(kept, f"SELECT {names} FROM ({single.text}) UNION ALL SELECT {names} FROM ({others.text})")
     elif cfg.rate(cfg.divorce):
         rows = _divorce(rows, cfg, i)
     if cfg.rate(cfg.birth):
         rows = _birth(rows, cfg, i)
     if cfg.rate(cfg.leave_home) or cfg.rate(cfg.move):
         rows = _homes(rows, cfg, i)
-    return state.sparkSession.sql(_with(_told(rows, cfg, i, day), {}, "locked").text, state=state)
+    turn = {"_turn": _turned(cfg, i + 1)} if "_turn" in state.columns else {}
+    return state.sparkSession.sql(_with(_told(rows, cfg, i, day), turn, "locked").text, state=state)
 
 
 def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -265,12 +283,14 @@ def simulate(people: DataFrame, cfg: SimulationConfig, start: DataFrame | None =
     spark = people.sparkSession
     ws = Workspace(spark, "truth")
     first = start if start is not None else initial_state(people)
-    state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)), "step=0").drop("touched", "event")
+    turn = {"_turn": F.expr(_turned(cfg, 1))} if cfg.rate(cfg.cohabit) else {}
+    state = ws.save(begun(first).drop("locked").withColumn("touched", F.lit(True)).withColumns(turn), "step=0").drop("touched", "event")
     for i in range(1, cfg.periods + 1):
         if any(cfg.rate(getattr(cfg, name)) for name in PHASES):
             n = state.count()  # a count of a written table reads its footers alone
             state = ws.save(_stepped(state, cfg, i, n, "CAST(NULL AS DATE)"), f"step={i}").drop("touched", "event")  # without its date a step has the code of the one before it, which is compiled then
     steps = spark.read.schema(T.StructType([*begun(first).drop("locked").schema.fields, T.StructField("step", T.IntegerType())])).parquet(ws.path)
+    state = state.drop("_turn")
     days = F.element_at(F.array(*[F.lit(cfg.day(i)) for i in range(cfg.periods + 1)]), F.col("step") + 1)
     log = steps.where("touched").select("PersonKey", days.alias("since"), "HouseholdKey", "AddressKey", "HouseholdType", "Role", "step")
     residence = closed_history(log.where("AddressKey IS NOT NULL").select("PersonKey", "AddressKey", "since"), "PersonKey", "AddressKey", "since")

@@ -254,3 +254,24 @@ def test_pairs_are_neighbours_by_hash_whatever_the_buckets(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "hashpartitioning(PersonKey" not in plan and plan.count("hashpartitioning(_group") == 1
+
+
+def test_first_digits_of_a_hash_rule_out_what_its_number_does(spark):
+    """Odds give what the number of the hash gives, also where scores are outside 0 to 1, missing, or no numbers."""
+    cfg = truth.SimulationConfig()
+    rows = spark.range(4000).selectExpr("CAST(id AS STRING) AS PersonKey", "CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN -2D WHEN 2 THEN 9D WHEN 3 THEN CAST('NaN' AS DOUBLE) ELSE id / 4000D END AS x")
+    for rate in (0.0, 1e-9, 0.03, 0.5, 1.0):
+        asked = rows.selectExpr("PersonKey", f"{truth._below(cfg, 's', rate, '(0.5D + x)')} AS hit", f"coalesce({truth.unit_text(cfg.seed, 's', 'PersonKey')} < least(greatest({rate!r}D * (0.5D + x), 0D), 1D), false) AS want")
+        assert asked.where("hit <> want OR hit IS NULL").count() == 0 and (rate < 0.03 or asked.where("hit").count())
+
+
+def test_a_step_reads_the_order_of_free_people(spark):
+    """Both counts and rows of pairs read the hash that the step before has written, and pairs are the same."""
+    cfg = truth.SimulationConfig(periods=1, cohabit=90, birth=60)
+    state = truth.initial_state(people(spark, 60))
+    given = truth._stepped(state.withColumn("_turn", F.expr(truth._turned(cfg, 1))).localCheckpoint(), cfg, 1, 60, f"DATE '{cfg.day(1)}'")
+    assert "pair:1" not in given._jdf.queryExecution().optimizedPlan().toString()
+    plain = truth.stepped(state, cfg, 1, 60)
+    assert sorted(given.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str) and plain.where("event.EventType = 'COHABIT'").count() > 0
+    want = {r.PersonKey: r.u for r in plain.where("Partner IS NULL AND Age >= 18").select("PersonKey", hash_unit(cfg.seed, "pair:2", F.col("PersonKey")).alias("u")).collect()}
+    assert {r.PersonKey: r._turn for r in given.where("_turn IS NOT NULL").collect()} == want
