@@ -157,9 +157,9 @@ def exact_sample(df: DataFrame, key: str, mode: str, value: float, seed: int, sa
     """F-3, F-4. Exactly so many rows, those with the least hashes.
 
     Rows are counted by hash bucket; a filter keeps the buckets below the one where the count is reached, and only that one is ranked. So no row of the sample is shuffled but a
-    few thousandths of all.
+    few thousandths of all. Everybody is a sample without a count.
     """
-    if mode == "all":
+    if mode == "all" or (mode == "pct" and value >= 100):
         return df
     u = hash_unit(seed, salt, key)
     rows = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * (BUCKETS_OF_SAMPLE - 1)).cast("long"))

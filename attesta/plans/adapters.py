@@ -45,6 +45,15 @@ SELECT CAST(o.o_orderkey AS STRING) AS RecordKey, CAST(o.o_custkey AS STRING) AS
        CASE WHEN (c.c_nationkey + o.o_orderkey) % 2 = 0 THEN 'HOUSE' ELSE 'APARTMENT' END AS ResidenceType, 'ADDR_' || CAST(o.o_orderkey AS STRING) AS AddressKey,
        CASE WHEN o.o_orderkey % 5 = 0 THEN ' ' ELSE 'Street ' || CAST(o.o_orderkey % 90 AS STRING) END AS StreetName, CAST(o.o_orderkey % 400 AS STRING) AS HouseNumber
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
+""",
+    # records in the same order by person, with the day as the index, so that nothing is numbered; for what reads the order alone
+    "dated_records": """
+SELECT /*+ SHUFFLE_HASH(c) */ CAST(o.o_orderkey AS STRING) AS RecordKey, CAST(o.o_custkey AS STRING) AS PersonKey,
+       CAST(year(o.o_orderdate) * 10000 + month(o.o_orderdate) * 100 + day(o.o_orderdate) AS STRING) AS EntityRecordIndex,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'AGE_0_17' WHEN '2-HIGH' THEN 'age_18_34' WHEN '3-MEDIUM' THEN 'AGE_35_64' WHEN '5-LOW' THEN 'age_65_plus' END AS AgeBin,
+       CASE o.o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END AS Gender, c.c_mktsegment AS Ethnicity,
+       CASE WHEN (c.c_nationkey + o.o_orderkey) % 2 = 0 THEN 'HOUSE' ELSE 'APARTMENT' END AS ResidenceType
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """,
     "people": _PEOPLE,
     "residence": """

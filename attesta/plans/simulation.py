@@ -29,7 +29,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _people(t: Tables):  # noqa: ANN202
-    traits = population.latent_traits(population.entity_view(t["records"]), 7)
+    traits = population.latent_traits(population.entity_view(t["dated_records"]), 7)
     scores = [c for c in traits.columns if c.endswith("PropensityScore")]
     return t["people"].join(traits.select("PersonKey", *scores), "PersonKey")
 
@@ -239,7 +239,7 @@ NICKNAMES = [("James", ["Jim", "Jimmy"]), ("Robert", ["Bob"]), ("Mary", ["Polly"
 def _scenario(t: Tables, name: str, patch: dict[str, Any] | None = None):  # noqa: ANN202
     people = t["people"].select(*PEOPLE_COLUMNS, "AddressKey", "ResidenceType")
     book = t["people"].select("AddressKey", F.concat(F.lit("Street "), "AddressKey").alias("StreetName"), "ZipCode")
-    return run_scenario(t["records"], people, patched(scenario(name), patch or {}), book, t.spark.createDataFrame(NICKNAMES, "FormalName string, variants array<string>"))
+    return run_scenario(t["dated_records"], people, patched(scenario(name), patch or {}), book, t.spark.createDataFrame(NICKNAMES, "FormalName string, variants array<string>"))
 
 
 def _record_map_sql(name: str, patch: dict[str, Any] | None = None) -> str:

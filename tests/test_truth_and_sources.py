@@ -275,3 +275,28 @@ def test_a_step_reads_the_order_of_free_people(spark):
     assert sorted(given.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str) and plain.where("event.EventType = 'COHABIT'").count() > 0
     want = {r.PersonKey: r.u for r in plain.where("Partner IS NULL AND Age >= 18").select("PersonKey", hash_unit(cfg.seed, "pair:2", F.col("PersonKey")).alias("u")).collect()}
     assert {r.PersonKey: r._turn for r in given.where("_turn IS NOT NULL").collect()} == want
+
+
+def test_people_of_dated_records_are_those_of_numbered_ones(spark, tmp_path):
+    """The day orders a person's records as their number does, ties by key; nothing is numbered, and orders aren't sorted for the join."""
+    from attesta.operators import population
+    from attesta.plans.adapters import Tables
+
+    k = F.col("id")
+    spark.range(400).select(
+        ((k * 37) % 400).alias("o_orderkey"), (k % 23).alias("o_custkey"), F.element_at(F.array(*map(F.lit, "FOP")), (k % 3 + 1).cast("int")).alias("o_orderstatus"), F.timestamp_seconds((k * 7919 % 30) * 86400 * 29).alias("o_orderdate"),
+        F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), (k * 31 % 5 + 1).cast("int")).alias("o_orderpriority"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).select(k.alias("c_custkey"), (k % 5).cast("int").alias("c_nationkey"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    t = Tables(spark, str(tmp_path))
+    old, new = (population.entity_view(t[name]) for name in ("records", "dated_records"))
+    assert sorted(old.collect()) == sorted(new.collect()) and old.count() == 20
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_everybody_is_a_sample_without_a_count(spark):
+    from attesta.operators import population
+
+    df = spark.range(50).withColumnRenamed("id", "k")
+    assert population.exact_sample(df, "k", "pct", 100.0, 1) is df and population.exact_sample(df, "k", "pct", 50.0, 1).count() == 25
