@@ -161,3 +161,64 @@ def test_a_block_of_grams_comes_back():
     back, numbers = kneser_ney._joined([kneser_ney._blob(words, columns), kneser_ney._blob([w[:1] for w in words], [c[:1] for c in columns])], 3)
     rows = lambda w, c: sorted(zip(*(x.tolist() for x in (*w, *c)), strict=True))
     assert rows(back, numbers) == sorted(rows(words, columns) + rows([w[:1] for w in words], [c[:1] for c in columns]))
+
+
+def test_the_model_and_what_is_shuffled_stay_small(spark, monkeypatch):
+    """A gram of three words takes less than 5 bytes of the stored model, one of two less than 9, and a block that is dealt to many shards doesn't repeat the hashes of its words in each."""
+    import os
+
+    from attesta.llm import kneser_ney
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 500), 30000)) for _ in range(200)]
+    grams = {m: {tuple(s[i : i + m]) for s in (["", *t.split(), "."] for t in texts) for i in range(len(s) - m + 1)} for m in (1, 2, 3)}
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 60000)
+    model = train(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA).coalesce(1))
+    assert model.shards > 5
+    size = {m: sum(os.path.getsize(e) for e in os.scandir(model.folder.removeprefix("file://")) if e.name.startswith(f"{m}-")) for m in (1, 2, 3)}
+    assert size[3] < 5 * len(grams[3]) and size[2] < 9 * len(grams[2]) and size[1] < 20 * len(grams[1]) + 5000
+    ids = np.unique(rng.integers(1, 30000, (50000, 3)), axis=0).astype(np.uint64).T
+    batch = kneser_ney._dealt(kneser_ney.dealt_to(list(ids), 64), list(ids), [np.ones(ids.shape[1], np.int64)], 64)
+    assert sum(len(x) for x in batch.column("data").to_pylist()) < 6.5 * ids.shape[1]
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_many_shards_of_other_orders(spark, monkeypatch, order):
+    from attesta.llm import kneser_ney
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefghij"), rng.integers(0, 60))), "", "") for i in range(80)], SCHEMA).repartition(3)
+    one = sorted((r.id, round(r.score, 9)) for r in scored(df, train(df.where("doc_id < 60"), order=order)).collect())
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 300)
+    model = train(df.where("doc_id < 60"), order=order)
+    assert model.shards > 5 and sorted((r.id, round(r.score, 9)) for r in scored(df, model).collect()) == one
+
+
+@pytest.mark.parametrize("top", [1 << 8, 1 << 20, 1 << 31])
+def test_stored_grams_are_found_whatever_their_ids(top):
+    """Keys of pairs and last words, also those whose differences or ids need more than the lower part; what isn't stored isn't found."""
+    from attesta.llm import kneser_ney as k
+
+    rng = np.random.default_rng(6)
+    words = [rng.integers(1, top, 1000, np.uint64) for _ in range(2)]
+    keys = np.unique(k._pair(words, 32))
+    stored, absent = keys[::2], np.append(keys[1::2], [np.uint64(0), np.uint64(1 << 63)])
+    arrays = k._stored_pairs(stored)
+    assert k._find_pairs(arrays, stored).tolist() == list(range(len(stored))) and (k._find_pairs(arrays, absent) == -1).all()
+    ids = np.unique(words[0])
+    lower, upper = (ids & np.uint64(0xFFFF)).astype("<u2"), k._narrow(ids >> np.uint64(16))
+    n = np.full(len(ids), 5)
+    wanted, place = ids.astype(np.int64), np.arange(len(ids))
+    assert k._find_after(lower, upper, place * 0, place * 0 + len(ids), wanted).tolist() == place.tolist()
+    assert (k._find_after(lower, upper, np.minimum(place + 1, len(ids)), np.minimum(place + n, len(ids)), wanted) == -1).all()
+
+
+def test_rows_are_sorted_by_columns_of_any_width():
+    from attesta.llm import kneser_ney as k
+
+    rng = np.random.default_rng(7)
+    for tops in ((4, 4), (1 << 40, 3, 1 << 40), (1 << 63, 2, 1 << 63, 5)):
+        columns = [rng.choice(rng.integers(0, t, 3, np.uint64), 200) for t in tops]
+        order, starts = k._runs(columns)
+        rows = list(zip(*(c.tolist() for c in columns), strict=True))
+        assert [rows[i] for i in order] == sorted(rows) and [rows[order[i]] for i in starts] == sorted(set(rows))
