@@ -134,7 +134,7 @@ def _blob(words: list[np.ndarray], columns: list[np.ndarray]) -> bytes:
 
 
 def _joined(blobs: list[bytes], words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Words and columns of all blobs one after another."""
+    """Words and columns of all blobs one after another. Columns keep their widths, so zeros take a byte."""
     parts = []
     for blob in blobs:
         step, *rest = _unpacked(blob)
@@ -143,7 +143,7 @@ def _joined(blobs: list[bytes], words: int) -> tuple[list[np.ndarray], list[np.n
             up = np.cumsum(own[1], dtype=np.uint64)
             start = _first_of(step != 0)
             own[1] = up - up[start] + own[1][start]
-        parts.append((own, [c.astype(np.int64) for c in rest[words - 1 :]]))
+        parts.append((own, rest[words - 1 :]))
     return tuple([np.concatenate(x) for x in zip(*(p[i] for p in parts), strict=True)] for i in (0, 1))  # type: ignore[return-value]
 
 
@@ -152,7 +152,7 @@ def _summed(words: list[np.ndarray], columns: list[np.ndarray]) -> tuple[list[np
     order, starts = _runs(words)
     if not len(order):
         return words, columns
-    return [w[order[starts]] for w in words], [np.add.reduceat(c[order], starts) if c.any() else np.zeros(len(starts), np.int64) for c in columns]
+    return [w[order[starts]] for w in words], [np.add.reduceat(c[order], starts, dtype=np.int64) if c.any() else np.zeros(len(starts), np.int64) for c in columns]
 
 
 def _dealt(own: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray], shards: int) -> pa.RecordBatch:
@@ -330,39 +330,34 @@ class Model:
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: tokens, known tokens, log10 of the smoothed unigram model, log10 of this model."""
         item, depth, sizes = sequences(texts)
-        word, at = np.unique(item, return_inverse=True)
+        word, slot = np.unique(item, return_inverse=True)
         ids, tokens = self.words(word)
-        found = {n: c[at] for n, c in self._of_words(ids).items()}
-        ids, count = ids[at], tokens[at]
-        p, own, before = np.ones(len(item)), np.zeros(len(item), np.int64), found
+        now = self._of_words(ids)  # of distinct grams; each item has a slot among them
+        ids, known = ids[slot], tokens[slot]
+        p, own = np.ones(len(item)), np.zeros(0, np.int64)
         for m, level in enumerate(self.levels, 1):
             d = np.array([0.0, *level.discounts])
             if m == 1:
                 left = sum(a * b for a, b in zip(level.discounts, level.of_count, strict=True)) / level.total if level.total else 1.0
-                p = np.maximum(0, found["count"] - d[np.minimum(found["count"], 3)]) / max(1, level.total) + left / (self.n_types + 1)
+                p = (np.maximum(0, now["count"] - d[np.minimum(now["count"], 3)]) / max(1, level.total) + left / (self.n_types + 1))[slot]
                 continue
             deep = np.flatnonzero(depth >= m - 1)
-            context = {n: c[deep - 1] for n, c in before.items()}
+            context, total = slot[deep - 1], np.maximum(1, now["total"])
+            p[deep] *= np.where(now["total"] > 0, (d[1] * now["one"] + d[2] * now["two"] + d[3] * now["more"]) / total, 1.0)[context]
+            total, slot = total[context], np.zeros(len(item), np.int64)
             if m == 2:
-                keys, back_to = np.unique(_pair([ids[deep - 1], ids[deep]], self.bits), return_inverse=True)
-                shard = dealt_to([keys >> np.uint64(self.bits), keys & np.uint64((1 << self.bits) - 1)], self.shards)
-                new = {n: c[back_to] for n, c in self._of_grams(m, shard, lambda some, s: _find_pairs(s, keys[some])).items()}  # noqa: B023
-                shard = shard[back_to]
+                keys, slot[deep] = np.unique(_pair([ids[deep - 1], ids[deep]], self.bits), return_inverse=True)
+                own = dealt_to([keys >> np.uint64(self.bits), keys & np.uint64((1 << self.bits) - 1)], self.shards)
+                now = self._of_grams(m, own, lambda some, s: _find_pairs(s, keys[some]))  # noqa: B023
             else:
-                shard, last = own[deep - 1], ids[deep].astype(np.int64)
-                new = self._of_grams(m, shard, lambda some, s: _find_after(*s, context["start"][some], context["end"][some], last[some]))  # noqa: B023
-            own = np.zeros(len(item), np.int64)
-            own[deep] = shard
-            before = {n: np.zeros(len(item), np.int64) for n in new}
-            for n, values in new.items():
-                before[n][deep] = values
-            total = np.maximum(1, context["total"])
-            back = np.where(context["total"] > 0, (d[1] * context["one"] + d[2] * context["two"] + d[3] * context["more"]) / total, 1.0)
-            p[deep] = np.maximum(0, new["count"] - d[np.minimum(new["count"], 3)]) / total + back * p[deep]
+                start, end, last, slot[deep] = now["start"][context], now["end"][context], ids[deep].astype(np.int64), np.arange(len(deep))
+                own = own[context]
+                now = self._of_grams(m, own, lambda some, s: _find_after(*s, start[some], end[some], last[some]))  # noqa: B023
+            p[deep] += (np.maximum(0, now["count"] - d[np.minimum(now["count"], 3)]))[slot[deep]] / total
         token = depth > 0
-        base = np.log10((count[token] + 0.5) / (self.n_tokens + 0.5 * (self.n_types + 1)))
+        base = np.log10((known[token] + 0.5) / (self.n_tokens + 0.5 * (self.n_types + 1)))
         starts = np.cumsum(sizes) - sizes
-        return sizes, np.add.reduceat((count[token] > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p[token]), starts)
+        return sizes, np.add.reduceat((known[token] > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p[token]), starts)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -381,7 +376,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
-    """Count all texts of docs and store the model in the shared folder. Null texts count as empty: a start and an end.
+    """Count all texts of docs and store the model in the shared folder. Null texts count as empty: a start and an end. The texts are read more than once and
+    must be the same each time; if they have other words, it is an error.
 
     1. A first job counts words. They are dealt to shards by their hash, as many as the bytes of all texts ask for; a shard numbers its words, the most frequent first, and ids of all shards alternate, so
        frequent words have small ids in the whole corpus. What goes on holds ids, which take two to three bytes where hashes take eight.
@@ -424,6 +420,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
         for item, depth in _blocks(batches):
             word, at = np.unique(item, return_inverse=True)
             ids, _ = known.words(word)
+            if not ids.all():
+                raise ValueError("the texts have words that they didn't have when words were counted")
             by_id = np.argsort(ids)
             place = np.empty(len(ids), np.uint32)
             place[by_id] = np.arange(1, len(ids) + 1)
@@ -451,7 +449,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
             words, columns = _summed(*_joined(table.column("data").to_pylist(), level))
             pad = words[0] == 0
             short = [[w[pad] for w in words[1:]], columns[0][pad]]
-            words, columns = [w[~pad] for w in words], [c[~pad] for c in columns]
+            if pad.any():
+                words, columns = [w[~pad] for w in words], [c[~pad] for c in columns]
             n = columns[0]
             values = [int(n.sum()), *(int((n == j).sum()) for j in range(1, 5)), int((n > 0).sum())]
             if level == 1:
@@ -468,9 +467,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
                     more = sum(columns[2:])
                     stored.append(_narrow((np.cumsum(more) - more)[::STEP]))
                 _put(f"{folder}/{level}-{k}", stored)
-            ends, count = _summed([np.concatenate(x) for x in zip([w for w in words[1:]], short[0], strict=True)], [np.concatenate([np.ones(len(n), np.int64), short[1]])])
-            begins, sums = _summed(words[:-1], [n, *((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))])
-            none = lambda w: np.zeros(len(w[0]), np.int64)
+            ends, count = _summed([np.concatenate(x) for x in zip(words[1:], short[0], strict=True)], [np.concatenate([np.ones(len(n), np.int64), short[1]])])
+            begins, sums = _summed(words[:-1], [n, n == 1, n == 2, n > 2])
+            none = lambda w: np.zeros(len(w[0]), np.uint8)
             both = (ends, [*count, *[none(ends)] * 4]), (begins, [none(begins), *sums])
             return told([_dealt(dealt_to(w, shards), w, c, shards) for w, c in both], level, values)
 

@@ -222,3 +222,14 @@ def test_rows_are_sorted_by_columns_of_any_width():
         order, starts = k._runs(columns)
         rows = list(zip(*(c.tolist() for c in columns), strict=True))
         assert [rows[i] for i in order] == sorted(rows) and [rows[order[i]] for i in starts] == sorted(set(rows))
+
+
+def test_texts_that_change_between_reads_are_an_error(spark):
+    """Words are counted in one read and grams in another; words that only the second has would be left out without a word."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    other = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    with pytest.raises(Exception, match="words that they didn't have"):
+        train(spark.range(5).select(other().alias("text")))
